@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pseudonyms, quality_rules
+from . import chat, mixing, ngram_join, pseudonyms, quality_rules, suffix_dedup
 from .common import read
 
 
@@ -23,6 +23,15 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(conv.unionByName(more)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -38,8 +47,65 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_chat_windows": op2_chat_windows,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op7_source_mix": op7_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+
+ORACLE: dict[str, str] = {
+    "op2_chat_windows": r"""
+        WITH t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 4 + CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tok,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ord
+          FROM (SELECT conv_id, turn, role, text FROM conversations
+                UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        p AS (
+          SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY ord) - tok AS pre, sum(tok) OVER (PARTITION BY conv_id) AS total,
+                 length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '|', '')) AS body,
+                 length(role) + length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '|', '')) + 5 + 8 AS marks,
+                 last_value(CASE WHEN role = 'system' THEN ord END IGNORE NULLS)
+                   OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys
+          FROM t),
+        w AS (SELECT *, CAST(floor(pre / 384) AS BIGINT) AS w FROM p),
+        e AS (SELECT *, max(pre + tok) OVER (PARTITION BY conv_id, w) AS stop FROM w),
+        m AS (
+          SELECT conv_id, w, ord, sys, body + marks AS chars FROM e
+          UNION ALL
+          SELECT conv_id, CAST(floor(stop / 384) AS BIGINT), ord, sys, body + marks FROM e WHERE stop < total AND stop - pre <= 128),
+        g AS (SELECT conv_id, w, sum(chars) AS chars, min_by(coalesce(sys, -1), ord) AS sys FROM m GROUP BY ALL),
+        f AS (
+          SELECT g.conv_id, sum(g.chars + coalesce(p.body + p.marks, 0)) AS chars, count(*) AS n_windows
+          FROM g LEFT JOIN p ON p.conv_id = g.conv_id AND p.ord = g.sys GROUP BY g.conv_id)
+        SELECT t.conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY ord), '')) AS loss_sha256,
+               CAST(any_value(f.chars) AS BIGINT) AS formatted_chars, any_value(f.n_windows) AS n_windows
+        FROM t JOIN f USING (conv_id) GROUP BY t.conv_id""",
+    "op10_quality_rules": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
+        g AS (SELECT *, list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
+                     list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ 	-]')) AS l FROM w),
+        i AS (SELECT doc_id, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM g),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM i),
+        c AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS c FROM r WHERE n > 1),
+        s AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_repeat_words FROM c GROUP BY doc_id),
+        m AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                 coalesce(n_repeat_words, 0) AS n_repeat_words,
+                 CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper
+          FROM g LEFT JOIN s USING (doc_id)),
+        b AS (
+          SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+                 + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
+                 + 32 * (word_chars > 20 * n_words)::INT + 64 * (100 * n_upper > 60 * word_chars)::INT AS BIGINT) AS failed_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
+               failed_bits = 0 AS kept, failed_bits
+        FROM b""".replace("{words}", _WORDS),
+}
