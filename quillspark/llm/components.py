@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import saved
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Columns ``node`` and ``component`` (least node of its component) for the nodes of edges (``a``, ``b``: long).
 
-    Each round takes the least label among a node's neighbours and then the label of that label, so that the rounds grow
-    with the logarithm of the longest path. Labels are checkpointed each round; only a count reaches the driver.
+    Each round finds the least label among a node's neighbours, offers it to the node and to the node's own label, and then
+    takes the label of the label; so whole trees hook on to each other and rounds grow with the logarithm of the longest
+    path. Labels are written each round, in the shared folder; only a count reaches the driver.
     """
     edges = edges.filter("a <> b")
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("to"))
+        near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")).join(labels.hint("merge"), "node")
+        offers = F.explode(F.array(F.struct("node", "near"), F.struct(F.col("component").alias("node"), "near"))).alias("o")
+        offers = near.select(offers).groupBy("o.node").agg(F.min("o.near").alias("near"))
+        nearer = labels.join(offers.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("to"))
         jump = nearer.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
-        new = cut(nearer.join(jump, "to").select("node", F.col("component").alias("was"), F.least("to", "beyond").alias("component")))
-        if not new.filter("component <> was").limit(1).count():
-            return new.select("node", "component")
+        new = nearer.join(jump.hint("merge"), "to")
+        new = saved(new.select("node", F.least("to", "beyond").alias("component"), (F.col("component") > F.least("to", "beyond")).alias("moved")))
         labels = new.select("node", "component")
+        if not new.filter("moved").limit(1).count():
+            return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, saved
+from .common import saved
 from .components import components
 
 WORDS = 5
@@ -260,7 +260,7 @@ def _stars(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect these sets as far as any links do: pairs of ids.
+    """Each set with the first of those that links connect it to: pairs of ids.
 
     ``sets`` hold the shingles that a set may share with others, ``size`` counts all of them.
     """
@@ -303,7 +303,6 @@ def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> lis
         stack.pop()[2] = len(sets)
 
     label = np.arange(len(sets))
-    links: list[tuple[int, int]] = []
     bounds: dict[int, tuple[int, int, int]] = {}  # of each node: least and greatest size below it, greatest depth
     mask = np.zeros(len(counts), bool)
     for q in range(1, len(sets)):
@@ -332,11 +331,10 @@ def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> lis
             if children:
                 todo += [(child, end, overlap) for child in children]
             elif NUM * overlap >= DEN * (n + int(size[first])):
-                links.append((int(ids[first]), int(ids[q])))
                 label[label == label[q]] = label[first]
                 apart = np.concatenate([[0], np.cumsum(label[:q] != label[q])])
         mask[ranked[q]] = False
-    return links
+    return [(int(ids[i]), int(ids[label[i]])) for i in range(len(sets)) if label[i] != i]
 
 
 def _group_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -363,7 +361,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     named = sets.filter("size > 0").groupBy("digest", "size").agg(F.min("doc_id").alias("class_id"))
     known = sets.select("doc_id", "size", "digest").join(named, ["digest", "size"], "left")
-    known = cut(known.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
+    known = saved(known.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
 
     able = sets.filter("shared IS NOT NULL").select("doc_id", "size", "shared")
     stars = able.mapInPandas(_prefixes(ranges), "r int, h binary, d binary, k binary")
