@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, pseudonyms, quality_rules, suffix_dedup
-from .common import read
+from . import chat, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
+from .common import read, saved
+from .labels import fold
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +33,28 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = saved(quality_model.describe(read(spark, sf_dir, "documents")))
+    scored = quality_model.score(described, quality_model.fit(described, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select(
@@ -49,11 +68,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_windows": op2_chat_windows,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_toxicity": op6_toxicity,
     "op7_source_mix": op7_source_mix,
+    "op8_language": op8_language,
+    "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
 }
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
     "op2_chat_windows": r"""
@@ -88,8 +110,9 @@ ORACLE: dict[str, str] = {
         FROM t JOIN f USING (conv_id) GROUP BY t.conv_id""",
     "op10_quality_rules": r"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
-        g AS (SELECT *, list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
-                     list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ 	-]')) AS l FROM w),
+        g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM w),
         i AS (SELECT doc_id, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM g),
         r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM i),
         c AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS c FROM r WHERE n > 1),
