@@ -23,7 +23,7 @@ from .labels import fold
 from .ngram_join import _LOWER, _SPACE, word_hashes
 
 STATS = ("chars", "words", "mean_word", "upper", "lower", "digit", "other", "symbol", "stop", "comma", "bang", "line", "distinct", "next_equal", "dup_lines", "marks_end", "single")
-FREQUENCIES, RIDGE, WIDTH, BINS = 256, 1e-2, 3.0, 400
+FREQUENCIES, RIDGE, WIDTH, BINS = 256, 1e-2, 10.0, 400
 BLOCK = 1 << 20
 _CLASS = np.full(256, 3, np.int64)
 for _k, _chars in enumerate((range(65, 91), range(97, 123), range(48, 58), range(128, 256), b"#*$%&|<>{}[]=+~^_@\\/", b".", b",", b"!?", b"\n", b"\t\x0b\x0c\r ")):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
+from . import chat, decontamination, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import read, saved
 from .labels import fold
 
@@ -24,6 +24,10 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(conv.unionByName(more)))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -66,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_chat_windows": op2_chat_windows,
+    "op3_decontamination": op3_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
