@@ -5,15 +5,15 @@ earlier in the same one. The suffixes that must be compared are first brought to
 
 1. Each window of MIN_BYTES bytes has an anchor, the leftmost of its grams of ``GRAM`` bytes with the least hash. Equal
    windows have equal anchors in the same place. The bytes of all neighbouring windows with one anchor form a segment.
-2. Anchors that occur once in the corpus are dropped. The others name the segments to compare; those are shuffled by
-   anchor, equal segments of a task as one with the earliest place.
+2. Segments meet by the hash of their anchor, as hashes and places only. Of equal segments all but the earliest go
+   whole. An anchor with one text left has nothing to compare; the texts of the others are fetched from the documents.
 3. Each task joins the different segments of its anchors to one string, sorts its suffixes by their first bytes, and
    derives common prefixes from its Burrows-Wheeler transform: breadth-first backward extension visits the intervals of
    all strings by increasing length and sets every common prefix as its length is reached. It ends at MIN_BYTES; what is
    unset then has MIN_BYTES or more in common. Those suffixes form groups; all but the earliest of a group are repeats.
 
-An anchor with very many segments is split: each of its windows goes by the hash of its own bytes, so no task has to hold
-a passage that a large part of the corpus shares. Nothing is dropped or capped.
+An anchor with very many different segments is split: each of its windows goes by the hash of its own bytes, so no task
+has to hold the surroundings of a passage that a large part of the corpus shares. Nothing is dropped or capped.
 
 Defined results: a null text counts as empty; documents of fewer than MIN_BYTES bytes keep all; rows that repeat a doc_id
 and its text are one document and get equal results; rows with a null doc_id keep all and are no one's earlier text;
@@ -30,12 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 MIN_BYTES = 100
 GRAM = 32
-#: Segments of an anchor above which its windows are dealt out one by one.
-HOT = 4096
+#: Different segments of an anchor above which their windows are dealt out one by one.
+HOT = 2048
 #: Bytes that are hashed at a time, and bytes of a string that is sorted.
-BLOCK, STRING = 4 << 20, 2 << 20
+BLOCK, STRING = 512 << 10, 512 << 10
 #: Key ranges for each input partition.
 RANGES = 4
 
@@ -74,155 +76,169 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def segments(b: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first window, last window and document number of each segment.
+_POWER = np.full(BLOCK, _BASE, np.uint64)
+_POWER[0] = 1
+_POWER = np.cumprod(_POWER)
+_INVERSE = np.full(BLOCK, pow(_BASE, -1, 1 << 64), np.uint64)
+_INVERSE[0] = 1
+_INVERSE = np.cumprod(_INVERSE)
+
+
+def segments(b: np.ndarray, size: int, starts: tuple | list = ()) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first window, last window and content hash of the segments of a string of at most BLOCK bytes.
 
-    ``b`` holds documents one after another, ``starts`` their first bytes and the end.
+    ``starts``: where other texts start in the string; no window crosses these.
     """
     if len(b) < size:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint64))
     h = gram_hashes(b, GRAM)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    anchor = (_least(key, size - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(anchor)]
-    inside = np.arange(len(anchor)) + size <= starts[doc + 1]
-    new = np.empty(len(anchor), bool)
-    new[:1] = True
-    new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])
+    anchor = _least(key, size - GRAM + 1).astype(np.uint32)
+    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    inside = np.ones(len(anchor), bool)
+    for e in starts:
+        inside[max(0, e - size + 1) : e] = False
+        new[[x for x in (e, max(0, e - size + 1)) if x < len(new)]] = True
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(anchor)) - 1
     ok = inside[first]
     first, last = first[ok], last[ok]
-    return h[anchor[first]], first, last, doc[first]
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
-    """Documents joined to blocks of about BLOCK bytes: the bytes, the documents' starts, and their rows."""
-    for rows in batches:
-        data = [t.encode() if isinstance(t, str) else b"" for t in rows["text"]]
-        size, at = 0, 0
-        for i, d in enumerate(data):
-            size += len(d)
-            if size >= BLOCK or i == len(data) - 1:
-                part = data[at : i + 1]
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64)
-                yield np.frombuffer(b"".join(part), np.uint8), starts, rows.iloc[at : i + 1]
-                size, at = 0, i + 1
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * _POWER[: len(b)], out=total[1:])
+    content = (total[last + size] - total[first]) * _INVERSE[first]
+    return h[anchor[first]], first, last, _mixed(content + (last - first).astype(np.uint64))
+
+
+def _texts(data: list[bytes], size: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Segments of each text by its number. A text beyond BLOCK bytes comes in parts that share all windows at their ends."""
+    at = 0
+    while at < len(data):
+        if len(data[at]) > BLOCK:
+            b, step = np.frombuffer(data[at], np.uint8), BLOCK - size + 1
+            for i in range(0, len(b) - size + 1, step):
+                h, first, last, content = segments(b[i : i + BLOCK], size)
+                yield at, (h, first + i, last + i, content)
+            at += 1
+            continue
+        end, n = at, 0
+        while end < len(data) and n + len(data[end]) <= BLOCK and len(data[end]) <= BLOCK:
+            n += len(data[end])
+            end += 1
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in data[at:end]])]).astype(np.int64)
+        h, first, last, content = segments(np.frombuffer(b"".join(data[at:end]), np.uint8), size, starts[1:-1].tolist())
+        doc = np.searchsorted(starts, first, side="right") - 1
+        cuts = np.searchsorted(doc, np.arange(end - at + 1))
+        for k in range(end - at):
+            i, j = cuts[k], cuts[k + 1]
+            if j > i:
+                yield at + k, (h[i:j], first[i:j] - starts[k], last[i:j] - starts[k], content[i:j])
+        at = end
 
 
 def _packed(key: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Range numbers and the places of their keys, in the order of the keys."""
-    order = np.argsort(key, kind="stable")
-    part = (key[order] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for at in np.split(order, cuts) if len(order) else ():
+    """Range numbers and the places of their keys."""
+    part = (key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    order = np.argsort(part.astype(np.uint16) if ranges <= 65536 else part, kind="stable")
+    part = part[order]
+    for at in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else ():
         yield int((int(key[at[0]]) >> 32) * ranges >> 32), at
 
 
+def _firsts(key: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the given columns, last one first, and where a new value of the first two begins in that order."""
+    order = np.lexsort(key[::-1])
+    a, b = key[0][order], key[1][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
 def _anchors(ranges: int, size: int):
+    """By ranges of anchors: hash, content, document, place and windows of each segment. Copies in a batch need no
+    comparison: they come with an empty hash."""
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, starts, rows in _blocks(batches):
+        for rows in batches:
             ids = rows["doc_id"].to_numpy(np.int64)
-            h, _, _, doc = segments(b, starts, size)
-            # One row for each anchor and document; anchors that meet in this block are known to repeat.
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            same = h[1:] == h[:-1]
-            twice = np.zeros(len(h), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = ~(same & (doc[1:] == doc[:-1]))
-            lead = np.ones(len(h), bool)
-            lead[1:] = ~same
-            count = np.diff(np.append(np.flatnonzero(lead), len(h)))
+            found = [(k, *x) for k, x in _texts([t.encode() if isinstance(t, str) else b"" for t in rows["text"]], size)]
+            if not found:
+                continue
+            h, first, last, content = (np.concatenate([x[i] for x in found]) for i in range(1, 5))
+            doc = ids[np.repeat([x[0] for x in found], [len(x[1]) for x in found])]
+            more = (last - first).astype(np.uint8)
+            order, new = _firsts((h, content, doc, first))
+            lead, copies = order[new], order[~new]
+            low = ((h * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
+            first = first.astype(np.int32)
             out = []
-            for kind, keep in ((0, lead), (1, fresh & twice & ~lead)):
-                keep = np.flatnonzero(keep)
-                n = count if kind == 0 else np.zeros(len(keep), np.int64)
-                for r, at in _packed(h[keep], ranges):
-                    out.append((r, kind, h[keep][at].tobytes(), ids[doc[keep]][at].tobytes(), n[at].astype(np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["r", "kind", "h", "d", "n"])
+            for r, at in _packed(h[lead], ranges):
+                k = lead[at]
+                out.append((r, low[k].tobytes(), content[k].tobytes(), doc[k].tobytes(), first[k].tobytes(), more[k].tobytes()))
+            for r, at in _packed(h[copies], ranges):
+                k = copies[at]
+                out.append((r, b"", b"", doc[k].tobytes(), first[k].tobytes(), more[k].tobytes()))
+            yield pd.DataFrame(out, columns=["r", "h", "c", "d", "p", "n"])
 
     return emit
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Anchors that occur more than once: doc_id, anchor, and into how many parts its segments are to be dealt."""
-    lead, more = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-    h, d, n = (np.frombuffer(b"".join(lead[k]), t) for k, t in (("h", np.uint64), ("d", np.int64), ("n", np.int32)))
-    order = np.argsort(h, kind="stable")
-    h, d, n = h[order], d[order], n[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(n.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    names = h[at]
-    each = np.repeat(total, np.diff(np.append(at, len(h))))
-    keep = each > 1
-    h2, d2 = (np.frombuffer(b"".join(more[k]), t) for k, t in (("h", np.uint64), ("d", np.int64)))
-    n2 = total[np.searchsorted(names, h2)] if len(h2) else np.zeros(0, np.int64)
-    parts = np.concatenate([each[keep], n2]) // HOT + 1
-    return pd.DataFrame(
-        {"doc_id": np.concatenate([d[keep], d2]), "anchor": np.concatenate([h[keep], h2]).view(np.int64), "parts": parts}
-    ).drop_duplicates()
-
-
-def _segment_rows(ranges: int, size: int):
-    """Segments of repeated anchors, by ranges of their keys; equal ones of a block once, the others as spans to remove."""
+def _resolved(size: int):
+    """Spans to remove (null anchor), and the first of each different segment of anchors that have several: doc_id, a, e,
+    anchor, and into how many parts its segments are to be dealt."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        copies, rows = rows[rows["h"].str.len() == 0], rows[rows["h"].str.len() > 0]
+        types = {"h": np.uint32, "c": np.uint64, "d": np.int64, "p": np.int32, "n": np.uint8}
+        h, c, d, p, n = (np.frombuffer(b"".join(rows[k]), t) for k, t in types.items())
+        order, new = _firsts((h, c, d, p))
+        gone, lead = order[~new], order[new]
+        name = np.cumsum(np.append(True, h[lead][1:] != h[lead][:-1])) - 1 if len(lead) else np.zeros(0, np.int64)
+        times = np.bincount(name)[name] if len(lead) else name
+        ask, times = lead[times > 1], times[times > 1]
+        d2, p2, n2 = (np.frombuffer(b"".join(copies[k]), types[k]) for k in "dpn")
+        doc = np.concatenate([d[gone], d2, d[ask]])
+        a = np.concatenate([p[gone], p2, p[ask]]).astype(np.int64)
+        e = a + np.concatenate([n[gone], n2, n[ask]]) + size
+        r = int(rows["r"].iloc[0]) if len(rows) else 0
+        anchor = pd.array(np.concatenate([np.zeros(len(gone) + len(d2), np.int64), h[ask].astype(np.int64) | (r << 32)]), "Int64")
+        anchor[: len(gone) + len(d2)] = pd.NA
+        parts = np.concatenate([np.ones(len(gone) + len(d2), np.int64), times // HOT + 1])
+        return pd.DataFrame({"doc_id": doc, "a": a, "e": e, "anchor": anchor, "parts": parts})
+
+    return run
+
+
+def _fetched(ranges: int, size: int):
+    """The texts of the segments asked for, by their anchor's range; those of hot anchors window by window."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, starts, rows in _blocks(x[x["anchors"].notna()] for x in batches):
-            if not len(rows):
-                continue
-            ids = rows["doc_id"].to_numpy(np.int64)
-            h, first, last, doc = segments(b, starts, size)
-            own = rows["anchors"].to_list()
-            lens = np.array([len(x) for x in own])
-            pairs = np.concatenate(own) if len(own) else []
-            want_h = np.fromiter((x["anchor"] for x in pairs), np.int64, len(pairs)).view(np.uint64)
-            want_n = np.fromiter((x["parts"] for x in pairs), np.int64, len(pairs))
-            want_d = np.repeat(np.arange(len(own)), lens)
-            order = np.lexsort((want_h, want_d))
-            # Anchor and document in one number; the full anchor is compared afterwards.
-            want = want_h[order] * np.uint64(3) + want_d[order].astype(np.uint64) * _MIX
-            by = np.argsort(want)
-            have = h * np.uint64(3) + doc.astype(np.uint64) * _MIX
-            at = np.searchsorted(want[by], have)
-            at[at == len(want)] = 0
-            hit = (want[by][at] == have) if len(want) else np.zeros(len(have), bool)
-            parts = want_n[order][by][at][hit] if len(want) else np.zeros(0, np.int64)
-            h, first, last, doc = h[hit], first[hit], last[hit], doc[hit]
-            hot = parts > 1
-            if hot.any():
-                # Each window of a hot anchor goes by its own bytes.
-                lens = (last - first + 1)[hot]
-                w = np.repeat(first[hot] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-                wh = gram_hashes(b, size)[w]
-                h, doc = np.concatenate([h[~hot], wh]), np.concatenate([doc[~hot], np.repeat(doc[hot], lens)])
-                first, last = np.concatenate([first[~hot], w]), np.concatenate([last[~hot], w])
-            body = b.tobytes()
-            text = [body[i : j + size] for i, j in zip(first.tolist(), last.tolist())]
-            place = first - starts[doc]
-            order = sorted(range(len(h)), key=lambda k: (text[k], ids[doc[k]], place[k]))
-            lead, spans = [], []
-            previous = None
-            for k in order:
-                if text[k] == previous:
-                    spans.append(k)
-                else:
-                    lead.append(k)
-                    previous = text[k]
-            lead, spans = np.array(lead, np.int64), np.array(spans, np.int64)
-            out = []
-            for r, at in _packed(h[lead], ranges):
-                k = lead[at]
-                out.append((r, h[k].tobytes(), ids[doc[k]].tobytes(), place[k].tobytes(),
-                            (last[k] - first[k] + size).astype(np.int64).tobytes(), b"".join(text[i] for i in k)))
-            if len(spans):
-                # These need no comparison; they ride along with no text.
-                out.append((int(ids[0]) % ranges, b"", ids[doc[spans]].tobytes(), place[spans].tobytes(),
-                            (last[spans] - first[spans] + size).astype(np.int64).tobytes(), b""))
+        for rows in batches:
+            key, doc, place, text = [], [], [], []
+            for doc_id, whole, asked in zip(rows["doc_id"], rows["text"], rows["asked"]):
+                if asked is None:
+                    continue
+                data = whole.encode() if isinstance(whole, str) else b""
+                for x in asked:
+                    if x["parts"] == 1:
+                        spans = [(x["anchor"], x["a"], x["e"])]
+                    else:
+                        spans = []
+                        for i in range(x["a"], x["e"] - size + 1):
+                            h = int.from_bytes(hashlib.blake2b(data[i : i + size], digest_size=8).digest())
+                            spans.append(((h * ranges >> 64) << 32 | h & 0xFFFFFFFF, i, i + size))
+                    for k, i, j in spans:
+                        key.append(k)
+                        doc.append(doc_id)
+                        place.append(i)
+                        text.append(data[i:j])
+            key, doc, place = (np.array(x, np.int64) for x in (key, doc, place))
+            n = np.array([len(x) for x in text], np.int64)
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order] >> 32)) + 1
+            out = [
+                (int(key[k[0]] >> 32), key[k].tobytes(), doc[k].tobytes(), place[k].tobytes(), n[k].tobytes(), b"".join(text[i] for i in k))
+                for k in (np.split(order, cuts) if len(order) else ())
+            ]
             yield pd.DataFrame(out, columns=["r", "h", "d", "p", "len", "text"])
 
     return emit
@@ -310,39 +326,33 @@ def _repeats(d: np.ndarray, p: np.ndarray, lens: np.ndarray, texts: list[bytes],
 
 
 def _compared(size: int):
+    """Spans of these segments that repeat others of the same anchor."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        riders = rows[rows["h"].str.len() == 0]
-        spans = []
-        if len(riders):
-            d, p, n = (np.frombuffer(b"".join(riders[k]), np.int64) for k in ("d", "p", "len"))
-            spans.append((d, p, p + n))
-        rows = rows[rows["h"].str.len() > 0]
-        if len(rows):
-            h = np.frombuffer(b"".join(rows["h"]), np.uint64)
-            d, p, n = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("d", "p", "len"))
-            body, ends = b"".join(rows["text"]), np.cumsum(n)
-            texts = [body[j - k : j] for j, k in zip(ends.tolist(), n.tolist())]
-            order = sorted(range(len(h)), key=lambda k: (int(h[k]), texts[k], int(d[k]), int(p[k])))
-            lead, copies = [], []
-            for k in order:
-                (copies if lead and texts[k] == texts[lead[-1]] and h[k] == h[lead[-1]] else lead).append(k)
-            copies, lead = np.array(copies, np.int64), np.array(lead, np.int64)
-            spans.append((d[copies], p[copies], p[copies] + n[copies]))
-            # An anchor with one text has nothing to compare; the others are packed to strings of bounded size.
-            new = np.ones(len(lead), bool)
-            new[1:] = h[lead][1:] != h[lead][:-1]
-            name = np.cumsum(new) - 1
-            lead = lead[np.bincount(name)[name] > 1]
-            cuts, total = [0], 0
-            for i, k in enumerate(lead):
-                total += int(n[k])
-                if total > STRING and i and h[k] != h[lead[i - 1]]:
-                    cuts.append(i)
-                    total = int(n[k])
-            for i, j in zip(cuts, [*cuts[1:], len(lead)]):
-                k = lead[i:j]
-                if len(k):
-                    spans += _repeats(d[k], p[k], n[k], [texts[x] for x in k], size)
+        h, d, p, n = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("h", "d", "p", "len"))
+        body, ends = b"".join(rows["text"]), np.cumsum(n)
+        texts = [body[j - k : j] for j, k in zip(ends.tolist(), n.tolist())]
+        order = sorted(range(len(h)), key=lambda k: (h[k], texts[k], d[k], p[k]))
+        # Windows of hot anchors may be equal.
+        lead: list[int] = []
+        copies = []
+        for k in order:
+            (copies if lead and h[k] == h[lead[-1]] and texts[k] == texts[lead[-1]] else lead).append(k)
+        spans = [(d[copies], p[copies], p[copies] + n[copies])] if copies else []
+        # An anchor with one text has nothing to compare; the others are packed to strings of bounded size.
+        lead = np.array(lead, np.int64)
+        name = np.cumsum(np.append(True, h[lead][1:] != h[lead][:-1])) - 1
+        lead = lead[np.bincount(name)[name] > 1]
+        cuts, total = [0], 0
+        for i, k in enumerate(lead):
+            total += int(n[k])
+            if total > STRING and i and h[k] != h[lead[i - 1]]:
+                cuts.append(i)
+                total = int(n[k])
+        for i, j in zip(cuts, [*cuts[1:], len(lead)]):
+            k = lead[i:j]
+            if len(k):
+                spans += _repeats(d[k], p[k], n[k], [texts[x] for x in k], size)
         d, a, e = (np.concatenate([x[i] for x in spans] or [np.zeros(0, np.int64)]) for i in range(3))
         return pd.DataFrame({"doc_id": d, "a": a, "e": e})
 
@@ -376,13 +386,14 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Documents (doc_id, text) with ``spans``: array of (a, e), byte ranges to remove, which may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = RANGES * max(4, texts.rdd.getNumPartitions())
-    lead = texts.filter("doc_id IS NOT NULL").mapInPandas(_anchors(ranges, min_bytes), "r int, kind int, h binary, d binary, n binary")
-    repeated = lead.groupBy("r").applyInPandas(_repeated, "doc_id long, anchor long, parts long")
-    named = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
-    rows = texts.join(named, "doc_id", "left").mapInPandas(
-        _segment_rows(ranges, min_bytes), "r int, h binary, d binary, p binary, len binary, text binary"
+    lead = texts.filter("doc_id IS NOT NULL").mapInPandas(_anchors(ranges, min_bytes), "r int, h binary, c binary, d binary, p binary, n binary")
+    resolved = saved(lead.groupBy("r").applyInPandas(_resolved(min_bytes), "doc_id long, a long, e long, anchor long, parts long"))
+    asked = resolved.filter("anchor IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "a", "e", "parts")).alias("asked"))
+    rows = texts.join(asked, "doc_id", "left").mapInPandas(
+        _fetched(ranges, min_bytes), "r int, h binary, d binary, p binary, len binary, text binary"
     )
     spans = rows.groupBy("r").applyInPandas(_compared(min_bytes), "doc_id long, a long, e long")
+    spans = spans.unionByName(resolved.filter("anchor IS NULL").select("doc_id", "a", "e"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     return texts.join(spans, "doc_id", "left")
 
