@@ -1,0 +1,135 @@
+"""The queries of the engine's own operators, with SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import navigation, store
+from ..operators.text_blocks import text_blocks, text_lines
+from ..plans import script
+from ..sources import html
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.build_sentences(script.zone_blocks(text_blocks(_table(spark, sf_dir, "documents"))))
+
+
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+def strip_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.strip_addresses(F.col("text")).alias("text"))
+
+
+def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text_lines(_table(spark, sf_dir, "documents"))
+    return lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(T.trimmed(F.col("line")) != "").alias("n_solid"), F.bool_or("wrapped").alias("wrapped")
+    )
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_blocks(_table(spark, sf_dir, "documents"))
+
+
+def block_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    reasons = T.noise_reasons(F.col("line"), F.lit("para"))
+    return docs.groupBy("doc_id").agg(*[F.count_if(test).alias(name) for name, test in reasons.items()])
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.zone_blocks(text_blocks(_table(spark, sf_dir, "documents")))
+
+
+def script_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir)
+
+
+def script_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.script_stats(_sentences(spark, sf_dir))
+
+
+def script_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.outline(script.zone_blocks(html.page_blocks(html.pages(_table(spark, sf_dir, "pages")))))
+
+
+def script_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.neighbours(_sentences(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the form of a script: user turns are the headings, short turns are skipped."""
+    c = _table(spark, sf_dir, "conversations")
+    return c.select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("i"), F.when(F.col("role") == "user", "heading").otherwise("para").alias("type"), "text",
+        (F.length("text") < 60).alias("skip"), F.col("text").alias("speak"),
+    )
+
+
+def next_playable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.neighbours(_turns(spark, sf_dir))
+
+
+def time_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.time_left(_turns(spark, sf_dir))
+
+
+def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ahead = navigation.look_ahead(_turns(spark, sf_dir))
+    return ahead.select("doc_id", "i", F.concat_ws(",", F.transform("ahead", lambda x: x.cast("string"))).alias("ahead"))
+
+
+def audio_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.audio_plan(_turns(spark, sf_dir))
+
+
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.pages(_table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_blocks(html.pages(_table(spark, sf_dir, "pages")))
+
+
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    return store.running_lines(docs, 0.002)
+
+
+def library_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    progress = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 40 + F.col("toxic") * 7).alias("index"), F.lit(100).alias("total"))
+    return store.library(docs, progress)
+
+
+def body_size_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_quantity").cast("long").alias("size"), F.col("l_extendedprice").cast("long").alias("chars")
+    )
+    return store.weighted_mode(lines, "doc_id", "size", "chars", "l_linenumber")
+
+
+def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest_progress(_table(spark, sf_dir, "events"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        normalize_text, strip_addresses, line_shape, blocks, block_noise, zones, script_sentences, script_stats, script_outline, script_neighbours,
+        next_playable, time_left, look_ahead, audio_plan, html_title, html_blocks, running_lines, library_view, body_size_mode, progress_latest,
+    )
+}

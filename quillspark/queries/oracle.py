@@ -1,0 +1,114 @@
+"""SQL for DuckDB that gives the rows of the queries."""
+
+from __future__ import annotations
+
+#: White space as scripts have it, spelled for a character class.
+S = r"\t\n\x0b\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _replaced(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern.replace('SP', S)}', '{to}', 'g')"
+
+
+def _trimmed(x: str) -> str:
+    return _replaced(x, "^[SP]+|[SP]+\\z")
+
+
+def _tidied(x: str) -> str:
+    for pattern, to in (
+        ("[SP]+([,;:.!?])", "\\1"), ("([(\\[])[SP]+", "\\1"), ("[SP]+([)\\]])", "\\1"), ("\\([SP]*\\)|\\[[SP]*\\]", ""),
+        ("([,;:])[SP]*([,;:.])", "\\2"), ("\\.{2,}", "."), ("[SP]{2,}", " "), ("^[SP]*[,;:][SP]*", ""),
+    ):
+        x = _replaced(x, pattern, to)
+    return _trimmed(x)
+
+
+def _normalized(x: str) -> str:
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        x = f"replace({x}, '{a}', '{b}')"
+    x = _replaced(x, "[\\x{00AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]")
+    x = _replaced(_replaced(_replaced(x, "[\\x{00A0}\\x{2007}\\x{202F}]", " "), "[‘’‛ʼ]", "''"), "[“”„″]", '"')
+    x = _replaced(_replaced(x, "…", "..."), "[‐‑−]", "-")
+    return _replaced(_trimmed(_replaced(x, "[SP]+", " ")), "[SP]+[–—][SP]+", ", ")
+
+
+_ADDRESSES = "coalesce(text, '')"
+for _p in (
+    "(?i)\\bdoi:?[SP]*10\\.\\d{4,9}/[^SP\"''<>]+", "(?i)\\b(?:https?://|www\\.)[^SP<>\"'']+", "(?i)\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b",
+):
+    _ADDRESSES = _replaced(_ADDRESSES, _p)
+
+_TURNS = """turns AS (SELECT conv_id AS doc_id, turn AS i, CASE WHEN role = 'user' THEN 'heading' ELSE 'para' END AS type, text,
+                  length(text) < 60 AS skip FROM conversations)"""
+
+ORACLE: dict[str, str] = {
+    # No letter of this table is followed by a spacing accent.
+    "normalize_text": f"SELECT doc_id, {_normalized("coalesce(text, '')")} AS text FROM documents",
+    "strip_addresses": f"SELECT doc_id, {_tidied(_ADDRESSES)} AS text FROM documents",
+    "line_shape": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), ' ', ' '), chr(10))) AS line FROM documents),
+        t AS (SELECT doc_id, line, length({_trimmed("line")}) AS n, length({_replaced("line", "[SP]+$")}) AS w FROM l),
+        m AS (SELECT doc_id, avg(w) AS mean, count(*) AS k FROM t WHERE n > 20 GROUP BY doc_id),
+        s AS (SELECT t.doc_id, count(*) FILTER (abs(w - mean) < mean * 0.22) / any_value(k) AS near,
+                     count(*) FILTER (NOT regexp_matches(line, '[.!?:;"'')\]][{S}]*$')) / any_value(k) AS free,
+                     any_value(k) AS k, any_value(mean) AS mean
+              FROM t JOIN m USING (doc_id) WHERE n > 20 GROUP BY t.doc_id)
+        SELECT t.doc_id, count(*) AS n_lines, count(*) FILTER (n > 0) AS n_solid,
+               coalesce(any_value(s.k >= 6 AND s.mean BETWEEN 40 AND 110 AND s.near > 0.55 AND s.free > 0.5), false) AS wrapped
+        FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id""",
+    "block_noise": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, {_trimmed("line")} AS t FROM l),
+        w AS (SELECT *, length(t) AS n, list_filter(string_split_regex(t, '[{S}]+'), lambda x: x <> '') AS w FROM t)
+        SELECT doc_id, count(*) FILTER (n < 3) AS short,
+          count(*) FILTER (regexp_matches(t, '^[\d{S}.,;:|/–—-]+$')) AS numbers,
+          count(*) FILTER (regexp_matches(t, '(?i)^(citation|published|copyright|received|accepted|submitted|revised|editor|academic[{S}]+editor|data[{S}]+availability|funding|competing[{S}]+interests?|conflicts?[{S}]+of[{S}]+interest|correspondence|reprints?|peer[{S}]+review|article[{S}]+history|keywords?|abbreviations?|orcid|how[{S}]+to[{S}]+cite|licen[cs]e)[{S}]*[:.]')) AS front_matter,
+          count(*) FILTER (n < 300 AND regexp_matches(t, '(?i)^(this[{S}]+article|open[{S}]+access|creative[{S}]+commons)\b')) AS licence,
+          count(*) FILTER (len(list_filter(range(1, n - 4), lambda i: t[i:i + 5] = repeat(t[i:i], 6))) > 0) AS repeated,
+          count(*) FILTER (NOT regexp_matches(t, '[aeiouyAEIOUY]')) AS no_vowel,
+          count(*) FILTER (n < 17 AND NOT regexp_matches(t, '[.!?:]$') AND NOT regexp_matches(t, '^[•\-–]')) AS fragment,
+          count(*) FILTER (n > 12 AND length(regexp_replace(t, '[^\d.,%]', '', 'g')) / n > 0.55) AS digits,
+          count(*) FILTER (n > 16 AND len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]{{2,}}[.,;:)]?$'))) / len(w) < 0.4) AS few_words,
+          count(*) FILTER (len(w) >= 3 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) = 1) AS one_word,
+          CAST(0 AS BIGINT) AS numbered_heading
+        FROM w GROUP BY doc_id""",
+    "next_playable": f"""
+        WITH {_TURNS}
+        SELECT doc_id, i,
+          min(CASE WHEN NOT skip THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_playable,
+          max(CASE WHEN NOT skip THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_playable,
+          min(CASE WHEN NOT skip AND type = 'heading' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_heading,
+          max(CASE WHEN NOT skip AND type = 'heading' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_heading
+        FROM turns""",
+    "time_left": f"""
+        WITH {_TURNS}, w AS (
+          SELECT doc_id, i, CAST(sum(CASE WHEN skip THEN 0 ELSE len(string_split(text, ' ')) END)
+                   OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS words_left FROM turns)
+        SELECT doc_id, i, words_left, CAST(floor(words_left / 165.0 + 0.5) AS BIGINT) AS minutes_left FROM w""",
+    "look_ahead": f"""
+        WITH {_TURNS}
+        SELECT doc_id, i, array_to_string(list(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), ',') AS ahead
+        FROM turns WHERE NOT skip""",
+    "html_title": rf"""
+        WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS a,
+                          url FROM pages),
+        e AS (SELECT page_id, replace(replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') AS a FROM t)
+        SELECT page_id, CASE WHEN trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) = '' THEN a
+                             ELSE trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) END AS title FROM e""",
+    "running_lines": """
+        WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT page, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS key FROM l),
+        n AS (SELECT count(DISTINCT page) AS n FROM l)
+        SELECT key, count(DISTINCT page) AS n_pages FROM k, n WHERE key <> '' GROUP BY key, n.n
+        HAVING count(DISTINCT page) >= greatest(2, ceil(0.002 * n.n))""",
+    "library_view": """
+        SELECT d.doc_id, d.lang, d.n_chars, CASE WHEN least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) > 0.5
+               THEN CAST(least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) AS DOUBLE) END AS percent
+        FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    "body_size_mode": """
+        WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS BIGINT) AS size, sum(CAST(trunc(l_extendedprice) AS BIGINT)) AS w, min(l_linenumber) AS f
+                   FROM lineitem GROUP BY ALL)
+        SELECT doc_id, size AS mode FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1""",
+    "progress_latest": """
+        SELECT user_id, arg_max(value, (ts, event_id)) AS position, max(ts) AS at, count(*) AS n_events FROM events GROUP BY user_id""",
+}
