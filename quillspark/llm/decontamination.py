@@ -167,7 +167,7 @@ def _rows(column: str, lengths: list[int], whole: bool, keep) -> object:
                     h, own, place, size, at = h[hit], own[hit], place[hit], size[hit], at[hit]
                 slots = [plain[a : a + n][token[a : a + n] <= UNIT].view(np.int64).tolist() for a, n in zip(at.tolist(), size.tolist())]
                 ids = part[column].to_numpy(object)[own] if len(own) else []
-                yield pd.DataFrame({"h": h.view(np.int64), column: pd.array(ids, "Int64"), "place": place, "k": size, "slots": slots})
+                yield pd.DataFrame({"h": h.view(np.int64), column: pd.array(ids, "Int64"), "place": place, "k": size, "slots": pd.Series(slots, dtype=object)})
 
     return emit
 

@@ -73,7 +73,7 @@ def statistics(texts: list) -> np.ndarray:
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        yield pd.DataFrame({"doc_id": rows["doc_id"], "x": list(statistics(rows["text"].to_list()))})
+        yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "x": pd.Series(list(statistics(rows["text"].to_list())), dtype=object)})
 
 
 def describe(docs: DataFrame) -> DataFrame:
