@@ -29,9 +29,12 @@ def trimmed(c: Column) -> Column:
     return _replace(_replace(c, r"^\s+"), r"\s+$")
 
 
-@F.pandas_udf("string")
-def _composed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _composed(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return compose(c)
 
 
 def refit_accents(c: Column) -> Column:

@@ -85,11 +85,11 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     begins = begins | ((F.col("kind") != "more") & F.lag(F.col("kind").isin("item", "more")).over(order))
     begins = begins & (F.col("kind") != "more")
     x = x.withColumn("block", F.sum(begins.cast("int")).over(so_far))
-    x = x.filter("kind <> 'break' AND NOT under")
+    x = x.withColumn("next", F.lead("t").over(order)).filter("kind <> 'break' AND NOT under")
     piece = F.when(F.col("kind") == "item", F.regexp_replace("t", ITEM, "• ")).when(F.col("kind") == "heading", F.regexp_extract("t", HEADING, 2)).otherwise(t)
     marks = F.length(F.regexp_extract("t", "^#+", 0))
     level = F.when(F.col("kind") == "heading", F.when(marks <= 2, 1).otherwise(2)).when(F.col("titled"), F.when(F.col("next").startswith("="), 1).otherwise(2)).when(F.col("kind") == "isolated", 2)
-    x = x.withColumn("next", F.lead("t").over(order)).withColumns(
+    x = x.withColumns(
         {
             "level": level, "piece": piece,
             "type": F.when(F.col("kind").isin("heading", "isolated") | F.col("titled"), "heading").when(F.col("kind") == "caption", "caption").otherwise("para"),
