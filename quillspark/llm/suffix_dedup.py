@@ -106,7 +106,8 @@ def segments(b: np.ndarray, size: int, starts: tuple | list = ()) -> tuple[np.nd
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * _POWER[: len(b)], out=total[1:])
     content = (total[last + size] - total[first]) * _INVERSE[first]
-    return h[anchor[first]], first, last, _mixed(content + (last - first).astype(np.uint64))
+    # Least hashes are small; mixed once more they spread over all ranges.
+    return _mixed(h[anchor[first]] + _MIX), first, last, _mixed(content + (last - first).astype(np.uint64))
 
 
 def _texts(data: list[bytes], size: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
@@ -144,13 +145,15 @@ def _packed(key: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int((int(key[at[0]]) >> 32) * ranges >> 32), at
 
 
-def _firsts(key: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the given columns, last one first, and where a new value of the first two begins in that order."""
-    order = np.lexsort(key[::-1])
-    a, b = key[0][order], key[1][order]
+def _firsts(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments by anchor and content, the earliest ones and the others. A repeated row is no other place."""
+    order = np.lexsort((p, d, c, h))
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, new
+    new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    lead = order[new]
+    first = lead[np.cumsum(new) - 1] if len(order) else order
+    elsewhere = (d[order] != d[first]) | (p[order] != p[first])
+    return lead, order[elsewhere]
 
 
 def _anchors(ranges: int, size: int):
@@ -166,8 +169,7 @@ def _anchors(ranges: int, size: int):
             h, first, last, content = (np.concatenate([x[i] for x in found]) for i in range(1, 5))
             doc = ids[np.repeat([x[0] for x in found], [len(x[1]) for x in found])]
             more = (last - first).astype(np.uint8)
-            order, new = _firsts((h, content, doc, first))
-            lead, copies = order[new], order[~new]
+            lead, copies = _firsts(h, content, doc, first)
             low = ((h * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
             first = first.astype(np.int32)
             out = []
@@ -190,8 +192,7 @@ def _resolved(size: int):
         copies, rows = rows[rows["h"].str.len() == 0], rows[rows["h"].str.len() > 0]
         types = {"h": np.uint32, "c": np.uint64, "d": np.int64, "p": np.int32, "n": np.uint8}
         h, c, d, p, n = (np.frombuffer(b"".join(rows[k]), t) for k, t in types.items())
-        order, new = _firsts((h, c, d, p))
-        gone, lead = order[~new], order[new]
+        lead, gone = _firsts(h, c, d, p)
         name = np.cumsum(np.append(True, h[lead][1:] != h[lead][:-1])) - 1 if len(lead) else np.zeros(0, np.int64)
         times = np.bincount(name)[name] if len(lead) else name
         ask, times = lead[times > 1], times[times > 1]
@@ -333,11 +334,14 @@ def _compared(size: int):
         body, ends = b"".join(rows["text"]), np.cumsum(n)
         texts = [body[j - k : j] for j, k in zip(ends.tolist(), n.tolist())]
         order = sorted(range(len(h)), key=lambda k: (h[k], texts[k], d[k], p[k]))
-        # Windows of hot anchors may be equal.
+        # Windows of hot anchors may be equal; a repeated row brings its own segments again.
         lead: list[int] = []
         copies = []
         for k in order:
-            (copies if lead and h[k] == h[lead[-1]] and texts[k] == texts[lead[-1]] else lead).append(k)
+            if not lead or h[k] != h[lead[-1]] or texts[k] != texts[lead[-1]]:
+                lead.append(k)
+            elif (d[k], p[k]) != (d[lead[-1]], p[lead[-1]]):
+                copies.append(k)
         spans = [(d[copies], p[copies], p[copies] + n[copies])] if copies else []
         # An anchor with one text has nothing to compare; the others are packed to strings of bounded size.
         lead = np.array(lead, np.int64)
