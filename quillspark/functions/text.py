@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SPACE, jvm
+from .patterns import SPACE, bind, jvm
 from .speech_rules import GENERAL, MEDICAL, ROMAN, STATS, SYMBOLS, UNITS
 
 #: Spacing accents and their combining forms.
@@ -84,7 +84,7 @@ def tidy(c: Column) -> Column:
 
 
 def strip_addresses(c: Column) -> Column:
-    return tidy(F.when(c.rlike("(?i)doi|http|www|@"), _without_addresses(c)).otherwise(c))
+    return tidy(bind(c, lambda x: F.when(x.rlike("(?i)doi|http|www|@"), _without_addresses(x)).otherwise(x)))
 
 
 def _without_addresses(c: Column) -> Column:
@@ -103,7 +103,10 @@ NAME = r"[A-Z][a-zA-ZÀ-ɏ'’-]{2,}"
 
 def looks_like_citation(inner: Column) -> Column:
     """Whether the inside of a parenthesis is an author and a year and little else."""
-    body = trimmed(_replace(inner, LEAD_WORDS, "", True))
+    return bind(trimmed(_replace(inner, LEAD_WORDS, "", True)), _is_citation)
+
+
+def _is_citation(body: Column) -> Column:
     words = F.split(body, jvm(r"\s+"), -1)
     prose = F.filter(words, lambda w: w.rlike(jvm(r"^[a-z]{3,}$")) & ~w.isin("and", "et", "al", "see", "in", "of", "the"))
     return (
@@ -114,16 +117,20 @@ def looks_like_citation(inner: Column) -> Column:
 
 
 def strip_citations(c: Column) -> Column:
-    return tidy(F.when(c.rlike(r"[\[(]"), _without_citations(c)).otherwise(c))
+    return tidy(bind(c, lambda x: F.when(x.rlike(r"[\[(]"), _without_citations(x)).otherwise(x)))
 
 
 def _without_citations(c: Column) -> Column:
     c = _replace(c, r"\[\s*\d{1,3}(?:\s*[–—,;-]\s*\d{1,3})*\s*\]", "")
     group = r"\(([^()]{2,180})\)"
-    gaps, found = F.split(c, group, -1), F.regexp_extract_all(c, F.lit(group), F.lit(0))
-    kept = F.transform(found, lambda m: F.when(looks_like_citation(F.substr(m, F.lit(2), F.length(m) - 2)), "").otherwise(m))
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    c = F.when(c.rlike(group), rebuilt).otherwise(c)
+
+    def rebuilt(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(group), F.lit(0))
+        kept = F.transform(found, lambda m: F.when(looks_like_citation(F.substr(m, F.lit(2), F.length(m) - 2)), "").otherwise(m))
+        gaps = F.split(x, group, -1)
+        return bind(kept, lambda k: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(k, i), F.lit("")))), ""))
+
+    c = bind(c, lambda x: F.when(x.rlike(group), rebuilt(x)).otherwise(x))
     tail = r",\s*(?:see\s+)?[A-Z][\w'’-]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][\w'’-]+))?,?\s*\((?:1[5-9]|20)\d{2}\)\s*(?=[.;]|$)"
     return _replace(c, tail, "")
 
@@ -139,7 +146,7 @@ NOTATION = (
 def expand_for_speech(c: Column, full: bool = True) -> Column:
     """Rewrite notation as words; ``full`` false takes the symbols only."""
     spaced = lambda x: trimmed(_replace(_replace(x, r"\s{2,}", " "), r"\s+([,;:.!?])", "$1"))
-    return spaced(F.when(c.rlike(NOTATION), _rewritten(c, full)).otherwise(c))
+    return spaced(bind(c, lambda x: F.when(x.rlike(NOTATION), _rewritten(x, full)).otherwise(x)))
 
 
 def _rewritten(c: Column, full: bool) -> Column:
@@ -197,7 +204,7 @@ def is_acronym_soup(c: Column) -> Column:
 
 def is_speakable(c: Column) -> Column:
     words = F.regexp_extract_all(c, F.lit("[A-Za-zÀ-ɏ]{2,}"), F.lit(0))
-    return (F.length(F.array_join(words, "")) >= 4) & ((F.size(words) >= 2) | (F.length(F.element_at(words, 1)) >= 4))
+    return bind(words, lambda w: (F.length(F.array_join(w, "")) >= 4) & ((F.size(w) >= 2) | (F.length(F.get(w, 0)) >= 4)))
 
 
 def looks_like_reference(c: Column) -> Column:
