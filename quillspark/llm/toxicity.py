@@ -152,16 +152,16 @@ def _inputs(net: Net, rows: np.ndarray) -> dict[str, np.ndarray]:
     return {d: np.concatenate([x @ net[f"W{d}"] + net[f"b{d}"], net[f"b{d}"][None]]).astype(np.float32) for d in "fb"}
 
 
-def _window_scores(net: Net, rows: np.ndarray) -> np.ndarray:
-    """Scores of windows given by the table rows of their words (windows, WINDOW, 5)."""
-    out = np.empty(len(rows))
-    for i in range(0, len(rows), 2048):
-        part = rows[i : i + 2048]
+def _window_scores(net: Net, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Scores of the chosen windows, given by the table rows of their words (windows, WINDOW, 5)."""
+    out = np.empty(len(chosen))
+    for i in range(0, len(chosen), 1024):
+        part = rows[chosen[i : i + 1024]]
         n = part.shape[0] * WINDOW
         word = np.arange(n).reshape(-1, WINDOW).T
         mask = (part[..., 0] >= 0).T
         word = np.where(mask, word, n)
-        out[i : i + 2048] = _pool(net, _hidden(net, _inputs(net, part.reshape(n, 5)), word), mask)[2]
+        out[i : i + 1024] = _pool(net, _hidden(net, _inputs(net, part.reshape(n, 5)), word), mask)[2]
     return out
 
 
@@ -204,7 +204,7 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
     label = windows["toxic"].to_numpy(np.int64)
     if len(set(label.tolist())) < 2:
         return None
-    rows = np.frombuffer(b"".join(windows["rows"]), np.int32).reshape(-1, WINDOW, 5)
+    rows = np.frombuffer(b"".join(windows.pop("rows")), np.int32).reshape(-1, WINDOW, 5)
     names, doc = np.unique(windows["doc_id"].to_numpy(np.int64), return_inverse=True)
     # Every fourth document of a class is kept for calibration, if there are enough.
     y = np.zeros(len(names), np.int64)
@@ -216,9 +216,12 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
     own = ~apart[doc]
     net, rng = new_net(seed), np.random.default_rng(seed)
     # What few documents hold can only be learnt by heart.
-    used = rows[own].reshape(own.sum(), -1)
-    pairs = np.unique((np.repeat(doc[own], used.shape[1]) * TABLE + used.ravel())[used.ravel() >= 0])
-    known = (np.bincount(pairs % TABLE, minlength=TABLE) >= SEEN)[:, None].astype(np.float32)
+    seen = np.zeros(TABLE, np.int64)
+    at_own = np.flatnonzero(own)
+    for part in np.split(at_own, np.flatnonzero(np.diff(doc[at_own])) + 1):
+        used = np.unique(rows[part])
+        seen[used[used >= 0]] += 1
+    known = (seen >= SEEN)[:, None].astype(np.float32)
     net["E"] *= known
     m, s = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     bad, good = np.flatnonzero(own & (label == 1)), np.flatnonzero(own & (label == 0))
@@ -227,7 +230,7 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
         pool = [bad, good, good]
         if n:
             score = np.zeros(len(doc))
-            score[own] = _window_scores(net, rows[own])
+            score[own] = _window_scores(net, rows, at_own)
             place = np.flatnonzero(own)[_worst(score[own], doc[own])]
             most = np.ones(len(names))
             most[doc[place]] = score[place]
@@ -245,7 +248,7 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
                 net[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     held = np.flatnonzero(apart[doc]) if apart.any() else np.arange(len(doc))
     name, own = np.unique(doc[held], return_inverse=True)
-    raw, c = _overall(_window_scores(net, rows[held]), own, len(name)), y[name]
+    raw, c = _overall(_window_scores(net, rows, held), own, len(name)), y[name]
     net["calibration"] = _calibrated(raw, c.astype(float), np.where(c == 1, weights[1], weights[0]))
     return net
 
@@ -295,8 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Net | None:
     chosen = sample(known, "toxic", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     windows = rows.mapInPandas(_windows, "doc_id long, first long, rows binary, toxic int").toPandas()
-    weights = {c: max(1.0, n / most) for c, n in counts.items()}
-    return train(windows.sort_values(["doc_id", "first"], kind="stable"), weights)
+    windows = windows.sort_values(["doc_id", "first"], kind="stable")
+    return train(windows, {c: max(1.0, n / most) for c, n in counts.items()})
 
 
 def score(docs: DataFrame, net: Net | None, threshold: float = 0.7) -> DataFrame:
