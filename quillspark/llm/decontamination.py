@@ -188,7 +188,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         keep = spark.sparkContext.broadcast(np.sort(known.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.mapInPandas(_rows("doc_id", lengths, False, keep), "h long, doc_id long, place long, k long, slots array<long>")
-    hits = found.withColumnRenamed("slots", "doc_slots").drop("place", "k").join(known, "h")
+    # Only windows that match are written; two aggregations read them.
+    hits = saved(found.withColumnRenamed("slots", "doc_slots").drop("place", "k").join(known, "h"))
     pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_matched"))
     values = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "doc_slots")).alias("v"))
     values = values.groupBy("doc_id", "item_id").agg(
