@@ -363,13 +363,11 @@ def classes(docs: DataFrame) -> DataFrame:
     known = sets.select("doc_id", "size", "digest").join(named, ["digest", "size"], "left")
     known = saved(known.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
 
-    able = sets.filter("shared IS NOT NULL").select("doc_id", "size", "shared")
+    # One set of each class goes on, under the class's name.
+    able = sets.filter("shared IS NOT NULL").select("doc_id", "size", "shared").join(known.select("doc_id", "class_id"), "doc_id")
+    able = saved(able.dropDuplicates(["class_id"]).select(F.col("class_id").alias("doc_id"), "size", "shared"))
     stars = able.mapInPandas(_prefixes(ranges), "r int, h binary, d binary, k binary")
     stars = stars.groupBy("r").applyInPandas(_stars, "a long, b long").distinct()
-    ids = known.filter("n_shingles > 0 AND doc_id <> class_id").select("doc_id", "class_id").distinct()
-    for side in ("a", "b"):
-        to = ids.select(F.col("doc_id").alias(side), F.col("class_id").alias("to"))
-        stars = stars.join(to, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
     groups = components(stars)
 
     # Groups of many sets are cut to blocks; a set then goes with every pair of blocks that its own is in.
@@ -380,7 +378,7 @@ def classes(docs: DataFrame) -> DataFrame:
         lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")),
     )
     members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.explode(parts).alias("part"))
-    links = able.dropDuplicates(["doc_id"]).join(members, "doc_id").groupBy("component", "part").applyInPandas(
+    links = able.join(members, "doc_id").groupBy("component", "part").applyInPandas(
         _group_links, "a long, b long"
     )
     joined = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
