@@ -16,7 +16,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     path. Labels are written each round, in the shared folder; only a count reaches the driver.
     """
     edges = edges.filter("a <> b")
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # Both directions come from one row: edges computed twice might differ, as between equal sets any may stand for all.
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(edges.select(F.explode(turned).alias("e")).select("e.a", "e.b").distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b")

@@ -338,6 +338,7 @@ def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> lis
 
 
 def _group_links(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("doc_id")  # the same links whatever order the rows arrive in
     sets = [np.frombuffer(x, np.uint64) for x in rows["shared"]]
     links = trie_links(sets, rows["size"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)) if len(sets) > 1 else []
     return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)

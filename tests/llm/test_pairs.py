@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillspark.llm import decontamination, ngram_join, suffix_dedup
@@ -156,3 +157,26 @@ def test_decontamination_on_the_tables(spark, name):
     flat = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if flat(i.text) in flat(d.text)}
     assert want <= {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+
+
+def test_components_of_edges_that_change(spark):
+    """Each evaluation of these edges gives another tree; all connect the same nodes."""
+
+    def tree(batches):
+        for rows in batches:
+            a = rows["id"].to_numpy()
+            yield pd.DataFrame({"a": a, "b": np.random.default_rng().integers(0, a)})
+
+    edges = spark.range(1, 400).mapInPandas(tree, "a long, b long")
+    got = components(edges).collect()
+    assert len(got) == 400 and {r.component for r in got} == {0}
+
+
+def test_links_in_any_order():
+    """Sets with the same shared shingles, some with more of their own; rows may arrive in any order."""
+    shared = [np.arange(12, dtype=np.uint64).tobytes(), np.arange(1, 13, dtype=np.uint64).tobytes()]
+    rows = pd.DataFrame([(i, 12 + i % 3, shared[i % 2]) for i in range(30)], columns=["doc_id", "size", "shared"])
+    want = ngram_join._group_links(rows)
+    assert len(want) == 29
+    for seed in range(5):
+        assert ngram_join._group_links(rows.sample(frac=1, random_state=seed)).equals(want)
