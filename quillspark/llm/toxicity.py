@@ -2,13 +2,12 @@
 
 A word's input is the sum of hashed embeddings of the word and of its characters (its prefixes and suffixes of two to five
 letters), so that inflected and unseen words share evidence. Windows of WINDOW words, one every STRIDE, cover the whole
-text; a document's score is that of its worst windows. The network runs over thousands of windows at a time, one step for
+text; a document's score is that of its ADJACENT worst windows in a row, however long it is. The network runs over thousands of windows at a time, one step for
 each place in the window; the projections of a word's input are computed once for each different word of a batch.
 
-Training takes at most ``most`` labelled documents of each class, chosen by a hash of their id, and at most WINDOWS windows
-of each. A toxic document needs only one toxic window: after a first pass over all windows, each round trains on the worst
-windows of toxic documents, and on the worst and some other windows of clean ones. A quarter of the documents is kept apart
-to turn the worst windows' score into a probability (logistic calibration, weighted by the classes' frequencies).
+Training takes at most ``most`` labelled documents of each class, chosen by a hash of their id, with all their windows. A toxic document needs only one toxic window: after a first pass over all windows, each round trains on the worst
+windows of toxic documents, and on the worst and some other windows of clean ones. Windows are drawn
+document by document, so a long text weighs no more than a short one. A quarter of the documents is kept apart to turn the worst windows' score into a probability (logistic calibration, weighted by the classes' frequencies).
 
 Defined results: a null, empty or blank text has no window and score 0; texts in any script are words by white space;
 repeated rows get equal scores; extra columns are ignored; with no labelled rows of one of the classes every score is 0.
@@ -29,10 +28,10 @@ from .labels import fold, sample
 
 WINDOW, STRIDE = 32, 16
 TABLE, DIM, HIDDEN = 1 << 16, 8, 8
-#: A document's score is the mean logit of its worst windows: this share of them, one at least.
-TOP = 8
-#: Labelled documents of each class, and windows of each, that training takes at most.
-MOST, WINDOWS = 1500, 32
+#: A document's score is the highest mean logit of so many windows in a row; a text of fewer counts with all of them.
+ADJACENT = 2
+#: Labelled documents of each class that training takes at most.
+MOST = 1500
 ROUNDS, STEPS, BATCH = 8, 120, 128
 #: Documents in which a feature must occur for its embedding to be trained; all others stay zero.
 SEEN = 3
@@ -55,6 +54,10 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "replace")) % TABLE for p in parts]
 
 
+def words_of(text: str | None) -> list[str]:
+    return text.lower().split() if isinstance(text, str) else []
+
+
 def starts(n: int) -> range | list[int]:
     """First words of the windows of a text of ``n`` words; the last window ends with the text."""
     if n <= WINDOW:
@@ -152,16 +155,31 @@ def _inputs(net: Net, rows: np.ndarray) -> dict[str, np.ndarray]:
     return {d: np.concatenate([x @ net[f"W{d}"] + net[f"b{d}"], net[f"b{d}"][None]]).astype(np.float32) for d in "fb"}
 
 
-def _window_scores(net: Net, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Scores of the chosen windows, given by the table rows of their words (windows, WINDOW, 5)."""
-    out = np.empty(len(chosen))
-    for i in range(0, len(chosen), 1024):
-        part = rows[chosen[i : i + 1024]]
-        n = part.shape[0] * WINDOW
-        word = np.arange(n).reshape(-1, WINDOW).T
-        mask = (part[..., 0] >= 0).T
-        word = np.where(mask, word, n)
-        out[i : i + 1024] = _pool(net, _hidden(net, _inputs(net, part.reshape(n, 5)), word), mask)[2]
+def _read(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Table rows of the different words, and the word at each place of the joined texts; for each window its first place,
+    the end of its text and the number of its text."""
+    vocab: dict[str, int] = {}
+    words = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
+    flat = np.concatenate([*words, np.full(WINDOW, len(vocab), np.int32)])
+    base = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    own = [np.array(starts(len(w)), np.int64) for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(x) for x in own])
+    first = np.concatenate([np.zeros(0, np.int64), *own]) + base[owner]
+    return _table(list(vocab)), flat, first, base[owner + 1], owner
+
+
+def _places(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (steps, windows) of the windows' words in the joined texts, and which of them lie in their text."""
+    place = first[None] + np.arange(WINDOW)[:, None]
+    return place, place < end
+
+
+def _window_scores(net: Net, inputs: dict[str, np.ndarray], flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(first))
+    for i in range(0, len(first), 2048):
+        place, mask = _places(first[i : i + 2048], end[i : i + 2048])
+        word = np.where(mask, flat[place], len(inputs["f"]) - 1)
+        out[i : i + 2048] = _pool(net, _hidden(net, inputs, word), mask)[2]
     return out
 
 
@@ -172,12 +190,16 @@ def _worst(score: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _overall(score: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Mean logit of the worst windows of each of ``n`` documents; 0 for one without windows."""
-    order = np.lexsort((score, doc))
-    cuts = np.searchsorted(doc[order], np.arange(n + 1))
-    total = np.concatenate([[0], np.cumsum(_logit(score[order]))])
-    k = np.maximum(-(-np.diff(cuts) // TOP), 1)
-    return (total[cuts[1:]] - total[np.maximum(cuts[1:] - k, cuts[:-1])]) / k
+    """Highest mean logit of ADJACENT windows in a row of each of ``n`` documents, whose windows stand in order; 0 for one without windows."""
+    total = np.concatenate([[0], np.cumsum(_logit(score))])
+    cuts = np.searchsorted(doc, np.arange(n + 1))
+    k = np.minimum(np.diff(cuts), ADJACENT)
+    out = np.full(n, -np.inf)
+    at = np.arange(len(doc))
+    at = at[at + k[doc] <= cuts[doc + 1]]
+    own = doc[at]
+    np.maximum.at(out, own, (total[at + k[own]] - total[at]) / k[own])
+    return np.where(k > 0, out, 0.0)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -196,22 +218,30 @@ def _calibrated(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
     return beta if beta[0] > 0 else np.array([1.0, 0.0])
 
 
-def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Net | None:
-    """Fit the network to windows: doc_id, ``rows`` (table rows of their words, as bytes), ``toxic`` (0 or 1).
+def _drawn(rng: np.random.Generator, pool: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """``k`` windows of a pool: a document by chance, then one of its windows (windows of a document stand together)."""
+    cuts = np.append(np.flatnonzero(np.append(True, doc[pool][1:] != doc[pool][:-1])), len(pool))
+    at = rng.integers(0, len(cuts) - 1, k)
+    return pool[rng.integers(cuts[at], cuts[at + 1])]
+
+
+def train(texts: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Net | None:
+    """Fit the network to whole texts: doc_id, text, toxic (0 or 1).
 
     ``weights``: how many documents each sampled one of a class stands for.
     """
-    label = windows["toxic"].to_numpy(np.int64)
+    texts = texts.sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["doc_id", "text"])
+    table, flat, first, end, owner = _read(texts["text"].to_list())
+    has, doc = np.unique(owner, return_inverse=True)
+    y = texts["toxic"].to_numpy(np.int64)[has]
+    label = y[doc]
     if len(set(label.tolist())) < 2:
         return None
-    rows = np.frombuffer(b"".join(windows.pop("rows")), np.int32).reshape(-1, WINDOW, 5)
-    names, doc = np.unique(windows["doc_id"].to_numpy(np.int64), return_inverse=True)
+    names = texts["doc_id"].to_numpy(np.int64)[has]
     # Every fourth document of a class is kept for calibration, if there are enough.
-    y = np.zeros(len(names), np.int64)
-    y[doc] = label
     rank = np.zeros(len(names), np.int64)
     for c in (0, 1):
-        rank[y == c] = np.arange((y == c).sum())
+        rank[y == c] = np.unique(names[y == c], return_inverse=True)[1]
     apart = (rank % 4 == 3) if min((y == 0).sum(), (y == 1).sum()) >= 80 else np.zeros(len(names), bool)
     own = ~apart[doc]
     net, rng = new_net(seed), np.random.default_rng(seed)
@@ -219,7 +249,8 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
     seen = np.zeros(TABLE, np.int64)
     at_own = np.flatnonzero(own)
     for part in np.split(at_own, np.flatnonzero(np.diff(doc[at_own])) + 1):
-        used = np.unique(rows[part])
+        place, mask = _places(first[part], end[part])
+        used = np.unique(table[np.unique(flat[place[mask]])])
         seen[used[used >= 0]] += 1
     known = (seen >= SEEN)[:, None].astype(np.float32)
     net["E"] *= known
@@ -230,16 +261,17 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
         pool = [bad, good, good]
         if n:
             score = np.zeros(len(doc))
-            score[own] = _window_scores(net, rows, at_own)
+            score[own] = _window_scores(net, _inputs(net, table), flat, first[own], end[own])
             place = np.flatnonzero(own)[_worst(score[own], doc[own])]
             most = np.ones(len(names))
             most[doc[place]] = score[place]
             pool = [bad[score[bad] >= NEAR * most[doc[bad]]], place[label[place] == 0], good]
         for _ in range(STEPS):
             step += 1
-            at = np.concatenate([rng.choice(g, k) for g, k in zip(pool, (BATCH // 2, BATCH // 4, BATCH // 4))])
-            part = rows[at].transpose(1, 0, 2)
-            g = _gradients(net, part, part[..., 0] >= 0, label[at].astype(np.float32))
+            at = np.concatenate([_drawn(rng, g, doc, k) for g, k in zip(pool, (BATCH // 2, BATCH // 4, BATCH // 4))])
+            place, mask = _places(first[at], end[at])
+            part = np.where(mask[..., None], table[np.where(mask, flat[place], 0)], -1)
+            g = _gradients(net, part, mask, label[at].astype(np.float32))
             g["E"] = (g["E"] + DECAY * net["E"]) * known
             rate = RATE * (1 - 0.9 * step / steps)
             for k in net:
@@ -248,47 +280,18 @@ def train(windows: pd.DataFrame, weights: dict[int, float], seed: int = 6) -> Ne
                 net[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     held = np.flatnonzero(apart[doc]) if apart.any() else np.arange(len(doc))
     name, own = np.unique(doc[held], return_inverse=True)
-    raw, c = _overall(_window_scores(net, rows, held), own, len(name)), y[name]
+    raw, c = _overall(_window_scores(net, _inputs(net, table), flat, first[held], end[held]), own, len(name)), y[name]
     net["calibration"] = _calibrated(raw, c.astype(float), np.where(c == 1, weights[1], weights[0]))
     return net
 
 
 def score_texts(net: Net, texts: list) -> np.ndarray:
     """Score of each text: that of its worst windows."""
-    vocab: dict[str, int] = {}
-    words = [[vocab.setdefault(w, len(vocab)) for w in t.lower().split()] if isinstance(t, str) else [] for t in texts]
-    inputs = _inputs(net, _table(list(vocab)))
-    flat = np.concatenate([np.array(w, np.int64) for w in words] + [np.full(WINDOW, len(vocab))])
-    base = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    first = [base[i] + s for i, w in enumerate(words) for s in starts(len(w))]
-    owner = [i for i, w in enumerate(words) for _ in starts(len(w))]
-    first, owner = np.array(first, np.int64), np.array(owner, np.int64)
-    found = np.zeros(len(first))
-    for i in range(0, len(first), 2048):
-        at, own = first[i : i + 2048], owner[i : i + 2048]
-        place = at[None] + np.arange(WINDOW)[:, None]
-        mask = place < base[own + 1]
-        word = np.where(mask, flat[place], len(vocab))
-        found[i : i + 2048] = _pool(net, _hidden(net, inputs, word), mask)[2]
+    table, flat, first, end, owner = _read(texts)
+    raw = _overall(_window_scores(net, _inputs(net, table), flat, first, end), owner, len(texts))
     slope, offset = net["calibration"]
-    raw = _overall(found, owner, len(texts))
-    return np.where(base[1:] > base[:-1], 1 / (1 + np.exp(-np.clip(slope * raw + offset, -50, 50))), 0.0)
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for doc_id, text, toxic in zip(rows["doc_id"], rows["text"], rows["toxic"]):
-            words = text.lower().split() if isinstance(text, str) else []
-            own = np.array(list(starts(len(words))))
-            if len(own) > WINDOWS:
-                own = np.sort(np.random.default_rng(doc_id & 0x7FFFFFFF).choice(own, WINDOWS, replace=False))
-            for i in own.tolist():
-                part = np.full((WINDOW, 5), -1, np.int32)
-                t = _table(words[i : i + WINDOW])
-                part[: len(t)] = t
-                out.append((doc_id, i, part.tobytes(), toxic))
-        yield pd.DataFrame(out, columns=["doc_id", "first", "rows", "toxic"])
+    read = np.bincount(owner, minlength=len(texts)) > 0
+    return np.where(read, 1 / (1 + np.exp(-np.clip(slope * raw + offset, -50, 50))), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Net | None:
@@ -297,9 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Net | None:
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = sample(known, "toxic", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    windows = rows.mapInPandas(_windows, "doc_id long, first long, rows binary, toxic int").toPandas()
-    windows = windows.sort_values(["doc_id", "first"], kind="stable")
-    return train(windows, {c: max(1.0, n / most) for c, n in counts.items()})
+    texts = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toPandas()
+    return train(texts, {c: max(1.0, n / most) for c, n in counts.items()})
 
 
 def score(docs: DataFrame, net: Net | None, threshold: float = 0.7) -> DataFrame:

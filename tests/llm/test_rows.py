@@ -201,6 +201,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(cases.documents(spark), toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def toxic_net():
+    """A network that knows texts with one passage of bad words in clean text of 40 to 3,000 words."""
+    rows = []
+    for k in range(240):
+        w = cases.prose(k, 3000 if k % 40 < 2 else 40 + k * 7 % 300).split()
+        at = k * 13 % len(w)
+        rows.append((k, " ".join(w[:at] + BAD.split() * (k % 2) + w[at:]), k % 2))
+    return toxicity.train(pd.DataFrame(rows, columns=["doc_id", "text", "toxic"]), {0: 1.0, 1: 1.0})
+
+
+BAD = " ".join(["you vile grukk and filthy zabbo go away"] * 6)
+
+
+def test_toxic_passage_in_a_long_text():
+    net = toxic_net()
+    for n in (400, 2000, 20000):
+        clean = cases.prose(9000 + n, n).split()
+        planted = [" ".join(clean[:at] + BAD.split() + clean[at:]) for at in (0, n // 2 + 5, n)]
+        got = toxicity.score_texts(net, [" ".join(clean), *planted])
+        assert got[0] < 0.7 and (got[1:] >= 0.7).all(), (n, got)
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op8_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").toPandas()
     held = got[got["held_out"]]
