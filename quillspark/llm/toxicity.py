@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word's input is the sum of hashed embeddings of the word and of its characters (its prefixes and suffixes of two to five
-letters), so that inflected and unseen words share evidence. Windows of WINDOW words, one every STRIDE, cover the whole
+Words are runs of letters and digits, wherever they stand ('you/moron' is two), in pieces of LONGEST characters; scripts
+without spaces give a word for each character, and signs count where they stand alone. A word's input is the sum of hashed
+embeddings of the word and of its characters (its ends of three and five and each GRAM characters within), so that
+inflected, unseen and hidden words share evidence. Windows of WINDOW words, one every STRIDE, cover the whole
 text; a document's score is that of its ADJACENT worst windows in a row, however long it is. The network runs over thousands of windows at a time, one step for
 each place in the window; the projections of a word's input are computed once for each different word of a batch.
 
@@ -9,7 +11,7 @@ Training takes at most ``most`` labelled documents of each class, chosen by a ha
 windows of toxic documents, and on the worst and some other windows of clean ones. Windows are drawn
 document by document, so a long text weighs no more than a short one. A quarter of the documents is kept apart to turn the worst windows' score into a probability (logistic calibration, weighted by the classes' frequencies).
 
-Defined results: a null, empty or blank text has no window and score 0; texts in any script are words by white space;
+Defined results: a null, empty or blank text has no window and score 0; texts in any script have words;
 repeated rows get equal scores; extra columns are ignored; with no labelled rows of one of the classes every score is 0.
 """
 
@@ -39,23 +41,29 @@ SEEN = 3
 DECAY = 1e-2
 #: First learning rate. Windows of a toxic document that score this share of its worst one are taken for toxic.
 RATE, NEAR = 0.01, 0.7
-LETTERS = re.compile(r"[^\W_]+")
+#: Characters of a word at most, and of the pieces within it; features of a word at most.
+LONGEST, GRAM = 16, 4
+FEATURES = 5 + LONGEST - GRAM + 1
+#: Scripts without spaces, and those whose vowel signs are no letters to the pattern language.
+SPACELESS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+MARKED = "\u0300-\u036f\u0591-\u05bd\u05d0-\u05ea\u0610-\u061a\u0620-\u0669\u066e-\u06d3\u0900-\u0963\u0966-\u0dff"
+WORDS = re.compile(rf"[{SPACELESS}]|[{MARKED}]{{1,{LONGEST}}}|[^\W_{SPACELESS}{MARKED}]{{1,{LONGEST}}}|(?<!\S)(?:[^\w\s{SPACELESS}{MARKED}]|_)++(?!\S)")
 Net = dict[str, np.ndarray]
 
 
-def features(word: str) -> list[int]:
-    """Rows of the embedding table for a word: itself and the ends of its letters."""
-    m = LETTERS.search(word)
-    w = m.group().lower() if m else word
+def features(w: str) -> list[int]:
+    """Rows of the embedding table for a word: itself, its ends and its inner pieces."""
     parts = ["=" + w]
     for n in (3, 5):
         if len(w) > n:
             parts += ["^" + w[:n], "$" + w[-n:]]
+    if len(w) > GRAM:
+        parts += [w[i : i + GRAM] for i in range(min(len(w), LONGEST) - GRAM + 1)]
     return [zlib.crc32(p.encode("utf-8", "replace")) % TABLE for p in parts]
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if isinstance(text, str) else []
+    return WORDS.findall(text.lower()) if isinstance(text, str) else []
 
 
 def starts(n: int) -> range | list[int]:
@@ -133,12 +141,14 @@ def _gradients(net: Net, rows: np.ndarray, mask: np.ndarray, y: np.ndarray) -> N
             back = back * (1 - z) + drh * r + dg[:, : 2 * k] @ u[:, : 2 * k].T
     dx *= mask[..., None]
     ok = rows >= 0
-    np.add.at(g["E"], rows[ok], np.broadcast_to(dx[:, :, None], (*rows.shape, DIM))[ok])
+    word = np.nonzero(ok)
+    for i in range(DIM):
+        g["E"][:, i] = np.bincount(rows[ok], dx[word[0], word[1], i], len(net["E"]))
     return g
 
 
 def _table(words: list[str]) -> np.ndarray:
-    out = np.full((len(words), 5), -1, np.int32)
+    out = np.full((len(words), FEATURES), -1, np.int32)
     for i, w in enumerate(words):
         f = features(w)
         out[i, : len(f)] = f
@@ -151,7 +161,10 @@ def _hidden(net: Net, inputs: dict[str, np.ndarray], word: np.ndarray) -> np.nda
 
 def _inputs(net: Net, rows: np.ndarray) -> dict[str, np.ndarray]:
     """Projected inputs of words given by their table rows; one more for the places that a short text leaves empty."""
-    x = np.where(rows[..., None] >= 0, net["E"][rows], 0).sum(1) if len(rows) else np.zeros((0, DIM), np.float32)
+    x = np.zeros((len(rows), DIM), np.float32)
+    for i in range(0, len(rows), 4096):
+        part = rows[i : i + 4096]
+        x[i : i + 4096] = np.where(part[..., None] >= 0, net["E"][part], 0).sum(1)
     return {d: np.concatenate([x @ net[f"W{d}"] + net[f"b{d}"], net[f"b{d}"][None]]).astype(np.float32) for d in "fb"}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -201,6 +202,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(cases.documents(spark), toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+@functools.cache
 def toxic_net():
     """A network that knows texts with one passage of bad words in clean text of 40 to 3,000 words."""
     rows = []
@@ -223,6 +225,17 @@ def test_toxic_passage_in_a_long_text():
         assert got[0] < 0.7 and (got[1:] >= 0.7).all(), (n, got)
 
 
+def test_toxicity_reads_every_letter():
+    texts = ["well-idiot you/moron ok...scum a_b", "这是一个句子，没有空格。好", "नमस्ते दुनिया", "x" * 40, "ไทยวันนี้", "Ünï", "12+7=19", "مرحبا"]
+    for t in texts:
+        assert "".join(re.findall(r"[^\W_]", "".join(toxicity.words_of(t)))) == "".join(re.findall(r"[^\W_]", t.lower()))
+    a, b = (set(toxicity.features("abcde" + w + "uvwxyz")) for w in ("vile", "kind"))
+    assert set(toxicity.features("vile")) - a and len(a - b) > 3
+    net, clean = toxic_net(), cases.prose(77, 300)
+    got = toxicity.score_texts(net, [clean, clean.replace(" ", "."), *(clean + " " + BAD.replace(" ", sign) for sign in "._/-")])
+    assert (got[:2] < 0.7).all() and (got[2:] >= 0.7).all(), got
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op8_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").toPandas()
     held = got[got["held_out"]]
