@@ -3,8 +3,11 @@
 Texts become tokens (runs of letters and digits, without case). Numbers, names (capitalised words inside a sentence) and
 units after a number become typed placeholders. Windows of WINDOW tokens with enough literal ones are hashed and joined
 to those of the benchmark; so a question is found again when its numbers, names and units were exchanged. The values that
-a match puts in the slots are then compared: within a document and an item, an item's value should always meet one value
-of the document. An item is reported for a document if enough of its windows match and the slots agree.
+a match puts in the slots are then compared: an item's value should always meet one value of the document. Both are judged
+for each place where an item occurs: for the matches of one alignment (place in the document less place in the item), of
+alignments that follow each other within GAP tokens (values of more or fewer tokens), and of the whole document (an item
+that is scattered over it). An item is reported for a document if in any of these enough of its windows match and the
+slots agree.
 
 Items of fewer than WINDOW tokens (MIN_WINDOW at least) are one window of their own length.
 
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -26,6 +30,8 @@ from .common import saved
 WINDOW, MIN_WINDOW, LITERALS = 8, 5, 4
 #: Reported from this share of an item's windows or this many windows, and this share of slots in agreement.
 COVERED, WINDOWS, AGREED = 0.3, 16, 0.7
+#: Alignments this close belong to one occurrence.
+GAP = 4
 #: Benchmark windows up to which every task tests membership before the join (8 bytes each).
 SMALL = 1_000_000
 BLOCK = 512 << 10
@@ -174,7 +180,7 @@ def _rows(column: str, lengths: list[int], whole: bool, keep) -> object:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document and item with a common window: doc_id, item_id, n_windows (of the item), n_matched, n_slots (different
-    pairs of slot values), n_conflicts, contaminated."""
+    pairs of slot values), n_conflicts, contaminated; the counts are those of the occurrence that tells most."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     lengths = list(range(MIN_WINDOW, WINDOW + 1))
@@ -188,22 +194,29 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         keep = spark.sparkContext.broadcast(np.sort(known.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.mapInPandas(_rows("doc_id", lengths, False, keep), "h long, doc_id long, place long, k long, slots array<long>")
-    # Only windows that match are written; two aggregations read them.
-    hits = saved(found.withColumnRenamed("slots", "doc_slots").drop("place", "k").join(known, "h"))
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_matched"))
-    values = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "doc_slots")).alias("v"))
-    values = values.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("v.slots", "v.doc_slots").alias("n_slots"), F.countDistinct("v.slots").alias("n_values")
-    )
+    found = found.withColumnsRenamed({"slots": "doc_slots", "place": "doc_place"}).drop("k")
+    hits = saved(found.join(known, "h"))
     sizes = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    same = F.col("p.doc_id").eqNullSafe(F.col("v.doc_id")) & F.col("p.item_id").eqNullSafe(F.col("v.item_id"))
-    out = pairs.alias("p").join(values.alias("v"), same, "left").select(
-        "p.doc_id", "p.item_id", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        F.coalesce(F.col("n_slots") - F.col("n_values"), F.lit(0)).alias("n_conflicts"),
-    ).join(sizes, "item_id")
+    hits = hits.select(
+        "doc_id", "item_id", "place", (F.col("doc_place") - F.col("place")).alias("align"),
+        F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("v"),
+    )
+    by = W.partitionBy("doc_id", "item_id").orderBy("align")
+    hits = hits.withColumn("jump", (F.col("align") - F.lag("align", 1).over(by) > GAP).cast("long"))
+    # Rows of equal alignment get equal numbers, as the sum's frame holds all of them.
+    hits = hits.withColumn("occurrence", F.coalesce(F.sum("jump").over(by), F.lit(0)))
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), x.cast("long").alias("at")) for i, x in enumerate((F.col("align"), F.col("occurrence"), F.lit(0)))])
+    groups = hits.select("doc_id", "item_id", "place", "v", F.explode(levels).alias("g")).groupBy("doc_id", "item_id", "g").agg(
+        F.size(F.collect_set("place")).cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")
+    )
+    n_slots = F.size("v").cast("long")
+    n_values = F.size(F.array_distinct(F.transform("v", lambda x: x["item"]))).cast("long")
+    groups = groups.select("doc_id", "item_id", "n_matched", n_slots.alias("n_slots"), (n_slots - n_values).alias("n_conflicts")).join(sizes, "item_id")
     enough = (F.col("n_matched") >= COVERED * F.col("n_windows")) | (F.col("n_matched") >= WINDOWS)
     agreed = F.col("n_conflicts") <= (1 - AGREED) * F.col("n_slots")
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_conflicts", (enough & agreed).alias("contaminated"))
+    best = F.max(F.struct((enough & agreed).alias("contaminated"), "n_matched", (-F.col("n_conflicts")).alias("agreement"), "n_slots", "n_windows"))
+    out = groups.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return out.select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_slots", (-F.col("b.agreement")).alias("n_conflicts"), "b.contaminated")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -151,6 +151,18 @@ def test_decontamination_rejects_unsteady_slots(spark):
     assert [r.doc_id for r in got] == [2]
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    """The exact item beside two versions with other values; one version of more tokens; and unsteady slots alone."""
+    item = "Add 10 to the sum then take 12 from the rest then give 14 to the first and give 16 to the last one of them all"
+    versions = [re.sub(r"\d+", lambda m, k=k: str(int(m.group()) * k + 1), item) for k in (3, 5)]
+    longer = item.replace("10", "7.5").replace("14", "9.5")
+    unsteady = "Add 10 to the sum then take 10 from the rest then give 10 to the first and give 10 to the last one of them all"
+    docs = [(1, " ".join([versions[0], item, versions[1]])), (2, " ".join([cases.prose(1, 50), longer, cases.prose(2, 400), versions[0]])), (3, unsteady.replace("take 10", "take 11").replace("first and give 10", "first and give 12"))]
+    items = spark.createDataFrame([(1, item), (2, unsteady)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {(1, 1), (2, 1)} <= got and (3, 2) not in got
+
+
 @pytest.mark.parametrize("name", ["documents"])
 def test_decontamination_on_the_tables(spark, name):
     docs, items = spark.read.parquet(f"{cases.SF}/{name}.parquet"), spark.read.parquet(f"{cases.SF}/benchmark.parquet")
