@@ -9,9 +9,12 @@ alignments that follow each other within GAP tokens (values of more or fewer tok
 that is scattered over it). An item is reported for a document if in any of these enough of its windows match and the
 slots agree.
 
-Items of fewer than WINDOW tokens (MIN_WINDOW at least) are one window of their own length.
+Items of fewer than WINDOW tokens (MIN_WINDOW at least) are one window of their own length. Besides, windows of the plain
+tokens, without placeholders, are joined for every item: they find verbatim copies of items with few literal tokens, of
+one token and more, and copies in which names lost their capitals. An item with template windows needs PLAIN of its plain
+ones, another one as many as of template windows. Characters of scripts without spaces are tokens of their own.
 
-Defined results: null or empty texts and items match nothing; shorter items match nothing; repeated rows are reported
+Defined results: null texts and items, and those without a letter or digit, match nothing; repeated rows are reported
 once for each doc_id and item; a null doc_id is reported as null; extra columns are ignored.
 """
 
@@ -30,6 +33,8 @@ from .common import saved
 WINDOW, MIN_WINDOW, LITERALS = 8, 5, 4
 #: Reported from this share of an item's windows or this many windows, and this share of slots in agreement.
 COVERED, WINDOWS, AGREED = 0.3, 16, 0.7
+#: Share of plain windows that reports an item which has template windows too.
+PLAIN = 0.7
 #: Alignments this close belong to one occurrence.
 GAP = 4
 #: Benchmark windows up to which every task tests membership before the join (8 bytes each).
@@ -52,6 +57,11 @@ _END = np.zeros(256, bool)
 _END[[*b".!?:\n|"]] = True
 
 
+#: Code points of scripts without spaces, and of signs that separate words there.
+SPACELESS = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+SIGNS = ((0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     x = np.full(n, base, np.uint64)
     x[:1] = 1
@@ -66,6 +76,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _cut(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to words, and where a token starts or ends beside another one (one more place than bytes)."""
+    word, cut = _WORD[b], np.zeros(len(b) + 1, bool)
+    at = np.flatnonzero(b >= 0xE0)
+    at = at[at + np.where(b[at] >= 0xF0, 4, 3) <= len(b)]
+    if len(at):
+        long = b[at] >= 0xF0
+        point = np.where(long, b[at] & 7, b[at] & 15).astype(np.int64)
+        for i in (1, 2, 3):
+            point = np.where(long | (i < 3), point << 6 | (b[np.minimum(at + i, len(b) - 1)] & 63), point)
+        size = np.where(long, 4, 3)
+        inside = lambda ranges: np.any([(point >= a) & (point <= z) for a, z in ranges], axis=0)
+        alone, sign = inside(SPACELESS), inside(SIGNS)
+        cut[at[alone]] = True
+        cut[(at + size)[alone]] = True
+        for i in range(3):
+            word[at[sign] + i] = False
+    return word, cut
+
+
 def _tokens(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template token (placeholder or hash), hash of the plain token, and first byte of each token of one string."""
     small = b.copy()
@@ -73,10 +103,9 @@ def _tokens(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Accented capitals of two bytes: C3 80 to C3 9E but for the sign of multiplication.
     upper[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
     small[upper] += 32
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _WORD[b]
-    edge = np.diff(inside)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word, cut = _cut(b)
+    first = np.flatnonzero(word & (cut[:-1] | ~np.append(False, word[:-1])))
+    end = np.flatnonzero(word & (cut[1:] | ~np.append(word[1:], False))) + 1
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
     total = np.zeros(len(b) + 1, np.uint64)
@@ -133,27 +162,31 @@ def _parts(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def windows(texts: list, lengths: list[int], whole: bool = False) -> tuple[np.ndarray, ...]:
     """Hash, text number, place in the text, length and first token of each window, and all plain and template tokens.
 
-    ``whole``: texts shorter than WINDOW give one window of their own length, others windows of WINDOW.
+    ``whole``: texts shorter than WINDOW give one window of their own length, others windows of WINDOW. A negative length
+    stands for windows of plain tokens.
     """
     found = list(_parts(texts))
     token, plain, own = found[0] if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     cuts = np.searchsorted(own, np.arange(len(texts) + 1))
     literal = np.concatenate([[0], np.cumsum(token > UNIT)])
     out = []
-    for k in lengths:
+    for length in lengths:
+        k, series = (length, token) if length > 0 else (-length, plain)
         n = len(token) - k + 1
         if n <= 0:
             continue
         h = np.zeros(n, np.uint64)
         for i in range(k):
-            h += token[i : i + n] * np.uint64(pow(_STEP, i + 1, 1 << 64))
-        h = _mixed(h + np.uint64(k))
-        ok = (own[k - 1 :] == own[:n]) & (literal[k:] - literal[:n] >= min(LITERALS, k - 1))
+            h += series[i : i + n] * np.uint64(pow(_STEP, i + 1, 1 << 64))
+        h = _mixed(h + np.uint64(k if length > 0 else k + 64))
+        ok = own[k - 1 :] == own[:n]
+        if length > 0:
+            ok &= literal[k:] - literal[:n] >= min(LITERALS, k - 1)
         if whole:
             size = np.diff(cuts)[own[:n]]
             ok &= (size == k) if k < WINDOW else (size >= k)
         at = np.flatnonzero(ok)
-        out.append((h[at], own[at], at - cuts[own[at]], np.full(len(at), k), at))
+        out.append((h[at], own[at], at - cuts[own[at]], np.full(len(at), length), at))
     if not out:
         return (*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64)), plain, token)
     return (*(np.concatenate([x[i] for x in out]) for i in range(5)), plain, token)
@@ -171,7 +204,8 @@ def _rows(column: str, lengths: list[int], whole: bool, keep) -> object:
                     k[k == len(known)] = 0
                     hit = known[k] == h if len(known) else np.zeros(len(h), bool)
                     h, own, place, size, at = h[hit], own[hit], place[hit], size[hit], at[hit]
-                slots = [plain[a : a + n][token[a : a + n] <= UNIT].view(np.int64).tolist() for a, n in zip(at.tolist(), size.tolist())]
+                # Plain windows have no slots: an empty slice.
+                slots = [plain[a : a + n][token[a : a + n] <= UNIT].view(np.int64).tolist() for a, n in zip(at.tolist(), np.maximum(size, 0).tolist())]
                 ids = part[column].to_numpy(object)[own] if len(own) else []
                 yield pd.DataFrame({"h": h.view(np.int64), column: pd.array(ids, "Int64"), "place": place, "k": size, "slots": pd.Series(slots, dtype=object)})
 
@@ -183,11 +217,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs of slot values), n_conflicts, contaminated; the counts are those of the occurrence that tells most."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    lengths = list(range(MIN_WINDOW, WINDOW + 1))
+    lengths = [*range(MIN_WINDOW, WINDOW + 1), *range(-WINDOW, 0)]
     known = saved(items.mapInPandas(_rows("item_id", lengths, True, None), "h long, item_id long, place long, k long, slots array<long>"))
     # Documents are only cut to windows of the lengths that items have.
     lengths = sorted(r["k"] for r in known.select("k").distinct().collect()) or [WINDOW]
-    known = known.drop("k")
+    known = known.withColumn("plain", F.col("k") < 0).drop("k")
     n = known.select("h").distinct().count()
     keep = None
     if n <= SMALL:
@@ -196,23 +230,26 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.mapInPandas(_rows("doc_id", lengths, False, keep), "h long, doc_id long, place long, k long, slots array<long>")
     found = found.withColumnsRenamed({"slots": "doc_slots", "place": "doc_place"}).drop("k")
     hits = saved(found.join(known, "h"))
-    sizes = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    sizes = known.groupBy("item_id", "plain").agg(F.count(F.lit(1)).alias("n_windows"))
+    both = known.groupBy("item_id").agg(F.bool_or(~F.col("plain")).alias("template"))
+    sizes = sizes.join(both, "item_id")
     hits = hits.select(
-        "doc_id", "item_id", "place", (F.col("doc_place") - F.col("place")).alias("align"),
+        "doc_id", "item_id", "plain", "place", (F.col("doc_place") - F.col("place")).alias("align"),
         F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("v"),
     )
-    by = W.partitionBy("doc_id", "item_id").orderBy("align")
+    by = W.partitionBy("doc_id", "item_id", "plain").orderBy("align")
     hits = hits.withColumn("jump", (F.col("align") - F.lag("align", 1).over(by) > GAP).cast("long"))
     # Rows of equal alignment get equal numbers, as the sum's frame holds all of them.
     hits = hits.withColumn("occurrence", F.coalesce(F.sum("jump").over(by), F.lit(0)))
     levels = F.array(*[F.struct(F.lit(i).alias("level"), x.cast("long").alias("at")) for i, x in enumerate((F.col("align"), F.col("occurrence"), F.lit(0)))])
-    groups = hits.select("doc_id", "item_id", "place", "v", F.explode(levels).alias("g")).groupBy("doc_id", "item_id", "g").agg(
+    groups = hits.select("doc_id", "item_id", "plain", "place", "v", F.explode(levels).alias("g")).groupBy("doc_id", "item_id", "plain", "g").agg(
         F.size(F.collect_set("place")).cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")
     )
     n_slots = F.size("v").cast("long")
     n_values = F.size(F.array_distinct(F.transform("v", lambda x: x["item"]))).cast("long")
-    groups = groups.select("doc_id", "item_id", "n_matched", n_slots.alias("n_slots"), (n_slots - n_values).alias("n_conflicts")).join(sizes, "item_id")
+    groups = groups.select("doc_id", "item_id", "plain", "n_matched", n_slots.alias("n_slots"), (n_slots - n_values).alias("n_conflicts")).join(sizes, ["item_id", "plain"])
     enough = (F.col("n_matched") >= COVERED * F.col("n_windows")) | (F.col("n_matched") >= WINDOWS)
+    enough = F.when(F.col("plain") & F.col("template"), F.col("n_matched") >= PLAIN * F.col("n_windows")).otherwise(enough)
     agreed = F.col("n_conflicts") <= (1 - AGREED) * F.col("n_slots")
     best = F.max(F.struct((enough & agreed).alias("contaminated"), "n_matched", (-F.col("n_conflicts")).alias("agreement"), "n_slots", "n_windows"))
     out = groups.groupBy("doc_id", "item_id").agg(best.alias("b"))

@@ -163,6 +163,17 @@ def test_decontamination_judges_each_occurrence(spark):
     assert {(1, 1), (2, 1)} <= got and (3, 2) not in got
 
 
+def test_decontamination_finds_every_verbatim_item(spark):
+    items = {
+        1: "12 + 7 = 19, 4 x 5 = 20", 2: "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan", 3: "Which Famous River Flows Through Old Paris And Rouen",
+        4: "capital of Peru", 5: "小明有三个苹果，他吃了一个。还剩几个？", 6: "ฉันมีแอปเปิ้ลสามลูก", 7: "Why did Maria and Pedro leave Lima with Rosa so early", 8: "Photosynthesis",
+    }
+    docs = [(k, f"{cases.prose(k, 40)} {t} {cases.prose(k + 50, 40)}") for k, t in items.items()]
+    docs += [(15, f"他说：{items[5]}我不知道"), (17, items[7].lower()), (18, items[7].replace(" Pedro", "\nPedro")), (20, cases.prose(7, 300)), (21, "小明有两本书，他很高兴。")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in items} | {(15, 5), (17, 7), (18, 7)}
+
+
 @pytest.mark.parametrize("name", ["documents"])
 def test_decontamination_on_the_tables(spark, name):
     docs, items = spark.read.parquet(f"{cases.SF}/{name}.parquet"), spark.read.parquet(f"{cases.SF}/benchmark.parquet")
