@@ -126,6 +126,23 @@ def _refilled(shape: Column, chars: Column, slots: str) -> Column:
     )
 
 
+def _within(v: Column, valid: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Change the whole of ``v`` if it is valid, else the longest valid part of it that begins and ends with a group."""
+    n, group = F.length(v), "[ \\-]"
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | F.substr(v, i - 1, F.lit(1)).rlike(group))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda j: (j == n) | F.substr(v, j + 1, F.lit(1)).rlike(group))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda j: F.struct((j - i + 1).alias("n"), (-i).alias("at")))))
+    part = lambda p: F.substr(v, -p["at"], p["n"])
+    found = F.array_max(F.filter(parts, lambda p: (p["n"] > 12) & valid(part(p))))
+    bounds = F.when(valid(v), F.struct(n.alias("n"), F.lit(-1).alias("at"))).otherwise(found)
+
+    def replaced(p: Column) -> Column:
+        new = let(part(p), change)
+        return F.concat(F.substr(v, F.lit(1), -p["at"] - 1), new, _rest(v, p["n"] - p["at"]))
+
+    return let(bounds, lambda p: F.when(p.isNull(), v).otherwise(replaced(p)))
+
+
 def _card(v: Column, key: str) -> Column:
     """The first digit stays, the check digit is computed anew."""
 
@@ -133,8 +150,9 @@ def _card(v: Column, key: str) -> Column:
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permuted(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
         return let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
 
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    return let(digits, lambda d: F.when(_luhn(d) == 0, let(renewed(d), lambda n: _refilled(v, n, "[0-9]"))).otherwise(v))
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    valid = lambda x: let(digits(x), lambda d: F.length(d).between(13, 19) & (_luhn(d) == 0))
+    return _within(v, valid, lambda x: let(let(digits(x), renewed), lambda n: _refilled(x, n, "[0-9]")))
 
 
 def _mod97(s: Column) -> Column:
@@ -154,8 +172,9 @@ def _iban(v: Column, key: str) -> Column:
         check = lambda b: F.lpad((98 - _mod97(F.concat(land, F.lit("00"), b))).cast("string"), 2, "0")
         return let(permuted(_rest(d, 5), key, "iban"), lambda b: F.concat(land, check(b), b))
 
-    plain = F.replace(v, F.lit(" "), F.lit(""))
-    return let(plain, lambda d: F.when(_mod97(d) == 1, let(renewed(d), lambda n: _refilled(v, n, "[A-Z0-9]"))).otherwise(v))
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = lambda x: x.rlike("^[A-Z]{2}[0-9]{2}") & let(plain(x), lambda d: F.length(d).between(15, 34) & (_mod97(d) == 1))
+    return _within(v, valid, lambda x: let(let(plain(x), renewed), lambda n: _refilled(x, n, "[A-Z0-9]")))
 
 
 def _date(v: Column, key: str) -> Column:

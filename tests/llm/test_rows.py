@@ -89,6 +89,18 @@ def test_pseudonyms_never_collide(spark, kind, values):
     assert len(set(got)) == len(values)
 
 
+def test_pseudonyms_of_cards_and_accounts_beside_more(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    short = "BE68 5390 0754 7034"
+    rows = [f"{card} 123", f"{card.replace(' ', '')} 12/27", f"no 12 {card.replace(' ', '')}", f"{iban} AND", f"{short} FOR me", f"{short} THEN it", "no 4111 1111 1111 1112 123"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1).transform(pseudonyms.pseudonymise).selectExpr("text AS t").collect()]
+    assert got[6] == rows[6]
+    for old, new, value in zip(rows, got, (card, card.replace(" ", ""), card.replace(" ", ""), iban, short, short)):
+        head, tail = old.split(value)
+        assert value not in new and new.startswith(head) and new.endswith(tail), (old, new)
+    assert luhn(re.sub(r"\D", "", got[0][:19])) == 0
+
+
 def test_pseudonyms_awkward_rows(spark):
     got = pseudonyms.pseudonymise(cases.documents(spark)).collect()
     assert Counter(r.text for r in got) == Counter(r[1] for r in cases.rows())
