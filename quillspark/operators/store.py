@@ -21,7 +21,7 @@ def remove(tables: dict[str, DataFrame], ids: DataFrame, key: str = "doc_id") ->
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
-    """The last position of each reader: of columns user_id, ts, event_id and value."""
+    """The last position of each user: of columns user_id, ts, event_id and value."""
     last = F.struct("ts", "event_id")
     return events.groupBy("user_id").agg(
         F.max_by("value", last).alias("position"), F.max("ts").alias("at"), F.count(F.lit(1)).alias("n_events")

@@ -10,7 +10,7 @@ from ..operators.text_blocks import text_blocks
 
 
 def latest_positions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The last position of each reader and day, from a stream of events (user_id, ts, event_id, value)."""
+    """The last position of each user and day, from a stream of events (user_id, ts, event_id, value)."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "user_id").agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("position"), F.max("ts").alias("at")
     )
