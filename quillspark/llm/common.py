@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,40 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int, rows: int = 65535, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches to slices of about ``size`` bytes of text and at most ``rows`` rows; a longer text is a slice alone."""
+    for batch in batches:
+        n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(n), 0
+        while at < len(n):
+            done = int(ends[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(ends, done + size, side="right"))), at + rows, len(n))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The bytes of each text; of a null none."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let the session hand at most ``most`` bytes at a time to Python, so that texts of any length take little memory
+    outside the heap; a smaller value that the session has already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Outside a cluster (tests), where none is set, a new local one."""
+    """The folder that all executors share. On one machine (tests), where none is set, a new local one; on a cluster an
+    unset folder is an error, as each executor would write to a disk of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -48,4 +82,15 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`saved` that no later plan reads."""
+    for df in tables:
+        if path := df.__dict__.get("saved_path"):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Columns ``node`` and ``component`` (least node of its component) for the nodes of edges (``a``, ``b``: long).
+    """Columns ``node`` and ``component`` (least node of its component) for the nodes of edges (``a``, ``b``: long), as a
+    table of :func:`saved`.
 
     Each round finds the least label among a node's neighbours, offers it to the node and to the node's own label, and then
     takes the label of the label; so whole trees hook on to each other and rounds grow with the logarithm of the longest
-    path. Labels are written each round, in the shared folder; only a count reaches the driver.
+    path. Labels are written each round, in the shared folder, and those of the round before are deleted; only a count
+    reaches the driver. Both sides of each join are plain shuffles, so a label that many nodes have can be split.
     """
     edges = edges.filter("a <> b")
     # Both directions come from one row: edges computed twice might differ, as between equal sets any may stand for all.
@@ -29,7 +31,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = nearer.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
         new = nearer.join(jump.hint("merge"), "to")
         new = saved(new.select("node", F.least("to", "beyond").alias("component"), (F.col("component") > F.least("to", "beyond")).alias("moved")))
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
         if not new.filter("moved").limit(1).count():
-            return labels
+            discard(both)
+            out = labels.select("node", "component")
+            out.saved_path = labels.saved_path
+            return out
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

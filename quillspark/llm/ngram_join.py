@@ -6,17 +6,24 @@
 3. The global order of shingles is by document frequency (up to 255), then by hash. Two sets that reach the threshold
    share a shingle within the first ``n - ceil(0.75 n) + 1`` of each, where those of one document come first. Joining
    documents to the least one that has a shingle there, and taking components, gives groups that no link can leave.
-4. Each group's sets are stored in a trie in the group's own order (frequent first, so that paths are shared). A set goes
+4. Each group's sets are stored in a trie in the global order (frequent first, so that paths are shared). A set goes
    through the trie once for all others: overlaps are counted along shared paths, and a subtree is left as soon as the
    shingles that remain in the set or below the node can't reach the threshold, or when all its sets are joined to the
    query's component already. Links found this way connect each group; components over them are the result.
 
-A group of too many sets is split into blocks, and every pair of blocks is one task, so that no task holds an unbounded
-group and no pair is lost. Tasks exchange shingles as arrays: four bytes each beside the number of the range.
+A group of too many sets or bytes is split into blocks, and every pair of blocks is one task, so that no task holds an
+unbounded group and no pair is lost. Tasks exchange shingles as arrays: four bytes each beside the number of the range, and
+two for the document, so what is sent doesn't depend on the number of ranges.
+
+A shingle is 64 bits; within the join 32 of them and the range tell it from others. A set of one or two shingles links with
+equal sets alone, which the whole 64 bits tell (128 of their digest). Any other link takes three common shingles or more, so
+a false one needs two sets that miss the threshold by one shingle and a collision between them besides.
 
 Defined results: null or blank texts have an empty set, which links with nothing; texts of fewer than five words are one
-shingle, their whole sequence; rows that repeat a doc_id and its text get equal rows; rows with a null doc_id link with
-nothing; extra columns are ignored; an empty table gives an empty result.
+shingle, their whole sequence; rows that repeat a doc_id and its text get equal rows; a doc_id with different texts is one
+document for each of them, all under that name: each row has its own n_shingles and the class of its own set, and links of
+any of its sets join the id, so all its rows have one component_id; rows with a null doc_id link with nothing; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,20 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved, slices, small_batches, utf8
 from .components import components
 
 WORDS = 5
 #: Two sets link when NUM * intersection >= DEN * (sum of sizes): a Jaccard similarity of 0.75.
 NUM, DEN = 7, 3
-#: Sets of a group in one task.
-GROUP = 8192
+#: Sets of a block, and bytes of their shingles; a task holds two blocks.
+GROUP, GROUP_BYTES = 8192, 4 << 20
 #: Bytes that are hashed at a time, and bytes of texts whose shingles travel together.
-BLOCK, BATCH = 2 << 20, 16 << 20
+BLOCK, BATCH = 1 << 20, 8 << 20
 #: Hash ranges for each input partition.
 RANGES = 4
 
@@ -74,9 +82,8 @@ def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h ^ (h >> np.uint64(31))) * _MIX, first
 
 
-def shingle_sets(texts: list) -> Iterator[np.ndarray]:
+def shingle_sets(data: list[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = [t.encode() if isinstance(t, str) else b"" for t in texts]
     at = 0
     while at < len(data):
         end, size = at, 0
@@ -113,50 +120,42 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
-def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in batches of about BATCH characters and fewer than 65,536 rows."""
-    for rows in batches:
-        size = rows["text"].str.len().fillna(0).cumsum() // BATCH
-        for _, part in rows.groupby(size.to_numpy()):
-            for at in range(0, len(part), 65535):
-                yield part.iloc[at : at + 65535]
+_ROW = pa.schema([("r", pa.int32()), ("batch", pa.string()), ("x", pa.binary()), ("n", pa.binary()), ("y", pa.binary())])
 
 
 def _shingles(ranges: int):
-    """By ranges: the shingles of each batch, ordered by document; and one row that describes the batch's documents.
+    """By ranges: the shingles of each batch (x) with the number of their set (n), ordered by set; and one row that
+    describes the batch's documents: ids (x), sizes (n), digests (y).
 
     Of equal sets in a batch only the first is sent.
     """
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, rows in enumerate(_batched(batches)):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in enumerate(slices(batches, BATCH)):
             # The same name if a lost task runs again.
             batch, seen, digests, sizes, sets, own = f"{TaskContext.get().partitionId()}-{k}", set(), [], [], [], []
-            for i, h in enumerate(shingle_sets(rows["text"].to_list())):
+            for i, h in enumerate(shingle_sets(utf8(rows.column("text")))):
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
                 if len(h) and digests[-1] not in seen:
                     seen.add(digests[-1])
                     sets.append(h)
                     own.append(i)
-            n = np.array([len(h) for h in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            doc = np.repeat(np.arange(len(sets)), n)
-            part = (flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(h) for h in sets])
+            del sets
+            part = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint32)
             # What is left of the hash within its range.
             low = ((flat * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
+            del flat
             by = np.argsort(part.astype(np.uint16) if ranges <= 65536 else part, kind="stable")
             part, low, doc = part[by], low[by], doc[by]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            out = [
-                (int(part[i]), batch, low[i:j].tobytes(), np.bincount(doc[i:j], minlength=len(sets)).astype(np.uint16 if j - i < 65536 else np.uint32).tobytes(), b"")
-                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())
-                if j > i
-            ]
-            ids = rows["doc_id"].to_numpy(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+            out = [(int(part[i]), batch, low[i:j].tobytes(), doc[i:j].tobytes(), b"") for i, j in zip(cuts, cuts[1:]) if j > i]
+            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
             out.append((ranges + zlib.crc32(batch.encode()) % ranges, batch, ids.tobytes(), np.array(sizes, np.int64).tobytes(),
                         np.array(own, np.int64).tobytes() + b"".join(digests)))
-            yield pd.DataFrame(out, columns=["r", "batch", "x", "n", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)], schema=_ROW)
 
     return emit
 
@@ -167,27 +166,29 @@ def _frequencies(ranges: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["r"].iloc[0] >= ranges:
             return rows
-        tokens = [np.frombuffer(x, np.uint32) for x in rows["x"]]
-        _, inverse, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        times = np.minimum(count, 255).astype(np.uint8)[inverse]
-        out, at = [], 0
-        for r, batch, x, n in zip(rows["r"], rows["batch"], tokens, rows["n"]):
-            t = times[at : at + len(x)]
-            at += len(x)
-            keep = t > 1
+        token = np.sort(np.frombuffer(b"".join(rows["x"]), np.uint32))
+        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        count = np.diff(np.append(at, len(token)))
+        shared, times = token[at[count > 1]], np.minimum(count[count > 1], 255).astype(np.uint8)
+        del token, at, count
+        out = []
+        for r, batch, x, n in zip(rows["r"], rows["batch"], rows["x"], rows["n"]):
+            x = np.frombuffer(x, np.uint32)
+            k = np.searchsorted(shared, x)
+            k[k == len(shared)] = 0
+            keep = shared[k] == x if len(shared) else np.zeros(len(x), bool)
             if keep.any():
-                n = np.frombuffer(n, np.uint16 if len(x) < 65536 else np.uint32)
-                doc = np.repeat(np.arange(len(n)), n)[keep]
-                out.append((r, batch, x[keep].tobytes(), np.bincount(doc, minlength=len(n)).astype(np.uint32).tobytes(), t[keep].tobytes()))
+                out.append((r, batch, x[keep].tobytes(), np.frombuffer(n, np.uint16)[keep].tobytes(), times[k[keep]].tobytes()))
         return pd.DataFrame(out, columns=["r", "batch", "x", "n", "y"])
 
     return run
 
 
 def _documents(ranges: int):
-    """A batch's documents: doc_id, size and digest of each set, and its shared shingles in the global order.
+    """The different sets of a batch: the ids that have it (ascending), size, digest, and its shared shingles in the global
+    order, each as its frequency (8 bits), range (24) and hash within that (32).
 
-    Sets that can't link with any other, and further copies within the batch, have null shingles.
+    Sets that can't link with a different one have null shingles.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,53 +196,58 @@ def _documents(ranges: int):
         ids, sizes = np.frombuffer(about["x"], np.int64), np.frombuffer(about["n"], np.int64)
         own = np.frombuffer(about["y"][: len(about["y"]) - 16 * len(ids)], np.int64)
         digests = about["y"][8 * len(own) :]
-        shared: list = [None] * len(ids)
+        shared: list = [None] * len(own)
         rest = rows[rows["r"] < ranges]
         if len(rest):
-            token, doc, times = [], [], []
-            for r, x, n, y in zip(rest["r"], rest["x"], rest["n"], rest["y"]):
-                n = np.frombuffer(n, np.uint32)
-                token.append(np.frombuffer(x, np.uint32) | np.uint64(r << 32))
-                doc.append(np.repeat(np.arange(len(n)), n))
-                times.append(np.frombuffer(y, np.uint8))
-            token, doc, times = np.concatenate(token), np.concatenate(doc), np.concatenate(times)
+            doc = np.frombuffer(b"".join(rest["n"]), np.uint16)
+            token = np.frombuffer(b"".join(rest["x"]), np.uint32).astype(np.uint64)
+            token |= np.repeat(rest["r"].to_numpy(np.uint64), rest["x"].str.len().to_numpy() // 4) << np.uint64(32)
+            token |= np.frombuffer(b"".join(rest["y"]), np.uint8).astype(np.uint64) << np.uint64(56)
             n = np.bincount(doc, minlength=len(own))
-            keep = (4 * n >= 3 * sizes[own])[doc]
-            token, doc, times = token[keep], doc[keep], times[keep]
-            by = np.lexsort((token, times, doc))
-            token, doc = token[by], doc[by]
-            cuts = np.searchsorted(doc, np.arange(len(own) + 1))
-            for i, a, e in zip(own.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            # Sets of one or two shingles link with equal ones alone.
+            keep = ((4 * n >= 3 * sizes[own]) & (sizes[own] > 2))[doc]
+            token, doc = token[keep], doc[keep]
+            by = np.argsort(doc, kind="stable")
+            token, cuts = token[by], np.searchsorted(doc[by], np.arange(len(own) + 1)).tolist()
+            for i, (a, e) in enumerate(zip(cuts, cuts[1:])):
                 if e > a:
-                    shared[i] = token[a:e].tobytes()
-        digest = [digests[16 * i : 16 * i + 16] for i in range(len(ids))]
-        return pd.DataFrame({"doc_id": ids, "size": sizes, "digest": digest, "shared": shared})
+                    shared[i] = np.sort(token[a:e]).tobytes()
+        name = {digests[16 * i : 16 * i + 16]: k for k, i in enumerate(own.tolist())}
+        members: list[list[int]] = [[] for _ in own]
+        blank = []
+        for i, doc_id in enumerate(ids.tolist()):
+            members[name[digests[16 * i : 16 * i + 16]]].append(doc_id) if sizes[i] else blank.append(doc_id)
+        digest = [digests[16 * i : 16 * i + 16] for i in own.tolist()]
+        out = pd.DataFrame({"ids": [sorted(x) for x in members], "size": sizes[own], "digest": digest, "shared": shared})
+        empty = pd.DataFrame({"ids": [[x] for x in blank], "size": np.zeros(len(blank), np.int64), "digest": [b""] * len(blank), "shared": [None] * len(blank)})
+        return pd.concat([x for x in (out, empty) if len(x)] or [out])
 
     return run
 
 
+_LOW, _RANGE = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFF)
+
+
 def _prefixes(ranges: int):
     """By ranges: the shared shingles of each document's prefix, and the documents they come from."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            tokens, owners = [], []
+            tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for doc_id, n, x in zip(rows["doc_id"], rows["size"], rows["shared"]):
-                x = np.frombuffer(x, np.uint64)
                 # Shingles of one document come first in the order and join nothing.
-                tokens.append(x[: max(0, prefix_length(n) - (n - len(x)))])
+                tokens.append(np.frombuffer(x, np.uint64)[: max(0, prefix_length(n) - (n - len(x) // 8))])
                 owners.append(np.full(len(tokens[-1]), doc_id, np.int64))
-            token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            by = np.argsort(token, kind="stable")
-            token, owner = token[by], owner[by]
-            part = token >> np.uint64(32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            part = ((token >> np.uint64(32)) & _RANGE).astype(np.uint32)
+            by = np.argsort(part, kind="stable")
+            token, owner, part = (token[by] & _LOW).astype(np.uint32), owner[by], part[by]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
             out = []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i, j in zip(cuts, cuts[1:]):
                 if j > i:
                     d, k = np.unique(owner[i:j], return_inverse=True)
-                    out.append((int(part[i]), token[i:j].astype(np.uint32).tobytes(), d.tobytes(), k.astype(np.uint32).tobytes()))
+                    out.append((int(part[i]), token[i:j].tobytes(), d.tobytes(), k.astype(np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["r", "h", "d", "k"])
 
     return emit
@@ -262,15 +268,13 @@ def _stars(rows: pd.DataFrame) -> pd.DataFrame:
 def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     """Each set with the first of those that links connect it to: pairs of ids.
 
-    ``sets`` hold the shingles that a set may share with others, ``size`` counts all of them.
+    ``sets`` hold the shingles that a set may share with others, in the global order; ``size`` counts all of them.
     """
-    flat = np.concatenate(sets)
+    keys, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     lens = np.array([len(s) for s in sets])
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
     cuts = np.concatenate([[0], np.cumsum(lens)])
-    ranked = [np.sort(rank[inverse[i:j]]) for i, j in zip(cuts[:-1], cuts[1:])]
+    # From the end of the global order, so that frequent shingles lead the paths.
+    ranked = [(len(keys) - 1 - inverse[i:j])[::-1] for i, j in zip(cuts[:-1], cuts[1:])]
     order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
     ranked, lens, size, ids = [ranked[i] for i in order], lens[order], size[order], ids[order]
 
@@ -304,7 +308,7 @@ def trie_links(sets: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> lis
 
     label = np.arange(len(sets))
     bounds: dict[int, tuple[int, int, int]] = {}  # of each node: least and greatest size below it, greatest depth
-    mask = np.zeros(len(counts), bool)
+    mask = np.zeros(len(keys), bool)
     for q in range(1, len(sets)):
         # How many of the sets before each place are not joined to q yet.
         apart = np.concatenate([[0], np.cumsum(label[:q] != label[q])])
@@ -344,47 +348,57 @@ def _group_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
 
 
-def _lone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        n = [len(h) for h in shingle_sets(rows["text"].to_list())]
-        none = pd.array([None] * len(n), "Int64")
-        yield pd.DataFrame({"doc_id": none, "n_shingles": n, "class_id": none, "component_id": none})
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    for rows in slices(batches, BATCH):
+        n = [len(h) for h in shingle_sets(utf8(rows.column("text")))]
+        none = pa.nulls(len(n), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none], ["doc_id", "n_shingles", "class_id", "component_id"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (least doc_id of an equal set), component_id."""
+    small_batches(docs.sparkSession)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = RANGES * max(4, texts.rdd.getNumPartitions())
+    ranges = min(RANGES * max(4, texts.rdd.getNumPartitions()), 1 << 24)
     row = "r int, batch string, x binary, n binary, y binary"
-    counted = texts.mapInPandas(_shingles(ranges), row).groupBy("r").applyInPandas(_frequencies(ranges), row)
-    sets = counted.groupBy("batch").applyInPandas(_documents(ranges), "doc_id long, size long, digest binary, shared binary")
+    counted = texts.mapInArrow(_shingles(ranges), row).groupBy("r").applyInPandas(_frequencies(ranges), row)
+    sets = counted.groupBy("batch").applyInPandas(_documents(ranges), "ids array<long>, size long, digest binary, shared binary")
     sets = saved(sets)
 
-    named = sets.filter("size > 0").groupBy("digest", "size").agg(F.min("doc_id").alias("class_id"))
-    known = sets.select("doc_id", "size", "digest").join(named, ["digest", "size"], "left")
-    known = saved(known.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
+    # A class has a row for each batch that holds it; written, both sides are plain, and a class with a large part of all
+    # batches can be split between tasks.
+    named = saved(sets.filter("size > 0").groupBy("digest", "size").agg(F.min(F.element_at("ids", 1)).alias("class_id")))
+    known = sets.join(named.hint("merge"), ["digest", "size"], "left").withColumn("class_id", F.coalesce("class_id", F.element_at("ids", 1)))
+    known = saved(known.select("ids", F.col("size").alias("n_shingles"), "class_id", "shared"))
 
-    # One set of each class goes on, under the class's name.
-    able = sets.filter("shared IS NOT NULL").select("doc_id", "size", "shared").join(known.select("doc_id", "class_id"), "doc_id")
-    able = saved(able.dropDuplicates(["class_id"]).select(F.col("class_id").alias("doc_id"), "size", "shared"))
+    # One set of each class goes on, under the class's name: of the batch that holds its least document. An id with
+    # several texts names several classes; their sets go on one by one and meet under the id.
+    able = known.filter("shared IS NOT NULL AND ids[0] = class_id")
+    able = saved(able.select(F.col("class_id").alias("doc_id"), F.col("n_shingles").alias("size"), "shared").distinct())
     stars = able.mapInPandas(_prefixes(ranges), "r int, h binary, d binary, k binary")
     stars = stars.groupBy("r").applyInPandas(_stars, "a long, b long").distinct()
     groups = components(stars)
 
-    # Groups of many sets are cut to blocks; a set then goes with every pair of blocks that its own is in.
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks"))
+    # Large groups are cut to blocks; a set then goes with every pair of blocks that its own is in.
+    weights = able.select(F.col("doc_id").alias("node"), F.length("shared").alias("bytes"))
+    sizes = weights.join(groups, "node").groupBy("component").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("bytes") / GROUP_BYTES)).alias("blocks")
+    )
     block = F.expr("pmod(xxhash64(node), blocks)")
     parts = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")),
     )
     members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.explode(parts).alias("part"))
-    links = able.join(members, "doc_id").groupBy("component", "part").applyInPandas(
-        _group_links, "a long, b long"
-    )
-    joined = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
-    out = known.join(joined, "class_id", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id")
-    )
+    links = able.join(members, "doc_id").groupBy("component", "part").applyInPandas(_group_links, "a long, b long")
+    # Different sets under one id are joined by it.
+    names = known.select(F.explode("ids").alias("doc_id"), "class_id").distinct()
+    several = names.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).filter("b < most")
+    several = names.join(several, "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
+    joined = components(links.unionByName(several))
+    discard(sets, named, able, groups)
+    joined = joined.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    out = known.select("n_shingles", "class_id", "ids").join(joined, "class_id", "left")
+    out = out.select(F.explode("ids").alias("doc_id"), "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     lone = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return out.unionByName(lone.mapInPandas(_lone, "doc_id long, n_shingles long, class_id long, component_id long"))
+    return out.unionByName(lone.mapInArrow(_lone, "doc_id long, n_shingles long, class_id long, component_id long"))
