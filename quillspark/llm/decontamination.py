@@ -23,12 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices, small_batches, utf8
 
 WINDOW, MIN_WINDOW, LITERALS = 8, 5, 4
 #: Reported from this share of an item's windows or this many windows, and this share of slots in agreement.
@@ -39,7 +39,9 @@ PLAIN = 0.7
 GAP = 4
 #: Benchmark windows up to which every task tests membership before the join (8 bytes each).
 SMALL = 1_000_000
-BLOCK = 512 << 10
+#: Bytes of text that are cut to windows at a time, bytes that are cut to tokens at a time, and bytes before a cut that
+#: tell whether what follows it begins a sentence or is a unit.
+PART, BLOCK, CONTEXT = 1 << 20, 512 << 10, 256
 #: Units of measure.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz pound pounds ounce ounces ton tons "
@@ -128,48 +130,57 @@ UNIT_HASHES = np.zeros(0, np.uint64)
 UNIT_HASHES = _tokens(np.frombuffer(" ".join(UNITS).encode(), np.uint8))[1]
 
 
-def _parts(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens, plain tokens and text numbers. A text beyond BLOCK is cut at white space, its tokens joined."""
-    token, plain, own = [], [], []
+    token, plain, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
-    def flush(part: list[bytes], numbers: list[int]) -> None:
+    def flush(part: list[bytes], numbers: list[int], skip: int = 0) -> None:
         starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
         t, p, first = _tokens(np.frombuffer(b"\n".join(part), np.uint8))
-        token.append(t)
-        plain.append(p)
-        own.append(np.array(numbers, np.int64)[np.searchsorted(starts, first, side="right") - 1])
+        new = first >= skip
+        token.append(t[new])
+        plain.append(p[new])
+        own.append(np.array(numbers, np.int64)[np.searchsorted(starts, first[new], side="right") - 1])
 
     part, numbers, size = [], [], 0
-    for i, text in enumerate(texts):
-        data = text.encode() if isinstance(text, str) else b""
-        while len(data) > BLOCK - 2:
-            at = max(data.rfind(b" ", 0, BLOCK - 2), data.rfind(b"\n", 0, BLOCK - 2))
-            at = at if at > 0 else BLOCK - 2
-            flush([data[:at]], [i]) if not part else (flush(part, numbers), flush([data[:at]], [i]))
-            part, numbers, size, data = [], [], 0, data[at:]
+    for i, data in enumerate(texts):
         if part and size + len(data) + 1 > BLOCK - 2:
             flush(part, numbers)
             part, numbers, size = [], [], 0
-        part.append(data)
-        numbers.append(i)
-        size += len(data) + 1
+        at = 0
+        while len(data) - at > BLOCK - CONTEXT - 2:
+            end = at + BLOCK - CONTEXT - 2
+            space = max(data.rfind(b" ", at + 1, end), data.rfind(b"\n", at + 1, end))
+            if space < 0:
+                # Not inside a character.
+                while data[end] & 0xC0 == 0x80:
+                    end -= 1
+            before = min(at, CONTEXT)
+            flush([data[at - before : space if space > 0 else end]], [i], before)
+            at = space if space > 0 else end
+        if at:
+            before = min(at, CONTEXT)
+            flush([data[at - before :]], [i], before)
+        else:
+            part.append(data)
+            numbers.append(i)
+            size += len(data) + 1
     if part:
         flush(part, numbers)
-    if token:
-        yield np.concatenate(token), np.concatenate(plain), np.concatenate(own)
+    return np.concatenate(token), np.concatenate(plain), np.concatenate(own)
 
 
-def windows(texts: list, lengths: list[int], whole: bool = False) -> tuple[np.ndarray, ...]:
+def windows(texts: list[bytes], lengths: list[int], whole: bool = False, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Hash, text number, place in the text, length and first token of each window, and all plain and template tokens.
 
     ``whole``: texts shorter than WINDOW give one window of their own length, others windows of WINDOW. A negative length
-    stands for windows of plain tokens.
+    stands for windows of plain tokens. ``known``: sorted hashes; other windows are left out.
     """
-    found = list(_parts(texts))
-    token, plain, own = found[0] if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    token, plain, own = _parts(texts)
     cuts = np.searchsorted(own, np.arange(len(texts) + 1))
     literal = np.concatenate([[0], np.cumsum(token > UNIT)])
-    out = []
+    none = np.zeros(0, np.int64)
+    out = [(np.zeros(0, np.uint64), none, none, none, none)]
     for length in lengths:
         k, series = (length, token) if length > 0 else (-length, plain)
         n = len(token) - k + 1
@@ -186,28 +197,23 @@ def windows(texts: list, lengths: list[int], whole: bool = False) -> tuple[np.nd
             size = np.diff(cuts)[own[:n]]
             ok &= (size == k) if k < WINDOW else (size >= k)
         at = np.flatnonzero(ok)
+        if known is not None:
+            j = np.searchsorted(known, h[at])
+            j[j == len(known)] = 0
+            at = at[known[j] == h[at]] if len(known) else at[:0]
         out.append((h[at], own[at], at - cuts[own[at]], np.full(len(at), length), at))
-    if not out:
-        return (*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64)), plain, token)
     return (*(np.concatenate([x[i] for x in out]) for i in range(5)), plain, token)
 
 
 def _rows(column: str, lengths: list[int], whole: bool, keep) -> object:
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for i in range(0, len(rows), 1000):
-                part = rows.iloc[i : i + 1000]
-                h, own, place, size, at, plain, token = windows(part["text"].to_list(), lengths, whole)
-                if keep is not None:
-                    known = keep.value
-                    k = np.searchsorted(known, h)
-                    k[k == len(known)] = 0
-                    hit = known[k] == h if len(known) else np.zeros(len(h), bool)
-                    h, own, place, size, at = h[hit], own[hit], place[hit], size[hit], at[hit]
-                # Plain windows have no slots: an empty slice.
-                slots = [plain[a : a + n][token[a : a + n] <= UNIT].view(np.int64).tolist() for a, n in zip(at.tolist(), np.maximum(size, 0).tolist())]
-                ids = part[column].to_numpy(object)[own] if len(own) else []
-                yield pd.DataFrame({"h": h.view(np.int64), column: pd.array(ids, "Int64"), "place": place, "k": size, "slots": pd.Series(slots, dtype=object)})
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, PART):
+            h, own, place, size, at, plain, token = windows(utf8(part.column("text")), lengths, whole, None if keep is None else keep.value)
+            # Plain windows have no slots: an empty slice.
+            slots = [plain[a : a + n][token[a : a + n] <= UNIT].view(np.int64) for a, n in zip(at.tolist(), np.maximum(size, 0).tolist())]
+            columns = [h.view(np.int64), part.column(column).take(pa.array(own)), place, size]
+            slots = pa.array(slots, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), slots], ["h", column, "place", "k", "slots"])
 
     return emit
 
@@ -216,9 +222,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document and item with a common window: doc_id, item_id, n_windows (of the item), n_matched, n_slots (different
     pairs of slot values), n_conflicts, contaminated; the counts are those of the occurrence that tells most."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     lengths = [*range(MIN_WINDOW, WINDOW + 1), *range(-WINDOW, 0)]
-    known = saved(items.mapInPandas(_rows("item_id", lengths, True, None), "h long, item_id long, place long, k long, slots array<long>"))
+    known = saved(items.mapInArrow(_rows("item_id", lengths, True, None), "h long, item_id long, place long, k long, slots array<long>"))
     # Documents are only cut to windows of the lengths that items have.
     lengths = sorted(r["k"] for r in known.select("k").distinct().collect()) or [WINDOW]
     known = known.withColumn("plain", F.col("k") < 0).drop("k")
@@ -227,7 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n <= SMALL:
         keep = spark.sparkContext.broadcast(np.sort(known.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInPandas(_rows("doc_id", lengths, False, keep), "h long, doc_id long, place long, k long, slots array<long>")
+    found = texts.mapInArrow(_rows("doc_id", lengths, False, keep), "h long, doc_id long, place long, k long, slots array<long>")
     found = found.withColumnsRenamed({"slots": "doc_slots", "place": "doc_place"}).drop("k")
     hits = saved(found.join(known, "h"))
     sizes = known.groupBy("item_id", "plain").agg(F.count(F.lit(1)).alias("n_windows"))
