@@ -13,24 +13,31 @@ earlier in the same one. The suffixes that must be compared are first brought to
    unset then has MIN_BYTES or more in common. Those suffixes form groups; all but the earliest of a group are repeats.
 
 An anchor with very many different segments is split: each of its windows goes by the hash of its own bytes, so no task
-has to hold the surroundings of a passage that a large part of the corpus shares. Nothing is dropped or capped.
+has to hold the surroundings of a passage that a large part of the corpus shares. Copies within a batch of documents need
+no comparison and are dealt evenly. Over many batches segments meet in two steps: groups of batches first keep the earliest
+of each different segment and tell which anchors are hot, then a range of anchors sees what these have left. Nothing is
+dropped or capped.
 
 Defined results: a null text counts as empty; documents of fewer than MIN_BYTES bytes keep all; rows that repeat a doc_id
-and its text are one document and get equal results; rows with a null doc_id keep all and are no one's earlier text;
-extra columns are ignored; an empty table gives an empty result.
+and its text are one document and get equal results; different texts under one doc_id are documents of their own, in the
+order of a hash of their text; rows with a null doc_id keep all and are no one's earlier text; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices, small_batches, utf8
 
 MIN_BYTES = 100
 GRAM = 32
@@ -38,8 +45,12 @@ GRAM = 32
 HOT = 2048
 #: Bytes that are hashed at a time, and bytes of a string that is sorted.
 BLOCK, STRING = 512 << 10, 512 << 10
-#: Key ranges for each input partition.
-RANGES = 4
+#: Key ranges for each input partition, and input partitions whose segments meet in a first step.
+RANGES, MEET = 4, 256
+#: Bytes of text that are cut to segments at a time, and whose asked segments are fetched at a time.
+BATCH, FETCH = 8 << 20, 2 << 20
+#: A document: its id, and a hash of its text that tells different texts of one id.
+DOC = np.dtype([("id", "<i8"), ("t", "<i8")])
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,7 +158,7 @@ def _packed(key: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _firsts(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of segments by anchor and content, the earliest ones and the others. A repeated row is no other place."""
-    order = np.lexsort((p, d, c, h))
+    order = np.lexsort((p, d["t"], d["id"], c, h))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
     lead = order[new]
@@ -156,71 +167,113 @@ def _firsts(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple
     return lead, order[elsewhere]
 
 
-def _anchors(ranges: int, size: int):
-    """By ranges of anchors: hash, content, document, place and windows of each segment. Copies in a batch need no
-    comparison: they come with an empty hash."""
+#: Rows of segments: range and group of batches; anchors, contents, documents, places and windows as arrays. Rows without
+#: anchors are finished copies, rows without contents finished segments of hot anchors.
+_ROW = pa.schema([("r", pa.int32()), ("g", pa.int32()), *((k, pa.binary()) for k in "hcdpn")])
+_TYPES = {"h": np.uint32, "c": np.uint64, "d": DOC, "p": np.int32, "n": np.uint8}
+#: So many windows mark an anchor as hot; a segment has fewer.
+_HOT_MARK = 255
+
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ids = rows["doc_id"].to_numpy(np.int64)
-            found = [(k, *x) for k, x in _texts([t.encode() if isinstance(t, str) else b"" for t in rows["text"]], size)]
+def _anchors(ranges: int, groups: int, size: int):
+    """By ranges of anchors: hash, content, document, place and windows of each segment. Copies in a batch need no
+    comparison: they go anywhere."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        for number, rows in enumerate(slices(batches, BATCH)):
+            ids = np.empty(len(rows), DOC)
+            ids["id"], ids["t"] = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "t"))
+            found = [(k, *x) for k, x in _texts(utf8(rows.column("text")), size)]
             if not found:
                 continue
             h, first, last, content = (np.concatenate([x[i] for x in found]) for i in range(1, 5))
             doc = ids[np.repeat([x[0] for x in found], [len(x[1]) for x in found])]
+            del found
             more = (last - first).astype(np.uint8)
             lead, copies = _firsts(h, content, doc, first)
             low = ((h * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
-            first = first.astype(np.int32)
-            out = []
+            first, out = first.astype(np.int32), []
             for r, at in _packed(h[lead], ranges):
                 k = lead[at]
-                out.append((r, low[k].tobytes(), content[k].tobytes(), doc[k].tobytes(), first[k].tobytes(), more[k].tobytes()))
-            for r, at in _packed(h[copies], ranges):
-                k = copies[at]
-                out.append((r, b"", b"", doc[k].tobytes(), first[k].tobytes(), more[k].tobytes()))
-            yield pd.DataFrame(out, columns=["r", "h", "c", "d", "p", "n"])
+                out.append((r, pid % groups, low[k].tobytes(), content[k].tobytes(), doc[k].tobytes(), first[k].tobytes(), more[k].tobytes()))
+            if len(copies):
+                anywhere = zlib.crc32(f"{pid}-{number}".encode()) % ranges
+                out.append((anywhere, pid % groups, b"", b"", doc[copies].tobytes(), first[copies].tobytes(), more[copies].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)], schema=_ROW)
 
     return emit
 
 
+def _parted(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """Rows of finished copies, of finished segments of hot anchors, and of others."""
+    h, c = (rows[k].str.len() > 0 for k in "hc")
+    return rows[~h], rows[h & ~c], rows[h & c]
+
+
+def _arrays(rows: pd.DataFrame, names: str = "hcdpn") -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(rows[k]), _TYPES[k]) for k in names]
+
+
+def _hot(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the anchor of each of these different segments has over HOT of them, or a mark that it has."""
+    _, name, count = np.unique(h, return_inverse=True, return_counts=True)
+    marked = np.bincount(name, n == _HOT_MARK, len(count)) > 0
+    return ((count > HOT) | marked)[name]
+
+
+def _met(rows: pd.DataFrame) -> pd.DataFrame:
+    """The segments of a range in one group of batches: the earliest of each content, and what is settled with that."""
+    copies, hot, rest = _parted(rows)
+    h, c, d, p, n = _arrays(rest)
+    lead, gone = _firsts(h, c, d, p)
+    over = _hot(h[lead], n[lead])
+    r, g = int(rows["r"].iloc[0]), int(rows["g"].iloc[0])
+    out = [*copies.itertuples(index=False), *hot.itertuples(index=False)]
+    put = lambda k, *left_out: out.append((r, g, *(b"" if name in left_out else x[k].tobytes() for name, x in zip("hcdpn", (h, c, d, p, n)))))
+    put(gone, "h", "c")
+    put(lead[over], "c")
+    put(lead[~over])
+    marks = np.unique(h[lead[over]])
+    out.append((r, g, marks.tobytes(), np.zeros(len(marks), np.uint64).tobytes(), np.zeros(len(marks), DOC).tobytes(),
+                np.full(len(marks), -1, np.int32).tobytes(), np.full(len(marks), _HOT_MARK, np.uint8).tobytes()))
+    return pd.DataFrame([x for x in out if len(x[4])], columns=_ROW.names)
+
+
 def _resolved(size: int):
-    """Spans to remove (null anchor), and the first of each different segment of anchors that have several: doc_id, a, e,
-    anchor, and into how many parts its segments are to be dealt."""
+    """Spans to remove (null anchor), and the first of each different segment of anchors that have several: doc_id, t, a, e,
+    anchor, and whether its windows are to be dealt one by one."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        copies, rows = rows[rows["h"].str.len() == 0], rows[rows["h"].str.len() > 0]
-        types = {"h": np.uint32, "c": np.uint64, "d": np.int64, "p": np.int32, "n": np.uint8}
-        h, c, d, p, n = (np.frombuffer(b"".join(rows[k]), t) for k, t in types.items())
+        r, (copies, hot, rest) = int(rows["r"].iloc[0]), _parted(rows)
+        h, c, d, p, n = _arrays(rest)
         lead, gone = _firsts(h, c, d, p)
-        name = np.cumsum(np.append(True, h[lead][1:] != h[lead][:-1])) - 1 if len(lead) else np.zeros(0, np.int64)
-        times = np.bincount(name)[name] if len(lead) else name
-        ask, times = lead[times > 1], times[times > 1]
-        d2, p2, n2 = (np.frombuffer(b"".join(copies[k]), types[k]) for k in "dpn")
-        doc = np.concatenate([d[gone], d2, d[ask]])
-        a = np.concatenate([p[gone], p2, p[ask]]).astype(np.int64)
-        e = a + np.concatenate([n[gone], n2, n[ask]]) + size
-        r = int(rows["r"].iloc[0]) if len(rows) else 0
-        anchor = pd.array(np.concatenate([np.zeros(len(gone) + len(d2), np.int64), h[ask].astype(np.int64) | (r << 32)]), "Int64")
-        anchor[: len(gone) + len(d2)] = pd.NA
-        parts = np.concatenate([np.ones(len(gone) + len(d2), np.int64), times // HOT + 1])
-        return pd.DataFrame({"doc_id": doc, "a": a, "e": e, "anchor": anchor, "parts": parts})
+        over = _hot(h[lead], n[lead])
+        lead, over = lead[n[lead] != _HOT_MARK], over[n[lead] != _HOT_MARK]
+        name = np.unique(h[lead], return_inverse=True)[1]
+        ask = np.flatnonzero(over | (np.bincount(name)[name] > 1)) if len(lead) else lead
+        over, ask = over[ask], lead[ask]
+        parts = [(d[gone], p[gone], n[gone], None, False), (*_arrays(copies, "dpn"), None, False), (d[ask], p[ask], n[ask], h[ask], over), (*_arrays(hot, "dpn"), _arrays(hot, "h")[0], True)]
+        doc, a, n = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        anchor = np.concatenate([np.full(len(x[0]), -1, np.int64) if x[3] is None else x[3].astype(np.int64) | (r << 32) for x in parts])
+        dealt = np.concatenate([np.broadcast_to(x[4], len(x[0])) for x in parts])
+        a = a.astype(np.int64)
+        anchor = pd.Series(anchor).astype("Int64").mask(anchor < 0)
+        return pd.DataFrame({"doc_id": doc["id"], "t": doc["t"], "a": a, "e": a + n + size, "anchor": anchor, "dealt": dealt})
 
     return run
 
 
 def _fetched(ranges: int, size: int):
     """The texts of the segments asked for, by their anchor's range; those of hot anchors window by window."""
+    schema = pa.schema([("r", pa.int32()), *((k, pa.binary()) for k in ("h", "d", "p", "len", "text"))])
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, FETCH):
             key, doc, place, text = [], [], [], []
-            for doc_id, whole, asked in zip(rows["doc_id"], rows["text"], rows["asked"]):
-                if asked is None:
-                    continue
-                data = whole.encode() if isinstance(whole, str) else b""
-                for x in asked:
-                    if x["parts"] == 1:
+            for doc_id, t, data, asked in zip(rows.column("doc_id").to_pylist(), rows.column("t").to_pylist(), utf8(rows.column("text")), rows.column("asked").to_pylist()):
+                for x in asked or ():
+                    if not x["dealt"]:
                         spans = [(x["anchor"], x["a"], x["e"])]
                     else:
                         spans = []
@@ -229,18 +282,20 @@ def _fetched(ranges: int, size: int):
                             spans.append(((h * ranges >> 64) << 32 | h & 0xFFFFFFFF, i, i + size))
                     for k, i, j in spans:
                         key.append(k)
-                        doc.append(doc_id)
+                        doc.append((doc_id, t))
                         place.append(i)
                         text.append(data[i:j])
-            key, doc, place = (np.array(x, np.int64) for x in (key, doc, place))
+            if not key:
+                continue
+            key, doc, place = np.array(key, np.int64), np.array(doc, DOC), np.array(place, np.int64)
             n = np.array([len(x) for x in text], np.int64)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order] >> 32)) + 1
             out = [
                 (int(key[k[0]] >> 32), key[k].tobytes(), doc[k].tobytes(), place[k].tobytes(), n[k].tobytes(), b"".join(text[i] for i in k))
-                for k in (np.split(order, cuts) if len(order) else ())
+                for k in np.split(order, cuts)
             ]
-            yield pd.DataFrame(out, columns=["r", "h", "d", "p", "len", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return emit
 
@@ -301,7 +356,7 @@ def bounded_prefixes(b: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray
 
 
 def _repeats(d: np.ndarray, p: np.ndarray, lens: np.ndarray, texts: list[bytes], size: int) -> Iterator[tuple]:
-    """Spans (doc_id, start, end) of windows of these different segments that also occur in an earlier one."""
+    """Spans (document, start, end) of windows of these different segments that also occur in an earlier one."""
     b = np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8)
     starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
     order = suffix_order(b, size)
@@ -311,13 +366,13 @@ def _repeats(d: np.ndarray, p: np.ndarray, lens: np.ndarray, texts: list[bytes],
     valid = (off + size <= lens[seg])[order]
     group = np.cumsum(~shared)[valid]
     s, o = seg[order][valid], off[order][valid]
-    by = np.lexsort((p[s] + o, d[s], group))
+    by = np.lexsort((p[s] + o, d["t"][s], d["id"][s], group))
     g = group[by]
     later = np.zeros(len(g), bool)
     later[1:] = g[1:] == g[:-1]
     k = by[later]
     doc, at = d[s[k]], p[s[k]] + o[k]
-    by = np.lexsort((at, doc))
+    by = np.lexsort((at, doc["t"], doc["id"]))
     doc, at = doc[by], at[by]
     if len(doc):
         new = np.ones(len(doc), bool)
@@ -330,17 +385,19 @@ def _compared(size: int):
     """Spans of these segments that repeat others of the same anchor."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, d, p, n = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("h", "d", "p", "len"))
+        h, p, n = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("h", "p", "len"))
+        d = np.frombuffer(b"".join(rows["d"]), DOC)
         body, ends = b"".join(rows["text"]), np.cumsum(n)
         texts = [body[j - k : j] for j, k in zip(ends.tolist(), n.tolist())]
-        order = sorted(range(len(h)), key=lambda k: (h[k], texts[k], d[k], p[k]))
+        name = d.tolist()
+        order = sorted(range(len(h)), key=lambda k: (h[k], texts[k], name[k], p[k]))
         # Windows of hot anchors may be equal; a repeated row brings its own segments again.
         lead: list[int] = []
         copies = []
         for k in order:
             if not lead or h[k] != h[lead[-1]] or texts[k] != texts[lead[-1]]:
                 lead.append(k)
-            elif (d[k], p[k]) != (d[lead[-1]], p[lead[-1]]):
+            elif (name[k], p[k]) != (name[lead[-1]], p[lead[-1]]):
                 copies.append(k)
         spans = [(d[copies], p[copies], p[copies] + n[copies])] if copies else []
         # An anchor with one text has nothing to compare; the others are packed to strings of bounded size.
@@ -357,52 +414,57 @@ def _compared(size: int):
             k = lead[i:j]
             if len(k):
                 spans += _repeats(d[k], p[k], n[k], [texts[x] for x in k], size)
-        d, a, e = (np.concatenate([x[i] for x in spans] or [np.zeros(0, np.int64)]) for i in range(3))
-        return pd.DataFrame({"doc_id": d, "a": a, "e": e})
+        d, a, e = (np.concatenate([x[i] for x in spans] or [np.zeros(0, DOC if i == 0 else np.int64)]) for i in range(3))
+        return pd.DataFrame({"doc_id": d["id"], "t": d["t"], "a": a, "e": e})
 
     return run
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in slices(batches, BATCH):
         out = []
-        for doc_id, text, spans in zip(rows["doc_id"], rows["text"], rows["spans"]):
-            data = text.encode() if isinstance(text, str) else b""
-            removed, n, at, kept = 0, 0, 0, []
-            if spans is not None and len(spans):
-                end = -1
-                for a, e in sorted((x["a"], x["e"]) for x in spans):
-                    if a > end:
-                        kept.append(data[at:a])
-                        n += 1
-                        removed += e - a
-                    elif e > end:
-                        removed += e - end
-                    end = max(end, e)
-                    at = end
+        for doc_id, data, spans in zip(rows.column("doc_id").to_pylist(), utf8(rows.column("text")), rows.column("spans").to_pylist()):
+            removed, n, at, end, kept = 0, 0, 0, -1, []
+            for a, e in sorted((x["a"], x["e"]) for x in spans or ()):
+                if a > end:
+                    kept.append(data[at:a])
+                    n += 1
+                    removed += e - a
+                elif e > end:
+                    removed += e - end
+                end = max(end, e)
+                at = end
             kept.append(data[at:])
             rest = b"".join(kept)
             out.append((doc_id, len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode(errors="replace")))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Documents (doc_id, text) with ``spans``: array of (a, e), byte ranges to remove, which may overlap."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = RANGES * max(4, texts.rdd.getNumPartitions())
-    lead = texts.filter("doc_id IS NOT NULL").mapInPandas(_anchors(ranges, min_bytes), "r int, h binary, c binary, d binary, p binary, n binary")
-    resolved = saved(lead.groupBy("r").applyInPandas(_resolved(min_bytes), "doc_id long, a long, e long, anchor long, parts long"))
-    asked = resolved.filter("anchor IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "a", "e", "parts")).alias("asked"))
-    rows = texts.join(asked, "doc_id", "left").mapInPandas(
+    """Documents (doc_id, t: hash of the text, text) with ``spans``: array of (a, e), byte ranges to remove, which may overlap."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    partitions = max(4, texts.rdd.getNumPartitions())
+    ranges, groups = min(RANGES * partitions, 1 << 30), -(-partitions // MEET)
+    row = "r int, g int, h binary, c binary, d binary, p binary, n binary"
+    lead = texts.filter("doc_id IS NOT NULL").mapInArrow(_anchors(ranges, groups, min_bytes), row)
+    if groups > 1:
+        lead = lead.groupBy("r", "g").applyInPandas(_met, row)
+    schema = "doc_id long, t long, a long, e long, anchor long, dealt boolean"
+    resolved = saved(lead.groupBy("r").applyInPandas(_resolved(min_bytes), schema))
+    asked = resolved.filter("anchor IS NOT NULL").groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "a", "e", "dealt")).alias("asked"))
+    rows = texts.join(asked, ["doc_id", "t"], "left").mapInArrow(
         _fetched(ranges, min_bytes), "r int, h binary, d binary, p binary, len binary, text binary"
     )
-    spans = rows.groupBy("r").applyInPandas(_compared(min_bytes), "doc_id long, a long, e long")
-    spans = spans.unionByName(resolved.filter("anchor IS NULL").select("doc_id", "a", "e"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
-    return texts.join(spans, "doc_id", "left")
+    spans = rows.groupBy("r").applyInPandas(_compared(min_bytes), "doc_id long, t long, a long, e long")
+    spans = spans.unionByName(resolved.filter("anchor IS NULL").select("doc_id", "t", "a", "e"))
+    spans = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    return texts.join(spans, ["doc_id", "t"], "left")
 
 
 def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (invalid UTF-8 at cuts replaced)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return repeated_spans(docs, min_bytes).mapInPandas(_kept, schema)
+    return repeated_spans(docs, min_bytes).mapInArrow(_kept, schema)
