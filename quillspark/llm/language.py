@@ -7,7 +7,9 @@ each bit weighted by how well its classifier fits. A text is flagged ``ambiguous
 Training takes at most ``most`` documents of each language, chosen by a hash of their id, and whole texts of them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no training rows all are ``und``;
-rows with null language are never learnt from; repeated rows get equal results; extra columns pass through.
+rows with null text, language or doc_id are never learnt from; a language named ``und`` in the table is learnt like any
+other; repeated rows get equal results; extra columns pass through, but those named ``lang_pred``, ``score`` and
+``ambiguous`` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches, utf8
 from .labels import fold, sample
 
 FEATURES, BITS, MOST, MARGIN = 4096, 15, 400, 0.1
-BLOCK = 1 << 20
+#: Bytes and texts that are counted at a time.
+BLOCK, TEXTS = 1 << 20, 500
 LETTER = re.compile(r"[^\W\d_]")
 #: A to Z become small; digits and ASCII signs become spaces.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -32,9 +37,8 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def counts(texts: list) -> np.ndarray:
+def counts(data: list[bytes]) -> np.ndarray:
     """Relative frequencies of hashed 2- and 3-grams of bytes (square roots, unit length), a row for each text."""
-    data = [t.encode() if isinstance(t, str) else b"" for t in texts]
     out = np.zeros((len(data), FEATURES), np.float32)
     at = 0
     while at < len(data):
@@ -97,7 +101,7 @@ def train(rows: pd.DataFrame) -> dict | None:
     return {"langs": np.array(langs, object), "code": code, "w": w, "b": b, "weight": np.maximum(good - 0.5, 1e-3)}
 
 
-def predict(model: dict, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+def predict(model: dict, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
     """Language, score and ambiguity of each text."""
     margin = counts(texts) @ model["w"] + model["b"]
     weight = model["weight"] / model["weight"].sum()
@@ -106,41 +110,41 @@ def predict(model: dict, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
     p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
     p /= p.sum(1, keepdims=True)
     second = np.sort(loss, 1)[:, 1] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
-    lang = [model["langs"][k] if isinstance(t, str) and LETTER.search(t) else "und" for t, k in zip(texts, best)]
-    known = np.array([x != "und" for x in lang], bool)
+    known = np.array([bool(LETTER.search(t.decode())) for t in texts], bool)
+    lang = [model["langs"][k] if ok else "und" for ok, k in zip(known, best)]
     return lang, np.where(known, p[np.arange(len(best)), best], 0.0), known & (second - loss.min(1) < MARGIN)
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        for at in range(0, len(rows), 500):
-            part = rows.iloc[at : at + 500]
-            x = counts(part["text"].to_list()).astype(np.float16)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "x": [v.tobytes() for v in x]})
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in slices(batches, BLOCK, TEXTS):
+        x = counts(utf8(rows.column("text"))).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "lang", "x"])
 
 
 def fit(docs: DataFrame, most: int = MOST) -> dict | None:
     """Train on documents with a language outside the held-out fold."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND lang <> 'und'")
+    small_batches(docs.sparkSession)
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     known = known.filter(fold(F.col("doc_id"), 4) != 2)
     chosen = sample(known, "lang", most).select("doc_id", F.col("lang").alias("_lang"))
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang")
-    x = rows.select("doc_id", "lang", "text").mapInPandas(_features, "doc_id long, lang string, x binary").toPandas()
+    x = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_features, "doc_id long, lang string, x binary").toPandas()
     return train(x.sort_values(["lang", "doc_id"], kind="stable").reset_index(drop=True))
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """Append lang_pred, score and ambiguous to the documents."""
     docs = docs.drop("lang_pred", "score", "ambiguous")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for at in range(0, len(rows), 500):
-                part = rows.iloc[at : at + 500]
-                n = len(part)
-                lang, score, unsure = (["und"] * n, np.zeros(n), np.zeros(n, bool)) if shared.value is None else predict(shared.value, part["text"].to_list())
-                yield part.assign(lang_pred=lang, score=score, ambiguous=unsure)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, BLOCK, TEXTS):
+            n = len(rows)
+            found = (["und"] * n, np.zeros(n), np.zeros(n, bool)) if shared.value is None else predict(shared.value, utf8(rows.column("text")))
+            for name, kind, x in zip(("lang_pred", "score", "ambiguous"), (pa.string(), pa.float64(), pa.bool_()), found):
+                rows = rows.append_column(name, pa.array(x, kind))
+            yield rows
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{types}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, f"{types}, lang_pred string, score double, ambiguous boolean")

@@ -6,7 +6,8 @@ isotonic step function, fitted to counts in score bins, turns the ridge score in
 outside the held-out fold take part; the driver holds matrices of a fixed size only.
 
 Defined results: a null or empty text has zero statistics and is scored like any other; repeated rows get equal scores;
-extra columns are ignored; labels without a document, or null, are ignored; with no labelled rows every score is 1.
+extra columns are ignored; labels without a document, or null, are ignored; with no labelled rows every score is 1; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,24 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices, small_batches, utf8
 from .labels import fold
 from .ngram_join import _LOWER, _SPACE, word_hashes
 
 STATS = ("chars", "words", "mean_word", "upper", "lower", "digit", "other", "symbol", "stop", "comma", "bang", "line", "distinct", "next_equal", "dup_lines", "marks_end", "single")
 FREQUENCIES, RIDGE, WIDTH, BINS = 256, 1e-2, 10.0, 400
-BLOCK = 1 << 20
+#: Bytes that are counted at a time, and groups of tasks whose sums are added up first.
+BLOCK, MEET = 1 << 20, 256
 _CLASS = np.full(256, 3, np.int64)
 for _k, _chars in enumerate((range(65, 91), range(97, 123), range(48, 58), range(128, 256), b"#*$%&|<>{}[]=+~^_@\\/", b".", b",", b"!?", b"\n", b"\t\x0b\x0c\r ")):
     _CLASS[list(_chars)] = _k
 
 
-def statistics(texts: list) -> np.ndarray:
+def statistics(data: list[bytes]) -> np.ndarray:
     """A row of STATS for each text."""
-    data = [t.encode() if isinstance(t, str) else b"" for t in texts]
     out = np.zeros((len(data), len(STATS)))
     at = 0
     while at < len(data):
@@ -71,14 +74,17 @@ def statistics(texts: list) -> np.ndarray:
     return out
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "x": pd.Series(list(statistics(rows["text"].to_list())), dtype=object)})
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in slices(batches, BLOCK):
+        x = statistics(utf8(rows.column("text")))
+        x = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), x], ["doc_id", "x"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id and its statistics ``x`` (array<double>)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described, "doc_id long, x array<double>")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_described, "doc_id long, x array<double>")
 
 
 def _fourier(x: np.ndarray, model: dict) -> np.ndarray:
@@ -95,14 +101,15 @@ def _summed(f, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = f(np.stack(rows["x"].to_list()), rows["y"].to_numpy(float))
             total = part if total is None else total + part
     if total is not None:
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+        yield pd.DataFrame({"g": TaskContext.get().partitionId() % MEET, "i": np.arange(len(total)), "v": list(total)})
 
 
 def _sums(rows: DataFrame, f) -> np.ndarray | None:
-    """The sum of ``f`` over all rows, added up row by row of the result."""
-    parts = rows.mapInPandas(lambda batches: _summed(f, batches), "i int, v array<double>")
-    add = lambda pdf: pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.stack(pdf["v"].to_list()).sum(0)]})
-    out = parts.groupBy("i").applyInPandas(add, "i int, v array<double>").toPandas().sort_values("i")
+    """The sum of ``f`` over all rows, added up row by row of the result, in groups of tasks first."""
+    parts = rows.mapInPandas(lambda batches: _summed(f, batches), "g int, i int, v array<double>")
+    add = lambda pdf: pd.DataFrame({"g": pdf["g"].iloc[:1], "i": pdf["i"].iloc[:1], "v": [np.stack(pdf["v"].to_list()).sum(0)]})
+    parts = parts.groupBy("g", "i").applyInPandas(add, "g int, i int, v array<double>")
+    out = parts.groupBy("i").applyInPandas(add, "g int, i int, v array<double>").toPandas().sort_values("i")
     return np.stack(out["v"].to_list()) if len(out) else None
 
 

@@ -3,29 +3,37 @@
 Words are runs of letters and digits, wherever they stand ('you/moron' is two), in pieces of LONGEST characters; scripts
 without spaces give a word for each character, and signs count where they stand alone. A word's input is the sum of hashed
 embeddings of the word and of its characters (its ends of three and five and each GRAM characters within), so that
-inflected, unseen and hidden words share evidence. Windows of WINDOW words, one every STRIDE, cover the whole
-text; a document's score is that of its ADJACENT worst windows in a row, however long it is. The network runs over thousands of windows at a time, one step for
-each place in the window; the projections of a word's input are computed once for each different word of a batch.
-
-Training takes at most ``most`` labelled documents of each class, chosen by a hash of their id, with all their windows. A toxic document needs only one toxic window: after a first pass over all windows, each round trains on the worst
-windows of toxic documents, and on the worst and some other windows of clean ones. Windows are drawn
-document by document, so a long text weighs no more than a short one. A quarter of the documents is kept apart to turn the worst windows' score into a probability (logistic calibration, weighted by the classes' frequencies).
-
-Defined results: a null, empty or blank text has no window and score 0; texts in any script have words;
-repeated rows get equal scores; extra columns are ignored; with no labelled rows of one of the classes every score is 0.
+inflected, unseen and hidden words share evidence. Windows of WINDOW words, one every STRIDE, cover the whole text; a
+document's score is that of its ADJACENT worst windows in a row, however long it is. The network runs over many windows at a
+time, one step for each place in the window; the projections of a word's input are computed once for each different word of
+a batch.
+
+Training takes at most ``most`` labelled documents of each class, chosen by a hash of their id, with all their windows. A
+toxic document needs only one toxic window: after a first pass over all windows, each round trains on the worst windows of
+toxic documents, and on the worst and some other windows of clean ones. Windows are drawn document by document, so a long
+text weighs no more than a short one. A quarter of the documents is kept apart to turn the worst windows' score into a
+probability (logistic calibration, weighted by the classes' frequencies).
+
+Defined results: a null, empty or blank text has no window and score 0; texts in any script have words; repeated rows get
+equal scores; extra columns pass through, but those named ``score`` and ``predicted`` are replaced; labels without a
+document, or null, are ignored, and of contradicting labels of one document either may be taken; with no labelled rows of one
+of the classes every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
 from .labels import fold, sample
 
 WINDOW, STRIDE = 32, 16
@@ -34,6 +42,8 @@ TABLE, DIM, HIDDEN = 1 << 16, 8, 8
 ADJACENT = 2
 #: Labelled documents of each class that training takes at most.
 MOST = 1500
+#: Bytes of texts that go through the network at a time, and different words whose features a worker remembers.
+PART, REMEMBERED = 1 << 20, 1 << 16
 ROUNDS, STEPS, BATCH = 8, 120, 128
 #: Documents in which a feature must occur for its embedding to be trained; all others stay zero.
 SEEN = 3
@@ -147,12 +157,14 @@ def _gradients(net: Net, rows: np.ndarray, mask: np.ndarray, y: np.ndarray) -> N
     return g
 
 
+@functools.lru_cache(REMEMBERED)
+def _row(w: str) -> bytes:
+    f = features(w)
+    return np.array(f + [-1] * (FEATURES - len(f)), np.int32).tobytes()
+
+
 def _table(words: list[str]) -> np.ndarray:
-    out = np.full((len(words), FEATURES), -1, np.int32)
-    for i, w in enumerate(words):
-        f = features(w)
-        out[i, : len(f)] = f
-    return out
+    return np.frombuffer(b"".join(map(_row, words)), np.int32).reshape(len(words), FEATURES)
 
 
 def _hidden(net: Net, inputs: dict[str, np.ndarray], word: np.ndarray) -> np.ndarray:
@@ -320,19 +332,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Net | None:
 def score(docs: DataFrame, net: Net | None, threshold: float = 0.7) -> DataFrame:
     """Append ``score`` (double) and ``predicted`` (int) to the documents."""
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            values = np.zeros(len(rows))
-            if shared.value is not None:
-                # Texts go through the network a few million characters at a time.
-                size = rows["text"].str.len().fillna(0).cumsum().to_numpy() // (4 << 20)
-                for part in np.unique(size):
-                    at = size == part
-                    values[at] = score_texts(shared.value, rows["text"][at].to_list())
-            yield rows.assign(score=values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, PART):
+            values = np.zeros(len(rows)) if shared.value is None else score_texts(shared.value, rows.column("text").to_pylist())
+            yield rows.append_column("score", pa.array(values, pa.float64()))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInPandas(run, f"{types}, score double")
+    out = docs.mapInArrow(run, f"{types}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
