@@ -1,20 +1,23 @@
 r"""Format conversations for training in budgeted windows.
 
-Prefix sums of turn tokens choose the windows: a turn belongs to the window whose part of the token line its start falls
-in, so windows always begin and end with whole turns. Each window starts with the last system turn before it, repeats the
-turns that end within ``history`` tokens before its first fresh turn, and then holds its fresh turns. Only fresh assistant
-turns count for the loss; repeated ones are masked.
+Prefix sums of turn tokens choose the windows: turns are taken in order while the last system turn before the window, ``HISTORY``
+tokens kept free, and the window's fresh turns stay within ``BUDGET``; the turn that would pass it begins the next window. So
+windows always begin and end with whole turns. A window is written as its system turn, then the turns before its first
+fresh one that fit in what is left of the budget (at most HISTORY tokens, none from before the system turn), then its fresh
+turns. Only fresh assistant turns count for the loss; repeated ones are masked. A window passes the budget only if it is one
+fresh turn, without history, which is too long beside its system turn. A window is named by the place of its first fresh turn.
 
 A turn is written ``<|role|>\n`` text ``<|end|>\n``. Inside roles and texts, backslash, ``<`` and ``|`` are written
 ``\b``, ``\l`` and ``\p``, so no text can forge a marker, and :func:`unescape` restores it exactly.
 
 Defined results: null texts and roles are empty strings; turns of equal number are ordered by role, then text, and nulls
 come first; repeated rows are turns of their own; a null conv_id is a conversation of its own; an empty table gives an
-empty result; other columns are ignored. A turn longer than the budget has a window of its own.
+empty result; other columns are ignored.
 
-Prefix sums run in two levels (runs of turn numbers within a conversation, then over the runs), so a conversation with a
-large share of all rows isn't ordered in one task. Only :func:`digest` gathers a whole conversation, since its hash is of
-the whole text.
+Prefix sums run in two levels (runs of turn numbers within a conversation, then over the runs), and windows start anew with
+each CHUNK tokens of a conversation, so one with a large share of all rows isn't ordered or cut in one task. History and
+system turns meet their windows by joins on narrow keys. Only :func:`digest` gathers a whole conversation, since its hash is
+of the whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 512, 128
-#: Turn numbers to a run.
-RUN = 64
+#: Turn numbers to a run, and tokens after which windows start anew.
+RUN, CHUNK = 4096, 8192
 
 
 def escape(x: Column) -> Column:
@@ -46,7 +49,7 @@ def tokens(text: Column) -> Column:
 
 
 def _placed(conv: DataFrame) -> DataFrame:
-    """Turns with their place, the tokens before them, and the last system turn before them."""
+    """Turns with their place (ord), the tokens before them (pre), and place and tokens of the last system turn before them."""
     t = conv.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -56,64 +59,65 @@ def _placed(conv: DataFrame) -> DataFrame:
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     inner = W.partitionBy("_c", "_n", "run").orderBy(*order)
     before = inner.rowsBetween(W.unboundedPreceding, -1)
-    system = F.when(F.col("role") == "system", F.col("text"))
     t = t.withColumns(
-        {
-            "ord": F.row_number().over(inner).cast("long") - 1,
-            "pre": F.coalesce(F.sum("tok").over(before), F.lit(0)).cast("long"),
-            "sys": F.last(system, ignorenulls=True).over(before),
-        }
-    )
-    runs = t.groupBy("_c", "_n", "run").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tok").alias("run_tok"),
-        F.max(F.when(F.col("role") == "system", F.struct("ord", "text")))["text"].alias("run_sys"),
+        {"ord": F.row_number().over(inner).cast("long") - 1, "pre": F.coalesce(F.sum("tok").over(before), F.lit(0)).cast("long")}
     )
+    system = F.when(F.col("role") == "system", F.struct("ord", "tok"))
+    t = t.withColumn("sys", F.last(system, ignorenulls=True).over(before))
+    runs = t.groupBy("_c", "_n", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("run_tok"), F.max(system).alias("run_sys"))
     over = W.partitionBy("_c", "_n").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumns(
-        {
-            "n0": F.coalesce(F.sum("n").over(over), F.lit(0)),
-            "pre0": F.coalesce(F.sum("run_tok").over(over), F.lit(0)),
-            "sys0": F.last("run_sys", ignorenulls=True).over(over),
-            "all_tok": F.sum("run_tok").over(W.partitionBy("_c", "_n")),
-        }
-    ).select("_c", "_n", "run", "n0", "pre0", "sys0", "all_tok")
-    t = t.join(runs, ["_c", "_n", "run"])
+    runs = runs.withColumns({"n0": F.coalesce(F.sum("n").over(over), F.lit(0)), "pre0": F.coalesce(F.sum("run_tok").over(over), F.lit(0))})
+    moved = lambda s: F.when(s.isNotNull(), F.struct((s["ord"] + F.col("n0")).alias("ord"), s["tok"].alias("tok")))
+    runs = runs.withColumn("run_sys", moved(F.col("run_sys"))).withColumn("sys0", F.last("run_sys", ignorenulls=True).over(over))
+    t = t.join(runs.select("_c", "_n", "run", "n0", "pre0", "sys0"), ["_c", "_n", "run"]).withColumn("sys", F.coalesce(moved(F.col("sys")), F.col("sys0")))
     return t.select(
-        "conv_id", "_c", "_n", "role", "text", "tok", "all_tok", (F.col("ord") + F.col("n0")).alias("ord"),
-        (F.col("pre") + F.col("pre0")).alias("pre"), F.coalesce("sys", "sys0").alias("sys"),
+        "conv_id", "_c", "_n", "role", "text", "tok", (F.col("ord") + F.col("n0")).alias("ord"), (F.col("pre") + F.col("pre0")).alias("pre"),
+        F.coalesce("sys.ord", F.lit(-1)).alias("sys_ord"), F.coalesce("sys.tok", F.lit(0)).alias("sys_tok"),
+    )
+
+
+def _begins(turns: Column, budget: int, history: int) -> Column:
+    """Of the turns of a chunk (structs ord, pre, tok, sys_ord, sys_tok), the windows: structs ord and pre of the first fresh
+    turn, last (the ord of the last one), sys_ord, and room for history."""
+    none = F.array().cast("array<struct<ord:bigint,pre:bigint,last:bigint,sys_ord:bigint,sys_tok:bigint,fresh:bigint>>")
+
+    def step(done: Column, t: Column) -> Column:
+        own = F.struct(t["ord"].alias("ord"), t["pre"].alias("pre"), t["ord"].alias("last"), t["sys_ord"].alias("sys_ord"), t["sys_tok"].alias("sys_tok"), t["tok"].alias("fresh"))
+        w = F.try_element_at(done, F.lit(-1))
+        fits = w["fresh"] + t["tok"] + w["sys_tok"] + history <= budget
+        more = F.struct(w["ord"].alias("ord"), w["pre"].alias("pre"), t["ord"].alias("last"), w["sys_ord"].alias("sys_ord"), w["sys_tok"].alias("sys_tok"), (w["fresh"] + t["tok"]).alias("fresh"))
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))
+        return F.when(F.coalesce(fits, F.lit(False)), longer).otherwise(F.concat(done, F.array(own)))
+
+    room = lambda w: F.greatest(F.lit(0), F.least(F.lit(history), budget - w["sys_tok"] - w["fresh"]))
+    return F.transform(
+        F.aggregate(turns, none, step),
+        lambda w: F.struct(w["ord"].alias("ord"), w["pre"].alias("pre"), w["last"].alias("last"), w["sys_ord"].alias("sys_ord"), room(w).cast("long").alias("room")),
     )
 
 
 def windows(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window, formatted, loss_spans (start from 1, len), n_system, n_history, n_fresh."""
-    fresh_tok = budget - history
-    if history > fresh_tok:
+    """One row per window: conv_id, window, formatted, loss_spans (start from 1, len), n_system, n_history, n_fresh, tokens."""
+    if not 0 < history <= budget // 2:
         raise ValueError("history may take at most half of the budget")
-    t = _placed(conv).withColumn("w", F.expr(f"pre div {fresh_tok}"))
-    end = F.max(F.col("pre") + F.col("tok")).over(W.partitionBy("_c", "_n", "w"))
-    t = t.withColumn("end", end)
-    follows = (F.col("end") < F.col("all_tok")) & (F.col("end") - F.col("pre") <= history)
-    places = F.array_compact(
-        F.array(
-            F.struct(F.col("w").alias("window"), F.lit(True).alias("fresh")),
-            F.when(follows, F.struct(F.expr(f"`end` div {fresh_tok}").alias("window"), F.lit(False).alias("fresh"))),
-        )
-    )
-    t = t.select("*", F.explode(places).alias("p")).select(
-        "conv_id", "_c", "_n", "p.window",
-        F.struct(
-            "ord", F.col("p.fresh").alias("fresh"), F.col("role"), F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")).alias("head"),
-            escape(F.col("text")).alias("body"), F.col("sys"),
-        ).alias("m"),
-    )
-    g = t.groupBy("_c", "_n", "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("m")).alias("m"))
-    tail = F.lit("<|end|>\n")
-    system = F.element_at("m", 1)["sys"]
-    kept = F.when(
-        system.isNull(), F.array().cast("array<struct<fresh:boolean,role:string,head:string,body:string>>")
-    ).otherwise(F.array(F.struct(F.lit(False).alias("fresh"), F.lit("system").alias("role"), F.lit("<|system|>\n").alias("head"), escape(system).alias("body"))))
-    parts = F.concat(kept, F.transform("m", lambda x: F.struct(x["fresh"].alias("fresh"), x["role"].alias("role"), x["head"].alias("head"), x["body"].alias("body"))))
-    g = g.select("conv_id", "window", F.size(kept).alias("n_system"), parts.alias("parts"))
+    key = ["_c", "_n"]
+    t = _placed(conv).withColumn("chunk", F.expr(f"(pre + tok - 1) div {CHUNK}"))
+    chunks = t.groupBy(*key, "chunk").agg(F.sort_array(F.collect_list(F.struct("ord", "pre", "tok", "sys_ord", "sys_tok"))).alias("turns"))
+    w = chunks.select(*key, "chunk", F.explode(_begins(F.col("turns"), budget, history)).alias("w")).select(*key, "chunk", "w.*")
+    w = w.withColumnsRenamed({"ord": "window", "pre": "begin"})
+    # A turn's own window is in its chunk; windows that repeat it begin within ``history`` tokens after its start.
+    body = ["conv_id", *key, "ord", "role", "text", "tok"]
+    fresh = t.join(w.select(*key, "chunk", "window", "last"), [*key, "chunk"]).filter("ord BETWEEN window AND last")
+    near = F.explode(F.array(F.expr(f"begin div {history}"), F.expr(f"begin div {history} - 1"))).alias("near")
+    later = w.filter("room > 0").select(*key, "window", "begin", "room", F.col("sys_ord").alias("from"), near)
+    again = t.withColumn("near", F.expr(f"pre div {history}")).join(later, [*key, "near"])
+    again = again.filter("ord < window AND ord > from AND pre >= begin - room")
+    system = t.join(w.filter("sys_ord >= 0").select(*key, "window", F.col("sys_ord").alias("ord")), [*key, "ord"])
+    parts = [df.select(*body, "window", F.lit(kind).alias("kind")) for kind, df in enumerate((system, again, fresh))]
+    t = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
+    t = t.select("conv_id", *key, "window", F.struct("kind", "ord", "role", head.alias("head"), escape(F.col("text")).alias("body"), "tok").alias("m"))
+    g = t.groupBy(*key, "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("m")).alias("parts"))
     lens = F.transform("parts", lambda x: F.length(x["head"]) + F.length(x["body"]) + 8)
     sums = F.aggregate(
         lens, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
@@ -123,18 +127,17 @@ def windows(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
         F.transform(
             "parts",
             lambda x, i: F.when(
-                x["fresh"] & (x["role"] == "assistant"),
+                (x["kind"] == 2) & (x["role"] == "assistant"),
                 F.struct((F.get("at", i) + F.length(x["head"]) + 1).alias("start"), F.length(x["body"]).alias("len")),
             ),
         ),
         lambda x: x.isNotNull(),
     )
-    n_fresh = F.size(F.filter("parts", lambda x: x["fresh"]))
+    n = lambda kind: F.size(F.filter("parts", lambda x: x["kind"] == kind))
     return g.select(
-        "conv_id", "window",
-        F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], tail)), "").alias("formatted"),
-        spans.alias("loss_spans"), "n_system", (F.size("parts") - F.col("n_system") - n_fresh).alias("n_history"),
-        n_fresh.alias("n_fresh"),
+        "conv_id", "window", F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit("<|end|>\n"))), "").alias("formatted"),
+        spans.alias("loss_spans"), n(0).alias("n_system"), n(1).alias("n_history"), n(2).alias("n_fresh"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["tok"]).alias("tokens"),
     )
 
 

@@ -19,8 +19,9 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], conv.schema)
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, said)
     return chat.digest(chat.windows(conv.unionByName(more)))
 
 
@@ -84,29 +85,40 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 
 ORACLE: dict[str, str] = {
     "op2_chat_windows": r"""
-        WITH t AS (
+        WITH RECURSIVE t AS (
           SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                  4 + CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tok,
                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ord
           FROM (SELECT conv_id, turn, role, text FROM conversations
                 UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
         p AS (
-          SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY ord) - tok AS pre, sum(tok) OVER (PARTITION BY conv_id) AS total,
+          SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY ord) - tok AS pre,
                  length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '|', '')) AS body,
                  length(role) + length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '|', '')) + 5 + 8 AS marks,
-                 last_value(CASE WHEN role = 'system' THEN ord END IGNORE NULLS)
-                   OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys
+                 coalesce(last_value(CASE WHEN role = 'system' THEN ord END IGNORE NULLS)
+                   OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sys
           FROM t),
-        w AS (SELECT *, CAST(floor(pre / 384) AS BIGINT) AS w FROM p),
-        e AS (SELECT *, max(pre + tok) OVER (PARTITION BY conv_id, w) AS stop FROM w),
+        q AS (SELECT p.*, coalesce(s.tok, 0) AS sys_tok, floor((p.pre + p.tok - 1) / 8192) AS chunk
+              FROM p LEFT JOIN p s ON s.conv_id = p.conv_id AND s.ord = p.sys),
+        -- Turn by turn: the first fresh turn of its window, and the tokens that the window has by then.
+        g AS (
+          SELECT conv_id, ord, chunk, ord AS w, sys AS w_sys, sys_tok AS w_sys_tok, tok AS fresh FROM q WHERE ord = 1
+          UNION ALL
+          SELECT q.conv_id, q.ord, q.chunk, CASE WHEN more THEN g.w ELSE q.ord END, CASE WHEN more THEN g.w_sys ELSE q.sys END,
+                 CASE WHEN more THEN g.w_sys_tok ELSE q.sys_tok END, CASE WHEN more THEN g.fresh ELSE 0 END + q.tok
+          FROM g JOIN (SELECT q.*, b.chunk AS b_chunk FROM q JOIN q b ON b.conv_id = q.conv_id AND b.ord = q.ord - 1) q
+                 ON q.conv_id = g.conv_id AND q.ord = g.ord + 1,
+               LATERAL (SELECT q.chunk = g.chunk AND g.fresh + q.tok + g.w_sys_tok + 128 <= 512 AS more)),
+        w AS (SELECT conv_id, w, any_value(w_sys) AS w_sys, any_value(w_sys_tok) AS w_sys_tok, max(fresh) AS fresh FROM g GROUP BY conv_id, w),
+        x AS (SELECT w.*, p.pre AS begin, greatest(0, least(128, 512 - w_sys_tok - fresh)) AS room FROM w JOIN p ON p.conv_id = w.conv_id AND p.ord = w.w),
         m AS (
-          SELECT conv_id, w, ord, sys, body + marks AS chars FROM e
+          SELECT g.conv_id, g.w, p.body + p.marks AS chars FROM g JOIN p ON p.conv_id = g.conv_id AND p.ord = g.ord
+          UNION ALL
+          SELECT x.conv_id, x.w, p.body + p.marks FROM x JOIN p ON p.conv_id = x.conv_id AND p.ord = x.w_sys
           UNION ALL
-          SELECT conv_id, CAST(floor(stop / 384) AS BIGINT), ord, sys, body + marks FROM e WHERE stop < total AND stop - pre <= 128),
-        g AS (SELECT conv_id, w, sum(chars) AS chars, min_by(coalesce(sys, -1), ord) AS sys FROM m GROUP BY ALL),
-        f AS (
-          SELECT g.conv_id, sum(g.chars + coalesce(p.body + p.marks, 0)) AS chars, count(*) AS n_windows
-          FROM g LEFT JOIN p ON p.conv_id = g.conv_id AND p.ord = g.sys GROUP BY g.conv_id)
+          SELECT x.conv_id, x.w, p.body + p.marks FROM x JOIN p
+            ON p.conv_id = x.conv_id AND p.ord < x.w AND p.ord > x.w_sys AND x.room > 0 AND p.pre >= x.begin - x.room),
+        f AS (SELECT conv_id, sum(chars) AS chars, count(DISTINCT w) AS n_windows FROM m GROUP BY conv_id)
         SELECT t.conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
                CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

@@ -127,10 +127,50 @@ def test_chat_round_trip(spark):
     windows = sorted((r for r in w.collect() if r.conv_id == 1), key=lambda r: r.window)
     assert len(windows) > 5 and all(r.formatted.startswith("<|system|>\nbe \\lkind>") for r in windows)
     assert any(r.n_history for r in windows) and all(r.n_history == 0 for r in windows[:1])
-    assert all(4 * chat.BUDGET * 1.6 > len(r.formatted) for r in windows)
+    assert all(r.tokens <= chat.BUDGET or (r.n_fresh, r.n_history) == (1, 0) for r in w.collect())
+    assert max(r.tokens for r in windows) <= chat.BUDGET and len(windows) < 1.3 * sum(r.tokens for r in windows) / chat.BUDGET
     assert chat.digest(chat.windows(frame.limit(0))).collect() == []
 
 
+def brute_windows(turns, budget, history, chunk):
+    """Place of the first fresh turn, of its system turn, repeated and fresh turns of each window of (role, text) turns."""
+    tok = [4 + -(-len(x or "") // 4) for _, x in turns]
+    pre = [sum(tok[:i]) for i in range(len(tok) + 1)]
+    system = [max((j for j in range(i) if turns[j][0] == "system"), default=None) for i in range(len(turns))]
+    of = lambda i: 0 if system[i] is None else tok[system[i]]
+    found: list[list[int]] = []
+    for i in range(len(turns)):
+        same = i and (pre[i + 1] - 1) // chunk == (pre[i] - 1) // chunk
+        if same and sum(tok[k] for k in found[-1]) + tok[i] + of(found[-1][0]) + history <= budget:
+            found[-1].append(i)
+        else:
+            found.append([i])
+    for w in found:
+        room = min(history, budget - of(w[0]) - sum(tok[k] for k in w))
+        least = -1 if system[w[0]] is None else system[w[0]]
+        yield w[0], system[w[0]], [k for k in range(least + 1, w[0]) if pre[w[0]] - pre[k] <= room], w
+
+
+@pytest.mark.parametrize("chunk", [8192, 700])
+def test_chat_windows_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    monkeypatch.setattr(chat, "RUN", 16)
+    rng = np.random.default_rng(2)
+    convs = {c: [(("system", "user", "assistant")[int(rng.integers(0, 3)) if k % 9 else 0], "w" * int(rng.integers(0, 400 if c % 2 else 60)) * (40 if c == 3 and k == 20 else 1)) for k in range(60)] for c in range(6)}
+    rows = [(c, k, r, f"{k} {x}") for c, own in convs.items() for k, (r, x) in enumerate(own)]
+    got = {(w.conv_id, w.window): w for w in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    n = 0
+    for c in convs:
+        turns = [(r, x) for d, _, r, x in rows if d == c]
+        for first, system, again, fresh in brute_windows(turns, chat.BUDGET, chat.HISTORY, chunk):
+            w, n = got[c, first], n + 1
+            assert (w.n_system, w.n_history, w.n_fresh) == (int(system is not None), len(again), len(fresh))
+            places = [*([] if system is None else [system]), *again, *fresh]
+            assert w.formatted == "".join(f"<|{turns[k][0]}|>\n{turns[k][1]}<|end|>\n" for k in places)
+            assert [w.formatted[s.start - 1 : s.start - 1 + s.len] for s in w.loss_spans] == [turns[k][1] for k in fresh if turns[k][0] == "assistant"]
+    assert n == len(got)
+
+
 def brute_targets(sizes, cycle=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: cycle[i % 3] for i, s in enumerate(names)}
