@@ -35,7 +35,7 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
                 out.append("\\")
             elif c == "[":
                 inside = True
-            elif c == "]" and inside and pattern[i - 1] != "[":
+            elif c == "]":
                 inside = False
             out.append(c)
             i -= 1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,19 +29,53 @@ def trimmed(c: Column) -> Column:
     return _replace(_replace(c, r"^\s+"), r"\s+$")
 
 
-def _composed(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _composites() -> dict[str, str]:
+    """A letter and a combining mark, and the character that they make: all such pairs of the basic plane, by rule."""
+    out = {}
+    for code in range(0xC0, 0x10000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.combining(pair[1]) and unicodedata.normalize("NFC", pair) == chr(code):
+                out[pair] = chr(code)
+    return out
+
+
+COMPOSITES = _composites()
+#: Of the marks of these, their classes: a mark reaches its letter over marks of lower ones.
+CLASSES = {pair[1]: unicodedata.combining(pair[1]) for pair in COMPOSITES}
+
 
-    return compose(c)
+def composed(c: Column) -> Column:
+    """Letters and the combining marks after them as one character where there is one: canonical composition of texts whose
+    marks stand in canonical order."""
+    group = r"\p{L}\p{Mn}+"
+    pairs, classes = (F.from_json(F.lit(json.dumps(x)), f"map<string,{t}>") for x, t in ((COMPOSITES, "string"), (CLASSES, "int")))
+
+    def step(s: Column, mark: Column) -> Column:
+        rank = F.coalesce(F.try_element_at(classes, mark), F.lit(0))
+        both = F.when((s["rest"] == "") | (rank > s["rank"]), F.try_element_at(pairs, F.concat(s["letter"], mark)))
+        left = F.struct(s["letter"].alias("letter"), F.concat(s["rest"], mark).alias("rest"), rank.alias("rank"))
+        return F.when(both.isNotNull(), F.struct(both.alias("letter"), s["rest"].alias("rest"), s["rank"].alias("rank"))).otherwise(left)
+
+    def single(m: Column) -> Column:
+        start = F.struct(F.substr(m, F.lit(1), F.lit(1)).alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("rank"))
+        marks = F.array_remove(F.split(F.substr(m, F.lit(2), F.length(m)), ""), "")
+        return F.aggregate(marks, start, step, lambda s: F.concat(s["letter"], s["rest"]))
+
+    def rebuilt(x: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(x, F.lit(group), F.lit(0)), single)
+        gaps = F.split(x, group, -1)
+        return bind(new, lambda n: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(n, i), F.lit("")))), ""))
+
+    return F.when(c.rlike(group), bind(c, rebuilt)).otherwise(c)
 
 
 def refit_accents(c: Column) -> Column:
-    """Put spacing accents back on their letters. Only matching rows leave the JVM."""
+    """Put spacing accents back on their letters."""
     # An accent that follows no letter stays a spacing one.
-    kept = F.aggregate(
-        F.split(c, f"(?<=\\p{{L}})(?=[ \\t]?[{''.join(ACCENTS)}])"),
+    kept_of = lambda x: F.aggregate(
+        F.split(x, f"(?<=\\p{{L}})(?=[ \\t]?[{''.join(ACCENTS)}])"),
         F.lit(""),
         lambda out, part: F.concat(
             out,
@@ -54,7 +88,7 @@ def refit_accents(c: Column) -> Column:
             ).otherwise(part),
         ),
     )
-    return F.when(c.rlike(ACCENTED), _composed(F.when(c.rlike(ACCENTED), kept))).otherwise(c)
+    return bind(c, lambda x: F.when(x.rlike(ACCENTED), composed(kept_of(x))).otherwise(x))
 
 
 def clean_characters(c: Column) -> Column:
@@ -73,14 +107,22 @@ def normalize(c: Column) -> Column:
     return clean_characters(refit_accents(F.coalesce(c, F.lit(""))))
 
 
+#: Repairs of punctuation, in the order in which they apply.
+REPAIRS = (
+    (r"\s+([,;:.!?])", "$1"), (r"([(\[])\s+", "$1"), (r"\s+([)\]])", "$1"), (r"\(\s*\)|\[\s*\]", ""),
+    (r"([,;:])\s*([,;:.])", "$2"), (r"\.{2,}(?!\.)", "."), (r"\s{2,}", " "), (r"^\s*[,;:]\s*", ""), (r"^\s+|\s+$", ""),
+)
+
+
 def tidy(c: Column) -> Column:
-    """Repair punctuation after something was removed."""
-    for pattern, to in (
-        (r"\s+([,;:.!?])", "$1"), (r"([(\[])\s+", "$1"), (r"\s+([)\]])", "$1"), (r"\(\s*\)|\[\s*\]", ""),
-        (r"([,;:])\s*([,;:.])", "$2"), (r"\.{2,}(?!\.)", "."), (r"\s{2,}", " "), (r"^\s*[,;:]\s*", ""),
-    ):
-        c = _replace(c, pattern, to)
-    return trimmed(c)
+    """Repair punctuation after something was removed. Texts in which no repair finds anything are left at one look."""
+
+    def repaired(x: Column) -> Column:
+        for pattern, to in REPAIRS:
+            x = _replace(x, pattern, to)
+        return x
+
+    return bind(c, lambda x: F.when(x.rlike(jvm("|".join(f"(?:{p})" for p, _ in REPAIRS))), repaired(x)).otherwise(x))
 
 
 def strip_addresses(c: Column) -> Column:
@@ -93,12 +135,14 @@ def _without_addresses(c: Column) -> Column:
     return _replace(c, r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "", True)
 
 
+#: What makes the inside of a parenthesis a quantity, words that lead in a source, names, years after names.
 QUANTITY = (
     r"\b(?:p\s*[<>=≤≥]|n\s*=|CI\b|SD\b|SEM\b|IQR|df\s*=|r\s*=|R2|χ2|chi|HR\s*[=:]|OR\s*[=:]|RR\s*[=:]|AUC|mean|median|range"
     r"|SE\s*=|β|beta\s*=|%|\d+\s*(?:mg|kg|mL|ml|µg|mcg|mmol|mmHg|years?|months?|weeks?|days?|hours?|patients?|participants?)\b)"
 )
 LEAD_WORDS = r"^(?:e\.?g\.?|i\.?e\.?|see(?:\s+also)?|cf\.?|reviewed\s+in|adapted\s+from|data\s+from|refs?\.?|but\s+see)[,:;]?\s*"
 NAME = r"[A-Z][a-zA-ZÀ-ɏ'’-]{2,}"
+NAMED_YEAR = r",\s*(?:see\s+)?[A-Z][\w'’-]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][\w'’-]+))?,?\s*\((?:1[5-9]|20)\d{2}\)\s*(?=[.;]|$)"
 
 
 def looks_like_citation(inner: Column) -> Column:
@@ -131,8 +175,7 @@ def _without_citations(c: Column) -> Column:
         return bind(kept, lambda k: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(k, i), F.lit("")))), ""))
 
     c = bind(c, lambda x: F.when(x.rlike(group), rebuilt(x)).otherwise(x))
-    tail = r",\s*(?:see\s+)?[A-Z][\w'’-]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][\w'’-]+))?,?\s*\((?:1[5-9]|20)\d{2}\)\s*(?=[.;]|$)"
-    return _replace(c, tail, "")
+    return _replace(c, NAMED_YEAR, "")
 
 
 #: What each rule needs at least: a digit, one of these signs, two capitals, or one of these words. Most sentences have
@@ -158,6 +201,7 @@ def _rewritten(c: Column, full: bool) -> Column:
     return c
 
 
+#: Labels of front matter.
 LABELS = (
     r"citation|published|copyright|received|accepted|submitted|revised|editor|academic\s+editor|data\s+availability|funding"
     r"|competing\s+interests?|conflicts?\s+of\s+interest|correspondence|reprints?|peer\s+review|article\s+history|keywords?"

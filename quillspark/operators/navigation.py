@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.patterns import bind
+
 WORDS_PER_MINUTE, AHEAD = 165, 3
+#: Sentences after a heading from which the way back leads past it.
+NEAR = 2
 
 
 def neighbours(sentences: DataFrame) -> DataFrame:
@@ -34,16 +38,50 @@ def look_ahead(sentences: DataFrame, ahead: int = AHEAD) -> DataFrame:
     return sentences.filter("NOT skip").select("doc_id", "i", F.collect_list("i").over(order).alias("ahead"))
 
 
+def section_jumps(sentences: DataFrame) -> DataFrame:
+    """Where the previous and next section keys lead from each sentence: doc_id, i, back, forward.
+
+    Back goes to the last heading before, or to the one before that from at most NEAR sentences after it; without one to the
+    first sentence. Forward goes to the next heading, without one to the last sentence. Skipped headings count.
+    """
+    order = W.partitionBy("doc_id").orderBy("i")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    heading = F.when(F.col("type") == "heading", F.col("i"))
+    x = sentences.select("doc_id", "i", heading.alias("heading")).withColumns({"last": F.max("heading").over(before), "next": F.min("heading").over(after)})
+    # Of the last heading itself, the one before it.
+    x = x.withColumn("before", F.last(F.when(F.col("heading").isNotNull(), F.coalesce("last", F.lit(0))), ignorenulls=True).over(before))
+    back = F.when(F.col("i") - F.col("last") <= NEAR, F.col("before")).otherwise(F.coalesce("last", F.lit(0)))
+    return x.select("doc_id", "i", back.cast("long").alias("back"), F.coalesce("next", F.max("i").over(W.partitionBy("doc_id"))).cast("long").alias("forward"))
+
+
+def block_spans(sentences: DataFrame, zoned: DataFrame) -> DataFrame:
+    """Blocks with their first and last sentence and these sentences in order; an empty block has last = first - 1."""
+    own = sentences.groupBy("doc_id", "block_idx").agg(F.sort_array(F.collect_list(F.struct("i", "text", "skip"))).alias("sentences"))
+    x = zoned.join(own, ["doc_id", "block_idx"], "left").withColumn("n", F.coalesce(F.size("sentences"), F.lit(0)))
+    total = F.sum("n").over(W.partitionBy("doc_id").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumns({"first": total - F.col("n"), "last": total - 1}).drop("n")
+
+
+def zone_labels(spans: DataFrame) -> DataFrame:
+    """Blocks of :func:`block_spans` with sentences, with the label that stands before those where a zone begins."""
+    x = spans.filter("last >= first")
+    previous = F.lag("zone", 1, "body").over(W.partitionBy("doc_id").orderBy("block_idx"))
+    label = F.when((F.col("zone") != previous) & (F.col("zone") != "body"), F.when(F.col("zone") == "references", "References").otherwise("Back matter"))
+    return x.withColumn("label", label)
+
+
 def script_hash(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units, in base 36."""
-    units = F.encode(text, "UTF-16BE")
-    n = F.length(units) / 2
-    codes = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda k: F.conv(F.hex(F.substr(units, k * 2 + 1, F.lit(2))), 16, 10).cast("long"),
-    )
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(c) * 16777619) % (1 << 32))
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+    """FNV-1a over UTF-16 code units, in base 36.
+
+    The units are cut from the text once: four hexadecimal digits each, of an array of pieces.
+    """
+
+    def folded(digits: Column) -> Column:
+        pieces = F.regexp_extract_all(digits, F.lit("[0-9A-F]{4}"), F.lit(0))
+        step = lambda h, c: (h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * 16777619) % (1 << 32)
+        return F.aggregate(pieces, F.lit(2166136261).cast("long"), step)
+
+    return F.lower(F.conv(bind(F.hex(F.encode(text, "UTF-16BE")), folded).cast("string"), 10, 36))
 
 
 def audio_plan(sentences: DataFrame, cached: DataFrame | None = None, voice: str = "default") -> DataFrame:
@@ -54,13 +92,21 @@ def audio_plan(sentences: DataFrame, cached: DataFrame | None = None, voice: str
 
 
 def current_section(positions: DataFrame, outline: DataFrame) -> DataFrame:
-    """The latest outline entry at or before each position (doc_id, i)."""
-    hit = positions.alias("p").join(outline.alias("o"), (F.col("p.doc_id") == F.col("o.doc_id")) & (F.col("o.sentence_index") <= F.col("p.i")), "left")
-    return hit.groupBy("p.doc_id", "p.i").agg(F.max_by("o.title", "o.sentence_index").alias("section"))
+    """The latest outline entry at or before each position (doc_id, i): one ordered pass over both together."""
+    marks = outline.select("doc_id", F.col("sentence_index").alias("i"), "ord", "title", F.lit(0).alias("kind"))
+    asked = positions.select("doc_id", "i", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("kind"))
+    order = W.partitionBy("doc_id").orderBy("i", "kind", "ord").rowsBetween(W.unboundedPreceding, 0)
+    x = marks.unionByName(asked).withColumn("section", F.last("title", ignorenulls=True).over(order))
+    return x.filter("kind = 1").select("doc_id", "i", "section")
 
 
 def reanchor(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     """New index of anchors (doc_id, block_idx, text): the same sentence, else the first at or after the block, else 0."""
-    hit = anchors.alias("a").join(sentences.alias("s"), (F.col("a.doc_id") == F.col("s.doc_id")) & (F.col("s.block_idx") >= F.col("a.block_idx")), "left")
-    same = (F.col("s.block_idx") == F.col("a.block_idx")) & (F.col("s.text") == F.col("a.text"))
-    return hit.groupBy("a.doc_id", "a.block_idx", "a.text").agg(F.coalesce(F.min(F.when(same, F.col("s.i"))), F.min("s.i"), F.lit(0)).alias("i"))
+    same = sentences.groupBy("doc_id", "block_idx", "text").agg(F.min("i").alias("same"))
+    asked = anchors.select("doc_id", "block_idx", "text").distinct().join(same, ["doc_id", "block_idx", "text"], "left")
+    # The first sentence of each block, and the anchors before it in the order of blocks.
+    starts = sentences.groupBy("doc_id", "block_idx").agg(F.min("i").alias("start"))
+    both = asked.withColumn("start", F.lit(None).cast("long")).unionByName(starts.withColumn("start", F.col("start").cast("long")), allowMissingColumns=True)
+    order = W.partitionBy("doc_id").orderBy("block_idx").rangeBetween(W.currentRow, W.unboundedFollowing)
+    both = both.withColumn("later", F.min("start").over(order)).filter("start IS NULL")
+    return both.select("doc_id", "block_idx", "text", F.coalesce("same", "later", F.lit(0)).cast("long").alias("i"))

@@ -1,112 +1,92 @@
-"""Sentence splitting: a pure function of a block's text, run as an Arrow UDF."""
+"""Sentence splitting with one pattern over a whole text.
 
-from __future__ import annotations
+A sentence ends at a terminator that none of the cases of KEPT claims and after which a sentence can start. All of them are
+assertions around the terminator, so the pattern engine judges every terminator of a text in one pass, within the JVM.
+Sentences over the limit are cut at the best of their inner breaks: each class of breaks offers at most one place, the first
+in its favoured part or else the last before that, and the best class with a place wins.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.patterns import SPACE, bind, jvm
+from ..functions.text import trimmed
+
 LIMIT = 300
 #: Words whose period ends no sentence.
-ABBREVIATIONS = frozenset(
+ABBREVIATIONS = (
     "dr mr mrs ms prof st jr sr rev hon vs etc al cf ca approx viz ibid eg ie fig figs tab tabs eq eqs ref refs no nos pp p vol "
     "ed eds chap sect sec suppl appx inc ltd co corp dept univ est min max i.e e.g et mg ml kg cm mm jan feb mar apr jun jul aug "
-    "sep sept oct nov dec gen col lt capt sgt gov sen messrs mt ave blvd rd assn natl kb mb gb hr hrs secs wk wks yr yrs".split()
+    "sep sept oct nov dec gen col lt capt sgt gov sen messrs mt ave blvd rd assn natl kb mb gb hr hrs secs wk wks yr yrs"
+).split()
+#: Letters, opening and closing signs, and labels of captions.
+LETTER, OPENERS, CLOSERS = r"A-Za-zÀ-ɏ", r"\"'“‘(\[{", r"\"'”’)\]}"
+LABELS = r"fig(?:ure)?|table|chart|scheme|box|exhibit|panel|eq(?:uation)?|ref(?:erence)?|supplementary \w{1,60}"
+#: What stands after a terminator if a sentence can start there; a digit needs a space.
+START = rf"(?=[{SPACE}]+[{OPENERS}]*(?:[A-Z0-9•—–]|\z)|[{OPENERS}]*(?:[A-Z•—–]|\z))"
+#: Cases in which a period ends no sentence, each as an assertion just after it.
+KEPT = {
+    "decimal": r"(?!(?<=[0-9]\.)[0-9])",
+    "initial": rf"(?<!(?<![{LETTER}])[A-Z]\.)",
+    "abbreviation": rf"(?<!(?<![A-Za-z.])\.{{0,9}}(?i:{'|'.join(x.replace('.', chr(92) + '.') for x in ABBREVIATIONS)})\.)",
+    "letter after a period": r"(?<!(?<![A-Za-z.])\.{1,9}[A-Za-z]\.)",
+    "inner period of an abbreviation": rf"(?!(?<=[{LETTER}]\.)[A-Za-z]{{1,2}}\.)",
+    "list number": r"(?<!^[0-9. ]{0,80}[0-9]\.)",
+    "caption": rf"(?<!^(?i:{LABELS})\.? ?[0-9]{{1,9}}\.)",
+}
+END = rf"(?:[!?]|(?<!\.)\.(?!\.){''.join(KEPT.values())}{START}|(?<=\.)\.(?=[{SPACE}]){START})[{CLOSERS}]*[.!?]*"
+#: Marks the ends that were found; no character of any text.
+MARK = "\uffff"
+#: Where a long sentence may be cut, best first, each with its length.
+BREAKS = (
+    (rf"[{SPACE}][—–-][{SPACE}](?=[^{SPACE}])", 3), (rf";[{SPACE}](?=[^{SPACE}])", 2), (rf":[{SPACE}](?=[^{SPACE}])", 2),
+    (
+        rf",[{SPACE}](?=(?i:and|but|or|nor|yet|so|which|while|whereas|although|though|because|since|before|after|unless|whether|if)(?![A-Za-z0-9_]))",
+        2,
+    ),
+    (rf",[{SPACE}](?=[^{SPACE}])", 2), (rf"[{SPACE}](?=[^{SPACE}])", 1),
 )
-SPACE = "\t\n\x0b\f\r \xa0  -     　﻿"
-SPACES = re.compile(f"[{SPACE}]+")
-TERMINATOR = re.compile(r"[.!?]")
-WORD_BEFORE = re.compile(r"[A-Za-z.]*\Z")
-LETTER = re.compile(r"[A-Za-zÀ-ɏ]")
-SHORT_DOTTED = re.compile(r"[A-Za-z]{1,2}\.")
-LIST_NUMBER = re.compile(rf"[\d.{SPACE}]*\Z", re.ASCII)
-CAPTION = re.compile(
-    rf"[{SPACE}]*(?:fig(?:ure)?|table|chart|scheme|box|exhibit|panel|eq(?:uation)?|ref(?:erence)?|supplementary[{SPACE}]+\w+)\.?[{SPACE}]*\d+[a-z]?\Z",
-    re.I | re.ASCII,
-)
-START = re.compile(rf"([{SPACE}]*)[\"'“‘(\[{{]*(?:([A-Z•—–])|([0-9])|\Z)")
-TAIL = re.compile(r"[\"'”’)\]}]*[.!?]*")
-#: Where a long sentence may be cut, best first.
-BREAKS = [
-    re.compile(p, re.I | re.ASCII)
-    for p in (
-        rf"[{SPACE}][—–-][{SPACE}](?=[^{SPACE}])", rf";[{SPACE}](?=[^{SPACE}])", rf":[{SPACE}](?=[^{SPACE}])",
-        rf",[{SPACE}](?=(?:and|but|or|nor|yet|so|which|while|whereas|although|though|because|since|before|after|unless|whether|if)\b)",
-        rf",[{SPACE}](?=[^{SPACE}])", rf"[{SPACE}](?=[^{SPACE}])",
-    )
-]
+#: The shares of the limit from which a break is favoured, and before which it isn't taken.
+FAVOURED, LEAST = 0.45, 0.35
 
 
-def _starts(text: str, at: int) -> bool:
-    """Whether a sentence can start at or after ``at``."""
-    m = START.match(text, at)
-    return bool(m) and (not m.group(3) or bool(m.group(1)))
+def _cut_length(head: Column, limit: int) -> Column:
+    """How much of the first ``limit`` characters of a longer sentence to cut off."""
+    favoured, least = int(limit * FAVOURED) + 1, int(limit * LEAST) + 1
+    offers = []
+    for pattern, n in BREAKS:
+        first, last = rf"(?s)^.{{{favoured},}}?{pattern}", rf"(?s)^.{{{max(0, least - n)},{favoured - 1}}}{pattern}"
+        offers += [F.nullif(F.length(F.regexp_extract(head, p, 0)), F.lit(0)) for p in (first, last)]
+    word = F.nullif(F.length(F.regexp_extract(head, "(?s)^.+ ", 0)), F.lit(0))
+    return F.coalesce(*offers, word, F.lit(limit))
 
 
-def _ends(text: str, i: int) -> bool:
-    """Whether the terminator at ``i`` ends a sentence."""
-    if text[i] in "!?":
-        return True
-    prev, after = text[i - 1 : i], text[i + 1 : i + 2]
-    if after == ".":
-        return False
-    if prev == ".":
-        return bool(SPACES.match(after)) and _starts(text, i + 1)
-    if prev.isascii() and prev.isdigit() and after.isascii() and after.isdigit():
-        return False
-    if "A" <= prev <= "Z" and not (i >= 2 and LETTER.match(text[i - 2])):
-        return False
-    word = WORD_BEFORE.search(text, max(0, i - 64), i).group().lower().lstrip(".")
-    if word in ABBREVIATIONS or (len(word) == 1 and LETTER.match(prev) and text[i - 2 : i - 1] == "."):
-        return False
-    if LETTER.match(prev or " ") and SHORT_DOTTED.match(text, i + 1):
-        return False
-    if prev.isascii() and prev.isdigit() and (LIST_NUMBER.match(text, 0, i) or (i < 80 and CAPTION.match(text[:i]))):
-        return False
-    return _starts(text, i + 1)
+def _within(piece: Column, limit: int) -> Column:
+    """A sentence as an array of parts within the limit."""
 
+    def step(s: Column, _: Column) -> Column:
+        def cut(n: Column) -> Column:
+            part, rest = trimmed(F.substr(s["rest"], F.lit(1), n)), trimmed(F.substr(s["rest"], n + 1, F.length(s["rest"])))
+            return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), rest.alias("rest"))
 
-def _cut(piece: str, limit: int) -> list[str]:
-    """Cut a piece longer than ``limit`` at its best inner breaks."""
-    out = []
-    while len(piece) > limit:
-        head, cut = piece[:limit], 0
-        for pattern in BREAKS:
-            last = -1
-            for m in pattern.finditer(head):
-                last = m.end()
-                if m.start() > limit * 0.45:
-                    break
-            if last > limit * 0.35:
-                cut = last
-                break
-        cut = cut or head.rfind(" ") + 1 or limit
-        out.append(piece[:cut].strip())
-        piece = piece[cut:].strip()
-    return [x for x in (*out, piece) if x]
+        return F.when(F.length(s["rest"]) > limit, bind(_cut_length(F.substr(s["rest"], F.lit(1), F.lit(limit)), limit), cut)).otherwise(s)
 
-
-def split_text(text: str | None, limit: int = LIMIT) -> list[str]:
-    """The sentences of a text, none longer than ``limit``."""
-    text = SPACES.sub(" ", text or "").strip(" ")
-    pieces, start, at = [], 0, 0
-    while m := TERMINATOR.search(text, at):
-        at = m.end()
-        if _ends(text, m.start()):
-            start, end = TAIL.match(text, at).end(), start
-            pieces.append(text[end:start].strip())
-            at = max(at, start) if start > at else at
-    pieces.append(text[start:].strip())
-    return [s for p in pieces if p for s in _cut(p, limit)]
+    # A cut takes LEAST of the limit or more, but before a word that is longer than the rest of it; the cut after that does.
+    steps = F.sequence(F.lit(1), F.ceil(F.length(piece) / max(1, int(limit * LEAST))).cast("int") * 2 + 1)
+    start = F.struct(F.array().cast("array<string>").alias("parts"), piece.alias("rest"))
+    return F.aggregate(steps, start, step, lambda s: F.concat(s["parts"], F.array(s["rest"])))
 
 
 def sentences(text: Column, limit: int = LIMIT) -> Column:
-    """Array of the sentences of a text column."""
-
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: split_text(x, limit))
-
-    return split(text)
+    """Array of the sentences of a text column, none longer than ``limit``; empty for null."""
+    flat = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), jvm(r"\s+"), " "))
+    marked = bind(flat, lambda x: F.when(x.rlike("[.!?]"), F.regexp_replace(x, END, f"$0{MARK}")).otherwise(x))
+    pieces = F.filter(F.transform(F.split(marked, MARK, -1), trimmed), lambda p: p != "")
+    return bind(
+        pieces,
+        lambda ps: F.when(~F.exists(ps, lambda p: F.length(p) > limit), ps).otherwise(
+            F.filter(F.flatten(F.transform(ps, lambda p: _within(p, limit))), lambda p: p != "")
+        ),
+    )

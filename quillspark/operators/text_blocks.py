@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import bind, jvm
 from ..functions.text import trimmed
 
+#: How lines of Markdown and plain text are told.
 RULE = jvm(r"^\s*([-*_])(\s*\1){2,}\s*$")
 HEADING = jvm(r"^(#{1,6})\s+(.*\S)\s*#*$")
 SETEXT = jvm(r"^\s*(=|-){3,}\s*$")

@@ -12,6 +12,7 @@ from ..operators.segment import sentences as split_sentences
 from .settings import Settings
 
 WORDS_PER_MINUTE, PAUSE_MS = 165, 550
+#: Headings that end the body.
 REFERENCES = jvm(r"^\s*(references?|reference\s+list|bibliography|literature\s+cited|works\s+cited|citations)\s*[:.]?\s*$", True)
 BACK_MATTER = jvm(
     r"^\s*(acknowledge?ments?|funding(\s+(statement|sources?))?|conflicts?\s+of\s+interest|competing\s+interests?"

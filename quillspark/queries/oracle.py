@@ -41,6 +41,23 @@ for _p in (
 _TURNS = """turns AS (SELECT conv_id AS doc_id, turn AS i, CASE WHEN role = 'user' THEN 'heading' ELSE 'para' END AS type, text,
                   length(text) < 60 AS skip FROM conversations)"""
 
+_SPANS = f"""{_TURNS}, b AS (
+            SELECT doc_id, unnest(range(CAST(max(i) // 3 + 2 AS BIGINT))) AS block_idx FROM turns GROUP BY doc_id),
+          n AS (SELECT b.doc_id, CAST(b.block_idx AS INT) AS block_idx, count(t.i) AS n, ['body', 'references', 'backmatter'][b.block_idx % 3 + 1] AS zone
+                FROM b LEFT JOIN turns t ON t.doc_id = b.doc_id AND t.i // 3 = b.block_idx GROUP BY ALL),
+          spans AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY block_idx) - n AS BIGINT) AS first,
+                           CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY block_idx) - 1 AS BIGINT) AS last FROM n)"""
+#: The texts of this table have no blank lines, headings, captions or items: each is one paragraph.
+_PARAGRAPHS = rf"""
+          SELECT doc_id, {_trimmed(_replaced("x", "[SP]+", " "))} AS text FROM (
+            SELECT doc_id, list_reduce(list_prepend('', list_filter(list_transform(
+                     string_split(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), ' ', ' '), chr(10)), lambda l: {_trimmed("l")}), lambda l: l <> '')),
+                     lambda a, p: CASE WHEN a = '' THEN p WHEN regexp_matches(a, '\pL-$') AND regexp_matches(p, '^\p{{Ll}}') THEN a[:-2] || p ELSE a || ' ' || p END) AS x FROM documents)
+          WHERE x <> ''"""
+_DOCS = """docs AS (
+            SELECT doc_id, concat_ws(' ', lang, source) AS title, concat_ws(', ', lang, CASE WHEN doc_id % 2 = 0 THEN source END) AS author, n_chars // 100 AS minutes, n_chars * 97 AS bytes,
+                   make_timestamp((1700000000 + doc_id * 3600 % 900000) * 1000000) AS added_at FROM documents)"""
+
 ORACLE: dict[str, str] = {
     # No letter of this table is followed by a spacing accent.
     "normalize_text": f"SELECT doc_id, {_normalized("coalesce(text, '')")} AS text FROM documents",
@@ -95,20 +112,112 @@ ORACLE: dict[str, str] = {
         e AS (SELECT page_id, replace(replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') AS a FROM t)
         SELECT page_id, CASE WHEN trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) = '' THEN a
                              ELSE trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) END AS title FROM e""",
-    "running_lines": """
-        WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-        k AS (SELECT page, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) AS key FROM l),
-        n AS (SELECT count(DISTINCT page) AS n FROM l)
-        SELECT key, count(DISTINCT page) AS n_pages FROM k, n WHERE key <> '' GROUP BY key, n.n
-        HAVING count(DISTINCT page) >= greatest(2, ceil(0.002 * n.n))""",
     "library_view": """
-        SELECT d.doc_id, d.lang, d.n_chars, CASE WHEN least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) > 0.5
+        SELECT d.doc_id, d.lang, d.n_chars, CASE WHEN l.doc_id IS NOT NULL AND least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) > 0.5
                THEN CAST(least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) AS DOUBLE) END AS percent
         FROM documents d LEFT JOIN labels l USING (doc_id)""",
-    "body_size_mode": """
-        WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS BIGINT) AS size, sum(CAST(trunc(l_extendedprice) AS BIGINT)) AS w, min(l_linenumber) AS f
-                   FROM lineitem GROUP BY ALL)
-        SELECT doc_id, size AS mode FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1""",
     "progress_latest": """
         SELECT user_id, arg_max(value, (ts, event_id)) AS position, max(ts) AS at, count(*) AS n_events FROM events GROUP BY user_id""",
+    "section_jumps": f"""
+        WITH {_TURNS}, h AS (SELECT doc_id, i FROM turns WHERE type = 'heading'),
+        l AS (SELECT doc_id, i, (SELECT max(h.i) FROM h WHERE h.doc_id = t.doc_id AND h.i < t.i) AS l,
+                     (SELECT min(h.i) FROM h WHERE h.doc_id = t.doc_id AND h.i > t.i) AS n FROM turns t)
+        SELECT doc_id, i, CASE WHEN i - l <= 2 THEN coalesce((SELECT max(h.i) FROM h WHERE h.doc_id = l.doc_id AND h.i < l.l), 0) ELSE coalesce(l, 0) END AS back,
+               coalesce(n, max(i) OVER (PARTITION BY doc_id)) AS forward FROM l""",
+    "turn_stats": f"""
+        WITH {_TURNS}, s AS (
+          SELECT doc_id, CAST(coalesce(sum(CASE WHEN NOT skip THEN len(string_split_regex(text, '[{S}]+')) END), 0) AS BIGINT) AS words, count(*) AS sentences,
+                 count(*) FILTER (NOT skip) AS playable FROM turns GROUP BY doc_id)
+        SELECT *, CAST(greatest(1, floor(words / 165.0 + 0.5)) AS BIGINT) AS minutes FROM s""",
+    "block_spans": f"""
+        WITH {_SPANS} SELECT doc_id, block_idx, first, last, CAST(n AS INT) AS n FROM spans""",
+    "zone_labels": f"""
+        WITH {_SPANS}, z AS (SELECT doc_id, block_idx, zone, lag(zone, 1, 'body') OVER (PARTITION BY doc_id ORDER BY block_idx) AS p FROM spans WHERE n > 0)
+        SELECT doc_id, block_idx, CASE WHEN zone <> p THEN CASE zone WHEN 'references' THEN 'References' WHEN 'backmatter' THEN 'Back matter' END END AS label FROM z""",
+    "current_section": f"""
+        WITH {_TURNS}
+        SELECT doc_id, i, (SELECT arg_max(left(h.text, 20), h.i) FROM turns h WHERE h.doc_id = t.doc_id AND h.type = 'heading' AND h.i <= t.i) AS section FROM turns t""",
+    "reanchor": f"""
+        WITH {_TURNS}, s AS (SELECT *, i // 3 AS b FROM turns WHERE i % 4 <> 1), a AS (SELECT DISTINCT doc_id, i // 3 AS b, text FROM turns)
+        SELECT doc_id, CAST(b AS INT) AS block_idx, text, coalesce((SELECT min(i) FROM s WHERE s.doc_id = a.doc_id AND s.b = a.b AND s.text = a.text),
+               (SELECT min(i) FROM s WHERE s.doc_id = a.doc_id AND s.b >= a.b), 0) AS i FROM a""",
+    "audio_plan": f"""
+        WITH {_TURNS}, d AS (SELECT DISTINCT doc_id, text AS speak FROM turns WHERE NOT skip),
+        h AS (SELECT *, list_reduce(list_transform(string_split(speak, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM d)
+        SELECT doc_id, doc_id || ':' || lower(to_base(h, 36)) || ':default' AS key, speak FROM h""",
+    "audio_index": f"""
+        WITH {_TURNS}
+        SELECT doc_id, count(*) AS n_audio, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE count(*) END AS n_left FROM turns WHERE NOT skip GROUP BY doc_id""",
+    "audio_rendered": f"""
+        WITH {_TURNS} SELECT doc_id || ':' || i AS key, NOT skip AS has FROM turns""",
+    "heading_noise": rf"""
+        WITH l AS (SELECT l_orderkey, concat_ws(' ', l_returnflag, CASE WHEN l_quantity > 20 THEN l_partkey END, CASE WHEN l_tax > 0.03 THEN l_suppkey END,
+                          CASE WHEN l_linenumber > 2 THEN 'done.' END) AS t, l_linenumber % 2 = 0 AS heading FROM lineitem),
+        w AS (SELECT *, length(t) AS n, string_split(t, ' ') AS w FROM l),
+        r AS (SELECT *, n < 3 AS short, regexp_matches(t, '^[\d .,;:|/–—-]+$') AS numbers, NOT heading AND n < 17 AND NOT regexp_matches(t, '[.!?:]$') AS fragment,
+                     NOT regexp_matches(t, '[aeiouyAEIOUY]') AS no_vowel, n > 12 AND length(regexp_replace(t, '[^\d.,%]', '', 'g')) / n > 0.55 AS digits,
+                     len(w) >= 3 AND len(list_distinct(w)) = 1 AS one_word, heading AND len(list_filter(w, lambda x: regexp_matches(x, '\d'))) >= 2 AS numbered_heading,
+                     n > 16 AND len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]{{2,}}[.,;:)]?$'))) / len(w) < 0.4 AS few_words FROM w)
+        SELECT l_orderkey, count(*) FILTER (short) AS short, count(*) FILTER (numbers) AS numbers, count(*) FILTER (fragment) AS fragment, count(*) FILTER (no_vowel) AS no_vowel,
+               count(*) FILTER (digits) AS digits, count(*) FILTER (one_word) AS one_word, count(*) FILTER (numbered_heading) AS numbered_heading,
+               count(*) FILTER (short OR numbers OR fragment OR no_vowel OR digits OR one_word OR numbered_heading OR few_words) AS noise FROM r GROUP BY l_orderkey""",
+    "line_tests": rf"""
+        WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, CASE WHEN k % 5 = 1 THEN translate(left(line, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN k % 7 = 2 THEN line || ' Smith, AB. Lancet 2019; 12: 33-40.' ELSE line END AS t FROM d),
+        w AS (SELECT *, regexp_extract_all(t, '[A-Za-zÀ-ɏ]{{2,}}') AS s, list_filter(string_split_regex(t, '[{S}]+'), lambda x: regexp_matches(x, '\w')) AS w FROM l),
+        r AS (SELECT *, length(array_to_string(s, '')) >= 4 AND (len(s) >= 2 OR length(s[1]) >= 4) AS speakable,
+                     len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9][A-Z0-9.%-]{{1,6}}$'))) > len(w) * 0.7 AS soup,
+                     regexp_matches(t, '\b(19|20)\d{{2}}[a-z]?[.;)]') AS year, regexp_matches(t, '\b[A-Z][a-z]+,?[{S}]+[A-Z]{{1,3}}[.,]') AS initials,
+                     regexp_matches(t, '\b(J|Am|Br|Eur|N[{S}]?Engl|Lancet|BMJ|JAMA|Nature|Science|Proc|Ann|Arch|Int)\b\.?[{S}]') AS journal,
+                     regexp_matches(t, '\b\d+[{S}]*[:(][{S}]*\d+') OR regexp_matches(t, '\b\d+[–-]\d+\b[{S}]*\.?[{S}]*$') AS pages FROM w)
+        SELECT doc_id, count(*) FILTER (speakable) AS speakable, count(*) FILTER (soup) AS soup,
+               count(*) FILTER (length(t) >= 25 AND ((year AND (initials OR journal)) OR (initials AND pages))) AS reference FROM r GROUP BY doc_id""",
+    "sentence_chars": rf"""SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[{S}]+', '', 'g')) AS digest, true AS within FROM documents""",
+    "blocks": f"""SELECT doc_id, CAST(0 AS INT) AS ord, 'para' AS type, text, CAST(NULL AS INT) AS level FROM ({_PARAGRAPHS})""",
+    "zones": f"""
+        SELECT doc_id, CAST(0 AS INT) AS block_idx, 'para' AS type, {_normalized("text")} AS text, CAST(NULL AS INT) AS level, CAST(NULL AS VARCHAR) AS furniture, 'body' AS zone,
+               CAST(NULL AS VARCHAR) AS section FROM ({_PARAGRAPHS})""",
+    "run_atoms": """
+        WITH x AS (SELECT *, CASE WHEN abs(l_quantity / 4 - 1) = 0 THEN 10 ELSE abs(l_quantity / 4 - 1) END AS size, l_returnflag || '-' || l_partkey AS text FROM lineitem
+                   WHERE abs(atan2(l_tax * 100, l_quantity)) <= 0.12)
+        SELECT l_orderkey AS doc_id, l_linenumber AS ord, text, round(l_discount * 1000, 3) AS x0,
+               round(l_discount * 1000 + CASE WHEN l_linenumber > 3 THEN l_quantity * 2 ELSE length(text) * size * 0.5 END, 3) AS x1, round(l_suppkey - 0.86 * size, 3) AS top,
+               round(l_suppkey + 0.26 * size, 3) AS bot, round(CAST(l_suppkey AS DOUBLE), 3) AS base, round(size, 3) AS size, l_tax > 0.04 AS bold, false AS italic
+        FROM x WHERE size BETWEEN 1 AND 300""",
+    "word_atoms": """
+        WITH x AS (SELECT *, l_linenumber * 4 - 6 AS h FROM lineitem WHERE l_quantity * 2 >= 40 AND l_linenumber * 4 - 6 > 0 AND l_linenumber * 5 - 10 > 0)
+        SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_returnflag || '-' || l_partkey AS text, round(l_suppkey / 2.0, 3) AS x0, round((l_suppkey + l_linenumber * 5 - 10) / 2.0, 3) AS x1,
+               round(l_quantity / 2, 3) AS top, round((l_quantity + h) / 2, 3) AS bot, round((l_quantity + h - 0.2 * h) / 2, 3) AS base, round(0.78 * h / 2, 3) AS size FROM x""",
+    "needs_ocr": """
+        WITH p AS (SELECT source, 500.0 + doc_id % 9 * 50 AS width, length(replace(text, chr(10), '')) AS chars FROM documents WHERE source IS NOT NULL),
+        g AS (SELECT source AS doc_id, count(*) AS n_pages, count(*) FILTER (coalesce(chars, 0) < greatest(80.0, 2.5 * width / 72 * 800.0 / 72)) AS n_scanned FROM p GROUP BY source)
+        SELECT *, n_scanned >= greatest(1, ceil(n_pages * 0.6)) AS needs_ocr FROM g""",
+    "running_lines": r"""
+        WITH d AS (SELECT source AS doc_id, doc_id AS page, string_split(text, chr(10)) AS l FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+        e AS (SELECT doc_id, page, 'T:' AS band, left(l[1], 2) AS t FROM d UNION ALL SELECT doc_id, page, 'B:', left(l[-1], 2) FROM d WHERE len(l) > 1),
+        k AS (SELECT doc_id, page, band || trim(regexp_replace(regexp_replace(lower(t), '\d+', '#', 'g'), '[^A-Za-z0-9_#]+', ' ', 'g')) AS key FROM e),
+        n AS (SELECT doc_id, CAST(floor(count(DISTINCT page) / 12) AS INT) AS n_pages FROM d GROUP BY doc_id)
+        SELECT k.doc_id, key, count(DISTINCT page) AS n FROM k JOIN n USING (doc_id) GROUP BY k.doc_id, key, n_pages
+        HAVING n_pages >= 3 AND count(DISTINCT page) >= greatest(2, ceil(n_pages * 0.34))""",
+    "body_size_mode": """
+        WITH l AS (SELECT source AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents
+                   WHERE source IS NOT NULL AND text IS NOT NULL),
+        s AS (SELECT doc_id, (length(t) % 7) / 2 AS size, sum(length(t)) AS w, min(page * 100000 + k) AS f FROM l GROUP BY ALL)
+        SELECT doc_id, size FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1""",
+    "library_shelf": f"""
+        WITH {_DOCS}, l AS (
+          SELECT d.* EXCLUDE (added_at), CASE WHEN labels.doc_id IS NOT NULL THEN least(100.0, 100.0 * (quality * 40 + toxic * 7) / 100) END AS pct, floor((1700900000 - epoch(added_at)) / 86400) AS days,
+                 strftime(added_at, '%b ') || day(added_at) AS date FROM docs d LEFT JOIN labels ON labels.doc_id = d.doc_id)
+        SELECT doc_id, title, author, minutes, bytes, string_split(author, ',')[1] || CASE WHEN contains(author, ',') THEN ' et al.' ELSE '' END AS by,
+               CASE WHEN minutes = 0 THEN '' WHEN minutes < 60 THEN minutes || ' min listen' WHEN minutes % 60 = 0 THEN minutes // 60 || ' h listen'
+                    ELSE minutes // 60 || ' h ' || minutes % 60 || ' min listen' END AS length,
+               CASE WHEN days <= 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN CAST(days AS BIGINT) || ' days ago' ELSE date END AS when,
+               CASE WHEN bytes = 0 THEN '' WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN CAST(floor(bytes / 1024 + 0.5) AS BIGINT) || ' KB'
+                    ELSE printf('%.1f MB', bytes / 1048576) END AS size,
+               CASE WHEN pct > 0.5 THEN pct END AS percent FROM l""",
+    "library_counts": "SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM labels) AS n_audio",
+    "opened_documents": f"""
+        WITH {_DOCS}, c AS (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents WHERE text IS NOT NULL AND doc_id % 3 > 0)
+        SELECT doc_id, title, CAST(len(b) AS INT) AS n_blocks, CAST(CASE WHEN quality * 40 + toxic * 7 < len(b) THEN quality * 40 + toxic * 7 ELSE 0 END AS BIGINT) AS start
+        FROM docs JOIN c USING (doc_id) LEFT JOIN labels USING (doc_id)""",
 }

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html import BLOCK_TYPE, CAPTION_TEXT, Node, blocks_of, parsed
+from .html import BLOCK_TYPE, CAPTION_TEXT, Node, blocks_of, parsed, summed
 
+#: Labels of kinds.
 LABELS = {"pdf": "PDF", "epub": "EPUB", "docx": "DOCX", "html": "WEB", "text": "TXT", "image": "IMG", "zip": "ZIP"}
 
 
@@ -62,7 +63,7 @@ def _find(root: ElementTree.Element, name: str) -> list[ElementTree.Element]:
 
 
 def _attribute(x: ElementTree.Element, name: str) -> str | None:
-    return next((v for k, v in x.attrib.items() if _local(k) == name), None)
+    return next((v for k, v in x.attrib.items() if _local(k).rpartition(":")[2] == name), None)
 
 
 class Archive:
@@ -73,12 +74,26 @@ class Archive:
         self.names = {x.orig_filename.replace("\\", "/"): x for x in self.zip.infolist() if not x.is_dir()}
 
     def xml(self, path: str) -> ElementTree.Element:
-        return ElementTree.fromstring(self.zip.read(self.names[path]))
+        """The tree of an entry; if it isn't well-formed, what a page parser makes of it."""
+        try:
+            return ElementTree.fromstring(self.zip.read(self.names[path]))
+        except ElementTree.ParseError:
+            return _as_element(parsed(self.text(path)))
 
     def text(self, path: str) -> str:
         return self.zip.read(self.names[path]).decode("utf-8", "replace")
 
 
+def _as_element(root: Node) -> ElementTree.Element:
+    """A page tree as elements without prefixes, as a lenient stand-in for strict XML."""
+    made = {id(root): ElementTree.Element(root.tag)}
+    for node in root.walk():
+        own = ElementTree.SubElement(made[id(node.parent)], node.tag.rpartition(":")[2], {k: v or "" for k, v in node.attrs.items()})
+        own.text = "".join(c for c in node.children if isinstance(c, str))
+        made[id(node)] = own
+    return made[id(root)]
+
+
 def _paragraph(p: ElementTree.Element) -> str:
     out: list[str] = []
 
@@ -124,9 +139,10 @@ def read_docx(data: bytes) -> tuple[dict, list[tuple]]:
 
 
 def _resolved(base: str, rel: str) -> str:
+    """A path relative to that of another entry; one with a scheme stays."""
     if re.match(r"[a-z]+:", rel, re.I):
         return rel
-    return posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(rel))).lstrip("./")
+    return posixpath.normpath(posixpath.join("/", posixpath.dirname(base), *unquote(rel).lstrip("/").split("/"))).lstrip("/")
 
 
 def _is_contents(body: Node) -> bool:
@@ -146,6 +162,7 @@ def read_epub(data: bytes) -> tuple[dict, list[tuple]]:
     for path in paths or sorted(n for n in z.names if re.search(r"\.x?html?$", n, re.I)):
         if path in z.names:
             root = parsed(z.text(path))
+            summed(root)
             body = next((x for x in root.walk() if x.tag == "body"), root)
             if not _is_contents(body):
                 blocks += [(*b, path) for b in blocks_of(body)]

@@ -16,12 +16,32 @@ def latest_positions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def _last(events: DataFrame, position: str) -> DataFrame:
+    last = F.struct("ts", "event_id")
+    return events.groupBy("user_id").agg(F.max_by(position, last).alias("position"), F.max(last).alias("last")).select("user_id", "position", "last.*")
+
+
+def save_positions(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last position of each user from a stream of events of any order: each batch writes its own last positions, in a
+    folder of its own, so a batch that runs again changes nothing."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        _last(batch, "value").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def positions(spark: SparkSession, out: str) -> DataFrame:
+    """The positions that :func:`save_positions` has kept: user_id, position, ts, event_id."""
+    return _last(spark.read.parquet(out), "position")
+
+
 def import_texts(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the blocks of text files to a Parquet table as the files arrive."""
+    """Add the blocks of text files to a Parquet table as the files arrive; a batch that runs again changes nothing."""
     files = spark.readStream.format("text").option("wholetext", "true").load(folder)
     docs = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        text_blocks(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        text_blocks(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
