@@ -15,7 +15,7 @@ with a row for each source is ordered in one task: its size is the number of dis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,14 +30,9 @@ CELLS = 1024
 LATTICE, STEP = 1 << 31, 1327217885
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-
-
-def _numbered(sized: DataFrame) -> DataFrame:
-    """Give each row a number and keep it, so that repeated rows stay apart."""
-    return cut(sized.withColumn("row", F.monotonically_increasing_id()))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *more)
 
 
 def targets(sized: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -148,10 +143,14 @@ def pieces(sized: DataFrame, src: DataFrame, block_words: int = BLOCK_WORDS, see
     )
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words that the schedule takes of it)."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words that the schedule takes of it).
+
+    Each row gets a number, so that repeated rows stay apart. ``row`` names a column (long) that numbers the rows already,
+    as a stored table may have it; it is then returned as ``row``, to find the documents again.
+    """
     spark = docs.sparkSession
-    sized = _numbered(sizes(docs))
+    sized = cut(sizes(docs, (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")))
     src = cut(targets(sized))
     slots = schedule(spark, src, block_words)
     # Slots of a block are summed before they meet documents: whole takes, and the one that the quota cuts.
@@ -164,6 +163,5 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> Data
     taken = pieces(sized, src, block_words, seed).join(used, ["sid", "block"], "left")
     part = F.greatest(F.lit(0), F.least(F.col("len"), F.col("part") - F.col("first")))
     taken = taken.withColumn("taken", F.coalesce(F.col("whole") * F.col("len") + part, F.lit(0)).cast("long"))
-    return taken.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(
-        F.sum("taken").alias("taken")
-    ).drop("row")
+    out = taken.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return out if row else out.drop("row")

@@ -10,8 +10,9 @@ factors of that range. All other values run over their characters: the halves of
 other, digits modulo 10, letters modulo 26 in their case, hexadecimal secrets modulo 16; other characters stay.
 
 Defined results: a null text stays null; a text without private values is returned as it is; values that fail their check
-(a 16-digit number with a wrong check digit) are left alone; repeated rows and extra columns pass through; an extra
-column named ``n_private`` is replaced. Work is row by row: no shuffle, no state.
+(a 16-digit number with a wrong check digit) are left alone, and so are addresses whose local part is over 64 characters;
+repeated rows and extra columns pass through; an extra column named ``n_private`` is replaced; an empty table gives an empty
+one. Work is row by row on whole texts of any length: no shuffle, no state.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 6
-KEY = "change-me"
 #: Kinds and their patterns, tried in this order at each place of a text. Possessive and bounded, so linear in the text.
 KINDS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}"),
@@ -257,7 +257,7 @@ def kind_of(v: Column) -> Column:
     return out.otherwise(F.lit("phone"))
 
 
-def pseudonym(v: Column, key: str = KEY) -> Column:
+def pseudonym(v: Column, key: str) -> Column:
     """The pseudonym of one matched value; the value itself if it fails the check of its kind."""
 
     def by_kind(kind: Column) -> Column:
@@ -269,8 +269,13 @@ def pseudonym(v: Column, key: str = KEY) -> Column:
     return let(kind_of(v), by_kind)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """Replace the private values of ``text``; append ``n_private`` (long), how many values were replaced."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Replace the private values of ``text``; append ``n_private`` (long), how many values were replaced.
+
+    ``key`` is a secret: who has it can turn pseudonyms back.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     t = F.col(text)
     found = F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     changed = lambda m: F.transform(m, lambda v: let(v, lambda x: pseudonym(x, key)))

@@ -12,8 +12,17 @@ from .common import read, saved
 from .labels import fold
 
 
+#: The session setting that holds the secret of the pseudonyms; the registered queries run without one, so that they can be
+#: repeated, on a key that protects nothing.
+KEY_SETTING, OPEN_KEY = "spark.quillspark.pseudonyms.key", "an open key, for queries that anyone may repeat"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, OPEN_KEY)
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(read(spark, sf_dir, "documents"))
+    out = pseudonyms.pseudonymise(read(spark, sf_dir, "documents"), pseudonym_key(spark))
     return out.select("doc_id", "text", "n_private")
 
 
