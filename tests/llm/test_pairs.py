@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, ngram_join, suffix_dedup
 from quillspark.llm.components import components
@@ -62,14 +63,36 @@ def near_copies(seed=3, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_dedup_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,meet", [(2048, 256), (1, 256), (2048, 2), (1, 1)])
+def test_dedup_equals_brute_force(spark, monkeypatch, hot, meet):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MEET", meet)
     rows = near_copies() + [(900, "ab" * 400), (901, "x" + "ab" * 300), (902, None), (903, "é" * 150)]
     got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: tuple(r)[1:5] for r in got} == brute_dedup(rows)
 
 
+def test_dedup_of_ids_with_several_texts(spark):
+    """Texts of one id are documents of their own, in the order of their hash; very long ones are cut to blocks inside."""
+    shared = cases.prose(61, 60)
+    rows = [(1, cases.prose(62, 40) + shared), (1, cases.prose(63, 50) + shared), (2, shared), (3, cases.prose(64, 130_000)), (3, cases.prose(64, 130_000)[400_000:] + "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted((r.doc_id, r.t, r.text) for r in frame.selectExpr("doc_id", "xxhash64(text) AS t", "text").collect())
+    want = brute_dedup([((i, t), text) for i, t, text in order])
+    got = suffix_dedup.dedup(frame).collect()
+    assert sorted(tuple(r)[1:5] for r in got) == sorted(want.values()) and all(0 <= r.n_removed <= r.n_bytes for r in got)
+
+
+def test_common_lines_spread_over_ranges(spark):
+    """One line in every document: copies don't gather in its range."""
+    line = "This very line of more than one hundred bytes stands in each of the documents, at its end or its beginning, whole. " * 2
+    docs = spark.createDataFrame([(k, cases.prose(k, 60) + "\n" + line) for k in range(2000)], "doc_id long, text string").repartition(4)
+    texts = docs.selectExpr("doc_id", "xxhash64(text) AS t", "text")
+    rows = texts.mapInArrow(suffix_dedup._anchors(64, 1, 100), "r int, g int, h binary, c binary, d binary, p binary, n binary")
+    n = [r.n for r in rows.groupBy("r").agg(F.sum(F.length("n")).alias("n")).collect()]
+    assert len(n) == 64 and max(n) < 3 * sorted(n)[len(n) // 2] + 2000 * 4
+
+
 def test_dedup_awkward_rows(spark):
     got = suffix_dedup.dedup(cases.documents(spark)).collect()
     want = brute_dedup({(r[0], r[1]) for r in cases.rows() if r[0] is not None})
@@ -99,6 +122,32 @@ def test_join_equals_brute_force(spark, monkeypatch, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows)
 
 
+def test_join_of_ids_with_several_texts(spark):
+    """An id joins what its texts are linked to."""
+    a, b = cases.prose(71, 60), cases.prose(72, 60)
+    rows = [(1, a), (5, a), (5, b), (7, b + " end"), (9, cases.prose(73, 60)), (11, cases.prose(74, 9)), (11, cases.prose(75, 9))]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 5: 1, 7: 1, 9: 9, 11: 11} and len(got) == len(rows)
+
+
+def test_join_of_long_and_tiny_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BATCH", 1 << 16)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", 1 << 12)
+    long = cases.prose(81, 500_000)
+    rows = [(1, long), (2, long + " more"), (3, "a b"), (4, "A b"), (5, "a b c d e f"), (6, "a b c d e g"), (7, "a b c d e f g"), *((20 + k, t) for k, t in near_copies(9, 60))]
+    rows = [(i, t) for i, t in rows]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id < 3} == {1: 1, 2: 1}
+    want = brute_join(rows[2:])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id > 2} == want
+
+
+def test_payload_does_not_grow_with_ranges(spark):
+    docs = spark.createDataFrame([(k, cases.prose(k, 80)) for k in range(500)], "doc_id long, text string").coalesce(1)
+    size = lambda n: docs.mapInArrow(ngram_join._shingles(n), "r int, batch string, x binary, n binary, y binary").agg(F.sum(F.length("x") + F.length("n"))).head()[0]
+    assert size(8192) < 1.1 * size(128)
+
+
 def test_join_awkward_rows(spark):
     got = ngram_join.classes(cases.documents(spark)).collect()
     want = brute_join({(r[0], r[1]) for r in cases.rows() if r[0] is not None})
@@ -182,6 +231,18 @@ def test_decontamination_on_the_tables(spark, name):
     assert want <= {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
 
 
+def test_decontamination_in_long_texts(spark):
+    """Items at and beside the places where a long text is cut, and in a text without spaces."""
+    size = decontamination.BLOCK - decontamination.CONTEXT
+    filler = cases.prose(91, 400_000)
+    docs = [(k, f"{filler[: size + shift]} {ITEM} {filler[: 2 * size]}") for k, shift in enumerate((-len(ITEM) - 40, -60, -20, -8, -2, 0, 5))]
+    docs += [(20, filler[: 3 * size]), (21, "长" * 400_000 + "小明有三个苹果，他吃了一个。还剩几个？" + "长" * 9)]
+    items = spark.createDataFrame([(7, ITEM), (8, "小明有三个苹果，他吃了一个。还剩几个？")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(k, 7) for k in range(7)} | {(21, 8)}
+    assert len(decontamination._parts([docs[3][1].encode()])[0]) == len(re.findall(r"[^\W_]+", docs[3][1]))
+
+
 def test_components_of_edges_that_change(spark):
     """Each evaluation of these edges gives another tree; all connect the same nodes."""
 

@@ -93,7 +93,7 @@ def test_pseudonyms_of_cards_and_accounts_beside_more(spark):
     card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
     short = "BE68 5390 0754 7034"
     rows = [f"{card} 123", f"{card.replace(' ', '')} 12/27", f"no 12 {card.replace(' ', '')}", f"{iban} AND", f"{short} FOR me", f"{short} THEN it", "no 4111 1111 1111 1112 123"]
-    got = [r.t for r in spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1).transform(pseudonyms.pseudonymise).selectExpr("text AS t").collect()]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1).transform(pseudonyms.pseudonymise, "k").selectExpr("text AS t").collect()]
     assert got[6] == rows[6]
     for old, new, value in zip(rows, got, (card, card.replace(" ", ""), card.replace(" ", ""), iban, short, short)):
         head, tail = old.split(value)
@@ -102,9 +102,14 @@ def test_pseudonyms_of_cards_and_accounts_beside_more(spark):
 
 
 def test_pseudonyms_awkward_rows(spark):
-    got = pseudonyms.pseudonymise(cases.documents(spark)).collect()
+    got = pseudonyms.pseudonymise(cases.documents(spark), "k").collect()
     assert Counter(r.text for r in got) == Counter(r[1] for r in cases.rows())
-    assert pseudonyms.pseudonymise(cases.empty(spark)).collect() == []
+    assert pseudonyms.pseudonymise(cases.empty(spark), "k").collect() == []
+    long = " ".join([cases.prose(3, 2000), PRIVATE] * 60)
+    row = pseudonyms.pseudonymise(spark.createDataFrame([(1, PRIVATE), (2, long)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert row[1].n_private == 60 * row[0].n_private and row[1].text == long.replace(PRIVATE, row[0].text)
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(cases.empty(spark), "")
 
 
 def conversations():
@@ -319,6 +324,59 @@ def test_isotonic_is_monotone():
     assert edges.tolist() == [1, 3, 4] and levels.tolist() == [0, 0.75, 1]
 
 
+def test_taken_words_equal_a_replayed_schedule(spark):
+    """Every slot of the schedule is played on the words of its source, in the order of the keyed shuffle."""
+    docs = spark.createDataFrame([(k, cases.prose(k, 5 + k * 7 % 90), "en", f"s{k % 5}", 1, "", "", "", "") for k in range(120)], cases.DOCUMENTS)
+    src = mixing.targets(mixing.sizes(docs))
+    slots = mixing.schedule(spark, src, 32).collect()
+    names = {r.sid: r.source for r in src.collect()}
+    order = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()
+    # The shuffle goes by bucket of the hash, then by the hash.
+    stream = {s: [r.doc_id for r in sorted(order, key=lambda r: (r.h % mixing.BUCKETS, r.h, r.doc_id)) if r.source == s for _ in words(r.text)] for s in names.values()}
+    taken = Counter(d for r in slots for d in stream[names[r.sid]][r.block * 32 : r.block * 32 + r.words])
+    got = mixing.mix(docs, 32).collect()
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: taken[r.doc_id] for r in got}
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars int, score string, predicted string, n_private string, taken string, `_row` string, component_id string, size string"
+
+
+def awkward_documents(spark):
+    texts = [*(r[1] for r in cases.rows()), PRIVATE, PRIVATE, "same id, other text " + cases.prose(50, 30), cases.prose(51, 80), cases.prose(51, 80)]
+    ids = [*(r[0] for r in cases.rows()), 40, 40, 41, 41, None]
+    return spark.createDataFrame([(i, t, None, f"s{k % 2}", 7, "a", "b", "c", "d", "e", "f", "g") for k, (i, t) in enumerate(zip(ids, texts))], CLASHES)
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    docs = awkward_documents(spark)
+    own = lambda r: tuple(r)[5:12]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, cases.SF)
+        last = name == "mixing"
+        assert out.columns[: len(docs.columns)] == docs.columns and (last or out.schema.names == docs.schema.names), name
+        rows = out.collect()
+        assert all(own(r) == ("a", "b", "c", "d", "e", "f", "g") for r in rows), name
+        if name in ("pseudonyms", "mixing", "toxicity", "decontamination"):
+            assert len(rows) == docs.count(), name
+        else:
+            # One row of the repeated ones and of the copies stays; rows without an id or words all do.
+            texts = Counter(r.text for r in rows if r.doc_id is not None)
+            assert texts[PRIVATE] == 1 and texts[cases.prose(1, 120)] == 1 and sum(r.doc_id is None for r in rows) == 2
+            assert all(texts[t] == 1 for t in (None, "", " \n\t ")) and texts[cases.prose(51, 80)] == 1
+        if last:
+            assert out.columns[len(docs.columns) :] == ["mix_size", "source_size", "target", "mix_taken"]
+            assert all(r.mix_size == len(words(r.text)) for r in rows)
+        if name == "pseudonyms":
+            known = {r.text for r in docs.collect()}
+            assert all(r.n_chars == (7 if r.text in known else len(r.text)) for r in rows) and not any("219-09-9999" in (r.text or "") for r in rows)
+        empty = stage(spark, docs.limit(0), cases.SF)
+        assert empty.collect() == [] and empty.columns[: len(docs.columns)] == docs.columns
+    item = spark.read.parquet(f"{cases.SF}/benchmark.parquet").head().text
+    leaked = spark.createDataFrame([(None, item), (None, "clean"), (5, item), (5, cases.prose(9, 50))], "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, leaked, cases.SF).collect()
+    assert Counter(r.doc_id for r in left) == Counter([None, 5]) and all(r.text != item for r in left)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
     seen = docs
@@ -330,5 +388,7 @@ def test_pipeline_stages(spark):
     assert 0 < len(left) < docs.count()
     mixed = corpus_pipeline.STAGES[-1][1](spark, seen, cases.SF).toPandas()
     assert sorted(mixed["doc_id"]) == sorted(left["doc_id"])
+    text = lambda f: dict(zip(f["doc_id"], f["text"]))
+    assert text(mixed) == text(left) and mixed["taken"].sum() > 0
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs.limit(0), cases.SF).collect() == []
