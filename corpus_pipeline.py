@@ -16,6 +16,13 @@ from quillspark.llm.common import discard, read, saved
 ROW, KEY = "_row", "_key"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the documents don't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """Documents as doc_id, text, and one column of all the others, so that no name clashes with what operators add."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).alias("none")]
@@ -27,9 +34,10 @@ def _unpacked(packed: DataFrame, like: DataFrame) -> DataFrame:
     return packed.select(*[F.col(c if c in ("doc_id", "text") else f"{ROW}.`{c}`").alias(c) for c in like.columns])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with KEY, which tells apart texts of one id and documents without an id."""
-    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a key, which tells apart texts of one id and documents without an id, and its name."""
+    key = _free(docs, KEY)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +56,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # Written, the ids have a known size: few are broadcast, many are joined by a shuffle.
     copies = saved(ngram_join.classes(docs.select("doc_id", "text")).filter("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeats = _keyed(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL").groupBy(KEY).count().filter("count > 1")
+    repeats = docs.filter("doc_id IS NOT NULL").groupBy(F.xxhash64("doc_id", "text").alias(KEY)).count().filter("count > 1")
     if repeats.limit(1).count():
-        once = F.row_number().over(W.partitionBy(KEY).orderBy(F.lit(0)))
-        kept = _keyed(kept).withColumn(ROW, F.when(F.col("doc_id").isNotNull(), once).otherwise(1)).filter(F.col(ROW) == 1).select(*docs.columns)
+        (kept, key), row = _keyed(kept), _free(docs, ROW)
+        once = F.row_number().over(W.partitionBy(key).orderBy(F.lit(0)))
+        kept = kept.withColumn(row, F.when(F.col("doc_id").isNotNull(), once).otherwise(1)).filter(F.col(row) == 1).select(*docs.columns)
     return kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item. Each text is judged by itself, also under a repeated or null id; null
     texts hold nothing; repeated rows share their fate."""
-    keyed = _keyed(docs)
-    found = decontamination.contaminated(keyed.select(F.col(KEY).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    found = saved(found.select(F.col("doc_id").alias(KEY)).distinct())
-    return keyed.join(found, KEY, "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    found = decontamination.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    found = saved(found.select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +86,11 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with size, source_size, target and taken: how many of their words the mix takes. Null texts have size 0;
     a column of one of these names keeps it, and the mix's is called ``mix_`` and its name."""
-    numbered = saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    mixed = mixing.mix(numbered.select("doc_id", "source", "text", ROW), row=ROW)
+    row = _free(docs, ROW)
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mixing.mix(numbered.select("doc_id", "source", "text", row), row=row)
     added = [F.col(f"m.{c}").alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "taken")]
-    both = numbered.alias("d").join(mixed.alias("m"), F.col(f"d.{ROW}") == F.col("m.row"))
+    both = numbered.alias("d").join(mixed.alias("m"), F.col(f"d.{row}") == F.col("m.row"))
     return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], *added)
 
 
