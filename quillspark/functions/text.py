@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SPACE, bind, jvm
+from .patterns import SPACE, SPACES, bind, either, jvm
 from .speech_rules import GENERAL, MEDICAL, ROMAN, STATS, SYMBOLS, UNITS
 
 #: Spacing accents and their combining forms.
@@ -26,7 +27,13 @@ def _replace(c: Column, pattern: str, to: str = "", ignore_case: bool = False) -
 
 
 def trimmed(c: Column) -> Column:
-    return _replace(_replace(c, r"^\s+"), r"\s+$")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def spaced(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends. Texts with single spaces only are left at one look."""
+    other = SPACE.replace(" ", "", 1)
+    return trimmed(bind(c, lambda x: F.when(x.rlike(f"[{other}]|  "), _replace(x, r"\s+", " ")).otherwise(x)))
 
 
 def _composites() -> dict[str, str]:
@@ -98,8 +105,7 @@ def clean_characters(c: Column) -> Column:
     c = F.regexp_replace(c, "[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]", "")
     c = F.translate(c, "   ‘’‛ʼ“”„″‐‑−", "   ''''\"\"\"\"---")
     c = F.replace(c, F.lit("…"), F.lit("..."))
-    c = trimmed(_replace(c, r"\s+", " "))
-    return _replace(c, r"\s+[–—]\s+", ", ")
+    return bind(spaced(c), lambda x: F.when(x.rlike("[–—]"), _replace(x, r"\s+[–—]\s+", ", ")).otherwise(x))
 
 
 def normalize(c: Column) -> Column:
@@ -188,19 +194,35 @@ NOTATION = (
 
 def expand_for_speech(c: Column, full: bool = True) -> Column:
     """Rewrite notation as words; ``full`` false takes the symbols only."""
-    spaced = lambda x: trimmed(_replace(_replace(x, r"\s{2,}", " "), r"\s+([,;:.!?])", "$1"))
-    return spaced(bind(c, lambda x: F.when(x.rlike(NOTATION), _rewritten(x, full)).otherwise(x)))
+    tidied = lambda x: trimmed(_replace(_replace(x, r"\s{2,}", " "), r"\s+([,;:.!?])", "$1"))
+    untidy = jvm(r"\s{2,}|\s[,;:.!?]")
+    out = bind(c, lambda x: F.when(x.rlike(NOTATION), _rewritten(x, full)).otherwise(x))
+    return trimmed(bind(out, lambda x: F.when(x.rlike(untidy), tidied(x)).otherwise(x)))
 
 
 def _rewritten(c: Column, full: bool) -> Column:
-    for pattern, to, flags in (*UNITS, *STATS, *MEDICAL, *GENERAL, *SYMBOLS) if full else SYMBOLS:
-        c = _replace(c, pattern.replace("{m}", "[µμ]"), to, "i" in flags)
+    """The rules, family by family. A family in whose rules none finds a place changes nothing, which one look tells."""
+    families = [[(p.replace("{m}", "[µμ]"), to, "i" in flags) for p, to, flags in rules] for rules in ((UNITS, STATS, MEDICAL, GENERAL, SYMBOLS) if full else (SYMBOLS,))]
     if full:
-        for number, word in ROMAN:
-            c = _replace(c, rf"\b(phase|grade|class|stage|type|factor|trial)\s+{number}\b", f"$1 {word}")
+        families.append([(rf"\b(phase|grade|class|stage|type|factor|trial)\s+{number}\b", f"$1 {word}", False) for number, word in ROMAN])
+
+    for rules in families:
+        c = bind(c, _family(rules))
     return c
 
 
+def _family(rules: list[tuple[str, str, bool]]) -> Callable[[Column], Column]:
+    gate = either([(p, i) for p, _, i in rules])
+
+    def rewritten(x: Column) -> Column:
+        out = x
+        for pattern, to, ignore_case in rules:
+            out = _replace(out, pattern, to, ignore_case)
+        return F.when(x.rlike(gate), out).otherwise(x)
+
+    return rewritten
+
+
 #: Labels of front matter.
 LABELS = (
     r"citation|published|copyright|received|accepted|submitted|revised|editor|academic\s+editor|data\s+availability|funding"
@@ -209,34 +231,44 @@ LABELS = (
 )
 
 
-def noise_reasons(text: Column, kind: Column) -> dict[str, Column]:
-    """The tests for noise by name; a block is noise if one holds."""
-    t = trimmed(text)
-    n = F.length(t)
-    tokens = F.filter(F.split(t, jvm(r"\s+"), -1), lambda w: w != "")
+def _noise_tests(t: Column, tokens: Column, kind: Column) -> dict[str, Column]:
+    n, heading = F.length(t), kind == "heading"
     share = lambda test, of: F.size(F.filter(tokens, test)) / F.greatest(of, F.lit(1))
-    heading = kind == "heading"
     return {
         "short": n < 3,
         "numbers": t.rlike(jvm(r"^[\d\s.,;:|/–—-]+$")),
         "front_matter": t.rlike(jvm(rf"^({LABELS})\s*[:.]", True)),
-        "licence": t.rlike(jvm(r"^(this\s+article|open\s+access|creative\s+commons)\b", True)) & (n < 300),
-        "repeated": t.rlike(r"(.)\1{5,}"),
+        "licence": (n < 300) & t.rlike(jvm(r"^(this\s+article|open\s+access|creative\s+commons)\b", True)),
         "no_vowel": ~t.rlike("[aeiouyAEIOUY]"),
         "fragment": ~heading & (n < 17) & ~t.rlike(jvm(r"[.!?:]$")) & ~t.rlike("^[•\\-–]"),
-        "digits": (n > 12) & (F.length(F.regexp_replace(t, r"[^\d.,%]", "")) / F.greatest(n, F.lit(1)) > 0.55),
+        "digits": (n > 12) & ((n - F.length(F.translate(t, "0123456789.,%", ""))) / n > 0.55),
         "few_words": (n > 16) & (F.size(tokens) >= 4)
         & (share(lambda w: w.rlike(jvm(r"^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’-]{2,}[.,;:)]?$")), F.size(tokens)) < 0.4),
         "one_word": (F.size(tokens) >= 3) & (F.size(F.array_distinct(F.transform(tokens, lambda w: F.lower(w)))) == 1),
         "numbered_heading": heading & (F.size(F.filter(tokens, lambda w: w.rlike(r"\d"))) >= 2),
+        "repeated": t.rlike(r"(.)\1{5,}"),
     }
 
 
+def _tokens(t: Column) -> Column:
+    return F.filter(F.split(t, jvm(r"\s+"), -1), lambda w: w != "")
+
+
+def noise_reasons(text: Column, kind: Column) -> dict[str, Column]:
+    """The tests for noise by name; a block is noise if one holds."""
+    return _noise_tests(trimmed(text), _tokens(trimmed(text)), kind)
+
+
 def is_noise(text: Column, kind: Column) -> Column:
-    out = F.lit(False)
-    for test in noise_reasons(text, kind).values():
-        out = out | F.coalesce(test, F.lit(False))
-    return out
+    """Whether one of the tests holds; the text is trimmed and cut to words once for all of them."""
+
+    def judged(t: Column, tokens: Column) -> Column:
+        out = F.lit(False)
+        for test in _noise_tests(t, tokens, kind).values():
+            out = out | F.coalesce(test, F.lit(False))
+        return out
+
+    return bind(trimmed(text), lambda t: bind(_tokens(t), lambda tokens: judged(t, tokens)))
 
 
 def is_acronym_soup(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import bind, jvm
-from ..functions.text import trimmed
+from ..functions.text import spaced, trimmed
 
 #: How lines of Markdown and plain text are told.
 RULE = jvm(r"^\s*([-*_])(\s*\1){2,}\s*$")
@@ -99,11 +99,18 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     g = x.groupBy("doc_id", "block").agg(
         F.sort_array(F.collect_list(F.struct("ord", "piece", "type", "level"))).alias("lines"),
     )
-    joined = F.aggregate(
-        F.transform("lines", lambda v: v["piece"]), F.lit(""),
-        lambda a, p: F.when(a == "", p).when(a.rlike(r"\p{L}-\z") & p.rlike(r"^\p{Ll}"), F.concat(F.substr(a, F.lit(1), F.length(a) - 1), p)).otherwise(F.concat(a, F.lit(" "), p)),
-    )
-    g = g.select("doc_id", "block", F.element_at("lines", 1)["type"].alias("type"), trimmed(F.regexp_replace(joined, jvm(r"\s+"), " ")).alias("text"), F.element_at("lines", 1)["level"].alias("level"))
+    # A word cut at the end of a line: its hyphen goes, and the next line follows without a space.
+    pieces = F.filter(F.transform("lines", lambda v: v["piece"]), lambda p: p != "")
+    broken = lambda a, p: F.coalesce(a.endswith("-") & a.rlike(r"\p{L}-\z") & p.rlike(r"^\p{Ll}"), F.lit(False))
+
+    def glued(ps: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            whole = F.when(broken(p, F.get(ps, i + 1)), F.substr(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+            return F.when((i == 0) | broken(F.get(ps, i - 1), p), whole).otherwise(F.concat(F.lit(" "), whole))
+
+        return F.array_join(F.transform(ps, piece), "")
+
+    g = g.select("doc_id", "block", F.element_at("lines", 1)["type"].alias("type"), spaced(bind(pieces, glued)).alias("text"), F.element_at("lines", 1)["level"].alias("level"))
     numbered = F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1
     return g.filter("text <> ''").select("doc_id", numbered.alias("ord"), "type", "text", "level")
 
