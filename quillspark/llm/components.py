@@ -15,7 +15,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round finds the least label among a node's neighbours, offers it to the node and to the node's own label, and then
     takes the label of the label; so whole trees hook on to each other and rounds grow with the logarithm of the longest
     path. Labels are written each round, in the shared folder, and those of the round before are deleted; only a count
-    reaches the driver. Both sides of each join are plain shuffles, so a label that many nodes have can be split.
+    reaches the driver. Before the join by label they are written as well, so that both sides are plain shuffles and a label
+    that many nodes have can be split.
     """
     edges = edges.filter("a <> b")
     # Both directions come from one row: edges computed twice might differ, as between equal sets any may stand for all.
@@ -27,11 +28,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")).join(labels.hint("merge"), "node")
         offers = F.explode(F.array(F.struct("node", "near"), F.struct(F.col("component").alias("node"), "near"))).alias("o")
         offers = near.select(offers).groupBy("o.node").agg(F.min("o.near").alias("near"))
-        nearer = labels.join(offers.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("to"))
+        nearer = saved(labels.join(offers.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("to")))
         jump = nearer.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
         new = nearer.join(jump.hint("merge"), "to")
         new = saved(new.select("node", F.least("to", "beyond").alias("component"), (F.col("component") > F.least("to", "beyond")).alias("moved")))
-        discard(labels)
+        discard(labels, nearer)
         labels = new
         if not new.filter("moved").limit(1).count():
             discard(both)
