@@ -25,6 +25,7 @@ BLOCK_WORDS = 256
 MAX_REPEATS = 3
 BUCKETS = 1024
 CHUNK = 16384
+#: Cells of the unit interval at least.
 CELLS = 1024
 #: The modulus of the golden-ratio lattice and the odd whole number nearest to its golden section.
 LATTICE, STEP = 1 << 31, 1327217885
@@ -78,17 +79,19 @@ def _quota(src: DataFrame, block_words: int) -> DataFrame:
 def schedule(spark: SparkSession, src: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The slots of the mix: slot, sid, rank, block, words. ``src`` comes from :func:`targets`."""
     quota = cut(_quota(src, block_words))
-    n = quota.agg(F.coalesce(F.sum("quota"), F.lit(0))).head()[0]
+    n, n_sources = quota.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).head()
+    # Points are even over the cells, so with four cells for each source a slot meets a source and a quarter on average.
+    n_cells = max(CELLS, 4 * n_sources)
     slots = spark.range(0, -(-n // block_words)).withColumnRenamed("id", "slot")
     # Every LATTICE slots the points start anew, shifted by a golden fraction of their distance.
     point = (
         (F.col("slot") % LATTICE) * STEP % LATTICE + (F.expr(f"(slot div {LATTICE})") * 0.6180339887498949) % 1
     ) / LATTICE
-    slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
+    slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * n_cells))
     # The unit interval in cells: each source lies in the cells that its share touches, so points meet few sources.
     cells = quota.select(
         "sid", "lo", "hi", "slots", "blocks", "source_size", "quota",
-        F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
+        F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1)))).alias("cell"),
     )
     placed = slots.join(cells, "cell").filter("u >= lo AND u < hi").withColumn("chunk", F.expr(f"slot div {CHUNK}"))
     counts = placed.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
