@@ -97,16 +97,26 @@ def new_net(seed: int = 6) -> Net:
 
 def _run(net: Net, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """Hidden states (steps, windows, HIDDEN) of one direction, given the projected inputs (steps, windows, 3 HIDDEN)."""
-    n, h, k = len(x), np.zeros((x.shape[1], HIDDEN), np.float32), HIDDEN
-    u, out, tape = net[f"U{d}"], np.empty((len(x), x.shape[1], HIDDEN), np.float32), []
-    for t in range(n) if d == "f" else range(n - 1, -1, -1):
-        gates = _sigmoid(x[t][:, : 2 * k] + h @ u[:, : 2 * k])
+    k, u = HIDDEN, net[f"U{d}"]
+    ug, uc = np.ascontiguousarray(u[:, : 2 * k]), np.ascontiguousarray(u[:, 2 * k :])
+    h, out, tape = np.zeros((x.shape[1], k), u.dtype), np.empty((len(x), x.shape[1], k), u.dtype), []
+    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        gates = h @ ug
+        gates += x[t][:, : 2 * k]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
         z, r = gates[:, :k], gates[:, k:]
-        c = np.tanh(x[t][:, 2 * k :] + (r * h) @ u[:, 2 * k :])
-        new = h + z * (c - h)
+        c = (r * h) @ uc
+        c += x[t][:, 2 * k :]
+        np.tanh(c, out=c)
         if keep:
-            tape.append((t, h, z, r, c))
-        out[t] = h = new
+            tape.append((t, h, z, r, c.copy()))
+        c -= h
+        c *= z
+        c += h
+        out[t] = h = c
     return out, tape
 
 
