@@ -47,6 +47,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def nested(column: pa.Array, *fields: str) -> Iterator[list[tuple]]:
+    """For each row of a column of lists of structs, these fields of its structs as tuples; of a null none."""
+    lens, flat = pc.fill_null(pc.list_value_length(column), 0).to_pylist(), column.flatten()
+    rows, at = list(zip(*(flat.field(f).to_pylist() for f in fields))), 0
+    for n in lens:
+        yield rows[at : at + n]
+        at += n
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let the session hand at most ``most`` bytes at a time to Python, so that texts of any length take little memory
     outside the heap; a smaller value that the session has already stays."""

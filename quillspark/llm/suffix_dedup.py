@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, small_batches, utf8
+from .common import nested, saved, slices, small_batches, utf8
 
 MIN_BYTES = 100
 GRAM = 32
@@ -271,13 +271,14 @@ def _fetched(ranges: int, size: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, FETCH):
             key, doc, place, text = [], [], [], []
-            for doc_id, t, data, asked in zip(rows.column("doc_id").to_pylist(), rows.column("t").to_pylist(), utf8(rows.column("text")), rows.column("asked").to_pylist()):
-                for x in asked or ():
-                    if not x["dealt"]:
-                        spans = [(x["anchor"], x["a"], x["e"])]
+            asked = nested(rows.column("asked"), "anchor", "a", "e", "dealt")
+            for doc_id, t, data, own in zip(rows.column("doc_id").to_pylist(), rows.column("t").to_pylist(), utf8(rows.column("text")), asked):
+                for anchor, a, e, dealt in own:
+                    if not dealt:
+                        spans = [(anchor, a, e)]
                     else:
                         spans = []
-                        for i in range(x["a"], x["e"] - size + 1):
+                        for i in range(a, e - size + 1):
                             h = int.from_bytes(hashlib.blake2b(data[i : i + size], digest_size=8).digest())
                             spans.append(((h * ranges >> 64) << 32 | h & 0xFFFFFFFF, i, i + size))
                     for k, i, j in spans:
@@ -423,9 +424,9 @@ def _compared(size: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in slices(batches, BATCH):
         out = []
-        for doc_id, data, spans in zip(rows.column("doc_id").to_pylist(), utf8(rows.column("text")), rows.column("spans").to_pylist()):
+        for doc_id, data, spans in zip(rows.column("doc_id").to_pylist(), utf8(rows.column("text")), nested(rows.column("spans"), "a", "e")):
             removed, n, at, end, kept = 0, 0, 0, -1, []
-            for a, e in sorted((x["a"], x["e"]) for x in spans or ()):
+            for a, e in sorted(spans):
                 if a > end:
                     kept.append(data[at:a])
                     n += 1
