@@ -14,6 +14,7 @@ from ..functions.patterns import bind, jvm
 from ..functions.text import composed, trimmed
 from ..operators import layout
 from ..operators.page_lines import page_lines
+from ..tables import saved
 
 #: How far runs may be turned (radians), their sizes, and the box around a baseline and the width of a
 #: character in ems.
@@ -80,10 +81,13 @@ def metadata(info: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def atom_blocks(atoms: DataFrame, geometry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks, and per document n_pages, n_scanned and needs_ocr: lines, running heads off, regions, paragraphs."""
-    lines = page_lines(atoms, geometry)
+    """Blocks, and per document n_pages, n_scanned and needs_ocr: lines, running heads off, regions, paragraphs.
+
+    Lines and blocks are read several times, so they are written first (see ``tables``).
+    """
+    lines = saved(page_lines(atoms, geometry))
     verdict = layout.needs_ocr(lines, geometry)
-    return layout.line_blocks(layout.strip_running_heads(lines, verdict)), verdict
+    return saved(layout.line_blocks(saved(layout.strip_running_heads(lines, verdict)))), verdict
 
 
 def extract_runs(runs: DataFrame, geometry: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
