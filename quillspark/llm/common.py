@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cut, discard, saved, shared_dir
+
+__all__ = ["SPACES", "cut", "discard", "let", "nested", "read", "saved", "shared_dir", "slices", "small_batches", "utf8", "words"]
+
 #: Runs of these separate words: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -63,43 +65,3 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     now = spark.conf.get(key).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= most:
         spark.conf.set(key, str(most))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. On one machine (tests), where none is set, a new local one; on a cluster an
-    unset folder is an error, as each executor would write to a disk of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: for tables of narrow rows that several branches reuse."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write a table as compressed Parquet in the shared folder and read it back: for wide rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`saved` that no later plan reads."""
-    for df in tables:
-        if path := df.__dict__.get("saved_path"):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
