@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillspark.llm import chat, language, mixing, pseudonyms, quality_model, quality_rules, queries, toxicity
 
+from quillspark.llm.labels import sample
+
 from . import cases
 
 
@@ -293,6 +295,15 @@ def test_toxicity_reads_every_letter():
     assert (got[:2] < 0.7).all() and (got[2:] >= 0.7).all(), got
 
 
+def test_samples_take_the_least_hashes(spark):
+    rows = spark.createDataFrame([(k, "a" if k % 50 else "b") for k in range(5000)] + [(7, "a")], "doc_id long, lang string")
+    got = sample(rows, "lang", 100).collect()
+    want = rows.distinct().withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h").collect()
+    for lang in "ab":
+        assert sorted(r.doc_id for r in got if r.lang == lang) == sorted([r.doc_id for r in want if r.lang == lang][:100])
+    assert len(got) == 200 and sample(rows.limit(0), "lang", 5).collect() == []
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op8_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").toPandas()
     held = got[got["held_out"]]
