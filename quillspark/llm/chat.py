@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
+
 BUDGET, HISTORY = 512, 128
 #: Turn numbers to a run, and tokens after which windows start anew.
 RUN, CHUNK = 4096, 8192
@@ -101,20 +103,21 @@ def windows(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     if not 0 < history <= budget // 2:
         raise ValueError("history may take at most half of the budget")
     key = ["_c", "_n"]
-    t = _placed(conv).withColumn("chunk", F.expr(f"(pre + tok - 1) div {CHUNK}"))
-    chunks = t.groupBy(*key, "chunk").agg(F.sort_array(F.collect_list(F.struct("ord", "pre", "tok", "sys_ord", "sys_tok"))).alias("turns"))
+    t = saved(_placed(conv).withColumn("chunk", F.expr(f"(pre + tok - 1) div {CHUNK}")))
+    # Which turns stand in which windows is settled on numbers; the texts join once.
+    numbers = t.drop("conv_id", "role", "text")
+    chunks = numbers.groupBy(*key, "chunk").agg(F.sort_array(F.collect_list(F.struct("ord", "pre", "tok", "sys_ord", "sys_tok"))).alias("turns"))
     w = chunks.select(*key, "chunk", F.explode(_begins(F.col("turns"), budget, history)).alias("w")).select(*key, "chunk", "w.*")
-    w = w.withColumnsRenamed({"ord": "window", "pre": "begin"})
+    w = saved(w.withColumnsRenamed({"ord": "window", "pre": "begin"}))
     # A turn's own window is in its chunk; windows that repeat it begin within ``history`` tokens after its start.
-    body = ["conv_id", *key, "ord", "role", "text", "tok"]
-    fresh = t.join(w.select(*key, "chunk", "window", "last"), [*key, "chunk"]).filter("ord BETWEEN window AND last")
+    fresh = numbers.select(*key, "chunk", "ord").join(w.select(*key, "chunk", "window", "last"), [*key, "chunk"]).filter("ord BETWEEN window AND last")
     near = F.explode(F.array(F.expr(f"begin div {history}"), F.expr(f"begin div {history} - 1"))).alias("near")
     later = w.filter("room > 0").select(*key, "window", "begin", "room", F.col("sys_ord").alias("from"), near)
-    again = t.withColumn("near", F.expr(f"pre div {history}")).join(later, [*key, "near"])
+    again = numbers.select(*key, "ord", "pre", F.expr(f"pre div {history}").alias("near")).join(later, [*key, "near"])
     again = again.filter("ord < window AND ord > from AND pre >= begin - room")
-    system = t.join(w.filter("sys_ord >= 0").select(*key, "window", F.col("sys_ord").alias("ord")), [*key, "ord"])
-    parts = [df.select(*body, "window", F.lit(kind).alias("kind")) for kind, df in enumerate((system, again, fresh))]
-    t = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    system = w.filter("sys_ord >= 0").select(*key, "window", F.col("sys_ord").alias("ord"))
+    parts = [df.select(*key, "ord", "window", F.lit(kind).alias("kind")) for kind, df in enumerate((system, again, fresh))]
+    t = t.select("conv_id", *key, "ord", "role", "text", "tok").join(parts[0].unionByName(parts[1]).unionByName(parts[2]), [*key, "ord"])
     head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
     t = t.select("conv_id", *key, "window", F.struct("kind", "ord", "role", head.alias("head"), escape(F.col("text")).alias("body"), "tok").alias("m"))
     g = t.groupBy(*key, "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("m")).alias("parts"))
