@@ -222,22 +222,28 @@ def _hot(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ((count > HOT) | marked)[name]
 
 
-def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """The segments of a range in one group of batches: the earliest of each content, and what is settled with that."""
-    copies, hot, rest = _parted(rows)
-    h, c, d, p, n = _arrays(rest)
-    lead, gone = _firsts(h, c, d, p)
-    over = _hot(h[lead], n[lead])
-    r, g = int(rows["r"].iloc[0]), int(rows["g"].iloc[0])
-    out = [*copies.itertuples(index=False), *hot.itertuples(index=False)]
-    put = lambda k, *left_out: out.append((r, g, *(b"" if name in left_out else x[k].tobytes() for name, x in zip("hcdpn", (h, c, d, p, n)))))
-    put(gone, "h", "c")
-    put(lead[over], "c")
-    put(lead[~over])
-    marks = np.unique(h[lead[over]])
-    out.append((r, g, marks.tobytes(), np.zeros(len(marks), np.uint64).tobytes(), np.zeros(len(marks), DOC).tobytes(),
-                np.full(len(marks), -1, np.int32).tobytes(), np.full(len(marks), _HOT_MARK, np.uint8).tobytes()))
-    return pd.DataFrame([x for x in out if len(x[4])], columns=_ROW.names)
+def _met(ranges: int):
+    """The segments of a range in one group of batches: the earliest of each content, and what is settled with that, which
+    needs no range any more and goes anywhere."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        copies, hot, rest = _parted(rows)
+        h, c, d, p, n = _arrays(rest)
+        lead, gone = _firsts(h, c, d, p)
+        over = _hot(h[lead], n[lead])
+        r, g = int(rows["r"].iloc[0]), int(rows["g"].iloc[0])
+        anywhere = zlib.crc32(f"{r}-{g}".encode()) % ranges
+        out = [*copies.itertuples(index=False), *hot.itertuples(index=False)]
+        put = lambda where, k, *left_out: out.append((where, g, *(b"" if name in left_out else x[k].tobytes() for name, x in zip("hcdpn", (h, c, d, p, n)))))
+        put(anywhere, gone, "h", "c")
+        put(anywhere, lead[over], "c")
+        put(r, lead[~over])
+        marks = np.unique(h[lead[over]])
+        out.append((r, g, marks.tobytes(), np.zeros(len(marks), np.uint64).tobytes(), np.zeros(len(marks), DOC).tobytes(),
+                    np.full(len(marks), -1, np.int32).tobytes(), np.full(len(marks), _HOT_MARK, np.uint8).tobytes()))
+        return pd.DataFrame([x for x in out if len(x[4])], columns=_ROW.names)
+
+    return run
 
 
 def _resolved(size: int):
@@ -452,7 +458,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     row = "r int, g int, h binary, c binary, d binary, p binary, n binary"
     lead = texts.filter("doc_id IS NOT NULL").mapInArrow(_anchors(ranges, groups, min_bytes), row)
     if groups > 1:
-        lead = lead.groupBy("r", "g").applyInPandas(_met, row)
+        lead = lead.groupBy("r", "g").applyInPandas(_met(ranges), row)
     schema = "doc_id long, t long, a long, e long, anchor long, dealt boolean"
     resolved = saved(lead.groupBy("r").applyInPandas(_resolved(min_bytes), schema))
     asked = resolved.filter("anchor IS NOT NULL").groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "a", "e", "dealt")).alias("asked"))
