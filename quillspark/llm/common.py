@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut, discard, saved, shared_dir
 
-__all__ = ["SPACES", "cut", "discard", "let", "nested", "read", "saved", "shared_dir", "slices", "small_batches", "utf8", "words"]
+__all__ = ["SPACES", "cut", "discard", "free_names", "let", "nested", "read", "saved", "shared_dir", "slices", "small_batches", "utf8", "words"]
 
 #: Runs of these separate words: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For those of these names that columns of a table bear, others that none bears."""
+    taken, out = {c.lower() for c in (*df.columns, *names)}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            out[c] = next(f"{c}_{k}" for k in range(len(taken) + 1) if f"{c}_{k}".lower() not in taken)
+            taken.add(out[c].lower())
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
