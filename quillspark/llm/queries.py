@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fill_middle, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
+from . import chat, decontamination, fill_middle, filter_audit, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import read, saved
 from .labels import fold
 
@@ -77,6 +77,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = saved(filter_audit.measured(read(spark, sf_dir, "documents")))
+    rows = filter_audit.with_labels(filter_audit.with_copies(rows), read(spark, sf_dir, "labels"))
+    return filter_audit.audit(filter_audit.bitmap_index(rows))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
     again = fill_middle.restored(F.col("output"), F.col("form"))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -166,6 +173,26 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
                failed_bits = 0 AS kept, failed_bits
         FROM b""".replace("{words}", _WORDS),
+    "op12_filter_audit": r"""
+        WITH l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        d AS (SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words} AS w, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+              FROM documents d LEFT JOIN l USING (doc_id)),
+        f AS (SELECT part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                     100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+                     coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d),
+        g AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, f),
+        v AS (SELECT unnest([1, 2, 3, 4, 5]) AS v),
+        o AS (SELECT [a.v, b.v, c.v, d.v, e.v] AS o FROM v a, v b, v c, v d, v e
+              WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+        s AS (SELECT o, CAST(step AS INT) AS step FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        x AS (SELECT part, o, step, n, good, toxic, f[o[step]] AS own, list_bool_or(list_prepend(false, list_transform(o[1:step - 1], lambda i: f[i]))) AS before,
+                     len(list_filter(f, lambda y: y)) = 1 AS alone FROM g, s),
+        r AS (SELECT part, o, step, CAST(coalesce(sum(n) FILTER (NOT own AND NOT before), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT before), 0) AS BIGINT) AS removed,
+                     CAST(coalesce(sum(n) FILTER (own AND before), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (own AND alone), 0) AS BIGINT) AS unique_fails,
+                     CAST(coalesce(sum(good) FILTER (own AND NOT before), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (own AND NOT before), 0) AS BIGINT) AS toxic_lost
+              FROM x GROUP BY part, o, step)
+        SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM r""".replace("{words}", _WORDS),
     "op13_fill_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
