@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fill_middle, filter_audit, language, mixing, ngram_join, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
+from . import chat, decontamination, fill_middle, filter_audit, language, mixing, ngram_join, pieces, pseudonyms, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import read, saved
 from .labels import fold
 
@@ -77,6 +78,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public model file, read where the plan is made."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    coded = coded.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "ids", _span_bytes().alias("span_bytes"))
+    out = pieces.decode(coded, model)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("span_bytes") == F.col("n_bytes")).alias("spans_cover"),
+    )
+
+
+def _span_bytes() -> Column:
+    """The bytes under the spans of the pieces, which follow one another."""
+    spans = F.zip_with("begins", "ends", lambda a, b: (b - a).cast("long"))
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(filter_audit.measured(read(spark, sf_dir, "documents")))
     rows = filter_audit.with_labels(filter_audit.with_copies(rows), read(spark, sf_dir, "labels"))
@@ -102,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality_model": op9_quality_model,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_middle": op13_fill_middle,
 }
