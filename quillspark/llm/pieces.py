@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,7 +33,7 @@ from .common import slices, small_batches, utf8
 
 SPACE = "▁"
 #: Segments that a task remembers, the longest of them, and bytes of text or ids that are worked on at once.
-CACHED, LONGEST, CHUNK, SLICE = 1 << 18, 48, 1 << 20, 4 << 20
+CACHED, LONGEST, CHUNK, SLICE = 1 << 17, 48, 1 << 20, 1 << 20
 #: Characters of a unit that is merged by itself, with a heap; no merger; and the number of the first character without a symbol.
 LONG_UNIT, NONE, FOREIGN = 64, 1 << 30, 1 << 28
 #: The kinds of pieces in a model.
@@ -123,18 +124,26 @@ class Pieces:
         self.map = CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.ids = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        self.reach = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
-        self.reaches = np.array(sorted(ord(x[0]) << 21 | ord(x[1]) for x in self.reach) or [-1], np.int64)
-        self._tables()
-        # No piece reaches from a word to the white space after it: then words are segments.
-        self.by_word = not any(x[1] == SPACE != x[0] for x in self.reach)
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.by_word else "(?s:.+)")
         self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.spelled = [b"" if p.type == CONTROL else m.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else
                         bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in m.pieces]
         self.controls = {i for i, p in enumerate(m.pieces) if p.type == CONTROL}
         self.plain = [p.type == NORMAL for p in m.pieces]
 
+    @functools.cached_property
+    def reaches(self) -> np.ndarray:
+        """Pairs of neighbouring characters that some piece holds; between others no piece can reach."""
+        return np.array(sorted({ord(a) << 21 | ord(b) for x in self.ids for a, b in zip(x, x[1:])}) or [-1], np.int64)
+
+    @functools.cached_property
+    def by_word(self) -> bool:
+        """No piece reaches from a word to the white space after it: then words are segments."""
+        return not ((self.reaches & 0x1FFFFF == ord(SPACE)) & (self.reaches >> 21 != ord(SPACE))).any()
+
+    @functools.cached_property
+    def segments(self) -> re.Pattern:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.by_word else "(?s:.+)")
+
     def _tables(self) -> None:
         """Numbers for pieces and for the characters in them, and all pairs that make a piece, ranked by its score."""
         self.symbols = {x: k for k, x in enumerate(dict.fromkeys([*self.ids, *"".join(self.ids)]))}
@@ -247,6 +256,8 @@ class Pieces:
 
     def learn(self, segments: list[str]) -> None:
         """Merge these segments and remember their pieces: ids and lengths in normalised bytes, as packed int32."""
+        if not hasattr(self, "pairs"):
+            self._tables()
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         symbols = np.where(codes < len(self.symbol_of), self.symbol_of[np.minimum(codes, len(self.symbol_of) - 1)], -1)
@@ -389,6 +400,12 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         pieces = _pieces(model)
         for batch in batches:
-            yield batch, [pa.array([pieces.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())]
+            lens = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(lens):
+                end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + SLICE // 4, side="right")))
+                own = batch.slice(at, end - at)
+                yield own, [pa.array([pieces.decode(x or []) for x in own.column(ids).to_pylist()], pa.string())]
+                at = end
 
     return _with_columns(rows, [("decoded", T.StringType())], run)
