@@ -184,6 +184,21 @@ def _without_citations(c: Column) -> Column:
     return _replace(c, NAMED_YEAR, "")
 
 
+#: What a sentence of single spaces needs at least for one of the repairs, addresses or citations to find a place.
+UNTIDY = r"[\[(@]|[SP][SP,;:.!?)\]]|[,;:][SP]*[,;:.]|\.\.|^[SP,;:]|[SP]\z|(?i:doi|http|www)".replace("SP", SPACE)
+
+
+def spoken(c: Column, skip_citations: bool = True, full: bool = True) -> Column:
+    """A sentence as it is to be spoken: without addresses (and citations), in words. One look tells that nothing is to be
+    removed or repaired."""
+
+    def cleaned(x: Column) -> Column:
+        x = strip_addresses(x)
+        return tidy(strip_citations(x) if skip_citations else x)
+
+    return expand_for_speech(bind(c, lambda x: F.when(x.rlike(UNTIDY), cleaned(x)).otherwise(x)), full)
+
+
 #: What each rule needs at least: a digit, one of these signs, two capitals, or one of these words. Most sentences have
 #: none, and one look saves them the whole chain.
 NOTATION = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import layout, navigation, store
 from ..operators.segment import sentences
-from ..operators.text_blocks import text_blocks, text_lines
+from ..operators.text_blocks import text_blocks, text_documents, text_lines
 from ..plans import script
 from ..sources import html, positioned
 from . import cases
@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.build_sentences(script.zone_blocks(text_blocks(_table(spark, sf_dir, "documents"))))
+    return script.build_sentences(script.zone_documents(text_documents(_table(spark, sf_dir, "documents"))))
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def block_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.zone_blocks(text_blocks(_table(spark, sf_dir, "documents")))
+    return script.zone_blocks(text_documents(_table(spark, sf_dir, "documents")))
 
 
 def script_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def script_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.script_stats(_sentences(spark, sf_dir))
+    zoned = script.zone_documents(text_documents(_table(spark, sf_dir, "documents")))
+    return script.script_stats(script.build_sentences(zoned, keep_empty=True))
 
 
 def script_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
