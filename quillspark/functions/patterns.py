@@ -48,11 +48,3 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, also where that uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def either(patterns: list[tuple[str, bool]]) -> str:
-    """A JVM pattern that finds a place where one of these (pattern, ignore case) finds one. A border that many of them begin
-    with is looked for once."""
-    parts = [(p.startswith(r"\b"), f"(?iu:{jvm(q)})" if i else f"(?:{jvm(q)})") for p, i in patterns for q in [p.removeprefix(r"\b")]]
-    bordered, others = ([x for b, x in parts if b == k] for k in (True, False))
-    return "|".join([*([f"{BORDER}(?:{'|'.join(bordered)})"] if bordered else []), *others])

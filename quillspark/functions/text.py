@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SPACE, SPACES, bind, either, jvm
+from .patterns import SPACE, SPACES, bind, jvm
 from .speech_rules import GENERAL, MEDICAL, ROMAN, STATS, SYMBOLS, UNITS
 
 #: Spacing accents and their combining forms.
@@ -185,7 +186,10 @@ def _without_citations(c: Column) -> Column:
 
 
 #: What a sentence of single spaces needs at least for one of the repairs, addresses or citations to find a place.
-UNTIDY = r"[\[(@]|[SP][SP,;:.!?)\]]|[,;:][SP]*[,;:.]|\.\.|^[SP,;:]|[SP]\z|(?i:doi|http|www)".replace("SP", SPACE)
+#: The first character decides, so that most places cost one look.
+UNTIDY = (
+    r"[SP,;:.\[(@dDhHwW](?:(?<=[\[(@])|(?<=[SP])[SP,;:.!?)\]]|(?<=[,;:])[SP]*[,;:.]|(?<=\.)\.|(?<=^[SP,;:])|(?<=[SP])\z|(?i:(?<=d)oi|(?<=h)ttp|(?<=w)ww))"
+).replace("SP", SPACE)
 
 
 def spoken(c: Column, skip_citations: bool = True, full: bool = True) -> Column:
@@ -199,41 +203,93 @@ def spoken(c: Column, skip_citations: bool = True, full: bool = True) -> Column:
     return expand_for_speech(bind(c, lambda x: F.when(x.rlike(UNTIDY), cleaned(x)).otherwise(x)), full)
 
 
-#: What each rule needs at least: a digit, one of these signs, two capitals, or one of these words. Most sentences have
-#: none, and one look saves them the whole chain.
+#: What each rule needs at least: a digit, one of these signs, two capitals, or one of these at the start of a word. Most
+#: sentences have none, and one look saves them all rules.
 NOTATION = (
-    r"[0-9/°µμ<>=≤≥±≈≃≠×αβγΔ∆κχ]|[A-Z][A-Z]|U\.?[SK]|NaCl|(?i:qol|cmho|mmhg|(?<![a-z])(?:et[^a-z]+al|e\.[^a-z]?g|i\.[^a-z]?e|vs(?![a-z])"
-    r"|cf\.|etc(?![a-z])|viz(?![a-z])|approx(?![a-z])|suppl|dr\.|prof\.|(?:phase|grade|class|stage|type|factor|trial)[^a-z]+[ivx]))"
+    r"[0-9/°µμ<>=≤≥±≈≃≠×αβγΔ∆κχ~]|[A-Z](?:[A-Z]|(?<=U)\.?[SK]|(?<=N)aCl)|(?<![A-Za-z0-9_])(?i:qol|cmho|mmhg|et[^a-z]+al|e\.[^a-z]?g|i\.[^a-z]?e"
+    r"|vs(?![a-z])|cf\.|etc(?![a-z])|viz(?![a-z])|approx(?![a-z])|suppl|dr\.|prof\.|(?:phase|grade|class|stage|type|factor|trial)[^a-z]+[ivx])"
 )
+#: Rules that follow one another and share a look at what they need.
+TOGETHER = 6
 
 
 def expand_for_speech(c: Column, full: bool = True) -> Column:
     """Rewrite notation as words; ``full`` false takes the symbols only."""
     tidied = lambda x: trimmed(_replace(_replace(x, r"\s{2,}", " "), r"\s+([,;:.!?])", "$1"))
-    untidy = jvm(r"\s{2,}|\s[,;:.!?]")
+    untidy = jvm(r"\s(?=[\s,;:.!?])")
     out = bind(c, lambda x: F.when(x.rlike(NOTATION), _rewritten(x, full)).otherwise(x))
     return trimmed(bind(out, lambda x: F.when(x.rlike(untidy), tidied(x)).otherwise(x)))
 
 
+def required(pattern: str) -> list[str]:
+    """Literals of which a text must hold one for the pattern to find a place: of each alternative at the top the rarest run of
+    plain characters that nothing makes optional, or else the members of a small class."""
+    if len(parts := _top_alternatives(pattern)) > 1:
+        return [x for p in parts for x in required(p)]
+    runs, classes, run, i = [], [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "(":
+            end = i + _group(pattern[i:])
+        elif c == "[":
+            end = pattern.index("]", i) + 1
+        else:
+            end = i + 1 + (c == "\\")
+        atom = pattern[i:end]
+        quantifier = re.match(r"[?*+]|\{\d+(?:,\d*)?\}", pattern[end:])
+        literal = atom if len(atom) == 1 else atom[1] if len(atom) == 2 and not atom[1].isalnum() else ""
+        if literal and not quantifier:
+            run += literal
+        else:
+            runs, run = [*runs, run], ""
+            if c == "[" and not quantifier and not re.search(r"[\\^]|.-.", atom[1:-1]):
+                classes.append(list(atom[1:-1]))
+        i = end + (quantifier.end() if quantifier else 0)
+    weigh = lambda r: sum(0 if x == "." else 9 if not x.isascii() or not x.isalnum() and x not in " -" else 3 if x.isupper() or x.isdigit() else 1 for x in r)
+    return max([*([r] for r in (*runs, run) if r), *classes], key=lambda x: min(map(weigh, x)), default=[""])
+
+
+def _group(pattern: str) -> int:
+    """The length of the group that a pattern begins with."""
+    depth, i = 0, 0
+    while True:
+        depth += {"(": 1, ")": -1}.get(pattern[i], 0)
+        i += 2 if pattern[i] == "\\" else 1
+        if not depth:
+            return i
+
+
+def _top_alternatives(pattern: str) -> list[str]:
+    out, start, i = [], 0, 0
+    while i < len(pattern):
+        if pattern[i] == "|":
+            out.append(pattern[start:i])
+            start = i + 1
+        i += _group(pattern[i:]) if pattern[i] == "(" else 2 if pattern[i] == "\\" else 1
+    return [*out, pattern[start:]]
+
+
 def _rewritten(c: Column, full: bool) -> Column:
-    """The rules, family by family. A family in whose rules none finds a place changes nothing, which one look tells."""
-    families = [[(p.replace("{m}", "[µμ]"), to, "i" in flags) for p, to, flags in rules] for rules in ((UNITS, STATS, MEDICAL, GENERAL, SYMBOLS) if full else (SYMBOLS,))]
+    """All rules in their order. Rules are indexed by the literals that they need: a few neighbours run only where the text
+    holds what one of them needs, so a sentence pays for the rules that it has notation for."""
+    rules = [(p.replace("{m}", "[µμ]"), to, "i" in flags) for p, to, flags in ((*UNITS, *STATS, *MEDICAL, *GENERAL, *SYMBOLS) if full else SYMBOLS)]
     if full:
-        families.append([(rf"\b(phase|grade|class|stage|type|factor|trial)\s+{number}\b", f"$1 {word}", False) for number, word in ROMAN])
-
-    for rules in families:
-        c = bind(c, _family(rules))
+        rules += [(rf"\b(phase|grade|class|stage|type|factor|trial)\s+{number}\b", f"$1 {word}", False) for number, word in ROMAN]
+    for k in range(0, len(rules), TOGETHER):
+        c = bind(c, _neighbours(rules[k : k + TOGETHER]))
     return c
 
 
-def _family(rules: list[tuple[str, str, bool]]) -> Callable[[Column], Column]:
-    gate = either([(p, i) for p, _, i in rules])
+def _neighbours(rules: list[tuple[str, str, bool]]) -> Callable[[Column], Column]:
+    needs = dict.fromkeys((x.lower() if i else x, i) for p, _, i in rules for x in required(p))
 
     def rewritten(x: Column) -> Column:
-        out = x
+        out, found = x, F.lit(False)
+        for literal, ignore_case in needs:
+            found = found | F.contains(F.lower(x) if ignore_case else x, F.lit(literal))
         for pattern, to, ignore_case in rules:
             out = _replace(out, pattern, to, ignore_case)
-        return F.when(x.rlike(gate), out).otherwise(x)
+        return F.when(found, out).otherwise(x)
 
     return rewritten
 
@@ -246,51 +302,64 @@ LABELS = (
 )
 
 
-def _noise_tests(t: Column, tokens: Column, kind: Column) -> dict[str, Column]:
+#: A word of letters with at most one sign after it, and what else the tests look for.
+WORDLIKE = r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’-]{2,}[.,;:)]?"
+NUMBERS_ONLY, LICENCE = jvm(r"^[\d\s.,;:|/–—-]+$"), jvm(r"^(this\s+article|open\s+access|creative\s+commons)\b", True)
+CLOSED, BULLET, SIX = jvm(r"[.!?:]$"), "^[•\\-–]", r"(.)\1{5,}"
+#: A text with single spaces that is one token again and again.
+ONE_TOKEN = r"^([^ ]++)(?: \1){2,}+\z"
+
+
+def _noise_tests(t: Column, single: Column, kind: Column) -> dict[str, Column]:
+    """The tests over a trimmed text, and over the same with single spaces: those of tokens count places of patterns in it."""
     n, heading = F.length(t), kind == "heading"
-    share = lambda test, of: F.size(F.filter(tokens, test)) / F.greatest(of, F.lit(1))
+    count = lambda pattern: F.regexp_count(single, F.lit(pattern))
+    n_tokens = F.length(single) - F.length(F.translate(single, " ", "")) + 1
+    wordlike = count(f"(?<![^ ]){WORDLIKE}(?![^ ])")
     return {
         "short": n < 3,
-        "numbers": t.rlike(jvm(r"^[\d\s.,;:|/–—-]+$")),
+        "numbers": t.rlike(NUMBERS_ONLY),
         "front_matter": t.rlike(jvm(rf"^({LABELS})\s*[:.]", True)),
-        "licence": (n < 300) & t.rlike(jvm(r"^(this\s+article|open\s+access|creative\s+commons)\b", True)),
+        "licence": (n < 300) & t.rlike(LICENCE),
         "no_vowel": ~t.rlike("[aeiouyAEIOUY]"),
-        "fragment": ~heading & (n < 17) & ~t.rlike(jvm(r"[.!?:]$")) & ~t.rlike("^[•\\-–]"),
+        "fragment": ~heading & (n < 17) & ~t.rlike(CLOSED) & ~t.rlike(BULLET),
         "digits": (n > 12) & ((n - F.length(F.translate(t, "0123456789.,%", ""))) / n > 0.55),
-        "few_words": (n > 16) & (F.size(tokens) >= 4)
-        & (share(lambda w: w.rlike(jvm(r"^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’-]{2,}[.,;:)]?$")), F.size(tokens)) < 0.4),
-        "one_word": (F.size(tokens) >= 3) & (F.size(F.array_distinct(F.transform(tokens, lambda w: F.lower(w)))) == 1),
-        "numbered_heading": heading & (F.size(F.filter(tokens, lambda w: w.rlike(r"\d"))) >= 2),
-        "repeated": t.rlike(r"(.)\1{5,}"),
+        "few_words": (n > 16) & bind(n_tokens, lambda k: (k >= 4) & (wordlike < k * 0.4)),
+        "one_word": F.lower(single).rlike(ONE_TOKEN),
+        "numbered_heading": heading & (count("[^ ]*[0-9][^ ]*") >= 2),
+        "repeated": t.rlike(SIX),
     }
 
 
-def _tokens(t: Column) -> Column:
-    return F.filter(F.split(t, jvm(r"\s+"), -1), lambda w: w != "")
-
-
 def noise_reasons(text: Column, kind: Column) -> dict[str, Column]:
     """The tests for noise by name; a block is noise if one holds."""
-    return _noise_tests(trimmed(text), _tokens(trimmed(text)), kind)
+    return _noise_tests(trimmed(text), spaced(text), kind)
 
 
 def is_noise(text: Column, kind: Column) -> Column:
-    """Whether one of the tests holds; the text is trimmed and cut to words once for all of them."""
+    """Whether one of the tests holds; the text is trimmed once for all of them."""
 
-    def judged(t: Column, tokens: Column) -> Column:
+    def judged(t: Column, single: Column) -> Column:
         out = F.lit(False)
-        for test in _noise_tests(t, tokens, kind).values():
+        for test in _noise_tests(t, single, kind).values():
             out = out | F.coalesce(test, F.lit(False))
         return out
 
-    return bind(trimmed(text), lambda t: bind(_tokens(t), lambda tokens: judged(t, tokens)))
+    return bind(trimmed(text), lambda t: bind(spaced(t), lambda single: judged(t, single)))
+
+
+#: A short word of capitals and digits.
+LOUD = "[A-Z0-9][A-Z0-9.%-]{1,6}"
 
 
 def is_acronym_soup(c: Column) -> Column:
     """At least three words, over 70 % of them short and of capitals and digits."""
-    words = F.filter(F.split(c, jvm(r"\s+"), -1), lambda w: w.rlike(r"\w"))
-    loud = F.filter(words, lambda w: w.rlike(jvm(r"^[A-Z0-9][A-Z0-9.%-]{1,6}$")))
-    return (F.size(words) >= 3) & (F.size(loud) > F.size(words) * 0.7)
+
+    def judged(single: Column) -> Column:
+        words = F.regexp_count(single, F.lit(r"[^ ]*\w[^ ]*"))
+        return bind(F.regexp_count(single, F.lit(f"(?<![^ ]){LOUD}(?![^ ])")), lambda loud: (loud >= 3) & (loud > words * 0.7))
+
+    return bind(spaced(c), judged)
 
 
 def is_speakable(c: Column) -> Column:

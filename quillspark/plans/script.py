@@ -126,7 +126,7 @@ def _pieces(blocks: Column, s: Settings) -> Column:
         noise = F.coalesce(T.is_noise(b["text"], b["type"]) | T.is_acronym_soup(b["text"]), F.lit(False))
         table = b["furniture"].isNotNull() & F.lit(s.skip_tables)
         structural = (b["zone"].isin("references", "backmatter") & F.lit(s.skip_references)) | ((b["type"] == "caption") & F.lit(s.skip_captions)) | table
-        flags = F.struct(noise.alias("noise"), table.alias("table"), (noise | structural).alias("left_out"))
+        flags = bind(noise, lambda n: F.struct(n.alias("noise"), table.alias("table"), (n | structural).alias("left_out")))
         piece = lambda f: lambda p, k: F.struct(
             at.cast("int").alias("block_idx"), k.alias("k"), *[b[c].alias(c) for c in b_fields], *[f[c].alias(c) for c in ("noise", "table", "left_out")],
             F.when(k == 0, b["text"]).alias("title"), p.alias("text"),
