@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
@@ -48,3 +48,12 @@ def jvm(pattern: str, ignore_case: bool = False) -> str:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, also where that uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unfolded(df: DataFrame, array: Column | str, place: str, item: str, *kept: str) -> DataFrame:
+    """A row for each item of an array, with its place, beside these columns.
+
+    The generator is an outer one with a filter behind it: of an inner one Catalyst derives a filter over the array's size and
+    moves that below, where the expression that makes the array is computed again.
+    """
+    return df.select(*kept, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())

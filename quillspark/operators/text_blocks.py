@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import bind, jvm
+from ..functions.patterns import bind, jvm, unfolded
 from ..functions.text import spaced, trimmed
 
 #: How lines of Markdown and plain text are told.
@@ -59,7 +59,7 @@ def lines_of(text: Column) -> Column:
 def text_lines(docs: DataFrame) -> DataFrame:
     """doc_id, ord, line and whether the document is hard-wrapped."""
     lines = docs.select("doc_id", lines_of(F.col("text")).alias("lines")).withColumn("wrapped", is_hard_wrapped(F.col("lines")))
-    return lines.select("doc_id", "wrapped", F.posexplode("lines").alias("ord", "line"))
+    return unfolded(lines, "lines", "ord", "line", "doc_id", "wrapped")
 
 
 def _letter(line: Column, t: Column, alone: Column, wrapped: Column) -> Column:
@@ -137,7 +137,7 @@ def text_documents(docs: DataFrame) -> DataFrame:
 
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Blocks: doc_id, ord, type (heading, para, caption), text, level."""
-    return text_documents(docs).select("doc_id", F.posexplode("blocks").alias("ord", "block")).select("doc_id", "ord", "block.*")
+    return unfolded(text_documents(docs), "blocks", "ord", "block", "doc_id").select("doc_id", "ord", "block.*")
 
 
 def titles(blocks: DataFrame, most: int = 140) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.patterns import bind, jvm
+from ..functions.patterns import bind, jvm, unfolded
 from ..operators.segment import sentences as split_sentences
 from .settings import Settings
 
@@ -115,7 +115,7 @@ def zone_documents(blocks: DataFrame) -> DataFrame:
 
 def zone_blocks(blocks: DataFrame) -> DataFrame:
     """The zoned blocks in rows: doc_id, block_idx, type, text, level, furniture, zone, section."""
-    return zone_documents(blocks).select("doc_id", F.posexplode("blocks").alias("block_idx", "block")).select("doc_id", "block_idx", "block.*")
+    return unfolded(zone_documents(blocks), "blocks", "block_idx", "block", "doc_id").select("doc_id", "block_idx", "block.*")
 
 
 def _pieces(blocks: Column, s: Settings) -> Column:
@@ -143,7 +143,8 @@ def build_sentences(blocks: DataFrame, settings: Settings | None = None, keep_em
     """
     s = settings or Settings()
     d = documents_of(blocks, "block_idx", "zone", "section").select("doc_id", _pieces(F.col("blocks"), s).alias("pieces"))
-    x = d.select("doc_id", (F.posexplode_outer if keep_empty else F.posexplode)("pieces").alias("i", "p")).select("doc_id", "i", "p.*")
+    x = d.select("doc_id", F.posexplode_outer("pieces").alias("i", "p")) if keep_empty else unfolded(d, "pieces", "i", "p", "doc_id")
+    x = x.select("doc_id", "i", "p.*")
     x = x.withColumn("speak", T.spoken(F.col("text"), s.skip_citations, s.expand_abbreviations))
     pause = F.when((F.col("type") == "heading") & F.lit(s.announce_headings), PAUSE_MS).otherwise(0)
     return x.select(
@@ -159,7 +160,7 @@ def outline(blocks: DataFrame, settings: Settings | None = None) -> DataFrame:
         F.transform("pieces", lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
         lambda x: (x["p"]["k"] == 0) & (x["p"]["type"] == "heading") & ~x["p"]["noise"] & ~x["p"]["table"],
     )
-    x = d.select("doc_id", F.posexplode(entries).alias("ord", "e"))
+    x = unfolded(d, entries, "ord", "e", "doc_id")
     return x.select("doc_id", "ord", F.col("e.p.title").alias("title"), F.coalesce("e.p.level", F.lit(2)).alias("level"), F.col("e.i").cast("long").alias("sentence_index"), F.col("e.p.zone").alias("zone"))
 
 

@@ -75,18 +75,6 @@ def _mapped(spark: SparkSession, pairs: list[tuple], f, out: str = "result") ->
     return _frame(spark, [(k, a) for k, (a, _) in enumerate(pairs)], "k int, text string").select("k", f(F.col("text")).alias(out))
 
 
-def speech_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, SPOKEN, T.expand_for_speech)
-
-
-def citation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, CITED, T.strip_citations)
-
-
-def normal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, NORMAL, T.normalize)
-
-
 def sentence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, SPLIT, lambda c: F.array_join(sentences(c), "|"))
 
@@ -191,10 +179,6 @@ def positioned_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES = [("a &lt;b&gt; &amp;amp; &quot;c&quot;", 'a <b> &amp; "c"'), ("&#65;&#x1F600;&#x41;", "A\U0001F600A"), ("o&#x308; &#99999999;", "ö &#99999999;"), ("plain", "plain")]
 
 
-def entity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, ENTITIES, positioned.decode_entities)
-
-
 FONTS = [("Times-Bold", None, None, None, True, False), ("Arial_it", None, None, None, False, True), ("x", True, None, True, True, True), ("Bold", None, False, None, False, False), (None, None, None, None, False, False), ("F700 Oblique", None, None, None, True, True)]
 
 
@@ -220,7 +204,7 @@ def text_title_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        speech_cases, citation_cases, normal_cases, sentence_cases, script_cases, outline_cases, file_cases, library_cases, pasted_cases, positioned_cases, entity_cases, font_cases, title_cases,
+        sentence_cases, script_cases, outline_cases, file_cases, library_cases, pasted_cases, positioned_cases, font_cases, title_cases,
         text_title_cases,
     )
 }
@@ -243,7 +227,7 @@ def _results(pairs: list[tuple]) -> str:
 
 
 ORACLE = {
-    "speech_cases": _results(SPOKEN), "citation_cases": _results(CITED), "normal_cases": _results(NORMAL), "sentence_cases": _results(SPLIT), "entity_cases": _results(ENTITIES),
+    "sentence_cases": _results(SPLIT),
     "script_cases": _values("i INT, block_idx INT, type VARCHAR, zone VARCHAR, section VARCHAR, speak VARCHAR, skip BOOLEAN, pause_before INT", SCRIPT),
     "outline_cases": _values("ord INT, title VARCHAR, level INT, sentence_index BIGINT, zone VARCHAR", OUTLINE),
     "file_cases": _values("doc_id VARCHAR, kind VARCHAR, label VARCHAR, title VARCHAR, n_blocks INT, error VARCHAR", FILES),
