@@ -1,31 +1,22 @@
 """From positioned text to lines: a page is cut to regions in reading order, a region to lines.
 
 Atoms (runs of text): doc_id, page, ord, text, x0, x1, top, bot, base, size, bold; y grows downward. Geometry: doc_id, page,
-width, height. Spark deals pages to tasks; the cut of one page and its lines depend on what was cut before, so a numpy
-function does these; texts of lines are SQL expressions.
+width, height. Atoms of a page meet in one row, in which ``page_cut`` parts it; all of it are SQL expressions.
 
 Atoms without text or coordinates and pages without geometry give no lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.patterns import bind, jvm
+from ..functions.patterns import bind, jvm, unfolded
 from ..functions.text import trimmed
+from . import page_cut
 
-#: The tuning of the cut. Gaps are in ems, shares of the page's width, or of the distance of lines.
-MAX_DEPTH, LEAST_ATOMS = 14, 3
-GUTTER, GUTTER_PAGE, NARROW, NARROW_PAGE = 1.15, 0.018, 0.5, 0.008
-WORD_SPACES, STRAIGHT, BESIDE, SHARED_ROWS = 1.8, 0.55, 3, 0.75
-REGION_WIDTH, SIDE_WIDTH, BAND_PITCH, BAND_EMS = 0.34, 0.10, 0.7, 0.95
-ROW, LINE, CAP, CAP_TEXT = 0.4, 0.62, 1.7, 0.7
+#: Raised marks, spaces and margins, in ems and shares of the page's height.
 RAISED, SMALL_RUN, SPACE_EMS, MARGIN = 0.14, 0.80, 0.20, 0.075
 #: Words of headings, which may arrive letter by letter.
 HEAD_WORDS = (
@@ -35,160 +26,9 @@ HEAD_WORDS = (
     "acknowledgements funding appendix keyword keywords highlights supplementary"
 ).split()
 
-X0, X1, TOP, BOT, BASE, SIZE = range(6)
 NUMBERS = ["x0", "x1", "top", "bot", "base", "size"]
 
 
-def _anchored(base: np.ndarray, tolerance: Callable[[int, int], float]) -> np.ndarray:
-    """Number groups of neighbours in ``base`` (ascending): each stays within a tolerance of its group's first."""
-    out, first = np.zeros(len(base), np.int64), 0
-    for i in range(1, len(base)):
-        new = abs(base[i] - base[first]) > tolerance(first, i)
-        out[i] = out[i - 1] + new
-        first = i if new else first
-    return out
-
-
-def _channels(low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
-    """Uncovered stretches (begin, end) between intervals, in order."""
-    by = np.argsort(low, kind="stable")
-    begin, end = np.maximum.accumulate(high[by])[:-1], low[by][1:]
-    keep = (end > begin) & (end - begin >= least)
-    return np.column_stack([begin[keep], end[keep]])
-
-
-class _Rows:
-    """Atoms of one side of a cut, and the rows of those that share a baseline."""
-
-    def __init__(self, atoms: np.ndarray):
-        self.atoms = atoms[np.argsort(atoms[:, BASE], kind="stable")]
-        size = self.atoms[:, SIZE]
-        self.row = _anchored(self.atoms[:, BASE], lambda first, i: ROW * (size[i] or 10))
-        self.at = np.flatnonzero(np.diff(self.row, prepend=-1))
-        self.base = self.atoms[self.at, BASE]
-        self.begin = np.minimum.reduceat(self.atoms[:, X0], self.at)
-        self.end = np.maximum.reduceat(self.atoms[:, X1], self.at)
-        self.top, self.bot = self.atoms[:, TOP].min(), self.atoms[:, BOT].max()
-        self.width = self.end.max() - self.begin.min()
-
-    def word_space(self, channels: np.ndarray) -> float:
-        """The 90th percentile of spaces outside the channels; 0 where atoms are whole lines rather than words."""
-        by = np.lexsort((self.atoms[:, X0], self.row))
-        row, begin, end = self.row[by][1:], self.atoms[by, X1][:-1], self.atoms[by, X0][1:]
-        keep = (row == self.row[by][:-1]) & (end - begin > 0.05)
-        keep &= ~((begin[:, None] < channels[:, 1]) & (end[:, None] > channels[:, 0])).any(axis=1)
-        spaces = np.sort((end - begin)[keep])
-        return spaces[int(len(spaces) * 0.9)] if len(spaces) >= max(8, 2 * len(self.at)) else 0.0
-
-    def stands_beside(self, other: _Rows, page_width: float) -> bool:
-        """Wide enough for a column, or a block with baselines of its own rather than markers of the other's lines."""
-        if self.width >= SIDE_WIDTH * page_width:
-            return True
-        near = [ROW * (np.median(s) or 10) for s in np.split(self.atoms[:, SIZE], self.at[1:])]
-        shared = (np.abs(self.base[:, None] - other.base) <= np.array(near)[:, None]).any(axis=1)
-        return shared.mean() < SHARED_ROWS
-
-
-def _is_gutter(begin: float, end: float, left: _Rows, right: _Rows, em: float, page_width: float, word_space: float) -> bool:
-    """Wide channels are gutters; narrow ones need rows on both sides and a straight edge."""
-    width = end - begin
-    if width >= max(GUTTER * em, GUTTER_PAGE * page_width):
-        return True
-    if width < max(NARROW * em, NARROW_PAGE * page_width) or width < WORD_SPACES * word_space:
-        return False
-    few, many = (left, right) if len(left.at) <= len(right.at) else (right, left)
-    if ((few.base >= many.top) & (few.base <= many.bot)).sum() < BESIDE:
-        return False
-    near = max(1.5, 0.2 * em)
-    return bool((np.abs(right.begin - end) <= near).mean() >= STRAIGHT or (np.abs(left.end - begin) <= near).mean() >= STRAIGHT)
-
-
-def _beside(atoms: np.ndarray, page_width: float) -> np.ndarray | None:
-    """Which atoms are left of the gutter that parts most text."""
-    em = np.median(atoms[:, SIZE]) or 10
-    channels = _channels(atoms[:, X0], atoms[:, X1], max(NARROW * em, NARROW_PAGE * page_width))
-    if not len(channels):
-        return None
-    word_space, found = _Rows(atoms).word_space(channels), []
-    for begin, end in channels:
-        mask = atoms[:, X1] <= begin + (end - begin) / 2
-        if min(mask.sum(), (~mask).sum()) < LEAST_ATOMS:
-            continue
-        left, right = _Rows(atoms[mask]), _Rows(atoms[~mask])
-        apart = left.stands_beside(right, page_width) and right.stands_beside(left, page_width)
-        if apart and _is_gutter(begin, end, left, right, em, page_width, word_space):
-            found.append((min(left.bot, right.bot) - max(left.top, right.top), end - begin, mask))
-    return max(found, key=lambda x: x[:2])[2] if found else None
-
-
-def _above(atoms: np.ndarray) -> np.ndarray | None:
-    """Which atoms are above the widest blank band, if that is wider than the text's own leading."""
-    steps = np.diff(np.unique(np.floor(atoms[:, BASE] + 0.5)))
-    pitch = np.median(steps) if len(steps) > 1 else 0.0
-    bands = _channels(atoms[:, TOP], atoms[:, BOT], BAND_PITCH * pitch if pitch > 0 else BAND_EMS * (np.median(atoms[:, SIZE]) or 10))
-    if not len(bands):
-        return None
-    begin, end = bands[np.argmax(bands[:, 1] - bands[:, 0])]
-    mask = atoms[:, BOT] <= begin + (end - begin) / 2
-    return mask if mask.any() and not mask.all() else None
-
-
-def regions(atoms: np.ndarray, page_width: float) -> list[np.ndarray]:
-    """Positions of the atoms of each region, regions in reading order."""
-    out, todo = [], [(np.arange(len(atoms)), 0)]
-    while todo:
-        group, depth = todo.pop()
-        mask = None
-        if len(group) >= LEAST_ATOMS and depth < MAX_DEPTH:
-            own = atoms[group]
-            if own[:, X1].max() - own[:, X0].min() >= REGION_WIDTH * page_width:
-                mask = _beside(own, page_width)
-            mask = _above(own) if mask is None else mask
-        if mask is None:
-            out.append(group)
-        else:
-            todo += [(group[~mask], depth + 1), (group[mask], depth + 1)]
-    return out
-
-
-def _drop_caps(atoms: np.ndarray, texts: list[str]) -> dict[int, int]:
-    """Large initials, each with the place of the atom that it begins: the highest of those that wrap around it."""
-    out = {}
-    for i in np.flatnonzero(atoms[:, SIZE] >= CAP * (np.median(atoms[:, SIZE]) or 10)):
-        x1, top, base, size = atoms[i, [X1, TOP, BASE, SIZE]]
-        if len(texts[i].strip()) <= 2:
-            wraps = (atoms[:, SIZE] < CAP_TEXT * size) & (atoms[:, BASE] > top) & (atoms[:, BASE] < base - 0.5 * atoms[:, SIZE])
-            wraps &= (atoms[:, X0] >= x1 - 1) & (atoms[:, X0] <= x1 + size)
-            if wraps.any():
-                out[int(i)] = int(np.argmin(np.where(wraps, atoms[:, BASE], np.inf)))
-    return out
-
-
-def _cut_page(rows: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one page, each with its runs from left to right."""
-    rows = rows.sort_values("ord", kind="stable")
-    numbers, text, bold = rows[NUMBERS].to_numpy(float), rows["text"].to_list(), rows["bold"].fillna(False).astype(bool).to_list()
-    doc_id, page, width, height = rows[["doc_id", "page", "width", "height"]].iloc[0]
-    out = []
-    for k, group in enumerate(regions(numbers, width)):
-        group = group[np.lexsort((numbers[group, X0], numbers[group, BASE]))]
-        caps = _drop_caps(numbers[group], [text[i] for i in group])
-        first = {int(group[target]): text[group[cap]].strip() for cap, target in caps.items()}
-        rest = np.delete(group, list(caps))
-        base, size = numbers[rest, BASE], numbers[rest, SIZE]
-        line = _anchored(base, lambda a, i: LINE * (np.median(size[a:i]) or size[i]))  # noqa: B023
-        for own in np.split(rest, np.flatnonzero(np.diff(line)) + 1) if len(rest) else []:
-            prefix = next((first[i] for i in own.tolist() if i in first), "")
-            own = own[np.argsort(numbers[own, X0], kind="stable")]
-            x = numbers[own]
-            runs = [dict(zip(("x0", "x1", "base", "size"), map(float, r[[X0, X1, BASE, SIZE]])), text=text[i], bold=bold[i]) for i, r in zip(own.tolist(), x)]
-            out.append((
-                doc_id, page, k, len(out), prefix, runs, np.median(x[:, BASE]), x[:, X0].min(), x[:, X1].max(), x[:, TOP].min(), x[:, BOT].max(),
-                numbers[group, X0].min(), numbers[group, X1].max(), height,
-            ))
-    return pd.DataFrame(out, columns=["doc_id", "page", "region_idx", "n", "prefix", "runs", "base", "x0", "x1", "top", "bot", "col_left", "col_right", "height"])
-
-
 def rejoin_spaced(c: Column) -> Column:
     """Join the pieces of a letter-spaced heading, where these spell a word of headings."""
 
@@ -241,20 +81,35 @@ def _text() -> Column:
     return F.aggregate("runs", start, step)
 
 
+def page_regions(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
+    """doc_id, page, width, height and ``regions``: the arrays of atoms of each region, in reading order."""
+    usable = atoms.select("doc_id", "page", "ord", "text", *[F.col(c).cast("double").alias(c) for c in NUMBERS], "bold")
+    usable = usable.filter(trimmed(F.col("text")) != "").dropna(subset=NUMBERS)
+    usable = usable.join(geometry.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), ["doc_id", "page"])
+    in_order = F.sort_array(F.collect_list(F.struct("ord", *NUMBERS, "text", "bold")))
+    pages = usable.groupBy("doc_id", "page", "width", "height").agg(in_order.alias("atoms"))
+    own = F.transform("atoms", lambda a, k: F.struct(
+        a["base"].alias("base"), a["x0"].alias("x0"), k.alias("k"), *[a[c].alias(c) for c in ("x1", "top", "bot", "size", "text")], F.coalesce(a["bold"], F.lit(False)).alias("bold"),
+    ))
+    pages = pages.withColumn("atoms", F.sort_array(own))
+    return pages.select("doc_id", "page", "width", "height", page_cut.regions(F.col("atoms"), F.col("width")).alias("regions"))
+
+
 def page_lines(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
     """Lines in reading order, as the passes of ``layout`` take them, with gap_at and dropped_citations.
 
-    One shuffle deals pages, another (the order in the document) documents.
+    One shuffle gathers pages, another (the order in the document) documents.
     """
-    usable = atoms.select("doc_id", "page", "ord", "text", *[F.col(c).cast("double").alias(c) for c in NUMBERS], "bold")
-    usable = usable.filter(trimmed(F.col("text")) != "").dropna(subset=NUMBERS)
-    usable = usable.join(geometry.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), ["doc_id", "page"])
-    keys = ", ".join(f"{c} {atoms.schema[c].dataType.simpleString()}" for c in ("doc_id", "page"))
-    lines = usable.groupBy("doc_id", "page").applyInPandas(
-        _cut_page,
-        f"{keys}, region_idx int, n int, prefix string, runs array<struct<x0 double, x1 double, base double, size double, text string, bold boolean>>, "
-        "base double, x0 double, x1 double, top double, bot double, col_left double, col_right double, height double",
-    )
+    cut = page_regions(atoms, geometry)
+    parts = F.transform("regions", lambda r, i: F.transform(page_cut.lines(r), lambda line: F.struct(
+        i.alias("region_idx"), line.alias("line"), F.array_min(F.transform(r, lambda a: a["x0"])).alias("col_left"), F.array_max(F.transform(r, lambda a: a["x1"])).alias("col_right"),
+    )))
+    lines = unfolded(cut.withColumn("lines", F.flatten(parts)), "lines", "n", "l", "doc_id", "page", "height")
+    lines = lines.select("doc_id", "page", "height", "n", "l.region_idx", "l.line.*", "l.col_left", "l.col_right")
+    edge = lambda f, field: f(F.transform("runs", lambda r: r[field]))
+    lines = lines.withColumns({
+        "base": page_cut.median(F.transform("runs", lambda r: r["base"])), "x0": edge(F.array_min, "x0"), "x1": edge(F.array_max, "x1"), "top": edge(F.array_min, "top"), "bot": edge(F.array_max, "bot"),
+    })
     bold = F.size(F.filter("runs", lambda r: r["bold"]))
     lines = lines.withColumn("size", _size()).withColumn("t", _text())
     lines = lines.withColumn("text", rejoin_spaced(trimmed(F.regexp_replace("t.text", jvm(r"\s+"), " ")))).filter("text <> ''")
