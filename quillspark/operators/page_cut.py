@@ -50,7 +50,8 @@ def anchored(atoms: Column, near: Callable[[Column, Column], Column]) -> Column:
     """Atoms in the order of their baselines as groups: each within ``near`` (first of the group, own place) of the first."""
 
     def step(s: Column, i: Column) -> Column:
-        new = F.abs(F.get(atoms, i)["base"] - F.get(atoms, s["first"])["base"]) > near(s["first"], i)
+        apart = F.get(atoms, i)["base"] - F.get(atoms, s["first"])["base"]
+        new = (apart > 0) & (apart > near(s["first"], i))
         return F.when(new, F.struct(i.alias("first"), F.concat(s["starts"], F.array(i)).alias("starts"))).otherwise(s)
 
     start = F.struct(F.lit(0).alias("first"), F.array(F.lit(0)).alias("starts"))

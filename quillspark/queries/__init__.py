@@ -13,7 +13,7 @@ from ..operators.segment import sentences
 from ..operators.text_blocks import text_blocks, text_documents, text_lines
 from ..plans import script
 from ..sources import html, positioned
-from . import cases, spliced
+from . import cases, paged, spliced
 from .oracle import ORACLE as TABLES
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -278,5 +278,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         script_neighbours, next_playable, section_jumps, block_spans, zone_labels, current_section, reanchor, time_left, look_ahead, audio_plan, audio_index, audio_rendered, html_title, html_blocks,
         run_atoms, word_atoms, needs_ocr, running_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest,
     )
-} | cases.QUERIES | spliced.QUERIES
-ORACLE: dict[str, str] = TABLES | cases.ORACLE | spliced.ORACLE
+} | cases.QUERIES | spliced.QUERIES | paged.QUERIES
+ORACLE: dict[str, str] = TABLES | cases.ORACLE | spliced.ORACLE | paged.ORACLE
