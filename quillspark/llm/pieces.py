@@ -6,7 +6,7 @@ where no piece of the vocabulary can reach across, each segment is merged pair b
 ends of the pieces are projected through the alignment to byte spans of the original text. Characters without a piece become
 one piece a byte, of which the last has the character's span and the others an empty one at its start.
 
-Segments recur, so each task keeps those it has merged, up to CACHED; a text of any length goes by in chunks if the map is
+Segments recur, so each task keeps those it has merged, about twice CACHED of them; a text of any length goes by in chunks if the map is
 empty, and in one piece otherwise. Nothing is shuffled, so neither hot sources nor copies matter. The model is a file of
 fixed size that goes with the plan; no file of it is needed on the executors.
 
@@ -33,7 +33,7 @@ from .common import slices, small_batches, utf8
 
 SPACE = "▁"
 #: Segments that a task remembers, the longest of them, and bytes of text or ids that are worked on at once.
-CACHED, LONGEST, CHUNK, SLICE = 1 << 17, 48, 1 << 20, 1 << 20
+CACHED, LONGEST, CHUNK, SLICE = 3 << 16, 48, 1 << 20, 1 << 20
 #: Characters of a unit that is merged by itself, with a heap; no merger; and the number of the first character without a symbol.
 LONG_UNIT, NONE, FOREIGN = 64, 1 << 30, 1 << 28
 #: The kinds of pieces in a model.
@@ -124,7 +124,9 @@ class Pieces:
         self.map = CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.ids = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
+        # Segments of late and those of before, which go when their number is reached again.
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.spelled = [b"" if p.type == CONTROL else m.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else
                         bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in m.pieces]
         self.controls = {i for i, p in enumerate(m.pieces) if p.type == CONTROL}
@@ -319,12 +321,17 @@ class Pieces:
         """For each text the ids, and begin and end of each piece in the text's bytes."""
         chunks = [[(at, *self.normalised(chunk, at == 0)) for at, chunk in self.chunks(t)] for t in texts]
         cut = [[self.segments.findall(whole) for _, whole, _ in c] for c in chunks]
-        new = {x for c in cut for segments in c for x in segments if x not in self.cache}
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = {x for c in cut for segments in c for x in segments}
+        if len(self.cache) > CACHED:
+            self.cache, self.before = {}, self.cache
+        new = []
+        for x in {x for c in cut for segments in c for x in segments}:
+            if x not in self.cache:
+                if found := self.before.get(x):
+                    self.cache[x] = found
+                else:
+                    new.append(x)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         out = []
         for c, parts in zip(chunks, cut):
             own = []
