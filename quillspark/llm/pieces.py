@@ -144,7 +144,11 @@ class Pieces:
 
     @functools.cached_property
     def segments(self) -> re.Pattern:
-        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.by_word else "(?s:.+)")
+        # Plain signs that stand beside others in no piece, such as line ends, are segments of their own.
+        beside = {int(x) for pair in (self.reaches >> 21, self.reaches & 0x1FFFFF) for x in pair}
+        alone = "".join(f"\\x{c:02x}" for c in range(128) if c not in beside)
+        own = f"|[{alone}]+" if alone else ""
+        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+{own}" if self.by_word else "(?s:.+)")
 
     def _tables(self) -> None:
         """Numbers for pieces and for the characters in them, and all pairs that make a piece, ranked by its score."""
@@ -365,6 +369,30 @@ class Pieces:
         return "".join(b"".join(r).decode("utf-8", "each byte") for r in (*runs, spelled[at:]))
 
 
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of lists of ids, given as one array and the length of each. The pieces of all lists are laid out at once;
+        lists with what needs care are decoded one by one."""
+        if not hasattr(self, "laid_out"):
+            self.laid_out, self.careful = pa.array(self.spelled, pa.binary()), np.array([i in self.controls or not p for i, p in enumerate(self.plain)])
+        laid = self.laid_out.take(pa.array(ids, pa.int32()))
+        offsets = np.frombuffer(laid.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data, out = memoryview(laid.buffers()[2] or b""), []
+        ends = np.cumsum(sizes)
+        care = np.append(0, np.cumsum(self.careful[ids]))
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            text = None
+            if care[b] == care[a] or not np.isin(ids[a:b], list(self.controls)).any() and (a == b or self.plain[ids[a]]):
+                own = bytes(data[offsets[a] : offsets[b]])
+                if (self.prefix or self.squeezed) and own[:1] == b" " and not (self.squeezed and own.startswith(b"  ")):
+                    own = own[1:]
+                try:
+                    text = own.decode()
+                except UnicodeDecodeError:
+                    text = None
+            out.append(self.decode(ids[a:b].tolist()) if text is None or self.squeezed else text)
+        return out
+
+
 @functools.lru_cache(maxsize=2)
 def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
@@ -412,7 +440,8 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
             while at < len(lens):
                 end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + SLICE // 4, side="right")))
                 own = batch.slice(at, end - at)
-                yield own, [pa.array([pieces.decode(x or []) for x in own.column(ids).to_pylist()], pa.string())]
+                sizes = np.diff(lens[at:end], prepend=lens[at - 1] if at else 0)
+                yield own, [pa.array(pieces.decoded(own.column(ids).flatten().to_numpy(zero_copy_only=False), sizes), pa.string())]
                 at = end
 
     return _with_columns(rows, [("decoded", T.StringType())], run)
