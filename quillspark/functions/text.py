@@ -324,7 +324,7 @@ def _noise_tests(t: Column, single: Column, kind: Column) -> dict[str, Column]:
         "no_vowel": ~t.rlike("[aeiouyAEIOUY]"),
         "fragment": ~heading & (n < 17) & ~t.rlike(CLOSED) & ~t.rlike(BULLET),
         "digits": (n > 12) & ((n - F.length(F.translate(t, "0123456789.,%", ""))) / n > 0.55),
-        "few_words": (n > 16) & bind(n_tokens, lambda k: (k >= 4) & (wordlike < k * 0.4)),
+        "few_words": (n > 16) & bind(n_tokens, lambda k: (k >= 4) & (wordlike / k < 0.4)),
         "one_word": F.lower(single).rlike(ONE_TOKEN),
         "numbered_heading": heading & (count("[^ ]*[0-9][^ ]*") >= 2),
         "repeated": t.rlike(SIX),
@@ -357,7 +357,7 @@ def is_acronym_soup(c: Column) -> Column:
 
     def judged(single: Column) -> Column:
         words = F.regexp_count(single, F.lit(r"[^ ]*\w[^ ]*"))
-        return bind(F.regexp_count(single, F.lit(f"(?<![^ ]){LOUD}(?![^ ])")), lambda loud: (loud >= 3) & (loud > words * 0.7))
+        return bind(F.regexp_count(single, F.lit(f"(?<![^ ]){LOUD}(?![^ ])")), lambda loud: (loud >= 3) & (loud / words > 0.7))
 
     return bind(spaced(c), judged)
 

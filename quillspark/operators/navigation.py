@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.patterns import bind
+from ..functions.patterns import bind, jvm
 
 WORDS_PER_MINUTE, AHEAD = 165, 3
 #: Sentences after a heading from which the way back leads past it.
@@ -27,7 +27,7 @@ def neighbours(sentences: DataFrame) -> DataFrame:
 def time_left(sentences: DataFrame, rate: float = 1.0) -> DataFrame:
     """Words and minutes of playable text from each sentence on."""
     rest = W.partitionBy("doc_id").orderBy("i").rowsBetween(0, W.unboundedFollowing)
-    words = F.when(~F.col("skip"), F.size(F.split("text", " ", -1))).otherwise(0)
+    words = F.when(~F.col("skip"), F.size(F.split("text", jvm(r"\s+"), -1))).otherwise(0)
     x = sentences.select("doc_id", "i", F.sum(words).over(rest).alias("words_left"))
     return x.withColumn("minutes_left", F.floor(F.col("words_left") / (WORDS_PER_MINUTE * rate) + 0.5).cast("long"))
 

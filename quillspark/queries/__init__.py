@@ -135,7 +135,7 @@ def zone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def current_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
-    marks = t.filter("type = 'heading'").select("doc_id", F.col("i").alias("sentence_index"), F.col("i").cast("int").alias("ord"), F.substr("text", F.lit(1), F.lit(20)).alias("title"))
+    marks = t.filter("type = 'heading'").select("doc_id", F.col("i").alias("sentence_index"), F.col("i").cast("int").alias("ord"), F.col("text").alias("title"))
     return navigation.current_section(t, marks)
 
 
@@ -200,7 +200,7 @@ def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are speakable, acronym soup, or look like a reference; some get notation of these."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
     small = "abcdefghijklmnopqrstuvwxyz"
-    soup, cited = F.translate(F.substr("line", F.lit(1), F.lit(12)), small, small.upper()), F.concat("line", F.lit(" Smith, AB. Lancet 2019; 12: 33-40."))
+    soup, cited = F.translate("line", small, small.upper()), F.concat("line", F.lit(" Smith, AB. Lancet 2019; 12: 33-40."))
     line = F.when(F.col("k") % 5 == 1, soup).when(F.col("k") % 7 == 2, cited).otherwise(F.col("line"))
     d = d.select("doc_id", line.alias("line"))
     tests = {"speakable": T.is_speakable, "soup": T.is_acronym_soup, "reference": T.looks_like_reference}
@@ -239,21 +239,39 @@ def word_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of their source, with the first and last line in the margin bands."""
     d = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("lines"))
-    d = d.select("doc_id", "page", F.size("lines").alias("n"), F.posexplode("lines").alias("k", "text")).filter("doc_id IS NOT NULL")
+    d = d.select(F.coalesce("doc_id", F.lit("")).alias("doc_id"), "page", F.size("lines").alias("n"), F.posexplode("lines").alias("k", "text"))
     return d.select("doc_id", "page", (F.col("page") * 100_000 + F.col("k")).alias("ord"), F.col("text"), (F.col("k") == 0).alias("in_top"), ((F.col("k") > 0) & (F.col("k") == F.col("n") - 1)).alias("in_bot"))
 
 
 def needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    pages = _table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), (F.lit(500.0) + F.col("doc_id") % 9 * 50).alias("width"), F.lit(800.0).alias("height"))
+    pages = _table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc_id"), F.col("doc_id").alias("page"), (F.lit(500.0) + F.col("doc_id") % 9 * 50).alias("width"), F.lit(800.0).alias("height"))
     return layout.needs_ocr(lines, pages)
 
 
+def _headed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of :func:`_lines`, under a head on three of five pages of a source and over a foot on four of five."""
+    lines = _lines(spark, sf_dir)
+    pages = lines.groupBy("doc_id", "page").agg(F.max("ord").alias("last"))
+    head = F.concat(F.lit("The Journal of "), F.col("doc_id"), F.lit(", No. "), F.col("page"))
+    spliced = [
+        pages.filter("page % 5 < 3").select("doc_id", "page", (F.col("page") * 100_000 - 1).alias("ord"), head.alias("text"), F.lit(True).alias("in_top"), F.lit(False).alias("in_bot")),
+        pages.filter("page % 5 > 0").select("doc_id", "page", (F.col("last") + 1).alias("ord"), F.concat(F.lit("Page "), F.col("page"), F.lit(" - of - 900")).alias("text"), F.lit(False), F.lit(True)),
+    ]
+    for more in spliced:
+        lines = lines.union(more)
+    return lines, lines.groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("n_pages"))
+
+
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that recur in the margins: the beginnings of lines, as whole lines hardly recur here."""
-    lines = _lines(spark, sf_dir).withColumn("text", F.substr("text", F.lit(1), F.lit(2)))
-    pages = lines.groupBy("doc_id").agg((F.countDistinct("page") / 12).cast("int").alias("n_pages"))
-    return layout.running_heads(lines, pages)
+    """Lines that recur in the margins, whole lines as keys."""
+    return layout.running_heads(*_headed(spark, sf_dir))
+
+
+def stripped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each page without heads, feet and junk in the margins."""
+    x = layout.strip_running_heads(*_headed(spark, sf_dir))
+    return x.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.count_if(F.col("in_top") | F.col("in_bot")).alias("n_margin"))
 
 
 def library_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +281,12 @@ def library_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def body_size_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size in which most characters of a source are set; sizes go by the lengths of lines here."""
-    return layout.weighted_mode(_lines(spark, sf_dir), F.length("text") % 7 / 2, "size")
+    """The size in which most characters of an order are set, its items being lines; of equal ones the first."""
+    x = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.concat_ws(" ", "l_returnflag", "l_partkey", "l_suppkey", F.when(F.col("l_tax") > 0.04, "more of it")).alias("text"),
+        (F.col("l_quantity") / 5).alias("size"),
+    )
+    return layout.weighted_mode(x, layout._half(F.col("size")), "size")
 
 
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_text, strip_addresses, line_shape, blocks, block_noise, heading_noise, line_tests, sentence_chars, zones, script_sentences, script_stats, turn_stats, script_outline,
         script_neighbours, next_playable, section_jumps, block_spans, zone_labels, current_section, reanchor, time_left, look_ahead, audio_plan, audio_index, audio_rendered, html_title, html_blocks,
-        run_atoms, word_atoms, needs_ocr, running_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest,
+        run_atoms, word_atoms, needs_ocr, running_lines, stripped_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest,
     )
 } | cases.QUERIES | spliced.QUERIES | paged.QUERIES
 ORACLE: dict[str, str] = TABLES | cases.ORACLE | spliced.ORACLE | paged.ORACLE

@@ -1,6 +1,5 @@
-"""Queries over written cases: what the tables don't exercise, with the rows that must come out.
-
-Each query runs the operators on the literal input; its SQL states the expected rows.
+"""Queries that splice written cases into the rows of the tables: each row takes the case that its id deals to it, together with
+words of its own, and SQL puts the same words into the rows that must come out of the case.
 """
 
 from __future__ import annotations
@@ -9,13 +8,13 @@ import io
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout
 from ..operators.segment import sentences
-from ..operators.text_blocks import text_blocks, titles
+from ..operators.text_blocks import text_blocks, text_documents, titles
 from ..plans import script
 from ..sources import files, ingest, positioned
 
@@ -71,24 +70,54 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _mapped(spark: SparkSession, pairs: list[tuple], f, out: str = "result") -> DataFrame:
-    return _frame(spark, [(k, a) for k, (a, _) in enumerate(pairs)], "k int, text string").select("k", f(F.col("text")).alias(out))
+#: Three words of each document, without those that are notation; a document with fewer takes these.
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+FEW = "no such words"
+
+
+def _dealt(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """doc_id, three words of the document, the number of its case."""
+    found = F.regexp_extract_all(F.expr(_SMALL), F.lit("[a-z]{3,9}"), F.lit(0))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found.alias("w"))
+    return d.select("doc_id", F.when(F.size("w") < 3, FEW).otherwise(F.array_join(F.slice("w", 1, 3), " ")).alias("words"), (F.col("doc_id") % n).cast("int").alias("k"))
+
+
+def _case(values: list[str], k: str = "k") -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.col(k))
+
+
+def _last(text: str) -> bool:
+    """Whether a sentence can follow."""
+    return text.endswith((".", "!", "?")) and len(text) < 200
 
 
 def sentence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, SPLIT, lambda c: F.array_join(sentences(c), "|"))
+    """Texts of the cases with a sentence of the document's words behind them, cut at the usual limit."""
+    more = F.when(_case([_last(a) for a, _ in SPLIT]), F.concat(F.lit(" The "), "words", F.lit(" end here."))).otherwise("")
+    d = _dealt(spark, sf_dir, len(SPLIT)).select("doc_id", F.concat(_case([a for a, _ in SPLIT]), more).alias("text"))
+    return d.select("doc_id", F.array_join(sentences(F.col("text")), "|").alias("result"))
+
 
+def limit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each document as one sentence, cut at spaces within 60 characters: how many parts, and the longest and the
+    whole of them."""
+    words = F.regexp_extract_all(F.expr(_SMALL), F.lit("[a-z]{1,20}"), F.lit(0))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(words, " ").alias("text"))
+    d = d.select("doc_id", sentences(F.col("text"), 60).alias("s"))
+    return d.select("doc_id", F.size("s").alias("n"), (F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)) <= 60).alias("within"), F.sha2(F.array_join("s", " "), 256).alias("digest"))
 
-def _markdown(spark: SparkSession) -> DataFrame:
-    return script.zone_blocks(text_blocks(_frame(spark, [(1, MARKDOWN)], "doc_id long, text string")))
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.lit(MARKDOWN), F.lit("Here is one sentence."), F.concat(F.lit("Here is one "), "words", F.lit(" sentence.")))
+    return script.zone_documents(text_documents(_dealt(spark, sf_dir, 1).select("doc_id", text.alias("text"))))
 
 
 def script_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.build_sentences(_markdown(spark)).select("i", "block_idx", "type", "zone", "section", "speak", "skip", "pause_before")
+    return script.build_sentences(_markdown(spark, sf_dir)).select("doc_id", "i", "block_idx", "type", "zone", "section", "speak", "skip", "pause_before")
 
 
 def outline_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.outline(_markdown(spark)).select("ord", "title", "level", "sentence_index", "zone")
+    return script.outline(_markdown(spark, sf_dir)).select("doc_id", "ord", "title", "level", "sentence_index", "zone")
 
 
 def _zipped(entries: dict[str, str]) -> bytes:
@@ -124,9 +153,19 @@ FILES = [
 ]
 
 
+def dealt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: one of the samples, a text file with the document's words in place of the sample's title."""
+    d, samples = _dealt(spark, sf_dir, len(FILES)), sample_files(spark).collect()
+    made = F.broadcast(spark.createDataFrame([(k, r.doc_id, r.name, r.content) for k, r in enumerate(samples)], "k int, sample string, name string, content binary"))
+    title = F.replace(F.decode(F.col("content"), "ISO-8859-1"), F.lit("A first heading"), "words")
+    own = F.when(F.col("sample") == "text", F.encode(title, "ISO-8859-1")).otherwise(F.col("content"))
+    return d.join(made, "k").select(F.col("doc_id").cast("string").alias("doc_id"), "sample", "name", own.alias("content"))
+
+
 def file_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ingest.extract_files(sample_files(spark))
-    return x.select("doc_id", "kind", files.kind_label(F.col("kind")).alias("label"), "title", F.size("blocks").alias("n_blocks"), F.regexp_extract("error", "^(unreadable|needs its)", 1).alias("error"))
+    f = dealt_files(spark, sf_dir)
+    x = ingest.extract_files(f.drop("sample")).join(f.select("doc_id", "sample"), "doc_id")
+    return x.select(F.col("doc_id").cast("long").alias("doc_id"), "sample", "kind", files.kind_label(F.col("kind")).alias("label"), "title", F.size("blocks").alias("n_blocks"), F.regexp_extract("error", "^(unreadable|needs its)", 1).alias("error"))
 
 
 LIBRARY = [
@@ -135,9 +174,9 @@ LIBRARY = [
 
 
 def library_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = sample_files(spark)
+    kept = dealt_files(spark, sf_dir).drop("sample")
     docs = ingest.imported(ingest.extract_files(kept), kept, F.lit("2024-01-01"))["docs"]
-    return docs.select("doc_id", "title", "kind_label", "words", "source")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "kind_label", "words", "source")
 
 
 PASTED = [
@@ -147,8 +186,11 @@ PASTED = [
 
 
 def pasted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ingest.extract_pasted(_frame(spark, [p[:3] for p in PASTED], "doc_id string, text string, title string"))
-    return x.select("doc_id", "kind", "title", F.size("blocks").alias("n_blocks"))
+    """Pasted texts, those that are long enough with a last paragraph of the document's words."""
+    d = _dealt(spark, sf_dir, len(PASTED))
+    more = F.when(F.col("k") == 0, F.concat(F.lit("<p>The "), "words", F.lit(" end here.</p>"))).when(_case([len(p[1]) >= 20 for p in PASTED]), F.concat(F.lit("\n\nThe "), "words", F.lit(" end here."))).otherwise("")
+    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(_case([p[1] for p in PASTED]), more).alias("text"), _case([p[2] for p in PASTED]).alias("title"))
+    return ingest.extract_pasted(rows).select("doc_id", "kind", "title", F.size("blocks").alias("n_blocks"), F.when(F.size("blocks") > 0, F.try_element_at("blocks", F.lit(-1))["text"]).alias("last"))
 
 
 #: Runs of a page: text, x, baseline, size, font, angle.
@@ -167,13 +209,16 @@ def runs(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return made, _frame(spark, [("p", 1, 567.0, 756.0)], "doc_id string, page int, width double, height double"), _frame(spark, INFO, "doc_id string, title string, author string")
 
 
-PLACED = [("p", "A Title Set In Large Type Here", "Kötter & Söhne", 1, 2, "line number 0")]
+PLACED = [("p", RUNS[0][0], "Kötter & Söhne", 1, 2, " ".join(r[0] for r in RUNS[4:-1]))]
 
 
 def positioned_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ingest.extract_positioned(*positioned.extract_runs(*runs(spark)))
-    last = F.element_at("blocks", -1)["text"]
-    return x.select("doc_id", "title", "author", "pages", F.size("blocks").alias("n_blocks"), F.substr(last, F.lit(1), F.lit(13)).alias("body"))
+    """The runs of a page for each document, its words in place of the last run."""
+    d = _dealt(spark, sf_dir, 1)
+    made, geometry, info = (d.join(F.broadcast(x.drop("doc_id").withColumn("k", F.lit(0))), "k").drop("k") for x in runs(spark))
+    last = F.when(F.col("text").startswith("of the column"), F.concat(F.lit("of the "), "words", F.lit(" and ends here."))).otherwise(F.col("text"))
+    x = ingest.extract_positioned(*positioned.extract_runs(made.withColumn("text", last).drop("words"), geometry.drop("words"), info.drop("words")))
+    return x.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "author", "pages", F.size("blocks").alias("n_blocks"), F.try_element_at("blocks", F.lit(-1))["text"].alias("body"))
 
 
 ENTITIES = [("a &lt;b&gt; &amp;amp; &quot;c&quot;", 'a <b> &amp; "c"'), ("&#65;&#x1F600;&#x41;", "A\U0001F600A"), ("o&#x308; &#99999999;", "ö &#99999999;"), ("plain", "plain")]
@@ -183,8 +228,11 @@ FONTS = [("Times-Bold", None, None, None, True, False), ("Arial_it", None, None,
 
 
 def font_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _frame(spark, [(k, *f[:4]) for k, f in enumerate(FONTS)], "k int, name string, black boolean, bold boolean, italic boolean")
-    return x.select("k", *[c.alias(n) for n, c in positioned.font_traits(F.col("name"), F.col("black"), F.col("bold"), F.col("italic")).items()])
+    """Line items as runs in the fonts of the cases."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", (F.col("l_partkey") % len(FONTS)).cast("int").alias("k"))
+    traits = positioned.font_traits(*[_case([f[c] for f in FONTS]) for c in range(4)])
+    counts = {n: F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in traits.items()}
+    return x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), *counts.values())
 
 
 TITLED = [
@@ -194,17 +242,21 @@ TITLED = [
 
 
 def title_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.choose_titles(_frame(spark, TITLED, "doc_id string, ord int, type string, page int, size double, text string"))
+    """The blocks of the cases for each document, its words at the end of those that are long enough for a title."""
+    made = F.broadcast(_frame(spark, [(sorted({r[0] for r in TITLED}).index(r[0]), *r[1:]) for r in TITLED], "k int, ord int, type string, page int, size double, text string"))
+    x = _dealt(spark, sf_dir, 3).join(made, "k").withColumn("text", F.when(F.length("text").between(25, 100), F.concat_ws(" ", "text", "words")).otherwise(F.col("text")))
+    return _dealt(spark, sf_dir, 3).select("doc_id").join(layout.choose_titles(x.drop("words", "k")), "doc_id", "left")
 
 
 def text_title_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles(text_blocks(_frame(spark, [(1, MARKDOWN), (2, "only text\n\n## Later"), (3, "no heading at all")], "doc_id long, text string")))
+    text = F.concat(_case([MARKDOWN, "only text\n\n## Later", "no heading at all"]), F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit(" "), "words")))
+    return titles(text_blocks(_dealt(spark, sf_dir, 3).select("doc_id", text.alias("text"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        sentence_cases, script_cases, outline_cases, file_cases, library_cases, pasted_cases, positioned_cases, font_cases, title_cases,
+        sentence_cases, limit_cases, script_cases, outline_cases, file_cases, library_cases, pasted_cases, positioned_cases, font_cases, title_cases,
         text_title_cases,
     )
 }
@@ -222,19 +274,46 @@ def _values(columns: str, rows: list[tuple]) -> str:
     return f"SELECT {typed} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({names})"
 
 
-def _results(pairs: list[tuple]) -> str:
-    return _values("k INT, result VARCHAR", [(k, b) for k, (_, b) in enumerate(pairs)])
+def _list(values: list) -> str:
+    return "[" + ", ".join(map(_sql, values)) + "]"
+
+
+def _own(n: int) -> str:
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[a-z]{{3,9}}') AS w FROM documents),
+        d AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN '{FEW}' ELSE array_to_string(w[1:3], ' ') END AS words, doc_id % {n} AS k FROM w)"""
+
+
+def _crossed(columns: str, rows: list[tuple], replaced: dict[str, str]) -> str:
+    """The rows of a case for each document, some columns with its words."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    return f"{_own(1)} SELECT doc_id, {', '.join(f'{replaced[c]} AS {c}' if c in replaced else c for c in names)} FROM d, ({_values(columns, rows)})"
 
 
 ORACLE = {
-    "sentence_cases": _results(SPLIT),
-    "script_cases": _values("i INT, block_idx INT, type VARCHAR, zone VARCHAR, section VARCHAR, speak VARCHAR, skip BOOLEAN, pause_before INT", SCRIPT),
-    "outline_cases": _values("ord INT, title VARCHAR, level INT, sentence_index BIGINT, zone VARCHAR", OUTLINE),
-    "file_cases": _values("doc_id VARCHAR, kind VARCHAR, label VARCHAR, title VARCHAR, n_blocks INT, error VARCHAR", FILES),
-    "library_cases": _values("doc_id VARCHAR, title VARCHAR, kind_label VARCHAR, words BIGINT, source VARCHAR", LIBRARY),
-    "pasted_cases": _values("doc_id VARCHAR, kind VARCHAR, title VARCHAR, n_blocks INT", [(p[0], *p[3:]) for p in PASTED]),
-    "positioned_cases": _values("doc_id VARCHAR, title VARCHAR, author VARCHAR, pages INT, n_blocks INT, body VARCHAR", PLACED),
-    "font_cases": _values("k INT, bold BOOLEAN, italic BOOLEAN", [(k, *f[4:]) for k, f in enumerate(FONTS)]),
-    "title_cases": _values("doc_id VARCHAR, title VARCHAR", [("d", TITLED[1][5]), ("e", None), ("f", TITLED[5][5])]),
-    "text_title_cases": _values("doc_id BIGINT, title VARCHAR", [(1, "A first heading"), (2, "Later"), (3, "no heading at all")]),
+    "sentence_cases": f"{_own(len(SPLIT))} SELECT doc_id, {_list([b for _, b in SPLIT])}[k + 1] || CASE WHEN {_list([_last(a) for a, _ in SPLIT])}[k + 1] THEN '|The ' || words || ' end here.' ELSE '' END AS result FROM d",
+    # Each part takes the words that fit; the first part of what is longer than the limit ends at its last space.
+    "limit_cases": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[a-z]{{1,20}}') AS w FROM documents),
+        e AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        c AS (SELECT doc_id, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS ends, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS begins FROM e),
+        t AS (SELECT doc_id, max(ends) AS total FROM c GROUP BY doc_id),
+        r AS (SELECT doc_id, CAST(0 AS HUGEINT) AS at, 1 AS n FROM t UNION ALL
+              SELECT r.doc_id, (SELECT min(c.ends) FROM c WHERE c.doc_id = r.doc_id AND c.ends - r.at > 28), n + 1 FROM r JOIN t USING (doc_id) WHERE t.total - 1 - r.at > 60)
+        SELECT d.doc_id, CAST(coalesce((SELECT max(n) FROM r WHERE r.doc_id = d.doc_id), 0) AS INT) AS n, true AS within, sha256(array_to_string(w, ' ')) AS digest FROM d""",
+    "script_cases": _crossed("i INT, block_idx INT, type VARCHAR, zone VARCHAR, section VARCHAR, speak VARCHAR, skip BOOLEAN, pause_before INT", SCRIPT, {"speak": "replace(speak, 'Here is one sentence.', 'Here is one ' || words || ' sentence.')"}),
+    "outline_cases": _crossed("ord INT, title VARCHAR, level INT, sentence_index BIGINT, zone VARCHAR", OUTLINE, {}),
+    "file_cases": f"""{_own(len(FILES))}
+        SELECT doc_id, sample, kind, label, title, n_blocks, error FROM d JOIN ({_values("k INT, sample VARCHAR, kind VARCHAR, label VARCHAR, title VARCHAR, n_blocks INT, error VARCHAR", [(k, *f) for k, f in enumerate(FILES)])}) USING (k)""",
+    # The title of the text sample gave way to three words, as many as it had.
+    "library_cases": f"""{_own(len(FILES))}
+        SELECT doc_id, title, label AS kind_label, words, source FROM d JOIN ({_values("k INT, title VARCHAR, label VARCHAR, n BIGINT, source VARCHAR", [([f[0] for f in FILES].index(r[0]), *r[1:]) for r in LIBRARY])}) l USING (k)""".replace("label AS kind_label, words,", "label AS kind_label, l.n AS words,"),
+    "pasted_cases": f"""{_own(len(PASTED))}
+        SELECT doc_id, kind, title, n + more AS n_blocks, CASE WHEN more = 1 THEN 'The ' || words || ' end here.' END AS last
+        FROM d JOIN ({_values("k INT, kind VARCHAR, title VARCHAR, n INT, more INT", [(k, *p[3:], int(len(p[1]) >= 20)) for k, p in enumerate(PASTED)])}) USING (k)""",
+    "positioned_cases": _crossed("title VARCHAR, author VARCHAR, pages INT, n_blocks INT, body VARCHAR", [p[1:] for p in PLACED], {"body": "body || ' of the ' || words || ' and ends here.'"}),
+    "font_cases": f"""
+        WITH f AS ({_values("k INT, bold BOOLEAN, italic BOOLEAN", [(k, *f[4:]) for k, f in enumerate(FONTS)])})
+        SELECT l_orderkey, count(*) AS n, count(*) FILTER (bold) AS bold, count(*) FILTER (italic) AS italic FROM lineitem JOIN f ON l_partkey % {len(FONTS)} = k GROUP BY l_orderkey""",
+    "title_cases": f"{_own(3)} SELECT doc_id, {_list([TITLED[1][5], None, TITLED[5][5]])}[k + 1] || ' ' || words AS title FROM d",
+    "text_title_cases": f"{_own(3)} SELECT doc_id, CASE k WHEN 0 THEN 'A first heading' WHEN 1 THEN 'Later ' || words ELSE 'no heading at all ' || words END AS title FROM d",
 }

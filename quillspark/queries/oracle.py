@@ -58,6 +58,15 @@ _DOCS = """docs AS (
             SELECT doc_id, concat_ws(' ', lang, source) AS title, concat_ws(', ', lang, CASE WHEN doc_id % 2 = 0 THEN source END) AS author, n_chars // 100 AS minutes, n_chars * 97 AS bytes,
                    make_timestamp((1700000000 + doc_id * 3600 % 900000) * 1000000) AS added_at FROM documents)"""
 
+#: Lines of documents as pages of their source, with spliced heads and feet; band: of lines in a margin.
+_HEADED = r"""d AS (SELECT coalesce(source, '') AS doc_id, doc_id AS page, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT doc_id, page, unnest(l) AS t, unnest(range(len(l))) AS i, len(l) AS m FROM d),
+        b AS (SELECT doc_id, page, t, CASE WHEN i = 0 THEN 'T:' WHEN i = m - 1 THEN 'B:' ELSE '' END AS band FROM e
+              UNION ALL SELECT doc_id, page, 'The Journal of ' || doc_id || ', No. ' || page, 'T:' FROM d WHERE page % 5 < 3
+              UNION ALL SELECT doc_id, page, 'Page ' || page || ' - of - 900', 'B:' FROM d WHERE page % 5 > 0),
+        k AS (SELECT doc_id, page, t, band, CASE WHEN band <> '' THEN band || trim(regexp_replace(regexp_replace(lower(t), '\d+', '#', 'g'), '[^A-Za-z0-9_#]+', ' ', 'g')) END AS key FROM b),
+        n AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM d GROUP BY doc_id)"""
+
 ORACLE: dict[str, str] = {
     # No letter of this table is followed by a spacing accent.
     "normalize_text": f"SELECT doc_id, {_normalized("coalesce(text, '')")} AS text FROM documents",
@@ -99,7 +108,7 @@ ORACLE: dict[str, str] = {
         FROM turns""",
     "time_left": f"""
         WITH {_TURNS}, w AS (
-          SELECT doc_id, i, CAST(sum(CASE WHEN skip THEN 0 ELSE len(string_split(text, ' ')) END)
+          SELECT doc_id, i, CAST(sum(CASE WHEN skip THEN 0 ELSE len(string_split_regex(text, '[{S}]+')) END)
                    OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS words_left FROM turns)
         SELECT doc_id, i, words_left, CAST(floor(words_left / 165.0 + 0.5) AS BIGINT) AS minutes_left FROM w""",
     "look_ahead": f"""
@@ -136,7 +145,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, block_idx, CASE WHEN zone <> p THEN CASE zone WHEN 'references' THEN 'References' WHEN 'backmatter' THEN 'Back matter' END END AS label FROM z""",
     "current_section": f"""
         WITH {_TURNS}
-        SELECT doc_id, i, (SELECT arg_max(left(h.text, 20), h.i) FROM turns h WHERE h.doc_id = t.doc_id AND h.type = 'heading' AND h.i <= t.i) AS section FROM turns t""",
+        SELECT doc_id, i, (SELECT arg_max(h.text, h.i) FROM turns h WHERE h.doc_id = t.doc_id AND h.type = 'heading' AND h.i <= t.i) AS section FROM turns t""",
     "reanchor": f"""
         WITH {_TURNS}, s AS (SELECT *, i // 3 AS b FROM turns WHERE i % 4 <> 1), a AS (SELECT DISTINCT doc_id, i // 3 AS b, text FROM turns)
         SELECT doc_id, CAST(b AS INT) AS block_idx, text, coalesce((SELECT min(i) FROM s WHERE s.doc_id = a.doc_id AND s.b = a.b AND s.text = a.text),
@@ -163,10 +172,10 @@ ORACLE: dict[str, str] = {
                count(*) FILTER (short OR numbers OR fragment OR no_vowel OR digits OR one_word OR numbered_heading OR few_words) AS noise FROM r GROUP BY l_orderkey""",
     "line_tests": rf"""
         WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
-        l AS (SELECT doc_id, CASE WHEN k % 5 = 1 THEN translate(left(line, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN k % 7 = 2 THEN line || ' Smith, AB. Lancet 2019; 12: 33-40.' ELSE line END AS t FROM d),
+        l AS (SELECT doc_id, CASE WHEN k % 5 = 1 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN k % 7 = 2 THEN line || ' Smith, AB. Lancet 2019; 12: 33-40.' ELSE line END AS t FROM d),
         w AS (SELECT *, regexp_extract_all(t, '[A-Za-zÀ-ɏ]{{2,}}') AS s, list_filter(string_split_regex(t, '[{S}]+'), lambda x: regexp_matches(x, '\w')) AS w FROM l),
         r AS (SELECT *, length(array_to_string(s, '')) >= 4 AND (len(s) >= 2 OR length(s[1]) >= 4) AS speakable,
-                     len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9][A-Z0-9.%-]{{1,6}}$'))) > len(w) * 0.7 AS soup,
+                     len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9][A-Z0-9.%-]{{1,6}}$'))) / len(w) > 0.7 AS soup,
                      regexp_matches(t, '\b(19|20)\d{{2}}[a-z]?[.;)]') AS year, regexp_matches(t, '\b[A-Z][a-z]+,?[{S}]+[A-Z]{{1,3}}[.,]') AS initials,
                      regexp_matches(t, '\b(J|Am|Br|Eur|N[{S}]?Engl|Lancet|BMJ|JAMA|Nature|Science|Proc|Ann|Arch|Int)\b\.?[{S}]') AS journal,
                      regexp_matches(t, '\b\d+[{S}]*[:(][{S}]*\d+') OR regexp_matches(t, '\b\d+[–-]\d+\b[{S}]*\.?[{S}]*$') AS pages FROM w)
@@ -189,20 +198,24 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_returnflag || '-' || l_partkey AS text, round(l_suppkey / 2.0, 3) AS x0, round((l_suppkey + l_linenumber * 5 - 10) / 2.0, 3) AS x1,
                round(l_quantity / 2, 3) AS top, round((l_quantity + h) / 2, 3) AS bot, round((l_quantity + h - 0.2 * h) / 2, 3) AS base, round(0.78 * h / 2, 3) AS size FROM x""",
     "needs_ocr": """
-        WITH p AS (SELECT source, 500.0 + doc_id % 9 * 50 AS width, length(replace(text, chr(10), '')) AS chars FROM documents WHERE source IS NOT NULL),
+        WITH p AS (SELECT coalesce(source, '') AS source, 500.0 + doc_id % 9 * 50 AS width, length(replace(text, chr(10), '')) AS chars FROM documents),
         g AS (SELECT source AS doc_id, count(*) AS n_pages, count(*) FILTER (coalesce(chars, 0) < greatest(80.0, 2.5 * width / 72 * 800.0 / 72)) AS n_scanned FROM p GROUP BY source)
         SELECT *, n_scanned >= greatest(1, ceil(n_pages * 0.6)) AS needs_ocr FROM g""",
-    "running_lines": r"""
-        WITH d AS (SELECT source AS doc_id, doc_id AS page, string_split(text, chr(10)) AS l FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
-        e AS (SELECT doc_id, page, 'T:' AS band, left(l[1], 2) AS t FROM d UNION ALL SELECT doc_id, page, 'B:', left(l[-1], 2) FROM d WHERE len(l) > 1),
-        k AS (SELECT doc_id, page, band || trim(regexp_replace(regexp_replace(lower(t), '\d+', '#', 'g'), '[^A-Za-z0-9_#]+', ' ', 'g')) AS key FROM e),
-        n AS (SELECT doc_id, CAST(floor(count(DISTINCT page) / 12) AS INT) AS n_pages FROM d GROUP BY doc_id)
-        SELECT k.doc_id, key, count(DISTINCT page) AS n FROM k JOIN n USING (doc_id) GROUP BY k.doc_id, key, n_pages
+    "running_lines": rf"""
+        WITH {_HEADED}
+        SELECT doc_id, key, count(DISTINCT page) AS n FROM k JOIN n USING (doc_id) WHERE key IS NOT NULL GROUP BY doc_id, key, n_pages
         HAVING n_pages >= 3 AND count(DISTINCT page) >= greatest(2, ceil(n_pages * 0.34))""",
+    "stripped_lines": rf"""
+        WITH {_HEADED},
+        h AS (SELECT doc_id, key FROM k JOIN n USING (doc_id) WHERE key IS NOT NULL GROUP BY doc_id, key, n_pages HAVING n_pages >= 3 AND count(DISTINCT page) >= greatest(2, ceil(n_pages * 0.34)))
+        SELECT doc_id, page, count(*) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_chars, count(*) FILTER (band <> '') AS n_margin FROM k ANTI JOIN h USING (doc_id, key)
+        WHERE NOT (band <> '' AND (regexp_matches(t, '^[{S}]*\d{{1,4}}[{S}]*$') OR regexp_matches(t, '(?i)^[{S}]*[ivxlcdm]{{1,7}}[{S}]*$') OR regexp_matches(t, '(?i)^page[{S}]+\d+([{S}]+of[{S}]+\d+)?$')
+               OR regexp_matches(t, '(?i)downloaded[{S}]+from|this[{S}]+content[{S}]+downloaded|all[{S}]+rights?[{S}]+reserved|^[{S}]*(https?://|www\.)[^{S}]+[{S}]*$|^[{S}]*doi:?[{S}]*10\.\d{{4,}}')
+               OR regexp_matches(t, '©[{S}]*\d{{4}}|^[{S}]*\d{{1,4}}[{S}]+[A-Z][a-z]+[{S}]+\d{{4}}[{S}]*$') OR regexp_matches(t, '(?i)jstor|springer nature|elsevier ltd|wolters kluwer')))
+        GROUP BY doc_id, page""",
     "body_size_mode": """
-        WITH l AS (SELECT source AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents
-                   WHERE source IS NOT NULL AND text IS NOT NULL),
-        s AS (SELECT doc_id, (length(t) % 7) / 2 AS size, sum(length(t)) AS w, min(page * 100000 + k) AS f FROM l GROUP BY ALL)
+        WITH l AS (SELECT l_orderkey AS doc_id, (l_linenumber * 10000000 + l_partkey) * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS k, floor(l_quantity / 5 * 2 + 0.5) / 2 AS size, length(concat_ws(' ', l_returnflag, l_partkey, l_suppkey, CASE WHEN l_tax > 0.04 THEN 'more of it' END)) AS n FROM lineitem),
+        s AS (SELECT doc_id, size, sum(n) AS w, min(k) AS f FROM l GROUP BY doc_id, size)
         SELECT doc_id, size FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1""",
     "library_shelf": f"""
         WITH {_DOCS}, l AS (
