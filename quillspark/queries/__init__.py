@@ -13,6 +13,7 @@ from ..operators.segment import sentences
 from ..operators.text_blocks import text_blocks, text_documents, text_lines
 from ..plans import script
 from ..sources import html, positioned
+from ..streaming import progress
 from . import cases, paged, spliced
 from .oracle import ORACLE as TABLES
 
@@ -293,12 +294,17 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest_progress(_table(spark, sf_dir, "events"))
 
 
+def progress_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that are written when a user was still for an hour, purchases at once."""
+    return progress.debounced(_table(spark, sf_dir, "events"), "1 hour", ("purchase",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, strip_addresses, line_shape, blocks, block_noise, heading_noise, line_tests, sentence_chars, zones, script_sentences, script_stats, turn_stats, script_outline,
         script_neighbours, next_playable, section_jumps, block_spans, zone_labels, current_section, reanchor, time_left, look_ahead, audio_plan, audio_index, audio_rendered, html_title, html_blocks,
-        run_atoms, word_atoms, needs_ocr, running_lines, stripped_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest,
+        run_atoms, word_atoms, needs_ocr, running_lines, stripped_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest, progress_debounced,
     )
 } | cases.QUERIES | spliced.QUERIES | paged.QUERIES
 ORACLE: dict[str, str] = TABLES | cases.ORACLE | spliced.ORACLE | paged.ORACLE

@@ -190,7 +190,7 @@ def pasted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dealt(spark, sf_dir, len(PASTED))
     more = F.when(F.col("k") == 0, F.concat(F.lit("<p>The "), "words", F.lit(" end here.</p>"))).when(_case([len(p[1]) >= 20 for p in PASTED]), F.concat(F.lit("\n\nThe "), "words", F.lit(" end here."))).otherwise("")
     rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(_case([p[1] for p in PASTED]), more).alias("text"), _case([p[2] for p in PASTED]).alias("title"))
-    return ingest.extract_pasted(rows).select("doc_id", "kind", "title", F.size("blocks").alias("n_blocks"), F.when(F.size("blocks") > 0, F.try_element_at("blocks", F.lit(-1))["text"]).alias("last"))
+    return ingest.extract_pasted(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "kind", "title", F.size("blocks").alias("n_blocks"), F.when(F.size("blocks") > 0, F.try_element_at("blocks", F.lit(-1))["text"]).alias("last"))
 
 
 #: Runs of a page: text, x, baseline, size, font, angle.

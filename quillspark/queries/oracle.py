@@ -127,6 +127,10 @@ ORACLE: dict[str, str] = {
         FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "progress_latest": """
         SELECT user_id, arg_max(value, (ts, event_id)) AS position, max(ts) AS at, count(*) AS n_events FROM events GROUP BY user_id""",
+    "progress_debounced": """
+        WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+        SELECT user_id, ts, event_id, value AS position, CASE WHEN event_type = 'purchase' THEN ts ELSE ts + INTERVAL 1 HOUR END AS written_at FROM e
+        WHERE event_type = 'purchase' OR next IS NULL OR next >= ts + INTERVAL 1 HOUR""",
     "section_jumps": f"""
         WITH {_TURNS}, h AS (SELECT doc_id, i FROM turns WHERE type = 'heading'),
         l AS (SELECT doc_id, i, (SELECT max(h.i) FROM h WHERE h.doc_id = t.doc_id AND h.i < t.i) AS l,

@@ -6,15 +6,13 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html import BLOCK_TYPE, CAPTION_TEXT, Node, blocks_of, parsed, summed
+from .html import CAPTION_TEXT, Node, blocks_of, parsed, summed
 
 #: Labels of kinds.
 LABELS = {"pdf": "PDF", "epub": "EPUB", "docx": "DOCX", "html": "WEB", "text": "TXT", "image": "IMG", "zip": "ZIP"}
@@ -66,22 +64,36 @@ def _attribute(x: ElementTree.Element, name: str) -> str | None:
     return next((v for k, v in x.attrib.items() if _local(k).rpartition(":")[2] == name), None)
 
 
+#: An entry of an archive may hold this many bytes, a file's entries together four times as many.
+MOST_INFLATED = 256 << 20
+
+
 class Archive:
-    """Entries of a ZIP by path, with forward slashes; folders are left out."""
+    """Entries of a ZIP by path, with forward slashes; folders are left out. What inflates beyond MOST_INFLATED is an error."""
 
     def __init__(self, data: bytes) -> None:
         self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.inflated = 0
         self.names = {x.orig_filename.replace("\\", "/"): x for x in self.zip.infolist() if not x.is_dir()}
 
     def xml(self, path: str) -> ElementTree.Element:
         """The tree of an entry; if it isn't well-formed, what a page parser makes of it."""
         try:
-            return ElementTree.fromstring(self.zip.read(self.names[path]))
+            return ElementTree.fromstring(self.read(path))
         except ElementTree.ParseError:
             return _as_element(parsed(self.text(path)))
 
     def text(self, path: str) -> str:
-        return self.zip.read(self.names[path]).decode("utf-8", "replace")
+        return self.read(path).decode("utf-8", "replace")
+
+    def read(self, path: str) -> bytes:
+        """An entry's bytes; its stated size isn't trusted."""
+        with self.zip.open(self.names[path]) as entry:
+            data = entry.read(min(MOST_INFLATED, 4 * MOST_INFLATED - self.inflated) + 1)
+        self.inflated += len(data)
+        if len(data) > MOST_INFLATED or self.inflated > 4 * MOST_INFLATED:
+            raise ValueError(f"{path} inflates to more than is read of a file")
+        return data
 
 
 def _as_element(root: Node) -> ElementTree.Element:
@@ -95,19 +107,16 @@ def _as_element(root: Node) -> ElementTree.Element:
 
 
 def _paragraph(p: ElementTree.Element) -> str:
-    out: list[str] = []
-
-    def visit(node: ElementTree.Element) -> None:
-        for c in node:
-            kind = _local(c.tag)
-            if kind == "t":
-                out.append("".join(c.itertext()))
-            elif kind in ("tab", "br", "noBreakHyphen"):
-                out.append({"tab": "\t", "br": " ", "noBreakHyphen": "-"}[kind])
-            elif kind not in ("softHyphen", "instrText", "delText"):
-                visit(c)
-
-    visit(p)
+    out, todo = [], [p]
+    while todo:
+        node = todo.pop()
+        kind = _local(node.tag) if node is not p else ""
+        if kind == "t":
+            out.append("".join(node.itertext()))
+        elif kind in ("tab", "br", "noBreakHyphen"):
+            out.append({"tab": "\t", "br": " ", "noBreakHyphen": "-"}[kind])
+        elif kind not in ("softHyphen", "instrText", "delText"):
+            todo += reversed(node)
     return " ".join("".join(out).split())
 
 
@@ -168,27 +177,3 @@ def read_epub(data: bytes) -> tuple[dict, list[tuple]]:
                 blocks += [(*b, path) for b in blocks_of(body)]
     named = {k: next(((x.text or "").strip() for x in _find(opf, k)), None) or None for k in ("title", "creator", "date")}
     return {"title": named["title"] or "EPUB", "author": named["creator"]}, blocks
-
-
-def archives(files: DataFrame) -> DataFrame:
-    """path, kind, title, author, error and blocks of the EPUB and DOCX files among ``files`` (path, content, kind)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for path, kind, content in zip(rows["path"], rows["kind"], rows["content"]):
-                try:
-                    if kind == "zip":
-                        names = Archive(content).names
-                        kind = "docx" if "word/document.xml" in names else "epub" if any(n.lower().endswith(".opf") for n in names) else "text"
-                    meta, blocks = {"docx": read_docx, "epub": read_epub}[kind](content) if kind != "text" else ({}, [])
-                    error = None if blocks else "no text found"
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
-                    meta, blocks, error = {}, [], f"unreadable: {e}"
-                rows_of = [{"type": t, "text": x, "level": n, "src": s} for t, x, n, s in blocks]
-                out.append((path, kind, meta.get("title"), meta.get("author"), error, rows_of))
-            yield pd.DataFrame(out, columns=["path", "kind", "title", "author", "error", "blocks"])
-
-    kind = BLOCK_TYPE.replace("level:int", "level:int,src:string")
-    chosen = files.filter(F.col("kind").isin("epub", "docx", "zip")).select("path", "kind", "content")
-    return chosen.mapInPandas(run, f"path string, kind string, title string, author string, error string, blocks {kind}")

@@ -7,9 +7,7 @@ parser in Arrow batches; page descriptions and images come in as positioned text
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +18,7 @@ from ..operators import store
 from ..operators.text_blocks import text_blocks, titles
 from ..plans import script
 from ..plans.settings import Settings
+from ..tables import saved
 from . import files as kinds
 from . import html
 
@@ -54,6 +53,11 @@ def block_rows(content: DataFrame) -> DataFrame:
     return content.select("doc_id", F.posexplode("blocks").alias("ord", "b")).select("doc_id", "ord", "b.*")
 
 
+def _stats(content: DataFrame, settings: Settings | None) -> DataFrame:
+    """Words and minutes of stored documents, within their rows."""
+    return script.script_stats(script.build_sentences(script.zone_documents(content), settings)).select("doc_id", "words", "minutes")
+
+
 def _parse(kind: str, content: bytes, url: str | None) -> tuple[str, dict, list]:
     if kind == "zip":
         names = kinds.Archive(content).names
@@ -78,8 +82,8 @@ def _parsed(rows: DataFrame) -> DataFrame:
                 meta, blocks, error = {}, [], None
                 try:
                     kind, meta, blocks = _parse(kind, content, url)
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, ValueError) as e:
-                    error = f"unreadable: {e}"
+                except Exception as e:  # noqa: BLE001  whatever a file holds, the others are read
+                    error = f"unreadable: {type(e).__name__}: {e}"
                 rows = [{"type": t, "text": x, "level": n, "src": s, "furniture": None} for t, x, n, s in blocks]
                 out.append((doc_id, kind, *(meta.get(k) for k in fields), error, rows))
             yield pd.DataFrame(out, columns=["doc_id", "kind", *fields, "error", "blocks"])
@@ -124,7 +128,8 @@ def extract_pasted(rows: DataFrame) -> DataFrame:
     short = _shaped(x.filter(F.length("text") < LEAST_PASTED).select("doc_id"), kind=F.lit("text"), error=F.lit("That is too short to read."), blocks=F.array())
     x = x.filter(F.length("text") >= LEAST_PASTED).withColumn("markup", F.col("text").rlike(MARKUP))
     pages = _parsed(x.filter("markup").select("doc_id", F.lit("html").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("url")))
-    pages = pages.filter(F.size("blocks") > 0)
+    # Read once: for what is good, and for what has to be read as text.
+    pages = saved(pages.filter(F.size("blocks") > 0))
     good = _shaped(pages.join(x.select("doc_id", F.col("title").alias("given")), "doc_id"), title=F.coalesce(F.nullif("given", F.lit("")), "title"))
     plain = x.join(pages.select("doc_id"), "doc_id", "left_anti")
     texts = _texts(plain.select("doc_id", "text", F.col("title").alias("given")))
@@ -149,11 +154,12 @@ def imported(extracted: DataFrame, files: DataFrame, at: Column, settings: Setti
     ``files``: doc_id, name, content, and optionally source (what the library shows; the name without it). The title is the
     document's own, cleaned, else the file's name without its ending.
     """
+    extracted = saved(extracted)
     good = extracted.filter(F.size("blocks") > 0)
     failed = extracted.filter(F.coalesce(F.size("blocks"), F.lit(0)) < 1)
     failed = failed.select("doc_id", F.coalesce("error", F.when(F.col("needs_ocr"), NO_LAYER).otherwise(NO_TEXT)).alias("error"))
     content = good.select("doc_id", "blocks")
-    stats = script.script_stats(script.build_sentences(script.zone_blocks(block_rows(content)), settings)).select("doc_id", "words", "minutes")
+    stats = _stats(content, settings)
     source = F.col("source") if "source" in files.columns else F.col("name")
     about = files.select("doc_id", "name", F.octet_length("content").cast("long").alias("bytes"), source.alias("source"))
     x = good.join(about, "doc_id").join(stats, "doc_id", "left")
@@ -170,9 +176,9 @@ def reextracted(tables: dict[str, DataFrame], extracted: DataFrame, settings: Se
 
     A title read anew goes before the old one, but recognised text (``ocr``) keeps the old title.
     """
-    good = extracted.filter(F.size("blocks") > 0)
+    good = saved(extracted.filter(F.size("blocks") > 0))
     content = good.select("doc_id", "blocks")
-    stats = script.script_stats(script.build_sentences(script.zone_blocks(block_rows(content)), settings)).select("doc_id", "words", "minutes")
+    stats = _stats(content, settings)
     new = good.select("doc_id", F.col("title").alias("_title"), F.col("ocr").alias("_ocr"), F.col("needs_ocr").alias("_needs")).join(stats, "doc_id", "left")
     x = tables["docs"].drop("words", "minutes").join(new, "doc_id")
     own = store.clean_title(F.coalesce("_title", F.lit("")), F.col("title"))

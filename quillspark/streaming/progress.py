@@ -16,6 +16,24 @@ def latest_positions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def debounced(events: DataFrame, gap: str = "1500 milliseconds", at_once: tuple[str, ...] = ("pause",)) -> DataFrame:
+    """The positions that are written: of events (user_id, ts, event_id, event_type, value) of a table or, with a watermark, of a
+    stream, the last before a gap, when the gap is over, and those of certain types at once.
+
+    A write at once ends the wait of what came before. Session windows hold one row of state for each user and session.
+    """
+    own = F.struct("ts", "event_id", "event_type", F.col("value").alias("position"))
+    last = events.groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.max_by(own, F.struct("ts", "event_id")).alias("e"))
+    waited = last.filter(~F.col("e.event_type").isin(*at_once)).select("user_id", "e.ts", "e.event_id", "e.position", F.col("session.end").alias("written_at"))
+    now = events.filter(F.col("event_type").isin(*at_once)).select("user_id", "ts", "event_id", F.col("value").alias("position"), F.col("ts").alias("written_at"))
+    return waited.unionByName(now)
+
+
+def save_debounced(events: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", **rule) -> StreamingQuery:
+    """Append the debounced positions of a stream to a Parquet table, each once."""
+    return debounced(events.withWatermark("ts", delay), **rule).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _last(events: DataFrame, position: str) -> DataFrame:
     last = F.struct("ts", "event_id")
     return events.groupBy("user_id").agg(F.max_by(position, last).alias("position"), F.max(last).alias("last")).select("user_id", "position", "last.*")

