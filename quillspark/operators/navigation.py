@@ -84,10 +84,14 @@ def script_hash(text: Column) -> Column:
     return F.lower(F.conv(bind(F.hex(F.encode(text, "UTF-16BE")), folded).cast("string"), 10, 36))
 
 
+def audio_key(doc_id: Column, speak: Column, voice: str = "default") -> Column:
+    return F.concat_ws(":", doc_id, script_hash(speak), F.lit(voice))
+
+
 def audio_plan(sentences: DataFrame, cached: DataFrame | None = None, voice: str = "default") -> DataFrame:
     """Distinct texts to speak that aren't cached: doc_id, key, speak."""
     s = sentences.filter("NOT skip").select("doc_id", "speak").distinct()
-    s = s.withColumn("key", F.concat_ws(":", "doc_id", script_hash(F.col("speak")), F.lit(voice)))
+    s = s.withColumn("key", audio_key(F.col("doc_id"), F.col("speak"), voice))
     return s.join(cached.select("key"), "key", "left_anti").select("doc_id", "key", "speak") if cached is not None else s.select("doc_id", "key", "speak")
 
 

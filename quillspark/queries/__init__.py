@@ -100,6 +100,12 @@ def audio_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.audio_plan(_turns(spark, sf_dir))
 
 
+def audio_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to render when every third turn has been."""
+    t = _turns(spark, sf_dir)
+    return navigation.audio_plan(t, navigation.audio_plan(t.filter("i % 3 = 0")))
+
+
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages(_table(spark, sf_dir, "pages")).select("page_id", "title")
 
@@ -303,7 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, strip_addresses, line_shape, blocks, block_noise, heading_noise, line_tests, sentence_chars, zones, script_sentences, script_stats, turn_stats, script_outline,
-        script_neighbours, next_playable, section_jumps, block_spans, zone_labels, current_section, reanchor, time_left, look_ahead, audio_plan, audio_index, audio_rendered, html_title, html_blocks,
+        script_neighbours, next_playable, section_jumps, block_spans, zone_labels, current_section, reanchor, time_left, look_ahead, audio_plan, audio_pending, audio_index, audio_rendered, html_title, html_blocks,
         run_atoms, word_atoms, needs_ocr, running_lines, stripped_lines, body_size_mode, library_view, library_shelf, library_counts, opened_documents, progress_latest, progress_debounced,
     )
 } | cases.QUERIES | spliced.QUERIES | paged.QUERIES

@@ -158,6 +158,10 @@ ORACLE: dict[str, str] = {
         WITH {_TURNS}, d AS (SELECT DISTINCT doc_id, text AS speak FROM turns WHERE NOT skip),
         h AS (SELECT *, list_reduce(list_transform(string_split(speak, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM d)
         SELECT doc_id, doc_id || ':' || lower(to_base(h, 36)) || ':default' AS key, speak FROM h""",
+    "audio_pending": f"""
+        WITH {_TURNS}, d AS (SELECT doc_id, text AS speak FROM turns WHERE NOT skip GROUP BY doc_id, text HAVING count(*) FILTER (i % 3 = 0) = 0),
+        h AS (SELECT *, list_reduce(list_transform(string_split(speak, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM d)
+        SELECT doc_id, doc_id || ':' || lower(to_base(h, 36)) || ':default' AS key, speak FROM h""",
     "audio_index": f"""
         WITH {_TURNS}
         SELECT doc_id, count(*) AS n_audio, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE count(*) END AS n_left FROM turns WHERE NOT skip GROUP BY doc_id""",

@@ -1,4 +1,4 @@
-"""Streams: files that keep arriving, and reading progress where the last write wins."""
+"""Streams: files that keep arriving, sentences to render, and reading progress where the last write wins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.navigation import audio_key
 from ..operators.text_blocks import text_blocks
+from ..plans.settings import Settings
+from ..sources.ingest import extract_files, imported
+from ..tables import discard, saved
 
 
 def latest_positions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -63,3 +67,32 @@ def import_texts(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
         text_blocks(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def import_files(spark: SparkSession, folder: str, out: str, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
+    """Add files of any kind to the tables docs, content, files and failed as they arrive. A file's id is the hash of its content,
+    so one that comes again is the same document; a batch that runs again writes the same folders."""
+    arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    own = arriving.select(F.sha2("content", 256).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        files = saved(batch.groupBy("doc_id").agg(F.min_by(F.struct("name", "content"), "name").alias("f")).select("doc_id", "f.*"))
+        for name, table in imported(extract_files(files), files, F.current_timestamp(), settings).items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
+        discard(files)
+
+    return own.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def imported_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of :func:`import_files`; of a file that came more than once the first row."""
+    rows = spark.read.parquet(f"{out}/{name}")
+    columns = [c for c in rows.columns if c not in ("doc_id", "epoch")]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), "epoch").alias("r")).select("doc_id", "r.*")
+
+
+def render_plan(sentences: DataFrame, rendered: DataFrame, voice: str = "default") -> DataFrame:
+    """Of a stream of sentences (doc_id, speak, skip, and ts with a watermark) those to render: each text of a document once while
+    it is in flight, and none whose key is among the rendered ones (key)."""
+    s = sentences.filter("NOT skip").withColumn("key", audio_key(F.col("doc_id"), F.col("speak"), voice))
+    return s.dropDuplicatesWithinWatermark(["key"]).join(rendered.select("key"), "key", "left_anti").select("doc_id", "key", "speak")

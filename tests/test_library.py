@@ -136,3 +136,27 @@ def test_stream_of_files(spark, folders, tmp_path):
         (tmp_path / "in" / f"{k}.txt").write_text(f"# Head {k}\n\nText of file {k}.")
         progress.import_texts(spark, source, out, state).awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["Head 0", "Head 1", "Text of file 0.", "Text of file 1."]
+
+
+def test_stream_of_files_of_all_kinds(spark, folders, tmp_path):
+    source, out, state = folders
+    (tmp_path / "in").mkdir()
+    given = [("a.txt", b"# Head\n\nText of a file."), ("b.html", cases.PAGE.encode()), ("c.zip", b"PK\x03\x04broken"), ("again.txt", b"# Head\n\nText of a file.")]
+    for name, content in given:
+        (tmp_path / "in" / name).write_bytes(content)
+        progress.import_files(spark, source, out, state).awaitTermination()
+    docs = {r.title: r for r in progress.imported_table(spark, out, "docs").collect()}
+    assert set(docs) == {"a", "A study of things"} and docs["a"].words == 5
+    assert [len(r.blocks) for r in progress.imported_table(spark, out, "content").collect()] == [2, 2]
+    assert [r.error for r in progress.imported_table(spark, out, "failed").collect()][0].startswith("unreadable")
+
+
+def test_stream_of_sentences_to_render(spark, folders):
+    source, _, _ = folders
+    schema = "doc_id long, i long, speak string, skip boolean, ts timestamp"
+    rows = [(1, 0, "One text.", False, NOW), (1, 1, "Other text.", False, NOW), (1, 2, "One text.", False, NOW), (1, 3, "Skipped.", True, NOW), (2, 0, "One text.", False, NOW)]
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    done = navigation.audio_plan(spark.createDataFrame(rows, schema).filter("i = 1"))
+    plan = progress.render_plan(spark.readStream.schema(schema).parquet(source).withWatermark("ts", "1 minute"), done)
+    plan.writeStream.format("memory").queryName("render").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.doc_id, r.speak) for r in spark.table("render").collect()) == [(1, "One text."), (2, "One text.")]
