@@ -48,37 +48,57 @@ def rejoin_spaced(c: Column) -> Column:
     return F.when(shaped, bind(F.split(c, " ", -1), joined)).otherwise(c)
 
 
-def _size() -> Column:
+def _size(runs: Column) -> Column:
     """The size, in halves, that most characters of the line are set in; the first seen of equal ones."""
     half = lambda r: F.floor(r["size"] * 2 + 0.5) / 2
-    sizes = F.array_distinct(F.transform("runs", half))
     weight = lambda s: F.aggregate(
-        F.filter("runs", lambda r: half(r) == s), F.lit(0), lambda n, r: n + F.greatest(F.length(trimmed(r["text"])), F.lit(1))
+        F.filter(runs, lambda r: half(r) == s), F.lit(0), lambda n, r: n + F.greatest(F.length(trimmed(r["text"])), F.lit(1))
     )
-    best = F.array_max(F.transform(sizes, lambda s, i: F.struct(weight(s).alias("w"), (-i).alias("i"), s.alias("s"))))["s"]
-    return F.when(best > 0, best).otherwise(10.0)
+    best = lambda sizes: F.array_max(F.transform(sizes, lambda s, i: F.struct(weight(s).alias("w"), (-i).alias("i"), s.alias("s"))))["s"]
+    heaviest = lambda sizes: F.when(F.size(sizes) == 1, F.get(sizes, F.lit(0))).otherwise(best(sizes))
+    return bind(bind(F.array_distinct(F.transform(runs, half)), heaviest), lambda s: F.when(s > 0, s).otherwise(10.0))
 
 
-def _text() -> Column:
+def _text(runs: Column, prefix: Column, base: Column, size: Column) -> Column:
     """Fold the runs to text, the widest space and its place, and the number of raised citation marks left out."""
+    last = lambda c: F.substr(c, F.lit(-1), F.lit(1))
 
     def step(s: Column, r: Column) -> Column:
-        mark = (r["base"] < F.col("base") - RAISED * F.col("size")) & (r["size"] < SMALL_RUN * F.col("size"))
-        mark &= r["text"].rlike(jvm(r"^[\d\s,;.–—*†‡-]+$"))
-        gap = F.when(s["text"] != "", r["x0"] - F.coalesce(s["end"], r["x0"])).otherwise(0.0)
-        space = (gap > SPACE_EMS * F.col("size")) & ~s["text"].rlike(jvm(r"\s$")) & ~r["text"].rlike(jvm(r"^\s"))
-        wider = gap > s["gap"]
-        kept = F.struct(
-            F.concat(s["text"], F.when(space, " ").otherwise(""), r["text"]).alias("text"), r["x1"].alias("end"),
-            F.when(wider, gap).otherwise(s["gap"]).alias("gap"), F.when(wider, s["end"]).otherwise(s["gap_at"]).alias("gap_at"), s["marks"].alias("marks"),
-        )
+        mark = (r["base"] < base - RAISED * size) & (r["size"] < SMALL_RUN * size) & r["text"].rlike(jvm(r"^[\d\s,;.–—*†‡-]+$"))
+
+        def kept(gap: Column) -> Column:
+            space = (gap > SPACE_EMS * size) & ~last(s["text"]).rlike(jvm(r"\s")) & ~r["text"].rlike(jvm(r"^\s"))
+            return F.struct(
+                F.concat(s["text"], F.when(space, " ").otherwise(""), r["text"]).alias("text"), r["x1"].alias("end"),
+                F.when(gap > s["gap"], gap).otherwise(s["gap"]).alias("gap"), F.when(gap > s["gap"], s["end"]).otherwise(s["gap_at"]).alias("gap_at"), s["marks"].alias("marks"),
+            )
+
         left_out = F.struct(s["text"].alias("text"), r["x1"].alias("end"), s["gap"].alias("gap"), s["gap_at"].alias("gap_at"), (s["marks"] + 1).alias("marks"))
-        return F.when(mark, left_out).otherwise(kept)
+        return F.when(mark, left_out).otherwise(bind(F.when(s["text"] != "", r["x0"] - F.coalesce(s["end"], r["x0"])).otherwise(0.0), kept))
+
+    start = F.struct(prefix.alias("text"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("gap_at"), F.lit(0).alias("marks"))
+    return F.aggregate(runs, start, step)
 
-    start = F.struct(
-        F.col("prefix").alias("text"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("gap_at"), F.lit(0).alias("marks")
-    )
-    return F.aggregate("runs", start, step)
+
+def _finished(line: Column, region: Column, height: Column) -> Column:
+    """A line with its text and measures. All of it happens in the array of lines: over columns, Catalyst would move the filter
+    of empty lines below and compute the text again there."""
+    runs = line["runs"]
+    edge = lambda f, xs, field: f(F.transform(xs, lambda x: x[field]))
+    n_bold = F.size(F.filter(runs, lambda r: r["bold"]))
+
+    def told(size: Column, base: Column, t: Column) -> Column:
+        left, right = edge(F.array_min, region["atoms"], "x0"), edge(F.array_max, region["atoms"], "x1")
+        top, bot = edge(F.array_min, runs, "top"), edge(F.array_max, runs, "bot")
+        fields = {
+            "region_idx": region["i"], "text": rejoin_spaced(trimmed(F.regexp_replace(t["text"], jvm(r"\s+"), " "))), "size": size, "base": base, "top": top, "bot": bot,
+            "x0": edge(F.array_min, runs, "x0"), "x1": edge(F.array_max, runs, "x1"), "bold": (n_bold > 0) & (n_bold >= F.size(runs) / 2), "gap_max": t["gap"] / size, "gap_at": t["gap_at"],
+            "col_left": left, "col_right": right, "col_width": right - left, "in_top": top < height * MARGIN, "in_bot": bot > height * (1 - MARGIN), "dropped_citations": t["marks"],
+        }
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    base = page_cut.median(F.transform(runs, lambda r: r["base"]))
+    return bind(_size(runs), lambda size: bind(base, lambda b: bind(_text(runs, line["prefix"], b, size), lambda t: told(size, b, t))))
 
 
 def page_regions(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -101,22 +121,9 @@ def page_lines(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
     One shuffle gathers pages, another (the order in the document) documents.
     """
     cut = page_regions(atoms, geometry)
-    parts = F.transform("regions", lambda r, i: F.transform(page_cut.lines(r), lambda line: F.struct(
-        i.alias("region_idx"), line.alias("line"), F.array_min(F.transform(r, lambda a: a["x0"])).alias("col_left"), F.array_max(F.transform(r, lambda a: a["x1"])).alias("col_right"),
-    )))
-    lines = unfolded(cut.withColumn("lines", F.flatten(parts)), "lines", "n", "l", "doc_id", "page", "height")
-    lines = lines.select("doc_id", "page", "height", "n", "l.region_idx", "l.line.*", "l.col_left", "l.col_right")
-    edge = lambda f, field: f(F.transform("runs", lambda r: r[field]))
-    lines = lines.withColumns({
-        "base": page_cut.median(F.transform("runs", lambda r: r["base"])), "x0": edge(F.array_min, "x0"), "x1": edge(F.array_max, "x1"), "top": edge(F.array_min, "top"), "bot": edge(F.array_max, "bot"),
-    })
-    bold = F.size(F.filter("runs", lambda r: r["bold"]))
-    lines = lines.withColumn("size", _size()).withColumn("t", _text())
-    lines = lines.withColumn("text", rejoin_spaced(trimmed(F.regexp_replace("t.text", jvm(r"\s+"), " ")))).filter("text <> ''")
+    numbered = F.transform("regions", lambda r, i: F.struct(i.alias("i"), r.alias("atoms")))
+    lines = F.flatten(F.transform(numbered, lambda r: F.transform(page_cut.lines(r["atoms"]), lambda line: _finished(line, r, F.col("height")))))
+    x = unfolded(cut.withColumn("lines", F.filter(lines, lambda line: line["text"] != "")), "lines", "n", "l", "doc_id", "page")
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "n")) - 1
-    return lines.select(
-        "doc_id", "page", "region_idx", order.alias("ord"), "text", "size", "base", "top", "bot", "x0", "x1",
-        ((bold > 0) & (bold >= F.size("runs") / 2)).alias("bold"), (F.col("t.gap") / F.col("size")).alias("gap_max"), F.col("t.gap_at").alias("gap_at"),
-        "col_left", "col_right", (F.col("col_right") - F.col("col_left")).alias("col_width"), (F.col("top") < F.col("height") * MARGIN).alias("in_top"),
-        (F.col("bot") > F.col("height") * (1 - MARGIN)).alias("in_bot"), F.col("t.marks").alias("dropped_citations"),
-    )
+    x = x.select("doc_id", "page", order.alias("ord"), "l.*")
+    return x.select("doc_id", "page", "region_idx", "ord", *[c for c in x.columns if c not in ("doc_id", "page", "region_idx", "ord")])
