@@ -14,6 +14,7 @@ from ..operators.text_blocks import text_blocks, text_documents, text_lines
 from ..plans import script
 from ..sources import html, positioned
 from ..streaming import progress
+from ..tables import spread
 from . import cases, paged, spliced
 from .oracle import ORACLE as TABLES
 
@@ -21,7 +22,8 @@ __all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

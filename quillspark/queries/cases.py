@@ -17,6 +17,7 @@ from ..operators.segment import sentences
 from ..operators.text_blocks import text_blocks, text_documents, titles
 from ..plans import script
 from ..sources import files, ingest, positioned
+from ..tables import spread
 
 SPOKEN = [
     ("mg/dL", "milligrams per deciliter"), ("95% CI 1.2–3.4", "95 percent confidence interval 1.2 to 3.4"), ("p < 0.05", "p less than 0.05"),
@@ -78,7 +79,7 @@ FEW = "no such words"
 def _dealt(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """doc_id, three words of the document, the number of its case."""
     found = F.regexp_extract_all(F.expr(_SMALL), F.lit("[a-z]{3,9}"), F.lit(0))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found.alias("w"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", found.alias("w"))
     return d.select("doc_id", F.when(F.size("w") < 3, FEW).otherwise(F.array_join(F.slice("w", 1, 3), " ")).alias("words"), (F.col("doc_id") % n).cast("int").alias("k"))
 
 
@@ -102,7 +103,7 @@ def limit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each document as one sentence, cut at spaces within 60 characters: how many parts, and the longest and the
     whole of them."""
     words = F.regexp_extract_all(F.expr(_SMALL), F.lit("[a-z]{1,20}"), F.lit(0))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(words, " ").alias("text"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.array_join(words, " ").alias("text"))
     d = d.select("doc_id", sentences(F.col("text"), 60).alias("s"))
     return d.select("doc_id", F.size("s").alias("n"), (F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)) <= 60).alias("within"), F.sha2(F.array_join("s", " "), 256).alias("digest"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import bind, unfolded
 from ..operators import page_cut
 from ..operators.page_lines import page_lines, page_regions
+from ..tables import spread
 
 WIDTH, HEIGHT, LEFT, MEASURE, SPACE = 567.0, 1400.0, 60.0, 450.0, 3.0
 WORDS, ROWS, TOP, PITCH = 6, 30, 110.0, 12.0
@@ -23,7 +24,7 @@ _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def _set_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line: its words, page, column, row, and how many lines the page has."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"regexp_extract_all({_SMALL}, '[a-z]+', 0) AS w", "doc_id % 3 + 1 AS columns")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("doc_id", f"regexp_extract_all({_SMALL}, '[a-z]+', 0) AS w", "doc_id % 3 + 1 AS columns")
     n = F.ceil(F.size("w") / WORDS).cast("int")
     rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice("w", i * WORDS + 1, WORDS)))
     x = unfolded(docs.select("doc_id", "columns", n.alias("n"), rows.alias("rows")), "rows", "i", "ws", "doc_id", "columns", "n")

@@ -46,3 +46,10 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer partitions than the cluster has cores over as many tasks: for work within rows, which meets no shuffle
+    that would do so. One with more, as any large one has, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
