@@ -70,15 +70,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of ``b``."""
-    b = _LOWER[b]
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    edge = np.diff(inside)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _powers(_BASE, len(b)), out=total[1:])
-    h = (total[end] - total[first]) * _powers(_INVERSE, len(b) + 1)[first]
+    """Hash and first byte of each word of ``b``, a block at a time: a text of any length takes only its words beside it."""
+    hashes, firsts, open_word = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], False
+    for at in range(0, len(b), BLOCK):
+        part = _LOWER[b[at : at + BLOCK]]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[part]
+        edge = np.diff(inside)
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _powers(_BASE, len(part)), out=total[1:])
+        h = (total[end] - total[first]) * _powers(_INVERSE, len(part) + 1)[first]
+        if open_word and inside[1]:
+            # The rest of the word in which the block before ended.
+            hashes[-1][-1:] += h[:1] * np.uint64(pow(_BASE, at - int(firsts[-1][-1]), 1 << 64))
+            h, first = h[1:], first[1:]
+        if len(h):
+            hashes.append(h)
+            firsts.append(first + at)
+        open_word = bool(inside[-2])
+    h, first = np.concatenate(hashes), np.concatenate(firsts)
     return (h ^ (h >> np.uint64(31))) * _MIX, first
 
 

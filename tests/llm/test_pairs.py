@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -142,6 +143,28 @@ def test_join_of_long_and_tiny_texts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id > 2} == want
 
 
+def test_memory_of_a_long_text():
+    """Beside a text, its shingles take a few times its size, not the hashing of each byte."""
+    text = " ".join(f"w{k * 7919 % 100_003}" for k in range(600_000)).encode()
+    tracemalloc.start()
+    n = len(next(ngram_join.shingle_sets([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and peak < 16 * len(text)
+
+
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_words_across_blocks(monkeypatch, block):
+    """Words that go over the ends of blocks, or over several blocks, and words that end with one."""
+    text = f" {'x' * 40} ab\n abc  A {cases.prose(12, 30)} é\tend".encode()
+    want, first = ngram_join.word_hashes(np.frombuffer(text, np.uint8))
+    sets = [x.tolist() for x in ngram_join.shingle_sets([text, b"", b"  ", text + b" more"])]
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    got, at = ngram_join.word_hashes(np.frombuffer(text, np.uint8))
+    assert got.tolist() == want.tolist() and at.tolist() == first.tolist() == [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert [x.tolist() for x in ngram_join.shingle_sets([text, b"", b"  ", text + b" more"])] == sets
+
+
 def test_payload_does_not_grow_with_ranges(spark):
     docs = spark.createDataFrame([(k, cases.prose(k, 80)) for k in range(500)], "doc_id long, text string").coalesce(1)
     size = lambda n: docs.mapInArrow(ngram_join._shingles(n), "r int, batch string, x binary, n binary, y binary").agg(F.sum(F.length("x") + F.length("n"))).head()[0]
