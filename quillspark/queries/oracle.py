@@ -174,10 +174,11 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, n < 3 AS short, regexp_matches(t, '^[\d .,;:|/–—-]+$') AS numbers, NOT heading AND n < 17 AND NOT regexp_matches(t, '[.!?:]$') AS fragment,
                      NOT regexp_matches(t, '[aeiouyAEIOUY]') AS no_vowel, n > 12 AND length(regexp_replace(t, '[^\d.,%]', '', 'g')) / n > 0.55 AS digits,
                      len(w) >= 3 AND len(list_distinct(w)) = 1 AS one_word, heading AND len(list_filter(w, lambda x: regexp_matches(x, '\d'))) >= 2 AS numbered_heading,
-                     n > 16 AND len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]{{2,}}[.,;:)]?$'))) / len(w) < 0.4 AS few_words FROM w)
+                     n > 16 AND len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’-]{{2,}}[.,;:)]?$'))) / len(w) < 0.4 AS few_words,
+                     len(list_filter(range(1, n - 4), lambda i: t[i:i + 5] = repeat(t[i:i], 6))) > 0 AS repeated FROM w)
         SELECT l_orderkey, count(*) FILTER (short) AS short, count(*) FILTER (numbers) AS numbers, count(*) FILTER (fragment) AS fragment, count(*) FILTER (no_vowel) AS no_vowel,
                count(*) FILTER (digits) AS digits, count(*) FILTER (one_word) AS one_word, count(*) FILTER (numbered_heading) AS numbered_heading,
-               count(*) FILTER (short OR numbers OR fragment OR no_vowel OR digits OR one_word OR numbered_heading OR few_words) AS noise FROM r GROUP BY l_orderkey""",
+               count(*) FILTER (short OR numbers OR fragment OR no_vowel OR digits OR one_word OR numbered_heading OR few_words OR repeated) AS noise FROM r GROUP BY l_orderkey""",
     "line_tests": rf"""
         WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, CASE WHEN k % 5 = 1 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN k % 7 = 2 THEN line || ' Smith, AB. Lancet 2019; 12: 33-40.' ELSE line END AS t FROM d),
