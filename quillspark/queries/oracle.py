@@ -54,6 +54,28 @@ _PARAGRAPHS = rf"""
                      string_split(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), ' ', ' '), chr(10)), lambda l: {_trimmed("l")}), lambda l: l <> '')),
                      lambda a, p: CASE WHEN a = '' THEN p WHEN regexp_matches(a, '\pL-$') AND regexp_matches(p, '^\p{{Ll}}') THEN a[:-2] || p ELSE a || ' ' || p END) AS x FROM documents)
           WHERE x <> ''"""
+#: Lines of texts (t: trimmed), their letters, and the blocks (k: kind, p: trimmed lines) to which a pattern over the letters cuts them.
+_CUT = rf"""d AS (SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(160), ' '), chr(10)) AS l FROM documents),
+        e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+        t AS (SELECT *, {_trimmed("line")} AS t, length({_replaced("line", "[SP]+$")}) AS w FROM e),
+        m AS (SELECT doc_id, avg(w) AS mean, count(*) AS n, count(*) FILTER (NOT regexp_matches(line, '[.!?:;"'')\]][{S}]*$')) / count(*) > 0.5 AS free FROM t WHERE length(t) > 20 GROUP BY doc_id),
+        v AS (SELECT doc_id, n >= 6 AND free AND mean BETWEEN 40 AND 110 AND count(*) FILTER (abs(w - mean) < mean * 0.22) / n > 0.55 AS wrapped
+              FROM t JOIN m USING (doc_id) WHERE length(t) > 20 GROUP BY doc_id, n, free, mean),
+        a AS (SELECT t.*, coalesce(wrapped, false) AND w < 62 AND regexp_matches(line, '[.!?]["'')\]]?[{S}]*$') AS early,
+                     lag(t, 1, '') OVER (PARTITION BY doc_id ORDER BY i) = '' AND lead(t, 1, '') OVER (PARTITION BY doc_id ORDER BY i) = '' AND length(t) <= 78 AND NOT regexp_matches(t, '[.!?]$')
+                     AND (regexp_matches(t, '^[^a-z]{{4,}}$') OR regexp_matches(t, '^\d+(\.\d+)*\.?[{S}]+[^{S}]')
+                          OR regexp_matches(t, '(?i)^(abstract|introduction|methods?|results?|discussion|conclusions?|references?)\b')) AS isolated FROM t LEFT JOIN v USING (doc_id)),
+        s AS (SELECT *, CASE WHEN t = '' OR regexp_matches(t, '^(-([{S}]*-){{2,}}|\*([{S}]*\*){{2,}}|_([{S}]*_){{2,}})$') THEN 'B' WHEN regexp_matches(t, '^#{{1,6}}[{S}]+.*[^{S}][{S}]*#*$') THEN 'H'
+                             WHEN regexp_matches(t, '^(=|-){{3,}}$') THEN CASE WHEN isolated THEN 'X' ELSE 'U' END WHEN regexp_matches(t, '(?i)^(fig(ure)?\.?[{S}]*\d|table[{S}]*\d)') THEN 'C'
+                             WHEN regexp_matches(line, '^[{S}]*([-*+•]|\d{{1,3}}[.)])[{S}]+') THEN 'I' WHEN isolated THEN 'X' WHEN early THEN 'E' ELSE 'O' END AS x FROM a),
+        g AS (SELECT doc_id, string_agg(CASE WHEN t <> '' AND x <> 'I' AND regexp_matches(line, '^[{S}]{{2,}}') THEN lower(x) ELSE x END, '' ORDER BY i) AS word FROM s GROUP BY doc_id),
+        h AS (SELECT doc_id, regexp_extract_all(word, 'I[a-z]*|[BbHhCcXx]|[OoUu][Uu]|[OoUu]+[Ee]?|[Ee]') AS kinds FROM g),
+        c AS (SELECT doc_id, unnest(kinds) AS kind, unnest(range(len(kinds))) AS j FROM h),
+        o AS (SELECT *, CAST(sum(length(kind)) OVER (PARTITION BY doc_id ORDER BY j) AS BIGINT) AS ends FROM c),
+        r AS (SELECT doc_id, j, kind, unnest(range(ends - length(kind), ends)) AS i FROM o WHERE upper(kind) <> 'B'),
+        b AS (SELECT doc_id, j, upper(kind[1]) AS k, regexp_matches(kind, '^[OoUu][Uu]$') AS under, list(t ORDER BY i) AS p FROM r JOIN t USING (doc_id, i) GROUP BY doc_id, j, kind)"""
+_JOINED = rf"""list_reduce(list_prepend('', list_prepend(CASE WHEN k = 'I' THEN regexp_replace(p[1], '^[{S}]*([-*+•]|\d{{1,3}}[.)])[{S}]+', '• ') ELSE p[1] END, p[2:])),
+                    lambda a, q: CASE WHEN a = '' THEN q WHEN regexp_matches(a, '\pL-$') AND regexp_matches(q, '^\p{{Ll}}') THEN a[:-2] || q ELSE a || ' ' || q END)"""
 _DOCS = """docs AS (
             SELECT doc_id, concat_ws(' ', lang, source) AS title, concat_ws(', ', lang, CASE WHEN doc_id % 2 = 0 THEN source END) AS author, n_chars // 100 AS minutes, n_chars * 97 AS bytes,
                    make_timestamp((1700000000 + doc_id * 3600 % 900000) * 1000000) AS added_at FROM documents)"""
@@ -191,7 +213,14 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) FILTER (speakable) AS speakable, count(*) FILTER (soup) AS soup,
                count(*) FILTER (length(t) >= 25 AND ((year AND (initials OR journal)) OR (initials AND pages))) AS reference FROM r GROUP BY doc_id""",
     "sentence_chars": rf"""SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[{S}]+', '', 'g')) AS digest, true AS within FROM documents""",
-    "blocks": f"""SELECT doc_id, CAST(0 AS INT) AS ord, 'para' AS type, text, CAST(NULL AS INT) AS level FROM ({_PARAGRAPHS})""",
+    "blocks": f"""
+        WITH {_CUT}
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INT) AS ord,
+               CASE WHEN k IN ('H', 'X') OR under THEN 'heading' WHEN k = 'C' THEN 'caption' ELSE 'para' END AS type,
+               CASE WHEN k = 'H' THEN regexp_extract(p[1], '^#{{1,6}}[{S}]+(.*[^{S}])[{S}]*#*$', 1) WHEN k = 'X' OR under THEN p[1] WHEN k = 'C' THEN {_trimmed(_replaced("p[1]", "[SP]+", " "))}
+                    ELSE {_trimmed(_replaced(_JOINED, "[SP]+", " "))} END AS text,
+               CAST(CASE WHEN k = 'H' THEN CASE WHEN length(regexp_extract(p[1], '^#+')) <= 2 THEN 1 ELSE 2 END WHEN k = 'X' THEN 2 WHEN under THEN CASE WHEN starts_with(p[2], '=') THEN 1 ELSE 2 END END AS INT) AS level
+        FROM b""",
     "zones": f"""
         SELECT doc_id, CAST(0 AS INT) AS block_idx, 'para' AS type, {_normalized("text")} AS text, CAST(NULL AS INT) AS level, CAST(NULL AS VARCHAR) AS furniture, 'body' AS zone,
                CAST(NULL AS VARCHAR) AS section FROM ({_PARAGRAPHS})""",

@@ -38,3 +38,14 @@ def test_numbers_of_one_digit_are_noise(same):
     rows = [(1, 1, 111111, 7, 30.0, 0.05, "A"), (1, 3, 111111, 7, 30.0, 0.01, "A"), (2, 3, 111112, 7, 30.0, 0.01, "R")]
     out = same("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_tax double, l_returnflag string", rows, "heading_noise")
     assert [r[-1] for r in out["heading_noise"]] == [2, 0]
+
+
+def test_texts_of_all_kinds_of_lines_are_cut_as_in_sql(same):
+    wrapped = "\n".join(["words that fill the whole of a line up to where it ends, with co-"] * 7 + ["the last one ends early here."] + ["and some more of the words that fill a line up to where it ends"] * 3)
+    texts = [
+        "4957227693675278 Things, in one line. 27.47.164.207", "4957227693675278 ends as a sentence.", "SHORT CAPITALS", "x\n\nMethods\n\ny", None, "", " \n\t", wrapped, wrapped + "\n\n" + wrapped,
+        "# A # \n\n### B\nopen\n====\nmore\n----\n  text\n***\n- item\n  goes on-\n  wards\nno more\n1. one\n2) two\r\nFigure 3. Seen\n    table 2\r\u00a0 - \u00a0in", "====\n\n----", "\n\n====\n", "a\nb\n===",
+        "- - -\nfoo-\nbar foo-\nBar\n\n   12. indented item\n\n  3 Lines\n\n#no heading\n\n####### seven", "x-\n-\ny", "* * *\n_ _ _\n-*-\n\u2022 dot",
+    ]
+    kinds = {(r[2], r[4]) for r in same("documents", _DOCUMENT, documents(*texts), "blocks")["blocks"]}
+    assert kinds == {("heading", 1), ("heading", 2), ("para", None), ("caption", None)}
