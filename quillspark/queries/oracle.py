@@ -32,6 +32,13 @@ def _normalized(x: str) -> str:
     return _replaced(_trimmed(_replaced(x, "[SP]+", " ")), "[SP]+[–—][SP]+", ", ")
 
 
+def _unescaped(x: str) -> str:
+    """The character references of this table; as in pages, their semicolon may be missing."""
+    for name, to in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{to}', 'g')"
+    return x
+
+
 _ADDRESSES = "coalesce(text, '')"
 for _p in (
     "(?i)\\bdoi:?[SP]*10\\.\\d{4,9}/[^SP\"''<>]+", "(?i)\\b(?:https?://|www\\.)[^SP<>\"'']+", "(?i)\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b",
@@ -140,7 +147,7 @@ ORACLE: dict[str, str] = {
     "html_title": rf"""
         WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS a,
                           url FROM pages),
-        e AS (SELECT page_id, replace(replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') AS a FROM t)
+        e AS (SELECT page_id, {_unescaped("a")} AS a FROM t)
         SELECT page_id, CASE WHEN trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) = '' THEN a
                              ELSE trim(regexp_replace(a, '\s*[|–—-]\s*[^|–—-]{{2,40}}$', '')) END AS title FROM e""",
     "library_view": """

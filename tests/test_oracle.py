@@ -49,3 +49,10 @@ def test_texts_of_all_kinds_of_lines_are_cut_as_in_sql(same):
     ]
     kinds = {(r[2], r[4]) for r in same("documents", _DOCUMENT, documents(*texts), "blocks")["blocks"]}
     assert kinds == {("heading", 1), ("heading", 2), ("para", None), ("caption", None)}
+
+
+def test_references_without_a_semicolon_are_told(same):
+    titles = ["a &amp;&amp; b &lt;c&gt and&amp", "&amp;lt; d &quot;e&quot &middot f", "cut &am", "One title | Site name"]
+    rows = [(k, f"https://x.org/{k}", f"<html><head><title>{t}</title></head><body><p>Words of it.</p></body></html>") for k, t in enumerate(titles)]
+    out = same("pages", "page_id long, url string, html string", rows, "html_title")
+    assert [r[1] for r in out["html_title"]] == ["a && b <c> and&", '&lt; d "e" · f', "cut &am", "One title"]
