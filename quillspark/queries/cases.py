@@ -284,6 +284,15 @@ def _own(n: int) -> str:
         d AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN '{FEW}' ELSE array_to_string(w[1:3], ' ') END AS words, doc_id % {n} AS k FROM w)"""
 
 
+#: A character six times in a row: of what can repeat in words of small letters.
+SIX = "|".join(f"{c}{{6}}" for c in "abcdefghijklmnopqrstuvwxyz")
+#: Three words that are noise as a heading.
+_NOISE = (
+    f"(NOT regexp_matches(words, '[aeiouy]') OR len(list_distinct(string_split(words, ' '))) = 1 OR regexp_matches(words, '{SIX}')"
+    " OR regexp_matches(words, '^(this article|open access|creative commons) '))"
+)
+
+
 def _crossed(columns: str, rows: list[tuple], replaced: dict[str, str]) -> str:
     """The rows of a case for each document, some columns with its words."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -305,9 +314,9 @@ ORACLE = {
     "outline_cases": _crossed("ord INT, title VARCHAR, level INT, sentence_index BIGINT, zone VARCHAR", OUTLINE, {}),
     "file_cases": f"""{_own(len(FILES))}
         SELECT doc_id, sample, kind, label, title, n_blocks, error FROM d JOIN ({_values("k INT, sample VARCHAR, kind VARCHAR, label VARCHAR, title VARCHAR, n_blocks INT, error VARCHAR", [(k, *f) for k, f in enumerate(FILES)])}) USING (k)""",
-    # The title of the text sample gave way to three words, as many as it had.
+    # The title of the text sample gave way to three words, as many as it had; those of a title that is noise don't count, and none do after one of back matter.
     "library_cases": f"""{_own(len(FILES))}
-        SELECT doc_id, title, label AS kind_label, words, source FROM d JOIN ({_values("k INT, title VARCHAR, label VARCHAR, n BIGINT, source VARCHAR", [([f[0] for f in FILES].index(r[0]), *r[1:]) for r in LIBRARY])}) l USING (k)""".replace("label AS kind_label, words,", "label AS kind_label, l.n AS words,"),
+        SELECT doc_id, title, label AS kind_label, words, source FROM d JOIN ({_values("k INT, title VARCHAR, label VARCHAR, n BIGINT, source VARCHAR", [([f[0] for f in FILES].index(r[0]), *r[1:]) for r in LIBRARY])}) l USING (k)""".replace("label AS kind_label, words,", f"label AS kind_label, CASE WHEN label <> 'TXT' THEN l.n WHEN words IN ('about the author', 'about the authors') THEN 0 WHEN {_NOISE} THEN l.n - 3 ELSE l.n END AS words,"),
     "pasted_cases": f"""{_own(len(PASTED))}
         SELECT doc_id, kind, title, n + more AS n_blocks, CASE WHEN more = 1 THEN 'The ' || words || ' end here.' END AS last
         FROM d JOIN ({_values("k INT, kind VARCHAR, title VARCHAR, n INT, more INT", [(k, *p[3:], int(len(p[1]) >= 20)) for k, p in enumerate(PASTED)])}) USING (k)""",

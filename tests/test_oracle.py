@@ -56,3 +56,9 @@ def test_references_without_a_semicolon_are_told(same):
     rows = [(k, f"https://x.org/{k}", f"<html><head><title>{t}</title></head><body><p>Words of it.</p></body></html>") for k, t in enumerate(titles)]
     out = same("pages", "page_id long, url string, html string", rows, "html_title")
     assert [r[1] for r in out["html_title"]] == ["a && b <c> and&", '&lt; d "e" · f', "cut &am", "One title"]
+
+
+def test_titles_that_are_noise_hold_no_words(same):
+    texts = ["one ray at"] * 5 + ["ater ater ater"] + ["x"] * 8 + ["nll rst tld"] + ["x"] * 8 + ["and lllllll too"] + ["x"] * 8 + ["plain words here"] + ["x"] * 8 + ["about the authors"] + ["x"] * 8 + ["open access text"]
+    words = {r[0]: r[3] for r in same("documents", _DOCUMENT, documents(*texts), "library_cases")["library_cases"] if r[2] == "TXT"}
+    assert words == {5: 36, 14: 36, 23: 36, 32: 39, 41: 0, 50: 36}
