@@ -62,3 +62,14 @@ def test_titles_that_are_noise_hold_no_words(same):
     texts = ["one ray at"] * 5 + ["ater ater ater"] + ["x"] * 8 + ["nll rst tld"] + ["x"] * 8 + ["and lllllll too"] + ["x"] * 8 + ["plain words here"] + ["x"] * 8 + ["about the authors"] + ["x"] * 8 + ["open access text"]
     words = {r[0]: r[3] for r in same("documents", _DOCUMENT, documents(*texts), "library_cases")["library_cases"] if r[2] == "TXT"}
     assert words == {5: 36, 14: 36, 23: 36, 32: 39, 41: 0, 50: 36}
+
+
+def spliced(*words: str) -> list[tuple]:
+    """Documents of 17 units, some words in place of the first three of a unit."""
+    usual = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(12 * 17)]
+    return documents(*[" ".join([*usual[: 12 * at], *w.split(), *usual[12 * at + 3 :]]) for at, w in ((int(x.split(":")[0]), x.split(":")[1]) for x in words)])
+
+
+def test_headings_that_are_noise_are_not_in_outlines(same):
+    out = same("documents", _DOCUMENT, spliced("0:nrarall rrrrrr llrres", "4:more more more", "1:nrarall rrrrrr llrres"), "spliced_outline")["spliced_outline"]
+    assert [[r[2].split()[0] for r in out if r[0] == k] for k in range(3)] == [["More", "Under"], ["Part", "Under", "References"], ["Part", "More", "Under", "References"]]
