@@ -73,3 +73,9 @@ def spliced(*words: str) -> list[tuple]:
 def test_headings_that_are_noise_are_not_in_outlines(same):
     out = same("documents", _DOCUMENT, spliced("0:nrarall rrrrrr llrres", "4:more more more", "1:nrarall rrrrrr llrres"), "spliced_outline")["spliced_outline"]
     assert [[r[2].split()[0] for r in out if r[0] == k] for k in range(3)] == [["More", "Under"], ["Part", "Under", "References"], ["Part", "More", "Under", "References"]]
+
+
+def test_blocks_that_are_noise_are_skipped_and_not_counted(same):
+    out = same("documents", _DOCUMENT, spliced("1:nrarall rrrrrr llrres", "8:under under under", "1:nrarall rrrrr llrres"), "spliced_script", "spliced_stats")
+    assert [sum(r[8] for r in out["spliced_script"] if r[0] == k and r[4] == "body") for k in range(3)] == [3, 3, 2]
+    assert len({r[1] for r in out["spliced_stats"]}) == 3
