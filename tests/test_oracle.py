@@ -79,3 +79,8 @@ def test_blocks_that_are_noise_are_skipped_and_not_counted(same):
     out = same("documents", _DOCUMENT, spliced("1:nrarall rrrrrr llrres", "8:under under under", "1:nrarall rrrrr llrres"), "spliced_script", "spliced_stats")
     assert [sum(r[8] for r in out["spliced_script"] if r[0] == k and r[4] == "body") for k in range(3)] == [3, 3, 2]
     assert len({r[1] for r in out["spliced_stats"]}) == 3
+
+
+def test_paragraphs_with_a_letter_again_and_again_are_skipped(same):
+    out = same("documents", _DOCUMENT, documents("osado osado llllll", "osado lllll here"), "script_cases")["script_cases"]
+    assert [r[1] for r in out if r[0] == 0 and r[7]] == [1, 10, 11, 12, 13, 2, 8, 9] and [r[1] for r in out if r[0] == 1 and r[7]] == [10, 11, 12, 13, 8, 9]
