@@ -62,7 +62,7 @@ def anchored(atoms: Column, near: Callable[[Column, Column], Column]) -> Column:
 
 def baseline_rows(atoms: Column) -> Column:
     """The rows of atoms that share a baseline, as arrays."""
-    return anchored(atoms, lambda _, i: ROW * _or_ten(F.get(atoms, i)["size"]))
+    return bind(atoms, lambda xs: anchored(xs, lambda _, i: ROW * _or_ten(F.get(xs, i)["size"])))
 
 
 def _edges(rows: Column) -> Column:

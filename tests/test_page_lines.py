@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillspark.operators import layout
+from quillspark.operators import layout, page_cut
 from quillspark.operators.page_lines import page_lines, page_regions
 
 from . import page_reference
@@ -168,3 +169,10 @@ def test_empty_and_incomplete(spark):
     assert lines(spark, [none, run("  ", 10, 63), ("lost", None, 2.0, 3.0, 4.0, 5.0, 6.0)]).count() == 0
     twice = [run("same words", 62, 63), run("same words", 62, 63)]
     assert [r.text for r in lines(spark, twice).collect()] == ["same wordssame words"]
+
+
+def test_rows_of_chosen_atoms_choose_them_once(spark):
+    """Atoms given as an expression: a fold that names it in each step would evaluate it at every atom."""
+    rows = page_cut.baseline_rows(F.filter("atoms", lambda a: a["x1"] < 60))
+    text = spark.range(1).select(F.lit(None).cast(f"array<{page_cut.ATOM}>").alias("atoms")).select(rows.alias("rows"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("filter(atoms") == 1
