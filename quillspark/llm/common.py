@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import cut, discard, saved, shared_dir
+from ..tables import cut, discard, saved, shared_dir, small_batches
 
 __all__ = ["SPACES", "cut", "discard", "free_names", "let", "nested", "read", "saved", "shared_dir", "slices", "small_batches", "utf8", "words"]
 
@@ -66,12 +66,3 @@ def nested(column: pa.Array, *fields: str) -> Iterator[list[tuple]]:
     for n in lens:
         yield rows[at : at + n]
         at += n
-
-
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Let the session hand at most ``most`` bytes at a time to Python, so that texts of any length take little memory
-    outside the heap; a smaller value that the session has already stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= most:
-        spark.conf.set(key, str(most))

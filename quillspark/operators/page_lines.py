@@ -1,118 +1,48 @@
 """From positioned text to lines: a page is cut to regions in reading order, a region to lines.
 
 Atoms (runs of text): doc_id, page, ord, text, x0, x1, top, bot, base, size, bold; y grows downward. Geometry: doc_id, page,
-width, height. Atoms of a page meet in one row, in which ``page_cut`` parts it; all of it are SQL expressions.
+width, height. Atoms of a page meet in one row; ``page_arrays`` parts those of many pages at once in Python.
 
 Atoms without text or coordinates and pages without geometry give no lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.patterns import bind, jvm, unfolded
 from ..functions.text import trimmed
-from . import page_cut
-
-#: Raised marks, spaces and margins, in ems and shares of the page's height.
-RAISED, SMALL_RUN, SPACE_EMS, MARGIN = 0.14, 0.80, 0.20, 0.075
-#: Words of headings, which may arrive letter by letter.
-HEAD_WORDS = (
-    "abstract summary background introduction objective objectives method methods materials design participants patients randomization "
-    "randomisation intervention interventions outcome outcomes statistical analysis result results finding findings discussion conclusion "
-    "conclusions limitation limitations implications reference references bibliography acknowledgment acknowledgments acknowledgement "
-    "acknowledgements funding appendix keyword keywords highlights supplementary"
-).split()
+from ..tables import small_batches
+from . import page_arrays
+from .page_cut import ATOM
 
 NUMBERS = ["x0", "x1", "top", "bot", "base", "size"]
+LINES = (
+    "n int, region_idx int, text string, size double, base double, top double, bot double, x0 double, x1 double, bold boolean, gap_max double, gap_at double, col_left double, "
+    "col_right double, col_width double, in_top boolean, in_bot boolean, dropped_citations int"
+)
 
 
-def rejoin_spaced(c: Column) -> Column:
-    """Join the pieces of a letter-spaced heading, where these spell a word of headings."""
-
-    def joined(tokens: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            more = F.least(F.lit(8), F.size(tokens) - 1 - i)
-            lengths = F.when(more > 0, F.sequence(F.lit(1), F.greatest(more, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-            piece = lambda k: F.array_join(F.slice(tokens, i + 1, k + 1), "")
-            longest = F.coalesce(F.array_max(F.filter(lengths, lambda k: F.lower(piece(k)).isin(HEAD_WORDS))), F.lit(0))
-            here = bind(longest, lambda k: F.struct(F.concat(state["out"], F.array(piece(k))).alias("out"), k.alias("skip")))
-            return F.when(state["skip"] > 0, F.struct(state["out"].alias("out"), (state["skip"] - 1).alias("skip"))).otherwise(here)
-
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda s: F.array_join(s["out"], " "))
-
-    shaped = (F.length(c) <= 60) & ~c.rlike("[0-9]") & ~c.rlike(jvm("[.!?]$")) & c.contains(" ")
-    return F.when(shaped, bind(F.split(c, " ", -1), joined)).otherwise(c)
-
-
-def _size(runs: Column) -> Column:
-    """The size, in halves, that most characters of the line are set in; the first seen of equal ones."""
-    half = lambda r: F.floor(r["size"] * 2 + 0.5) / 2
-    weight = lambda s: F.aggregate(
-        F.filter(runs, lambda r: half(r) == s), F.lit(0), lambda n, r: n + F.greatest(F.length(trimmed(r["text"])), F.lit(1))
-    )
-    best = lambda sizes: F.array_max(F.transform(sizes, lambda s, i: F.struct(weight(s).alias("w"), (-i).alias("i"), s.alias("s"))))["s"]
-    heaviest = lambda sizes: F.when(F.size(sizes) == 1, F.get(sizes, F.lit(0))).otherwise(best(sizes))
-    return bind(bind(F.array_distinct(F.transform(runs, half)), heaviest), lambda s: F.when(s > 0, s).otherwise(10.0))
-
-
-def _text(runs: Column, prefix: Column, base: Column, size: Column) -> Column:
-    """Fold the runs to text, the widest space and its place, and the number of raised citation marks left out."""
-    last = lambda c: F.substr(c, F.lit(-1), F.lit(1))
-
-    def step(s: Column, r: Column) -> Column:
-        mark = (r["base"] < base - RAISED * size) & (r["size"] < SMALL_RUN * size) & r["text"].rlike(jvm(r"^[\d\s,;.–—*†‡-]+$"))
-
-        def kept(gap: Column) -> Column:
-            space = (gap > SPACE_EMS * size) & ~last(s["text"]).rlike(jvm(r"\s")) & ~r["text"].rlike(jvm(r"^\s"))
-            return F.struct(
-                F.concat(s["text"], F.when(space, " ").otherwise(""), r["text"]).alias("text"), r["x1"].alias("end"),
-                F.when(gap > s["gap"], gap).otherwise(s["gap"]).alias("gap"), F.when(gap > s["gap"], s["end"]).otherwise(s["gap_at"]).alias("gap_at"), s["marks"].alias("marks"),
-            )
-
-        left_out = F.struct(s["text"].alias("text"), r["x1"].alias("end"), s["gap"].alias("gap"), s["gap_at"].alias("gap_at"), (s["marks"] + 1).alias("marks"))
-        return F.when(mark, left_out).otherwise(bind(F.when(s["text"] != "", r["x0"] - F.coalesce(s["end"], r["x0"])).otherwise(0.0), kept))
-
-    start = F.struct(prefix.alias("text"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("gap_at"), F.lit(0).alias("marks"))
-    return F.aggregate(runs, start, step)
-
-
-def _finished(line: Column, region: Column, height: Column) -> Column:
-    """A line with its text and measures. All of it happens in the array of lines: over columns, Catalyst would move the filter
-    of empty lines below and compute the text again there."""
-    runs = line["runs"]
-    edge = lambda f, xs, field: f(F.transform(xs, lambda x: x[field]))
-    n_bold = F.size(F.filter(runs, lambda r: r["bold"]))
+def _gathered(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
+    """doc_id, page, width, height and ``atoms``, the array of a page's atoms in their order."""
+    small_batches(atoms.sparkSession)
+    usable = atoms.select("doc_id", "page", "ord", "text", *[F.col(c).cast("double").alias(c) for c in NUMBERS], "bold")
+    usable = usable.filter(trimmed(F.col("text")) != "").dropna(subset=NUMBERS)
+    in_order = F.sort_array(F.collect_list(F.struct("ord", *NUMBERS, "text", "bold")))
+    pages = usable.groupBy("doc_id", "page").agg(in_order.alias("atoms"))
+    pages = pages.join(geometry.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), ["doc_id", "page"])
+    return pages.withColumn("atoms", F.transform("atoms", lambda a: F.struct(*[a[c].alias(c) for c in (*NUMBERS, "text", "bold")])))
 
-    def told(size: Column, base: Column, t: Column) -> Column:
-        left, right = edge(F.array_min, region["atoms"], "x0"), edge(F.array_max, region["atoms"], "x1")
-        top, bot = edge(F.array_min, runs, "top"), edge(F.array_max, runs, "bot")
-        fields = {
-            "region_idx": region["i"], "text": rejoin_spaced(trimmed(F.regexp_replace(t["text"], jvm(r"\s+"), " "))), "size": size, "base": base, "top": top, "bot": bot,
-            "x0": edge(F.array_min, runs, "x0"), "x1": edge(F.array_max, runs, "x1"), "bold": (n_bold > 0) & (n_bold >= F.size(runs) / 2), "gap_max": t["gap"] / size, "gap_at": t["gap_at"],
-            "col_left": left, "col_right": right, "col_width": right - left, "in_top": top < height * MARGIN, "in_bot": bot > height * (1 - MARGIN), "dropped_citations": t["marks"],
-        }
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    base = page_cut.median(F.transform(runs, lambda r: r["base"]))
-    return bind(_size(runs), lambda size: bind(base, lambda b: bind(_text(runs, line["prefix"], b, size), lambda t: told(size, b, t))))
+def _kept(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
 def page_regions(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
     """doc_id, page, width, height and ``regions``: the arrays of atoms of each region, in reading order."""
-    usable = atoms.select("doc_id", "page", "ord", "text", *[F.col(c).cast("double").alias(c) for c in NUMBERS], "bold")
-    usable = usable.filter(trimmed(F.col("text")) != "").dropna(subset=NUMBERS)
-    usable = usable.join(geometry.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")), ["doc_id", "page"])
-    in_order = F.sort_array(F.collect_list(F.struct("ord", *NUMBERS, "text", "bold")))
-    pages = usable.groupBy("doc_id", "page", "width", "height").agg(in_order.alias("atoms"))
-    own = F.transform("atoms", lambda a, k: F.struct(
-        a["base"].alias("base"), a["x0"].alias("x0"), k.alias("k"), *[a[c].alias(c) for c in ("x1", "top", "bot", "size", "text")], F.coalesce(a["bold"], F.lit(False)).alias("bold"),
-    ))
-    pages = pages.withColumn("atoms", F.sort_array(own))
-    return pages.select("doc_id", "page", "width", "height", page_cut.regions(F.col("atoms"), F.col("width")).alias("regions"))
+    pages = _gathered(atoms, geometry)
+    return pages.mapInArrow(page_arrays.region_batches, f"{_kept(pages, 'doc_id', 'page', 'width', 'height')}, regions array<array<{ATOM}>>")
 
 
 def page_lines(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -120,10 +50,7 @@ def page_lines(atoms: DataFrame, geometry: DataFrame) -> DataFrame:
 
     One shuffle gathers pages, another (the order in the document) documents.
     """
-    cut = page_regions(atoms, geometry)
-    numbered = F.transform("regions", lambda r, i: F.struct(i.alias("i"), r.alias("atoms")))
-    lines = F.flatten(F.transform(numbered, lambda r: F.transform(page_cut.lines(r["atoms"]), lambda line: _finished(line, r, F.col("height")))))
-    x = unfolded(cut.withColumn("lines", F.filter(lines, lambda line: line["text"] != "")), "lines", "n", "l", "doc_id", "page")
+    pages = _gathered(atoms, geometry)
+    x = pages.mapInArrow(page_arrays.line_batches, f"{_kept(pages, 'doc_id', 'page')}, {LINES}")
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "n")) - 1
-    x = x.select("doc_id", "page", order.alias("ord"), "l.*")
-    return x.select("doc_id", "page", "region_idx", "ord", *[c for c in x.columns if c not in ("doc_id", "page", "region_idx", "ord")])
+    return x.select("doc_id", "page", "region_idx", order.alias("ord"), *[c for c in x.columns if c not in ("doc_id", "page", "region_idx", "n")])

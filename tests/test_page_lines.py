@@ -7,8 +7,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.operators import layout, page_cut
-from quillspark.operators.page_lines import page_lines, page_regions
+from quillspark.operators import layout, page_arrays, page_cut
+from quillspark.operators.page_lines import _gathered, page_lines, page_regions
 
 from . import page_reference
 
@@ -176,3 +176,20 @@ def test_rows_of_chosen_atoms_choose_them_once(spark):
     rows = page_cut.baseline_rows(F.filter("atoms", lambda a: a["x1"] < 60))
     text = spark.range(1).select(F.lit(None).cast(f"array<{page_cut.ATOM}>").alias("atoms")).select(rows.alias("rows"))._jdf.queryExecution().analyzed().toString()
     assert text.count("filter(atoms") == 1
+
+
+def test_pages_of_a_batch_are_cut_together(spark, monkeypatch):
+    """Whatever pages share a batch, each is cut as if alone; one with more atoms than a batch may have too."""
+    rng = random.Random(5)
+    gathered = _gathered(*placed(spark, *[random_page(rng) for _ in range(40)])).toArrow().combine_chunks().to_batches()
+    told = lambda: [[r for b in part(iter(gathered)) for r in b.drop_columns(["n"] if "n" in b.schema.names else []).to_pylist()] for part in (page_arrays.line_batches, page_arrays.region_batches)]
+    together = told()
+    monkeypatch.setattr(page_arrays, "MOST_ATOMS", 1)
+    assert together == told() and len(together[1]) == 40 < len(together[0])
+
+
+def test_edges_of_a_region_are_found_once(spark):
+    """A page of many lines: a line that looked for its region's edges by itself would make this quadratic."""
+    page = [run("word", 60 + 30 * (k % 4), 20 + 2 * (k // 4), 2.0, 25) for k in range(40_000)]
+    got = lines(spark, page).select("col_left", "col_right").distinct().collect()
+    assert [tuple(r) for r in got] == [(60.0, 175.0)]
