@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import SPACE, bind, jvm
+from ..functions.patterns import SPACE, SPACES, bind, jvm
 from ..functions.text import trimmed
 
 LIMIT = 300
@@ -50,6 +50,8 @@ BREAKS = (
 )
 #: The shares of the limit from which a break is favoured, and before which it isn't taken.
 FAVOURED, LEAST = 0.45, 0.35
+#: Long sentences are cut in stretches of this many limits.
+STRETCH = 16
 
 
 def _cut_length(head: Column, limit: int) -> Column:
@@ -64,19 +66,40 @@ def _cut_length(head: Column, limit: int) -> Column:
 
 
 def _within(piece: Column, limit: int) -> Column:
-    """A sentence as an array of parts within the limit."""
+    """A sentence with single spaces as an array of parts within the limit.
 
-    def step(s: Column, _: Column) -> Column:
-        def cut(n: Column) -> Column:
-            part, rest = trimmed(F.substr(s["rest"], F.lit(1), n)), trimmed(F.substr(s["rest"], n + 1, F.length(s["rest"])))
-            return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), rest.alias("rest"))
+    It is cut stretch by stretch, with what the last one left in front, so that a cut copies a stretch and not the whole rest.
+    """
+    size = limit * STRETCH
+    left = lambda x: F.ltrim(x, F.lit(SPACES))
 
-        return F.when(F.length(s["rest"]) > limit, bind(_cut_length(F.substr(s["rest"], F.lit(1), F.lit(limit)), limit), cut)).otherwise(s)
+    def cuts(rest: Column, most: Column) -> Column:
+        """Parts and rest of a text from which parts are cut while it is longer than ``most``."""
 
-    # A cut takes LEAST of the limit or more, but before a word that is longer than the rest of it; the cut after that does.
-    steps = F.sequence(F.lit(1), F.ceil(F.length(piece) / max(1, int(limit * LEAST))).cast("int") * 2 + 1)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), piece.alias("rest"))
-    return F.aggregate(steps, start, step, lambda s: F.concat(s["parts"], F.array(s["rest"])))
+        def step(s: Column, _: Column) -> Column:
+            def cut(n: Column) -> Column:
+                part = trimmed(F.substr(s["rest"], F.lit(1), n))
+                return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), left(F.substr(s["rest"], n + 1, F.length(s["rest"]))).alias("rest"))
+
+            return F.when(F.length(s["rest"]) > most, bind(_cut_length(F.substr(s["rest"], F.lit(1), F.lit(limit)), limit), cut)).otherwise(s)
+
+        # A cut takes LEAST of the limit or more, but before a word that is longer than the rest of it; the cut after that does.
+        steps = F.sequence(F.lit(1), F.ceil(F.length(rest) / max(1, int(limit * LEAST))).cast("int") * 2 + 1)
+        return F.aggregate(steps, F.struct(F.array().cast("array<string>").alias("parts"), rest.alias("rest")), step)
+
+    def stretches(all_of: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            # Before the last stretch, one more character must follow: the space that a cut may leave in front.
+            most = F.when(i == F.size(all_of) - 1, limit).otherwise(limit + 1)
+            return bind(
+                bind(F.concat(s["rest"], F.get(all_of, i)), lambda rest: cuts(left(rest), most)),
+                lambda x: F.struct(F.concat(s["parts"], F.array(x["parts"])).alias("parts"), x["rest"].alias("rest")),
+            )
+
+        start = F.struct(F.array().cast("array<array<string>>").alias("parts"), F.lit("").alias("rest"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(all_of) - 1), start, step, lambda s: F.concat(F.flatten(s["parts"]), F.array(s["rest"])))
+
+    return bind(F.regexp_extract_all(piece, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), stretches)
 
 
 def sentences(text: Column, limit: int = LIMIT) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -161,3 +162,18 @@ def test_store(spark):
     assert sorted(map(tuple, store.upsert(a, b).collect())) == [(1, "x"), (2, "z"), (3, "w")]
     assert [tuple(r) for r in store.remove({"docs": a}, b)["docs"].collect()] == [(1, "x")]
     assert needs_rebuild(Settings(), Settings(skip_tables=False)) and not needs_rebuild(Settings(), Settings())
+
+
+def test_long_sentences_are_cut_in_stretches(spark):
+    """All words stay in order, whatever stands at the end of a stretch; a long sentence takes time by its length."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.choice([1, 3, 7, 7, 9, 12]))) + rng.choice(["", "", "", ",", ";"]) for _ in range(160_000)]
+    texts = [" ".join(words[a : a + 400 + a % 7]) for a in range(0, 4000, 400)] + ["x" * 2500 + " " + " ".join(words[:300]) + " " + "y" * 990, " ".join(words)]
+    began = time.monotonic()
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", sentences(F.col("text"), 60).alias("s")).collect()
+    assert time.monotonic() - began < 60
+    for r in got:
+        assert "".join(r.s).replace(" ", "") == texts[r.id].replace(" ", "") and max(map(len, r.s)) <= 60 and all(x == x.strip() != "" for x in r.s)
+        assert r.id == 10 or " ".join(r.s) == texts[r.id]
+    short = spark.createDataFrame([(texts[0],)], "text string").select(sentences(F.col("text"), 60).alias("s")).head().s
+    assert [x for r in got if r.id == 11 for x in r.s][: len(short) - 2] == short[:-2]
