@@ -26,7 +26,9 @@ def _set_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line: its words, page, column, row, and how many lines the page has."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("doc_id", f"regexp_extract_all({_SMALL}, '[a-z]+', 0) AS w", "doc_id % 3 + 1 AS columns")
     n = F.ceil(F.size("w") / WORDS).cast("int")
-    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice("w", i * WORDS + 1, WORDS)))
+    # Word by word: a slice copies the whole array first.
+    row = lambda i: F.filter(F.array(*[F.get("w", i * WORDS + k) for k in range(WORDS)]), lambda w: w.isNotNull())
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), row))
     x = unfolded(docs.select("doc_id", "columns", n.alias("n"), rows.alias("rows")), "rows", "i", "ws", "doc_id", "columns", "n")
     x = x.selectExpr("*", f"{ROWS} * columns AS room").selectExpr("*", "cast(i div room AS int) AS page")
     x = x.selectExpr("*", "(page + 1) * room <= n AS full", "least(room, n - page * room) AS n_lines")
